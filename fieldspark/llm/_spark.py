@@ -37,7 +37,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def skew_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+def skew_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
     """Join rows to groups (one row per key, with ``size`` rows each), hot keys apart.
 
     Keys with over a thousandth of the rows number under a thousand; those
@@ -46,28 +46,35 @@ def skew_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, ho
     ``groups`` must be cheap to read twice (a checkpoint), and its columns
     other than the keys must have a bounded size.
     """
-    limit = groups.agg(F.sum(size).alias("t")).select((F.coalesce("t", F.lit(0)) / HOT_KEYS).alias("t"))
-    bound = max(1000.0, limit.first()["t"])
-    hot = groups.where(F.col(size) > bound).select(*keys)
-    flagged = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    cold_part = flagged.where(F.col("_hot").isNull()).drop("_hot").join(groups.where(F.col(size) <= bound), keys, how)
-    hot_part = flagged.where("_hot").drop("_hot").join(F.broadcast(groups.where(F.col(size) > bound)), keys, how)
-    return cold_part.unionByName(hot_part)
+    total = groups.agg(F.sum(size).alias("t")).first()["t"]
+    bound = max(1000.0, (total or 0) / HOT_KEYS)
+    columns = [*rows.columns, *(c for c in groups.columns if c not in keys)]
+    hot = groups.where(F.col(size) > bound).withColumn("_hot", F.lit(True))
+    flagged = rows.join(F.broadcast(hot), keys, "left")
+    cold = flagged.where(F.col("_hot").isNull()).select(*rows.columns).join(groups.where(F.col(size) <= bound), keys)
+    return flagged.where("_hot").select(*columns).unionByName(cold.select(*columns))
 
 
-def semi_join(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is in ids (a checkpointed table with that column).
+def maybe(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """rows with a boolean ``_maybe``: false where the key surely isn't in ids.
 
-    A bitmap of the ids' hashes goes before the join, so that few other rows
-    are shuffled.  It has at most 2**24 bits in 2**18 broadcast rows, however
-    many ids there are; when it is full it only stops helping.
+    ids is a checkpointed table.  A bitmap of its hashes is broadcast: at most
+    2**24 bits in 2**18 rows, however many ids there are; when it is full it
+    only stops helping.
     """
     bits = 1 << max(10, min(24, (16 * ids.count()).bit_length()))
     at = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(bits))
     words = ids.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))")).alias("_word"))
-    some = rows.withColumn("_at", at).withColumn("_slot", F.shiftright("_at", 6)).join(F.broadcast(words), "_slot")
-    some = some.where("(shiftright(_word, cast(_at & 63 as int)) & 1) = 1").select(*rows.columns)
-    return some.join(ids.select(key).distinct(), key, "left_semi")
+    marked = rows.withColumn("_at", at).withColumn("_slot", F.shiftright("_at", 6)).join(F.broadcast(words), "_slot", "left")
+    return marked.withColumn("_maybe", F.expr("(shiftright(coalesce(_word, 0L), cast(_at & 63 as int)) & 1) = 1")).select(*rows.columns, "_maybe")
+
+
+def semi_join(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in ids, a checkpointed table; few others are shuffled.
+
+    An inner join with distinct ids: a semi join would be pushed below the bitmap.
+    """
+    return maybe(rows, ids, key).where("_maybe").join(ids.select(key).distinct(), key).select(*rows.columns)
 
 
 def _contract(batches):
@@ -98,32 +105,35 @@ def _contract(batches):
     yield flush()
 
 
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every node of the u side has one edge, to a node that has none of its own."""
+    roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return roles.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     ``edges(u, v)`` of longs, in any order, repeats allowed.  Returns
     ``(node, component)``, the smallest reachable id, for every node of an
-    edge.  Each task first contracts its own edges with a union-find; hub
-    nodes are handled by :func:`skew_join`.  Edges are checkpointed per round.
+    edge.  Each task first contracts its own edges with a union-find.  Edges
+    and minima are checkpointed, so both sides of each join have an exchange
+    of their own and adaptive execution can split hub nodes.
     """
-    edges = edges.where("u is not null and v is not null and u <> v").select(F.col("u").cast("long"), F.col("v").cast("long"))
+    edges = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
     nodes = "u long, v long"
-    now = checkpointed(edges.mapInArrow(_contract, nodes).distinct())
-    seen = None
+    now = checkpointed(edges.distinct().mapInArrow(_contract, nodes))
     for _ in range(rounds):
-        state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-        if not state["n"] or state == seen:
+        if _is_star(now):
             break
-        seen = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")))
-        large = skew_join(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = checkpointed(large.where("u <> v").distinct())
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = checkpointed(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = skew_join(down, least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
-        now = checkpointed(small.distinct().mapInArrow(_contract, nodes).distinct())
+        least = checkpointed(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = checkpointed(large.distinct())
+        least = checkpointed(down.groupBy("u").agg(F.min("v").alias("m")))
+        small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(least.select("u", F.col("m").alias("v")))
+        now = checkpointed(small.distinct().mapInArrow(_contract, nodes))
     else:
         raise RuntimeError("components did not converge")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import exact_dedup, language_id, near_dedup, quality_rules
+from fieldspark.llm import bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, pii, quality_knn, quality_rules, sharding
 from fieldspark.llm._spark import documents
 
 
@@ -13,19 +13,49 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).drop("rejected_by")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text without duplicate lines."""
+    return line_dedup.without_duplicate_lines(documents(spark, sf_dir)).select("doc_id", "text", "n_chars")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), k=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_language_id, op5_exact_dedup, op8_near_dedup)}
+def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_pii, op3_language_id, op4_byte_bpe, op5_exact_dedup, op6_line_dedup, op7_best_fit_packing, op8_near_dedup, op9_quality_knn, op10_sharding)
+}
 
 _WS = r"[\x20\x09-\x0D]"
 _WORDS = rf"list_filter(string_split_regex(coalesce(text, ''), '{_WS}+'), lambda x: x <> '')"
