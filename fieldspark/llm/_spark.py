@@ -62,19 +62,16 @@ def maybe(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     2**24 bits in 2**18 rows, however many ids there are; when it is full it
     only stops helping.
     """
-    bits = 1 << max(10, min(24, (16 * ids.count()).bit_length()))
+    bits = 1 << max(10, min(24, (64 * ids.count()).bit_length()))
     at = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(bits))
     words = ids.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))")).alias("_word"))
     marked = rows.withColumn("_at", at).withColumn("_slot", F.shiftright("_at", 6)).join(F.broadcast(words), "_slot", "left")
     return marked.withColumn("_maybe", F.expr("(shiftright(coalesce(_word, 0L), cast(_at & 63 as int)) & 1) = 1")).select(*rows.columns, "_maybe")
 
 
-def semi_join(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is in ids, a checkpointed table; few others are shuffled.
-
-    An inner join with distinct ids: a semi join would be pushed below the bitmap.
-    """
-    return maybe(rows, ids, key).where("_maybe").join(ids.select(key).distinct(), key).select(*rows.columns)
+def likely(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be in ids: all that are, and few others.  Nothing is shuffled."""
+    return maybe(rows, ids, key).where("_maybe").select(*rows.columns)
 
 
 def _contract(batches):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm._shingles import texts_of
-from fieldspark.llm._spark import binary, checkpointed, semi_join, skew_join
+from fieldspark.llm._spark import binary, checkpointed, likely, skew_join
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 715136305)
@@ -130,7 +130,7 @@ def exact_duplicates(docs: DataFrame, bits: int = 62) -> DataFrame:
     sizes = checkpointed(seen.groupBy("mark", "bytes").agg(F.count("*").alias("n")).where("n > 1"))
     # only the rows of such groups are read again, and compared chunk by chunk
     ids = checkpointed(skew_join(seen.select(F.xxhash64("doc_id").alias("k"), "mark", "bytes"), sizes, ["mark", "bytes"], "n").select("k").distinct())
-    texts = semi_join(rows.withColumn("k", F.xxhash64("doc_id")), ids, "k").select("text")
+    texts = likely(rows.withColumn("k", F.xxhash64("doc_id")), ids, "k").select("text")
     pieces = texts.mapInArrow(_chunks(bits), "mark long, bytes long, chunk long, data binary")
     differing = pieces.groupBy("mark", "bytes", "chunk", "data").agg(F.lit(1).alias("one")).groupBy("mark", "bytes", "chunk").agg(F.count("*").alias("contents")).where("contents > 1")
     collided = checkpointed(differing.select("mark", "bytes").distinct())

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm._shingles import U, mix
-from fieldspark.llm._spark import binary, checkpointed, components, maybe, semi_join, skew_join
+from fieldspark.llm._spark import binary, checkpointed, components, likely, maybe, skew_join
 from fieldspark.llm.near_dedup import BLOCK, admitted, bitmap
 
 WIDTH = 8
@@ -175,15 +175,15 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     keys = lines.select("id", "keys").mapInArrow(_exploded, "key long, id long")
     counts = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     counts = checkpointed(counts)
-    some = semi_join(keys, counts.select("key"), "key")
-    shared = some.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.min("id").alias("lead"))
+    some = likely(keys, counts, "key")
+    shared = some.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.min("id").alias("lead")).where("size > 1")
     shared = checkpointed(shared.groupBy("size", "x", "y", "lead").agg(F.min("key").alias("key")).select("key", "size", "lead"))
-    members = skew_join(semi_join(keys, shared.select("key"), "key"), shared, ["key"], "size")
+    members = skew_join(likely(keys, shared, "key"), shared, ["key"], "size")
     members = checkpointed(members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")))
 
     wanted = lines.join(members.select("id").distinct(), "id").select("id", F.col("first.doc").alias("doc_id"), F.col("first.line").alias("line"))
     wanted = checkpointed(wanted)
-    texts = semi_join(rows, wanted.select("doc_id").distinct(), "doc_id").mapInArrow(_lines("text"), f"{_SHAPE}, data binary").select(F.col("doc").alias("doc_id"), "line", "data")
+    texts = likely(rows, wanted, "doc_id").mapInArrow(_lines("text"), f"{_SHAPE}, data binary").select(F.col("doc").alias("doc_id"), "line", "data")
     texts = checkpointed(texts.join(wanted, ["doc_id", "line"]).select("id", "data"))
 
     leads = shared.where(f"size > {BLOCK}").select("key", F.col("lead").alias("id"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("block"))
@@ -205,7 +205,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     best = checkpointed(grouped.groupBy("component").agg(F.min("first").alias("keep"), F.count("*").alias("m")))
     grouped = skew_join(grouped, best, ["component"], "m").select("a", "b", "n", F.col("keep.doc").alias("keep_doc"), F.col("keep.line").alias("keep_line"))
     fate = checkpointed(alone.unionByName(grouped))
-    places = semi_join(rows.mapInArrow(_lines(""), _SHAPE).withColumn("ab", F.xxhash64("a", "b")), checkpointed(fate.select(F.xxhash64("a", "b").alias("ab"))), "ab").drop("ab")
+    places = likely(rows.mapInArrow(_lines(""), _SHAPE).withColumn("ab", F.xxhash64("a", "b")), fate.select(F.xxhash64("a", "b").alias("ab")), "ab").drop("ab")
     out = skew_join(places, fate, ["a", "b"], "n").where("doc <> keep_doc or line <> keep_line")
     return out.select(F.col("doc").alias("doc_id"), "line").distinct()
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm._shingles import U, mix, shingles, word_batches
-from fieldspark.llm._spark import as_numpy, binary, checkpointed, components, semi_join, skew_join
+from fieldspark.llm._spark import as_numpy, binary, checkpointed, components, likely, skew_join
 
 CHUNKS, WIDTH = 10, 4
 BLOCK = 1024
@@ -192,7 +192,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     pairs is split by adaptive execution.
     """
     ids = checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    sets = checkpointed(semi_join(docs, ids, "doc_id").mapInArrow(_shingled(k, "set"), "doc long, n long, data binary").where("data is not null"))
+    sets = checkpointed(likely(docs, ids, "doc_id").mapInArrow(_shingled(k, "set"), "doc long, n long, data binary").where("data is not null"))
     one = sets.select(F.col("doc").alias("u"), F.col("data").alias("a"))
     two = sets.select(F.col("doc").alias("v"), F.col("data").alias("b"))
     full = pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b")
@@ -221,10 +221,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"), F.min("doc").alias("lead")).where("size > 1")
     # keys with the same members do the same work: one of them stays
     shared = checkpointed(shared.groupBy("size", "x", "y", "lead").agg(F.min("key").alias("key")).select("key", "size", "lead"))
-    members = checkpointed(skew_join(keys, shared, ["key"], "size").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("blocks")).cast("int")))
+    members = checkpointed(skew_join(likely(keys, shared, "key"), shared, ["key"], "size").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("blocks")).cast("int")))
 
     ids = checkpointed(members.select(F.col("doc").alias("doc_id")).distinct())
-    maps = checkpointed(semi_join(docs, ids, "doc_id").mapInArrow(_shingled(k, "bitmap"), "doc long, n long, data binary").where("data is not null").dropDuplicates(["doc"]))
+    maps = checkpointed(likely(docs, ids, "doc_id").mapInArrow(_shingled(k, "bitmap"), "doc long, n long, data binary").where("data is not null").dropDuplicates(["doc"]))
 
     leads = shared.where(f"size > {BLOCK}").select("key", F.col("lead").alias("doc"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("block"))
     dealt = members.select("key", "doc", "block").unionByName(leads)
