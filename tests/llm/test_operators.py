@@ -1,0 +1,306 @@
+"""Brute-force comparisons and edge cases of the training-data operators."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow.parquet as pq
+import pytest
+import tiktoken
+
+from fieldspark.llm import bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, pii, quality_knn, quality_rules, sharding
+from fieldspark.llm._shingles import shingles, word_hashes
+
+SMALL = "/root/testdata/sf0.001"
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
+BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@pytest.fixture(scope="module")
+def rows():
+    got = pq.read_table(f"{SMALL}/documents.parquet", columns=["doc_id", "text", "lang", "source", "n_chars"]).to_pylist()
+    return [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in got]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+#: nulls in any column, empty and blank texts, ties, repeated rows, one long word, a clashing extra column
+ODD = [
+    (1, None, "en", "a", 0, "x"),
+    (2, "", None, None, None, None),
+    (3, " \t\n", "en", "a", 3, "x"),
+    (4, "one two three four five six seven eight nine ten eleven", "en", "a", 10, "x"),
+    (5, "one two three four five six seven eight nine ten eleven", "de", "b", 10, "y"),
+    (5, "one two three four five six seven eight nine ten eleven", "de", "b", 10, "y"),
+    (None, "one two three four five six seven eight nine ten eleven", "de", "b", 10, None),
+    (6, "w" * 3000, "en", "a", 3000, "x"),
+    (7, "12345 67890 !!!", "fr", "c", 1, "x"),
+    (8, "word " * 3000, "en", "a", 15000, "x"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SHAPE + ", shard string").withColumnRenamed("shard", "kept")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SHAPE)
+
+
+def test_no_crash_on_odd_and_empty(spark, odd, empty):
+    labels = spark.createDataFrame([(4, 1), (8, 0), (None, 1)], "doc_id long, quality int")
+    for op in (
+        quality_rules.quality_rules, pii.find, language_id.identify, exact_dedup.exact_duplicates, near_dedup.near_duplicates, packing.pack, sharding.shards,
+        lambda d: bpe.round_trip(d, *BPE), lambda d: quality_knn.score(d, labels), line_dedup.without_duplicate_lines,
+    ):
+        got = op(odd).collect()
+        assert len(got) >= len(ODD), op
+        assert op(empty).collect() == []
+
+
+def test_pipeline_stages_on_odd_and_empty(spark, odd, empty):
+    import corpus_pipeline
+
+    for start in (odd, empty):
+        docs = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SMALL)
+            assert docs.columns == start.columns
+        docs.collect()
+
+
+def test_quality_rule_order_keeps_verdicts(docs):
+    names = list(quality_rules.RULES)
+    one = quality_rules.quality_rules(docs, order=names).select("doc_id", "kept")
+    two = quality_rules.quality_rules(docs, order=names[::-1]).select("doc_id", "kept")
+    assert sorted(one.collect()) == sorted(two.collect())
+
+
+def _pii_base(t):
+    out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(d) <= 19 and pii.luhn(d):
+            out.append((m.start(), 2, m.end(), "card"))
+    out += [(m.start(), 3, m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+def test_pii_base_equals_patterns(docs, rows):
+    got = {r["doc_id"]: r["base_sha256"] for r in pii.find(docs).collect()}
+    assert got == {r[0]: hashlib.sha256(_pii_base(r[1]).encode()).hexdigest() for r in rows}
+    cues, rng = pii.automaton(), random.Random(3)
+    for _ in range(3000):
+        t = "".join(rng.choice("0123 1.1.+-()@@ab_%é\n25") for _ in range(rng.randint(0, 60)))
+        assert ",".join(f"{k}:{a}:{b}" for a, b, k in pii.spans(t, cues) if k in pii.BASE) == _pii_base(t)
+
+
+def test_pii_added_spans_and_redaction():
+    cues = pii.automaton()
+    assert pii.redacted("iban: DE89 3704 0044 0532 0130 00.", cues) == "iban: [iban]."
+    assert pii.redacted("iban: DE88 3704 0044 0532 0130 00.", cues).startswith("iban: DE88")
+    assert pii.redacted("mail a.b@c.de now", cues) == "mail [email] now"
+    assert pii.redacted("https://bob:pw@host.org/x", cues) == "https://[url_login]/x"
+    assert pii.redacted("My account number is secret", cues) == "My account number is secret"
+
+
+def test_language_held_out_accuracy(docs):
+    got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_without_letters(odd):
+    got = {r["doc_id"]: r for r in language_id.identify(odd).collect()}
+    assert got[7]["lang_pred"] == got[1]["lang_pred"] == "und"
+
+
+def test_bpe_equals_library(docs, rows, odd):
+    with open(BPE[0], "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    library = tiktoken.Encoding("own", pat_str=BPE[1], mergeable_ranks=ranks, special_tokens={})
+    got = {r["doc_id"]: r for r in bpe.round_trip(docs, *BPE).collect()}
+    for doc, text, *_ in rows:
+        ids = library.encode_ordinary(text)
+        assert got[doc]["n_tokens"] == len(ids)
+        assert got[doc]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[doc]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    encoded = bpe.encode(odd, *BPE)
+    texts = [t or "" for _, t, *_ in ODD]
+    assert sorted(bytes(r["data"]).decode() for r in bpe.decode(encoded, *BPE).collect()) == sorted(texts)
+
+
+def test_bpe_odd_words():
+    with open(BPE[0], "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    library = tiktoken.Encoding("own", pat_str=BPE[1], mergeable_ranks=ranks, special_tokens={})
+    coder, rng = bpe.Codec(*BPE), random.Random(1)
+    for size in [rng.randint(0, 60) for _ in range(60)] + [400]:
+        text = "".join(rng.choice(["aaaa", "th", "the ", " e", "\n", "  ", "é", "日本", "😀", "1", "!!", "'s", "\t", "ab", "abab"]) for _ in range(size))
+        assert ",".join(p[1] for p in coder.encode(text)) == ",".join(map(str, library.encode_ordinary(text)))
+    long = "".join(rng.choice("abcdefgh") for _ in range(900))
+    assert list(coder.encode(long))[0][1] == ",".join(map(str, library.encode_ordinary(long)))
+
+
+def test_fingerprints_compose():
+    rng = random.Random(2)
+    data = bytes(rng.randrange(256) for _ in range(20_000))
+    for i, (base, prime) in enumerate(zip(exact_dedup.BASES, exact_dedup.PRIMES, strict=True)):
+        plain = 0
+        for b in data:
+            plain = (plain * base + b) % prime
+        assert exact_dedup.fingerprint(data)[i] == plain
+        left, right = exact_dedup.fingerprint(data[:777])[i], exact_dedup.fingerprint(data[777:])[i]
+        assert exact_dedup.combine((left, 777), (right, len(data) - 777), base, prime)[0] == plain
+
+
+@pytest.mark.parametrize("bits", [62, 3])
+def test_exact_dedup_survives_collisions(docs, rows, bits):
+    groups: dict = {}
+    for doc, text, *_ in rows:
+        groups.setdefault(re.sub("[\x20\x09-\x0d]+", "", text), []).append((-len(text), doc))
+    want = {doc: (min(g)[1], len(g), doc == min(g)[1], hashlib.sha256(s.encode()).hexdigest()) for s, g in groups.items() for _, doc in g}
+    got = exact_dedup.exact_duplicates(docs, bits).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got} == want
+
+
+def test_exact_dedup_of_nulls_and_repeats(odd):
+    got = exact_dedup.exact_duplicates(odd).collect()
+    assert sorted(r["group_size"] for r in got) == [1, 1, 1, 3, 3, 3, 4, 4, 4, 4]
+    assert {r["keep_id"] for r in got if r["group_size"] == 3} == {3}  # the blank text has the most code points
+
+
+def _components(sets, percent):
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    index: dict = {}
+    for d, s in sets.items():
+        shared: dict = {}
+        for h in s:
+            for o in index.get(h, ()):
+                shared[o] = shared.get(o, 0) + 1
+            index.setdefault(h, []).append(d)
+        for o, n in shared.items():
+            if 100 * n >= percent * (len(s) + len(sets[o]) - n):
+                a, b = root(d), root(o)
+                parent[max(a, b)] = min(a, b)
+    return {d: root(d) for d in sets}
+
+
+@pytest.mark.parametrize(("k", "percent"), [(4, 80), (5, 60)])
+def test_near_dedup_loses_no_link(docs, rows, k, percent):
+    sets = {}
+    for doc, text, *_ in rows:
+        words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        sets[doc] = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else ({tuple(words)} if words else set())
+    want = _components(sets, percent)
+    got = near_dedup.near_duplicates(docs, k, percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {d: (len(s), want[d]) for d, s in sets.items()}
+
+
+def test_near_dedup_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(80)] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(76)} for i, t in enumerate(texts)}
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == _components(sets, 80)
+
+
+def test_shingles_match_text():
+    text = "The  quick\tBROWN fox\njumps over the quick brown fox jumps"
+    assert len(shingles(word_hashes(np.frombuffer(text.encode(), np.uint8)), 4)) == 6  # two of eight windows recur
+
+
+def test_line_dedup_equals_brute_force(docs, rows):
+    first: dict = {}
+    places = {}
+    for doc, text, *_ in sorted(rows):
+        for number, plain in line_dedup._eligible(text):
+            first.setdefault(plain, (doc, number))
+            places[doc, number] = plain
+    names = {p: i for i, p in enumerate(first)}
+    parts = _components({i: set(line_dedup._hashes(p).tolist()) for p, i in names.items()}, 80)
+    keep: dict = {}
+    for plain, place in first.items():
+        root = parts[names[plain]]
+        keep[root] = min(keep.get(root, place), place)
+    want = {place for place, plain in places.items() if keep[parts[names[plain]]] != place}
+    assert {(r[0], r[1]) for r in line_dedup.duplicate_lines(docs).collect()} == want
+
+
+def test_packing_holds_its_constraints(docs, rows):
+    got = packing.pack(docs, capacity=256, unit=60).collect()
+    bins: dict = {}
+    for r in got:
+        if r["bin_id"] is not None:
+            bins.setdefault(r["bin_id"], []).append(r)
+    for items in bins.values():
+        items.sort(key=lambda r: r["bin_offset"])
+        assert all(a["bin_offset"] + a["length"] == b["bin_offset"] for a, b in zip(items, items[1:], strict=False))
+        assert sum(r["length"] for r in items) <= 256
+        assert len({r["cluster"] for r in items}) == len(items)
+        assert max(sum(r["source"] == s["source"] for r in items) for s in items) <= packing.PER_SOURCE
+    total: dict = {}
+    for r in got:
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
+    assert total == {doc: len(re.findall("[^\x20\x09-\x0d]+", text)) for doc, text, *_ in rows}
+
+
+def test_best_fit_takes_the_tightest_compatible_bin():
+    # bins with 4 and 3 left; the item of 3 fits the second, unless its cluster is there
+    assert [b for b, _ in packing.best_fit([(7, 0, 0), (6, 1, 1), (3, 2, 2)], 10, 1)] == [0, 1, 0]
+    assert [b for b, _ in packing.best_fit([(7, 0, 0), (6, 1, 1), (3, 2, 0)], 10, 1)] == [0, 1, 1]
+    assert [b for b, _ in packing.best_fit([(7, 0, 0), (6, 1, 1), (3, 0, 1)], 10, 1)] == [0, 1, 2]
+
+
+def test_quality_votes_on_held_out_rows(spark, docs):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    got = quality_knn.score(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r["predicted"] == r["quality"] for r in got) >= 0.8 * len(got)
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_hilbert_curve_steps_by_one():
+    import itertools
+
+    points = np.array(list(itertools.product(range(8), repeat=3)))
+    index = sharding.hilbert_index(points, 3)
+    assert sorted(index) == list(range(512))
+    assert np.abs(np.diff(points[np.argsort(index)], axis=0)).sum(axis=1).max() == 1
+
+
+def test_shards_differ_by_one_row(docs, rows):
+    got = sharding.shards(docs).collect()
+    by: dict = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert set(by) == set(range(16))
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {d: (len(t.encode()) + 1, zlib.crc32(t.encode())) for d, t, *_ in rows}
