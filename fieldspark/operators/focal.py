@@ -16,11 +16,14 @@ def _cols():
 
 
 def box_mean(df: DataFrame, value: str, name: str, radius: int = 2) -> DataFrame:
-    """mean over a square, as sums along rows, then along columns; missing pixels don't count."""
-    across = _rows().rangeBetween(-radius, radius)
+    """mean over a square, as sums along rows, then down columns; missing pixels don't count."""
+    key = ["tile_id", "r", "c"]
+    # sums along rows at every place near a pixel, so that no missing pixel hides its row from the sums down
+    spread = df.select("tile_id", "r", F.explode(F.sequence(F.col("c") - radius, F.col("c") + radius)).alias("c"), F.col(value).alias("_v"))
+    sums = spread.groupBy(*key).agg(F.sum("_v").alias("_s"), F.count("_v").alias("_n"))
     down = _cols().rangeBetween(-radius, radius)
-    sums = df.withColumn("_s", F.sum(value).over(across)).withColumn("_n", F.count(value).over(across))
-    return sums.withColumn(name, F.try_divide(F.sum("_s").over(down), F.sum("_n").over(down))).drop("_s", "_n")
+    made = sums.select(*key, F.try_divide(F.sum("_s").over(down), F.sum("_n").over(down)).alias(name))
+    return df.join(made, key, "left")
 
 
 def class_fractions(df: DataFrame, label: str, classes: dict[str, list[int]], radius: int = 2) -> DataFrame:

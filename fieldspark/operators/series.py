@@ -150,3 +150,11 @@ def risks(weeks: DataFrame, keys: list[str]) -> DataFrame:
     last = weeks.withColumn("_rn", F.row_number().over(w)).where("_rn <= 10")
     capped = lambda c: F.least(F.count_if(c) / 6, F.lit(1.0))
     return last.groupBy(*keys).agg(capped(F.col("vpd") > 2).alias("drought"), capped((F.col("precip") > 5) & (F.col("tmean") > 12)).alias("wet_disease"), F.count("*").alias("weeks"))
+
+
+def evenly_spaced(dates: DataFrame, keys: list[str], day: str, n: int) -> DataFrame:
+    """N dates at evenly spaced ranks; all of them where there are no more than n."""
+    w = Window.partitionBy(*keys)
+    ranked = dates.withColumn("_i", F.row_number().over(w.orderBy(day)) - 1).withColumn("_n", F.count("*").over(w))
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.round(j * (F.col("_n") - 1) / max(n - 1, 1)).cast("int"))
+    return ranked.where((F.col("_n") <= n) | F.array_contains(wanted, F.col("_i"))).drop("_i", "_n")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldspark.functions import agronomy as ag
+from fieldspark.functions import geo
 from fieldspark.functions import spectral as sp
 from fieldspark.functions import weather as we
 from fieldspark.operators import focal, iterative, relational, scoring, series, zonal
@@ -738,3 +739,225 @@ register(
     lambda v: series.latest(v("label_versions"), ["label_task_id"], [F.desc("version_no")]).where("decision = 'approved'").select("label_task_id", "version_no", F.sha2(F.concat_ws(":", c("label_task_id").cast("string"), c("version_no").cast("string")), 256).alias("digest")),
     "select label_task_id, version_no, sha256(label_task_id || ':' || version_no) as digest from (select * from label_versions qualify row_number() over (partition by label_task_id order by version_no desc) = 1) x where decision = 'approved'",
 )
+
+# --- G: geometry of boxes and rings ---------------------------------------------------------------------------
+
+register(
+    "g1_ring_measures",
+    lambda v: v("fields").select("field_id", geo.box_ring("minx", "miny", "maxx", "maxy").alias("ring")).select("field_id", geo.ring_area(c("ring")).alias("area"), geo.ring_perimeter(c("ring")).alias("perimeter"), geo.ring_centroid(c("ring")).alias("p")).select("field_id", (c("area") * 1e6).alias("area"), "perimeter", c("p.x").alias("x"), c("p.y").alias("y")),
+    "select field_id, (maxx - minx) * (maxy - miny) * 1e6 as area, 2 * (maxx - minx + maxy - miny) as perimeter, (minx + maxx) / 2 as x, (miny + maxy) / 2 as y from fields",
+    "area perimeter x y",
+)
+register(
+    "g2_bounds",
+    lambda v: v("fields").groupBy("org").agg(F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy")),
+    "select org, min(minx) as minx, min(miny) as miny, max(maxx) as maxx, max(maxy) as maxy from fields group by 1",
+    "minx miny maxx maxy",
+)
+register("g3_sliver_removal", lambda v: v("fields").where("area_m2 >= 500000").select("field_id", "area_m2"), "select field_id, area_m2 from fields where area_m2 >= 500000", "area_m2", digits=2)
+register("g4_area_quantiles", lambda v: v("fields").agg(*(F.percentile("area_m2", F.lit(q)).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)))), "select quantile_cont(area_m2, 0.5) as p50, quantile_cont(area_m2, 0.9) as p90, quantile_cont(area_m2, 0.99) as p99 from fields", "p50 p90 p99", digits=2)
+register(
+    "g5_point_in_ring",
+    lambda v: relational.box_join(v("grid_cells").select("cell_id", "minx", "miny", "maxx", "maxy"), v("fields").select("field_id", "minx", "miny", "maxx", "maxy")).where(geo.in_ring(c("minx") + 0.0025, c("miny") + 0.0025, geo.box_ring("r_minx", "r_miny", "r_maxx", "r_maxy"))).select("cell_id", c("r_field_id").alias("field_id")),
+    "select cell_id, field_id from grid_cells g join fields f on g.minx + 25e-4 > f.minx and g.minx + 25e-4 < f.maxx and g.miny + 25e-4 > f.miny and g.miny + 25e-4 < f.maxy",
+)
+register(
+    "g6_mask_iou",
+    lambda v: zonal.confusion(v("indexed").groupBy("tile_id", "r", "c").agg((F.avg("ndvi") > 0.45).alias("pred")), v("indexed").groupBy("tile_id", "r", "c").agg((F.avg("ndwi") < -0.45).alias("truth")), ["tile_id", "r", "c"], ["tile_id"]).select("tile_id", "iou"),
+    """with p as (select tile_id, avg(ndvi) > 0.45 as a, avg(ndwi) < -0.45 as b from indexed group by tile_id, r, c) select tile_id, count_if(a and b) / nullif(count_if(a or b), 0) as iou from p group by 1""",
+    "iou",
+)
+
+# --- F: neighbourhoods on pixels --------------------------------------------------------------------------------
+
+_FLAT = "(select tile_id, r, c, avg(ndvi) as x, max(scl) as k from indexed group by 1, 2, 3)"
+
+
+def _flat(v):
+    return v("indexed").groupBy("tile_id", "r", "c").agg(F.avg("ndvi").alias("x"), F.max("scl").alias("k"))
+
+
+register(
+    "f1_class_fractions",
+    lambda v: focal.class_fractions(_flat(v), "k", {"crop": [4, 5], "cloud": [8, 9, 10]}).select("tile_id", "r", "c", "crop", "cloud"),
+    f"""select a.tile_id, a.r, a.c, avg(case when b.k in (4, 5) then 1 else 0 end) as crop, avg(case when b.k in (8, 9, 10) then 1 else 0 end) as cloud from {_FLAT} a join {_FLAT} b on a.tile_id = b.tile_id and b.r between a.r - 2 and a.r + 2 and b.c between a.c - 2 and a.c + 2 group by 1, 2, 3
+       """,
+    "crop cloud",
+)
+register(
+    "f2_lee_filter",
+    lambda v: focal.lee(_flat(v), "x").select("tile_id", "r", "c", "filtered"),
+    f"""with n as (select a.tile_id, a.r, a.c, any_value(a.x) as x, avg(b.x) as m, greatest(avg(b.x * b.x) - avg(b.x) * avg(b.x), 0) as var from {_FLAT} a join {_FLAT} b on a.tile_id = b.tile_id and b.r between a.r - 1 and a.r + 1 and b.c between a.c - 1 and a.c + 1 group by 1, 2, 3)
+       select tile_id, r, c, m + coalesce(var / nullif(var + avg(var) over (partition by tile_id), 0), 0) * (x - m) as filtered from n""",
+    "filtered",
+)
+register("f3_gradient", lambda v: focal.gradient(_flat(v), "x").select("tile_id", "r", "c", "edge"))
+register(
+    "f4_dilation",
+    lambda v: focal.dilate(_flat(v).withColumn("m", F.coalesce(c("x") > 0.55, F.lit(False))), "m").select("tile_id", "r", "c", "m"),
+    f"select a.tile_id, a.r, a.c, bool_or(coalesce(b.x > 0.55, false)) as m from {_FLAT} a join {_FLAT} b on a.tile_id = b.tile_id and abs(a.r - b.r) + abs(a.c - b.c) <= 1 group by 1, 2, 3",
+)
+register(
+    "f4_erosion",
+    lambda v: focal.dilate(_flat(v).withColumn("m", F.coalesce(c("x") > 0.4, F.lit(False))), "m", erode=True).select("tile_id", "r", "c", "m"),
+    f"select a.tile_id, a.r, a.c, count_if(coalesce(b.x > 0.4, false)) = 5 as m from {_FLAT} a join {_FLAT} b on a.tile_id = b.tile_id and abs(a.r - b.r) + abs(a.c - b.c) <= 1 group by 1, 2, 3",
+)
+register(
+    "f5_adjacency",
+    lambda v: focal.adjacency(v("pixel_labels").join(_flat(v), ["tile_id", "r", "c"]), "label", "x"),
+    f"""with l as (select * from pixel_labels join {_FLAT} f using (tile_id, r, c))
+       select a.tile_id, least(a.label, b.label) as a, greatest(a.label, b.label) as b, count(*) as shared, avg((a.x + b.x) / 2) as strength from l a join l b on a.tile_id = b.tile_id and ((a.r = b.r and b.c = a.c + 1) or (a.c = b.c and b.r = a.r + 1)) and a.label <> b.label and a.label > 0 and b.label > 0 group by 1, 2, 3""",
+    "strength",
+)
+register(
+    "f6_weighted_composite",
+    lambda v: focal.weighted_composite(v("indexed").select("tile_id", "t", "r", "c", "ndvi"), zonal.scene_coverage(v("indexed")), "ndvi", 0.2),
+    """with k as (select tile_id, t, avg(case when valid then 1 else 0 end) as coverage from indexed group by 1, 2 having avg(case when valid then 1 else 0 end) >= 0.2), m as (select tile_id, r, c, sum(ndvi * coverage) / sum(coverage) as v from indexed join k using (tile_id, t) group by 1, 2, 3),
+       p as (select tile_id, quantile_cont(v, 0.95) as p from m group by 1) select tile_id, r, c, coalesce(least(v / nullif(p, 0), 1), 0) as value from m join p using (tile_id)""",
+    "value",
+)
+register("w15_min_max", lambda v: focal.min_max(_flat(v), ["tile_id"], "x").select("tile_id", "r", "c", "scaled"), f"select tile_id, r, c, coalesce((x - min(x) over w) / nullif(max(x) over w - min(x) over w, 0), 0) as scaled from {_FLAT} window w as (partition by tile_id)", "scaled")
+register(
+    "w16_stretch",
+    lambda v: focal.stretch(_flat(v), "x").select("tile_id", "r", "c", "stretched"),
+    f"with q as (select tile_id, quantile_cont(x, 0.05) as a, quantile_cont(x, 0.95) as b from {_FLAT} f group by 1) select tile_id, r, c, coalesce(greatest(0, least(1, (x - a) / nullif(b - a, 0))), 0) as stretched from {_FLAT} f join q using (tile_id)",
+    "stretched",
+)
+register(
+    "w13_date_selection",
+    lambda v: series.evenly_spaced(zonal.scene_coverage(v("indexed")).where("coverage >= 0.1"), ["tile_id"], "t", 3).select("tile_id", "t"),
+    """with s as (select tile_id, t from indexed group by 1, 2 having avg(case when valid then 1 else 0 end) >= 0.1), k as (select *, row_number() over (partition by tile_id order by t) - 1 as i, count(*) over (partition by tile_id) as n from s)
+       select distinct tile_id, t from k cross join range(3) as r(j) where n <= 3 or i = round(j * (n - 1) / 2)""",
+)
+register(
+    "w8_best_scenes",
+    lambda v: relational.top_per_group(v("indexed").groupBy("tile_id", "t").agg(F.round(F.avg("ndvi"), 9).alias("ndvi")), ["tile_id"], [F.desc_nulls_last("ndvi"), F.asc("t")], 2).select("tile_id", "t"),
+    "select tile_id, t from (select tile_id, t, round(avg(ndvi), 9) as ndvi from indexed group by 1, 2) s qualify row_number() over (partition by tile_id order by ndvi desc nulls last, t) <= 2",
+)
+register(
+    "w14_zones",
+    lambda v: scoring.zones(relational.box_join(v("grid_cells"), v("fields").select("field_id", "minx", "miny", "maxx", "maxy")).select(c("r_field_id").alias("field_id"), "cell_id", "ndvi_mean", "ndmi_mean"), {"ndvi_mean": 0.7, "ndmi_mean": 0.3}).groupBy("field_id").agg(F.count("*").alias("cells"), F.max("score").alias("top"), F.min("score").alias("low")),
+    """with j as (select field_id, cell_id, ndvi_mean as a, ndmi_mean as b from grid_cells g join fields f on g.minx < f.maxx and g.maxx > f.minx and g.miny < f.maxy and g.maxy > f.miny),
+       m as (select field_id, median(a) as ma, avg(a) as aa, stddev_pop(a) as sa, median(b) as mb, avg(b) as ab, stddev_pop(b) as sb, count(*) as n from j group by 1), d as (select field_id, median(abs(a - ma)) as da, median(abs(b - mb)) as db from j join m using (field_id) group by 1),
+       z as (select field_id, 0.7e0 * (case when da > 1e-9 then 0.6745e0 * (a - ma) / da when sa > 1e-9 then (a - aa) / sa else 0 end) + 0.3e0 * (case when db > 1e-9 then 0.6745e0 * (b - mb) / db when sb > 1e-9 then (b - ab) / sb else 0 end) as s, n from j join m using (field_id) join d using (field_id))
+       select field_id, count(*) as cells, max(s) as top, min(s) as low from z where n >= 6 group by 1""",
+    "top low",
+)
+
+# --- Q: iterative -----------------------------------------------------------------------------------------------------
+
+
+def _mask(v):
+    return _flat(v).where("x > 0.5").select("tile_id", "r", "c", (c("tile_id") * 64 + c("r") * 8 + c("c")).alias("id"))
+
+
+_COMPONENTS = f"""m as (select tile_id, r, c, tile_id * 64 + r * 8 + c as id from {_FLAT} f where x > 0.5), e as (select a.id as u, b.id as v from m a join m b on a.tile_id = b.tile_id and abs(a.r - b.r) + abs(a.c - b.c) = 1),
+       reach as (select id, id as root from m union select e.v as id, reach.root from reach join e on reach.id = e.u), comp as (select id, min(root) as component from reach group by 1)"""
+register("q2_pixel_components", lambda v: iterative.min_labels(_mask(v), iterative.pixel_edges(_mask(v))), f"with recursive {_COMPONENTS} select id, component from comp")
+register(
+    "l9_largest_components",
+    lambda v: relational.top_per_group(iterative.min_labels(_mask(v), iterative.pixel_edges(_mask(v))).groupBy("component").agg(F.count("*").alias("size")).withColumn("tile_id", F.floor(c("component") / 64)), ["tile_id"], [F.desc("size"), F.asc("component")], 2).select("component", "size"),
+    f"with recursive {_COMPONENTS} select component, count(*) as size from comp group by 1 qualify row_number() over (partition by floor(component / 64) order by count(*) desc, component) <= 2",
+)
+
+
+def _overlaps(v):
+    f = v("fields").select("field_id", "minx", "miny", "maxx", "maxy")
+    return relational.box_join(f, f).where("field_id < r_field_id")
+
+
+register(
+    "q1_polygon_merge",
+    lambda v: v("fields").join(iterative.min_labels(v("fields").select(c("field_id").alias("id")), _overlaps(v).select(c("field_id").alias("u"), c("r_field_id").alias("v"))).withColumnRenamed("id", "field_id"), "field_id").groupBy("component").agg(F.count("*").alias("members"), F.min("minx").alias("minx"), F.max("maxx").alias("maxx"), F.avg("quality_score").alias("quality")),
+    """with recursive e as (select a.field_id as u, b.field_id as v from fields a join fields b on a.field_id <> b.field_id and a.minx < b.maxx and a.maxx > b.minx and a.miny < b.maxy and a.maxy > b.miny), reach as (select field_id as id, field_id as root from fields union select e.v as id, reach.root from reach join e on reach.id = e.u),
+       comp as (select id, min(root) as component from reach group by 1) select component, count(*) as members, min(minx) as minx, max(maxx) as maxx, avg(quality_score) as quality from comp join fields on id = field_id group by 1""",
+    "minx maxx quality",
+)
+register("q3_suppression", lambda v: iterative.suppress(v("fields").select(c("field_id").alias("id"), F.round("quality_score", 9).alias("score")), _overlaps(v).where(relational.box_iou() > 0.02).select(c("field_id").alias("u"), c("r_field_id").alias("v"))).select("id", "state"))
+register("q7_group_split", lambda v: iterative.group_split(v("fields"), "org"), """with s as (select org, count(*) as n, md5(org::varchar) as h from fields group by 1), p as (select *, sum(n) over (order by h, org) - n as before, sum(n) over () as total from s)
+       select org, n, case when before < 0.7 * total then 'train' when before < 0.85 * total then 'val' else 'test' end as part from p""")
+register("q8_downsampling", lambda v: iterative.downsample(v("qa_results").select("event_id", (c("status") == "failed").alias("positive"), c("empty_output").alias("hard")), "event_id", "positive", "hard", 1.0))
+
+# --- M: scoring and calibration -------------------------------------------------------------------------------------------
+
+
+def _residuals(v):
+    o = v("yield_obs").join(v("field_seasons").select(c("season_id").alias("obs_id"), "crop_code"), "obs_id")
+    mean = o.groupBy("crop_code").agg(F.avg("yield_kg_ha").alias("m"))
+    return o.join(mean, "crop_code").select("obs_id", "crop_code", ag.latitude_bucket((38 + c("field_id") % 30).cast("double")).alias("region"), (c("yield_kg_ha") - c("m")).alias("residual"), (c("obs_id") % 5 == 0).alias("holdout"))
+
+
+_RESIDUALS = """o as (select obs_id, crop_code, 38 + o.field_id % 30 as lat, yield_kg_ha - avg(yield_kg_ha) over (partition by crop_code) as residual, obs_id % 5 = 0 as holdout from yield_obs o join field_seasons s on o.obs_id = s.season_id),
+       rr as (select *, case when lat < 40 then 'lat_lt_40' when lat < 48 then 'lat_40_48' when lat < 55 then 'lat_48_55' when lat < 62 then 'lat_55_62' else 'lat_gt_62' end as region from o),
+       al as (select obs_id, crop_code, region, residual, holdout from rr union all select obs_id, crop_code, 'global', residual, holdout from rr),
+       kk as (select crop_code, region, count_if(holdout) as held, count(*) as n from al group by 1, 2), bb as (select al.* from al join kk using (crop_code, region) where case when held >= 5 then holdout else n >= 5 end)"""
+register("m5_residual_buckets", lambda v: scoring.residual_buckets(_residuals(v)).groupBy("crop_code", "region").agg(F.count("*").alias("n"), F.avg("residual").alias("bias")), f"with {_RESIDUALS} select crop_code, region, count(*) as n, avg(residual) as bias from bb group by 1, 2", "bias", digits=4)
+_M6 = f"""{_RESIDUALS}, ii as (select crop_code, region, abs(residual) as a, row_number() over (partition by crop_code, region order by abs(residual)) - 1 as i, count(*) over (partition by crop_code, region) as n from bb),
+       pp as (select *, least(0.9e0 * (1 + 1 / n), 1) * (n - 1) as pos from ii), ww as (select crop_code, region, max(n) as n, max(a) filter (where i = floor(pos)) + (max(a) filter (where i = least(floor(pos) + 1, n - 1)) - max(a) filter (where i = floor(pos))) * max(pos - floor(pos)) as width from pp group by 1, 2),
+       ee as (select crop_code, region, ww.n, width, avg(case when a <= width then 1 else 0 end) as empirical from ii join ww using (crop_code, region) group by 1, 2, 3, 4)"""
+register("m6_intervals", lambda v: scoring.interval_buckets(scoring.residual_buckets(_residuals(v)), ["crop_code", "region"]), f"with {_M6} select *, greatest(0.2e0, least(0.95e0, (1 - abs(empirical - 0.9e0) / 0.9e0) * least(n / 15, 1))) as confidence from ee", "width empirical confidence", digits=4)
+register(
+    "j21_interval_fallback",
+    lambda v: scoring.with_interval(v("yield_obs").where("obs_id % 7 = 0").join(v("field_seasons").select(c("season_id").alias("obs_id"), "crop_code"), "obs_id").select("obs_id", "crop_code", F.when(c("obs_id") % 2 == 0, "lat_48_55").otherwise("none").alias("region"), c("yield_kg_ha").alias("estimate")), scoring.interval_buckets(scoring.residual_buckets(_residuals(v)), ["crop_code", "region"]), "estimate").select("obs_id", "width", "method", "lower", "upper"),
+    f"""with {_M6}, x as (select obs_id, crop_code, case when obs_id % 2 = 0 then 'lat_48_55' else 'none' end as region, yield_kg_ha as e from yield_obs join field_seasons on obs_id = season_id where obs_id % 7 = 0),
+       y as (select obs_id, e, coalesce(a.width, b.width * 1.15e0, greatest(e * 0.2e0 * 1.645e0, 250)) as width, case when a.width is not null then 'conformal' when b.width is not null then 'conformal_global_fallback' else 'heuristic' end as method from x left join ee a on x.crop_code = a.crop_code and x.region = a.region and a.n >= 5 left join ee b on x.crop_code = b.crop_code and b.region = 'global' and b.n >= 5)
+       select obs_id, width, method, greatest(e - width, 0) as lower, e + width as upper from y""",
+    "width lower upper",
+    digits=4,
+)
+
+
+def _season_features(v):
+    w = v("weather_daily").withColumn("season_year", F.year("observed_on")).groupBy("field_id", "season_year").agg(F.sum("gdd").alias("gdd"), F.sum("precip").alias("precip"), F.avg("vpd").alias("vpd"))
+    y = v("yield_obs").groupBy("field_id", "season_year").agg(F.avg("yield_kg_ha").alias("yield"))
+    s = series.latest(v("soil_profiles"), ["field_id"], [F.desc("sampled_at"), F.desc("profile_id")]).select("field_id", "ph", F.when(c("profile_id") % 4 > 0, c("n_ppm")).alias("n_ppm"))
+    return y.join(w, ["field_id", "season_year"], "left").join(s, "field_id", "left")
+
+
+_FEATURES = """sf as (select y.field_id, y.season_year::int as season_year, y.yield, gdd, precip, vpd, ph, case when profile_id % 4 > 0 then n_ppm end as n_ppm from (select field_id, season_year, avg(yield_kg_ha) as yield from yield_obs group by 1, 2) y
+       left join (select field_id, year(observed_on) as season_year, sum(gdd) as gdd, sum(precip) as precip, avg(vpd) as vpd from weather_daily group by 1, 2) w using (field_id, season_year)
+       left join (select * from soil_profiles qualify row_number() over (partition by field_id order by sampled_at desc, profile_id desc) = 1) s using (field_id))"""
+register("z31_yield_corpus", _season_features, f"with {_FEATURES} select * from sf", "yield gdd precip vpd ph")
+register(
+    "m1_m4_feature_coverage",
+    lambda v: scoring.feature_coverage(_season_features(v), ["gdd", "precip", "vpd", "ph", "n_ppm"]).withColumn("tier", scoring.tier(c("season_year") % 7, c("coverage"))).select("field_id", "season_year", "coverage", "missing", "tier"),
+    f"""with {_FEATURES} select field_id, season_year, ((gdd is not null)::int + (precip is not null)::int + (vpd is not null)::int + (ph is not null)::int + (n_ppm is not null)::int) / 5 as coverage, case when n_ppm is null then 'n_ppm' else '' end as missing,
+       case when season_year % 7 >= 5 then 'calibrated' when season_year % 7 >= 1 then 'scaled' else 'baseline' end as tier from sf""",
+    "coverage",
+)
+register("m3_ridge", lambda v: scoring.ridge(_season_features(v).withColumn("crop", c("field_id") % 4), "crop", ["gdd", "precip", "vpd"], "yield").select("crop", "alpha", "n", F.round("loo_rmse", 2).alias("loo_rmse")))
+register("m11_priority", lambda v: v("qa_results").select("event_id", scoring.label_priority(c("queue_wall_s") / 100, c("region") / 12, c("field_count") / 60, F.lit(0.5)).alias("priority")), "select event_id, 0.45e0 * queue_wall_s / 100 + 0.25e0 * region / 12 + 0.15e0 * field_count / 60 + 0.15e0 * 0.5e0 as priority from qa_results", "priority")
+register(
+    "m13_promotion_gates",
+    lambda v: scoring.promotion_gates(v("qa_results").groupBy("region").agg(F.count("*").cast("double").alias("size"), F.avg("queue_wall_s").alias("wall"), F.max(F.when(c("region") % 3 > 0, 0.5)).alias("iou")), [("size", ">=", 300.0), ("wall", "<=", 10.0), ("iou", ">=", 0.4)]).select("region", "reasons", "passed"),
+    """with m as (select region, count(*) as size, avg(queue_wall_s) as wall from qa_results group by 1) select region, concat_ws(',', case when size < 300 then 'size_failed' end, case when wall > 10 then 'wall_failed' end, case when region % 3 = 0 then 'iou_missing' end) as reasons, size >= 300 and wall <= 10 and region % 3 > 0 as passed from m""",
+)
+register("m14_superseded", lambda v: scoring.superseded(v("runs"), "org", [F.desc("created_at"), F.desc("run_id")]).select("run_id", "state"), "select run_id, case when row_number() over (partition by org order by created_at desc, run_id desc) = 1 then 'promoted' else 'superseded' end as state from runs")
+register(
+    "j20_model_precedence",
+    lambda v: series.latest(v("runs").where("status <> 'queued'"), ["org"], [F.desc(c("status") == "done"), F.desc("created_at"), F.asc("run_id")]).select("org", "run_id"),
+    "select org, run_id from runs where status <> 'queued' qualify row_number() over (partition by org order by status = 'done' desc, created_at desc, run_id) = 1",
+)
+register(
+    "z24_z25_candidates",
+    lambda v: v("embeddings").select((c("vec_id") % 3).alias("branch"), F.least(F.lit(1.0), F.abs(c("embedding")[0].cast("double")) * 4).alias("score")).withColumn("reason", F.when(c("score") < 0.25, "low_score").when(c("score") > 0.9, "suppressed_by_other")).cube("branch", "reason").agg(F.count("*").alias("n"), F.avg("score").alias("score")),
+    "with k as (select vec_id % 3 as branch, least(1, abs(embedding[1]::double) * 4) as score from embeddings), r as (select *, case when score < 0.25 then 'low_score' when score > 0.9 then 'suppressed_by_other' end as reason from k) select branch, reason, count(*) as n, avg(score) as score from r group by cube (branch, reason)",
+    "score",
+)
+register(
+    "z29_mode_deltas",
+    lambda v: v("qa_results").groupBy("region").pivot("status", ["done", "failed"]).agg(F.avg("queue_wall_s")).withColumn("delta", c("failed") - c("done")),
+    "select region, avg(queue_wall_s) filter (where status = 'done') as done, avg(queue_wall_s) filter (where status = 'failed') as failed, avg(queue_wall_s) filter (where status = 'failed') - avg(queue_wall_s) filter (where status = 'done') as delta from qa_results group by 1",
+    "done failed delta",
+)
+register(
+    "z35_data_status",
+    lambda v: v("metric_obs").groupBy("field_id").agg(F.count("*").alias("points"), F.min("observed_on").alias("first_day"), F.max("observed_on").alias("last_day"), F.count_if(c("source") == "historical_backfill").alias("backfill")).withColumn("status", F.when(c("points") < 10, "sparse").when(c("backfill") == c("points"), "backfill_only").otherwise("ready")),
+    "select *, case when points < 10 then 'sparse' when backfill = points then 'backfill_only' else 'ready' end as status from (select field_id, count(*) as points, min(observed_on) as first_day, max(observed_on) as last_day, count_if(source = 'historical_backfill') as backfill from metric_obs group by 1) s",
+)
+register(
+    "t1_weather_cache",
+    lambda v: series.latest(v("point_weather").where("observed_at >= timestamp '2024-01-10 00:00:00'").withColumn("lat", F.round("lat", 1)).withColumn("lon", F.round("lon", 1)), ["lat", "lon"], [F.desc("observed_at"), F.asc("event_id")]).select("lat", "lon", "event_id", "provider"),
+    "select round(lat, 1) as lat, round(lon, 1) as lon, event_id, provider from point_weather where observed_at >= timestamp '2024-01-10 00:00:00' qualify row_number() over (partition by round(lat, 1), round(lon, 1) order by observed_at desc, event_id) = 1",
+    "lat lon",
+)
