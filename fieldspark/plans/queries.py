@@ -17,7 +17,8 @@ from fieldspark.functions import agronomy as ag
 from fieldspark.functions import geo
 from fieldspark.functions import spectral as sp
 from fieldspark.functions import weather as we
-from fieldspark.operators import focal, iterative, relational, scoring, series, zonal
+from fieldspark.operators import focal, iterative, models, relational, scoring, series, zonal
+from fieldspark.sources import readers
 from fieldspark.sources.views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -961,3 +962,140 @@ register(
     "select round(lat, 1) as lat, round(lon, 1) as lon, event_id, provider from point_weather where observed_at >= timestamp '2024-01-10 00:00:00' qualify row_number() over (partition by round(lat, 1), round(lon, 1) order by observed_at desc, event_id) = 1",
     "lat lon",
 )
+
+# --- further filters, joins and reports --------------------------------------------------------------------------
+
+register(
+    "p7_hydro_masks",
+    lambda v: v("indexed").where("valid").groupBy("tile_id", "r", "c").agg(F.avg((c("ndwi") > -0.4).cast("int")).alias("share"), F.count("*").alias("n")).select("tile_id", "r", "c", (c("share") >= 0.8).alias("open_water"), ((c("share") > 0.2) & (c("share") < 0.8)).alias("seasonal_wet")),
+    "select tile_id, r, c, share >= 0.8 as open_water, share > 0.2 and share < 0.8 as seasonal_wet from (select tile_id, r, c, avg(case when ndwi > -0.4 then 1 else 0 end) as share from indexed where valid group by 1, 2, 3) s",
+)
+_P12 = "case when area < 6 then 'area' when water > 0.3 then 'water' when ndvi_mean < 0.4 then 'ndvi' when ndvi_std > 0.2 then 'std' end"
+register(
+    "p12_zonal_rejection",
+    lambda v: v("pixel_labels").where("label > 0").join(_flat(v), ["tile_id", "r", "c"]).groupBy("tile_id", "label").agg(F.count("*").alias("area"), F.avg((c("k") == 6).cast("int")).alias("water"), F.round(F.avg("x"), 9).alias("ndvi_mean"), F.round(F.stddev_pop("x"), 9).alias("ndvi_std")).select(F.expr(_P12).alias("reason")).groupBy("reason").agg(F.count("*").alias("n")),
+    f"select {_P12} as reason, count(*) as n from (select tile_id, label, count(*) as area, avg(case when k = 6 then 1 else 0 end) as water, round(avg(x), 9) as ndvi_mean, round(stddev_pop(x), 9) as ndvi_std from pixel_labels join {_FLAT} f using (tile_id, r, c) where label > 0 group by 1, 2) s group by 1",
+)
+register(
+    "p14_quality_gate",
+    lambda v: v("indexed").groupBy("tile_id").agg(F.avg(c("valid").cast("int")).alias("coverage"), F.avg("ndvi").alias("ndvi")).select("tile_id", (c("coverage").between(0.2, 0.95) & (c("ndvi") > 0.3)).alias("passed")),
+    "select tile_id, avg(case when valid then 1 else 0 end) between 0.2 and 0.95 and avg(ndvi) > 0.3 as passed from indexed group by 1",
+)
+register(
+    "p11_candidate_filter",
+    lambda v: v("qa_results").where((c("status") == "done") & (c("region") == 3)).orderBy(F.desc("queue_wall_s"), "event_id").limit(100).select("event_id", "queue_wall_s"),
+    "select event_id, queue_wall_s from qa_results where status = 'done' and region = 3 order by queue_wall_s desc, event_id limit 100",
+    "queue_wall_s",
+)
+register(
+    "z5_label_keep",
+    lambda v: v("pixel_labels").join(v("pixel_labels").join(_flat(v), ["tile_id", "r", "c"]).groupBy("tile_id", "label").agg(F.round(F.avg("x"), 9).alias("m"), F.count("*").alias("n")).where("m > 0.5 and n >= 5 and label > 0").select("tile_id", "label"), ["tile_id", "label"], "left_semi").select("tile_id", "r", "c", "label"),
+    f"select tile_id, r, c, label from pixel_labels where (tile_id, label) in (select (tile_id, label) from pixel_labels join {_FLAT} f using (tile_id, r, c) group by tile_id, label having round(avg(x), 9) > 0.5 and count(*) >= 5 and label > 0)",
+)
+register(
+    "z8_best_scene_stack",
+    lambda v: v("indexed").join(relational.top_per_group(v("indexed").groupBy("tile_id", "t").agg(F.round((1 - F.avg(sp.cloud_pixel(c("scl")).cast("int"))) * 0.7 + F.least(F.avg("ndvi"), F.lit(1.0)) * 0.3, 9).alias("s")), ["tile_id"], [F.desc_nulls_last("s"), F.asc("t")], 3).select("tile_id", "t"), ["tile_id", "t"]).where("valid").groupBy("tile_id", "r", "c").agg(F.max("ndvi").alias("hi"), F.avg("ndvi").alias("mean"), F.stddev_pop("ndvi").alias("std")),
+    """with s as (select tile_id, t, round((1 - avg(case when scl in (3, 8, 9, 10) then 1 else 0 end)) * 0.7e0 + least(avg(ndvi), 1) * 0.3e0, 9) as s from indexed group by 1, 2), k as (select tile_id, t from s qualify row_number() over (partition by tile_id order by s desc nulls last, t) <= 3)
+       select tile_id, r, c, max(ndvi) as hi, avg(ndvi) as mean, stddev_pop(ndvi) as std from indexed join k using (tile_id, t) where valid group by 1, 2, 3""",
+    "hi mean std",
+)
+register(
+    "z10_mask_profile",
+    lambda v: v("indexed").where("valid").groupBy("tile_id", "t").agg(F.avg("ndvi").alias("m")).withColumn("d", F.expr("m - lag(m) over (partition by tile_id order by t)")).groupBy("tile_id").agg((F.max("m") - F.min("m")).alias("amplitude"), F.bool_or(c("d") > 0.02).alias("rise"), F.bool_or(c("d") < -0.02).alias("drop")),
+    "with m as (select tile_id, t, avg(ndvi) as m from indexed where valid group by 1, 2), d as (select *, m - lag(m) over (partition by tile_id order by t) as d from m) select tile_id, max(m) - min(m) as amplitude, bool_or(d > 0.02) as rise, bool_or(d < -0.02) as drop from d group by 1",
+    "amplitude",
+)
+register(
+    "z27_holdout_metrics",
+    lambda v: v("qa_results").agg(F.avg("queue_wall_s").alias("mean_wall"), F.percentile("queue_wall_s", F.lit(0.5)).alias("median_wall"), F.percentile("queue_wall_s", F.lit(0.9)).alias("p90_wall"), F.avg(F.when(c("region") < 4, c("queue_wall_s"))).alias("mean_south"), F.avg((c("status") == "failed").cast("int")).alias("failure_rate"), F.avg(c("empty_output").cast("int")).alias("empty_rate")),
+    "select avg(queue_wall_s) as mean_wall, median(queue_wall_s) as median_wall, quantile_cont(queue_wall_s, 0.9) as p90_wall, avg(queue_wall_s) filter (where region < 4) as mean_south, avg(case when status = 'failed' then 1 else 0 end) as failure_rate, avg(case when empty_output then 1 else 0 end) as empty_rate from qa_results",
+    "mean_wall median_wall p90_wall mean_south failure_rate empty_rate",
+)
+register(
+    "z33_geometry_quality",
+    lambda v: v("field_seasons").join(v("fields").select("field_id", "quality_score"), "field_id").groupBy("season_year").agg(F.avg("quality_score").alias("quality"), F.count("*").alias("n")),
+    "select season_year::int as season_year, avg(quality_score) as quality, count(*) as n from field_seasons join fields using (field_id) group by 1",
+    "quality",
+)
+register(
+    "z34_phase_features",
+    lambda v: series.area_under_curve(v("weekly_ndvi"), ["field_id"], "week_start", "v").select("field_id", "auc", "peak").join(v("weekly_weather").groupBy("field_id").agg(F.count_if(c("vpd") > 2).alias("stress_weeks"), F.sum(F.greatest(c("vpd") - 2, F.lit(0.0))).alias("vpd_excess")), "field_id"),
+    """with p as (select *, (v + lag(v) over w) / 2 * (week_start - lag(week_start) over w) / 7 as part from weekly_ndvi window w as (partition by field_id order by week_start)), a as (select field_id, sum(part) as auc, max(v) as peak from p group by 1), s as (select field_id, count_if(vpd > 2) as stress_weeks, sum(greatest(vpd - 2, 0)) as vpd_excess from weekly_weather group by 1)
+       select field_id, auc, peak, stress_weeks, vpd_excess from a join s using (field_id)""",
+    "auc peak vpd_excess",
+)
+register(
+    "z38_truth_overlap",
+    lambda v: v("pixel_labels").where("label > 0").join(_flat(v).select("tile_id", "r", "c", (c("x") > 0.5).alias("truth")), ["tile_id", "r", "c"]).groupBy("tile_id", "label").agg(F.avg(c("truth").cast("int")).alias("overlap"), F.var_pop("r").alias("vr"), F.var_pop("c").alias("vc"), F.covar_pop("r", "c").alias("cov")).withColumn("class", F.when(c("overlap") >= 0.2, 1).otherwise(0)),
+    f"select *, case when overlap >= 0.2 then 1 else 0 end as class from (select tile_id, label, avg(case when x > 0.5 then 1 else 0 end) as overlap, var_pop(r) as vr, var_pop(c) as vc, covar_pop(r, c) as cov from pixel_labels join {_FLAT} f using (tile_id, r, c) where label > 0 and x is not null group by 1, 2) s",
+    "overlap vr vc cov",
+)
+register(
+    "z39_pixel_features",
+    lambda v: v("indexed").groupBy("tile_id", "r", "c").agg(F.avg("b8").alias("b8_mean"), F.percentile("b8", F.lit(0.5)).alias("b8_median"), F.max("ndvi").alias("ndvi_max"), F.avg(c("valid").cast("int")).alias("valid_share"), F.percentile("scl", F.lit(0.5)).alias("scl_median")),
+    "select tile_id, r, c, avg(b8) as b8_mean, median(b8) as b8_median, max(ndvi) as ndvi_max, avg(case when valid then 1 else 0 end) as valid_share, median(scl) as scl_median from indexed group by 1, 2, 3",
+    "b8_mean b8_median ndvi_max valid_share scl_median",
+    digits=8,
+)
+register(
+    "z41_geometry_change",
+    lambda v: v("fields").join(v("fields").select(c("field_id"), (c("area_m2") * (1 + c("field_id") % 5 / 50)).alias("after_m2")), "field_id").groupBy("org").agg(F.avg(c("after_m2") / c("area_m2")).alias("ratio"), F.array_join(F.slice(F.sort_array(F.collect_set("source")), 1, 5), ",").alias("sources")),
+    "select org, avg(area_m2 * (1 + field_id % 5 / 50) / area_m2) as ratio, array_to_string(list_sort(list(distinct source))[1:5], ',') as sources from fields group by 1",
+    "ratio",
+)
+register(
+    "z42_ring_share",
+    lambda v: focal.dilate(_flat(v).withColumn("m", F.coalesce(c("x") > 0.55, F.lit(False))).withColumn("own", c("m")), "m").where("m and not own").groupBy("tile_id").agg(F.avg((c("k") > 5).cast("int")).alias("share"), F.count("*").alias("ring")),
+    f"""with d as (select a.tile_id, a.r, a.c, any_value(a.k) as k, any_value(coalesce(a.x > 0.55, false)) as own, bool_or(coalesce(b.x > 0.55, false)) as m from {_FLAT} a join {_FLAT} b on a.tile_id = b.tile_id and abs(a.r - b.r) + abs(a.c - b.c) <= 1 group by 1, 2, 3)
+       select tile_id, avg(case when k > 5 then 1 else 0 end) as share, count(*) as ring from d where m and not own group by 1""",
+    "share",
+)
+register(
+    "j16_primary_support_merge",
+    lambda v: v("grid_cells").select("cell_id").join(_iou_pairs(v).select("cell_id").distinct(), "cell_id", "left_anti").select(c("cell_id").alias("id"), F.lit("support").alias("origin")).unionByName(v("fields").select(c("field_id").alias("id"), F.lit("primary").alias("origin"))),
+    "select cell_id as id, 'support' as origin from grid_cells g where not exists (select 1 from fields f where g.minx < f.maxx and g.maxx > f.minx and g.miny < f.maxy and g.maxy > f.miny) union all select field_id, 'primary' from fields",
+)
+register(
+    "j22_nearest_masked",
+    lambda v: _flat(v).select("tile_id", "r", "c").join(_flat(v).where("k = 2").select("tile_id", c("r").alias("mr"), c("c").alias("mc")), "tile_id", "left").groupBy("tile_id", "r", "c").agg(F.coalesce(F.min(F.hypot(c("r") - c("mr"), c("c") - c("mc")) * 10), F.lit(1000.0)).alias("distance")),
+    f"select a.tile_id, a.r, a.c, coalesce(min(sqrt((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) * 10), 1000) as distance from {_FLAT} a left join {_FLAT} b on a.tile_id = b.tile_id and b.k = 2 group by 1, 2, 3",
+    "distance",
+)
+register("l3_paging", lambda v: relational.page(v("runs"), [F.desc("created_at"), F.asc("run_id")], 40, 20).select("run_id"), "select run_id from runs order by created_at desc, run_id limit 20 offset 40")
+register("l6_label_queue", lambda v: v("label_versions").orderBy(F.desc("size"), F.desc("version_no"), "label_task_id").limit(50).select("label_task_id", "version_no", "size"), "select label_task_id, version_no, size from label_versions order by size desc, version_no desc, label_task_id limit 50")
+register(
+    "l8_drivers",
+    lambda v: v("weather_daily").select("row_id", F.inline(F.array(*(F.struct(F.lit(n).alias("driver"), F.when(F.abs(e) <= 1.5, e * 100).otherwise(e).alias("effect")) for n, e in (("vpd", c("vpd") - 2), ("precip", c("precip") - 5), ("soil", c("soil") - 0.2))))).alias("driver", "effect")).withColumn("rank", F.expr("row_number() over (partition by row_id order by round(abs(effect), 9) desc, driver)")),
+    """with u as (select row_id, 'vpd' as driver, vpd - 2 as e from weather_daily union all select row_id, 'precip', precip - 5 from weather_daily union all select row_id, 'soil', soil - 0.2e0 from weather_daily), f as (select row_id, driver, case when abs(e) <= 1.5e0 then e * 100 else e end as effect from u)
+       select *, row_number() over (partition by row_id order by round(abs(effect), 9) desc, driver)::int as rank from f""",
+    "effect",
+)
+register("o8_rerun_ids", lambda v: v("qa_results").where("empty_output").select("region").distinct(), "select distinct region from qa_results where empty_output")
+register(
+    "s6_resolve_field",
+    lambda v: v("yield_obs").select("obs_id", (c("field_id") + F.when(c("obs_id") % 11 == 0, 100000000).otherwise(0)).alias("external")).join(v("fields").select(c("field_id").alias("external"), c("field_id")), "external", "left").select("obs_id", "field_id", F.when(c("field_id").isNull(), "unknown field").alias("error")),
+    "select obs_id, f.field_id, case when f.field_id is null then 'unknown field' end as error from yield_obs o left join fields f on f.field_id = o.field_id + case when obs_id % 11 = 0 then 100000000 else 0 end",
+)
+register(
+    "s9_upsert_weather",
+    lambda v: series.latest(v("weather_daily").select("field_id", "observed_on", "precip", F.lit(0).alias("p"), "row_id").unionByName(v("weather_fallback").select("field_id", "observed_on", "precip", F.lit(1).alias("p"), "row_id")), ["field_id", "observed_on"], [F.desc("p"), F.desc("row_id")]).select("field_id", "observed_on", "precip"),
+    "select field_id, observed_on, precip from (select field_id, observed_on, precip, 0 as p, row_id from weather_daily union all select field_id, observed_on, precip, 1, row_id from weather_fallback) u qualify row_number() over (partition by field_id, observed_on order by p desc, row_id desc) = 1",
+    "precip",
+)
+register("s21_registry_names", lambda v: v("pages").select("page_id", readers.registry_name(c("url")).alias("name")), "select page_id, regexp_replace(lower(trim(url)), '[^a-z0-9_]+', '_', 'g') as name from pages")
+register("s8_json_props", lambda v: v("events").select("event_id", F.from_json("props", "k int")["k"].alias("k")), "select event_id, json_extract(props, '$.k')::int as k from events")
+register(
+    "m10_branch_agreement",
+    lambda v: _overlaps(v).where(relational.box_iou() > 0.02).select("field_id", (c("r_field_id") % 3).alias("branch"), F.round(relational.box_iou(), 9).alias("iou")).groupBy("field_id").agg(F.count_distinct(F.when(c("branch") != c("field_id") % 3, c("branch"))).alias("agreement"), F.max("iou").alias("iou")),
+    """with b as (select a.field_id, b.field_id % 3 as branch, (least(a.maxx, b.maxx) - greatest(a.minx, b.minx)) * (least(a.maxy, b.maxy) - greatest(a.miny, b.miny)) as i, (a.maxx - a.minx) * (a.maxy - a.miny) as x, (b.maxx - b.minx) * (b.maxy - b.miny) as y from fields a join fields b on a.field_id < b.field_id and a.minx < b.maxx and a.maxx > b.minx and a.miny < b.maxy and a.maxy > b.miny)
+       select field_id, count(distinct case when branch <> field_id % 3 then branch end) as agreement, max(round(i / (x + y - i), 9)) as iou from b where i / (x + y - i) > 0.02 group by 1""",
+    "iou",
+)
+register(
+    "m12_scenario",
+    lambda v: v("weekly_ndvi").select("field_id", "week_start", F.greatest(F.lit(0.0), F.least(F.lit(1.0), c("v") * (1 + 0.15 * 0.4))).alias("v")),
+    "select field_id, week_start, greatest(0, least(1, v * (1 + 0.15e0 * 0.4e0))) as v from weekly_ndvi",
+    "v",
+)
+register("m7_yield_regressor", lambda v: models.yield_regressor(_season_features(v), ["gdd", "precip", "vpd", "ph", "n_ppm"], "yield"))
+register("m8_object_classifier", lambda v: models.object_classifier(v("pixel_labels").where("label > 0").join(_flat(v), ["tile_id", "r", "c"]).groupBy("tile_id", "label").agg(F.avg("x").alias("x"), F.avg("k").alias("k"), F.count("*").cast("double").alias("n"), F.max((c("x") > 0.75).cast("double")).alias("target")), ["tile_id", "label"], ["x", "k", "n"], "target"))
