@@ -181,3 +181,22 @@ def nutrient_availability(code: Column) -> Column:
 def json_number(x: Column) -> Column:
     """NaN and infinities become null before a payload is stored."""
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
+
+
+# Reject reasons by the stage that gives them.
+RANKING_REASONS = ("below_min_score", "suppressed_overlap")
+TERMINAL_REASONS = ("dropped_by_object_classifier", "dropped_after_topology_cleanup", "dropped_after_merge")
+
+
+def loss_stage(reason: Column) -> Column:
+    """The stage of the run at which a candidate was lost."""
+    ranked = reason.isin(*RANKING_REASONS) | reason.startswith("suppressed_by_")
+    return F.when(reason.isin(*TERMINAL_REASONS), "obia_topology_cleanup").when(ranked, "rank_and_suppress").when(reason == "quality_gate_failed", "quality_gate").when(reason != "", "candidate_filtering").otherwise("unknown")
+
+
+def land_cover_gate(lat: Column, lon: Column) -> Column:
+    """Least land-cover overlap in percent; eastern regions are held to less."""
+    base = F.when(lat > 60, 4.0).when(lat > 57, 5.0).otherwise(10.0)
+    eased = F.when(lat > 57, 2.0).when(lat >= 52, 3.0).otherwise(4.0)
+    east = ((lon >= 44) & (lat >= 50)) | (lon >= 60)
+    return F.when(east, F.least(base, eased)).otherwise(base)

@@ -17,7 +17,7 @@ from fieldspark.functions import agronomy as ag
 from fieldspark.functions import geo
 from fieldspark.functions import spectral as sp
 from fieldspark.functions import weather as we
-from fieldspark.operators import focal, iterative, models, relational, scoring, series, zonal
+from fieldspark.operators import focal, generators, iterative, models, relational, scoring, series, zonal
 from fieldspark.sources import readers
 from fieldspark.sources.views import view, with_views
 
@@ -1099,3 +1099,35 @@ register(
 )
 register("m7_yield_regressor", lambda v: models.yield_regressor(_season_features(v), ["gdd", "precip", "vpd", "ph", "n_ppm"], "yield"))
 register("m8_object_classifier", lambda v: models.object_classifier(v("pixel_labels").where("label > 0").join(_flat(v), ["tile_id", "r", "c"]).groupBy("tile_id", "label").agg(F.avg("x").alias("x"), F.avg("k").alias("k"), F.count("*").cast("double").alias("n"), F.max((c("x") > 0.75).cast("double")).alias("target")), ["tile_id", "label"], ["x", "k", "n"], "target"))
+register(
+    "a26_land_cover_gate",
+    lambda v: v("fields").select("field_id", ag.land_cover_gate(c("miny") + c("field_id") % 17, c("minx") + c("field_id") % 40).alias("gate")),
+    """select field_id, case when (lon >= 44 and lat >= 50) or lon >= 60 then least(case when lat > 60 then 4e0 when lat > 57 then 5e0 else 10e0 end, case when lat > 57 then 2e0 when lat >= 52 then 3e0 else 4e0 end) else case when lat > 60 then 4e0 when lat > 57 then 5e0 else 10e0 end end as gate
+       from (select field_id, miny + field_id % 17 as lat, minx + field_id % 40 as lon from fields) f""",
+    "gate",
+)
+_REASON = "case event_id % 7 when 0 then 'below_min_score' when 1 then 'suppressed_by_3' when 2 then 'dropped_after_merge' when 3 then 'quality_gate_failed' when 4 then 'area' when 5 then '' end"
+register(
+    "a28_loss_stage",
+    lambda v: v("qa_results").select("region", ag.loss_stage(F.expr(_REASON)).alias("stage")).groupBy("region", "stage").agg(F.count("*").alias("n")),
+    "select region, case event_id % 7 when 0 then 'rank_and_suppress' when 1 then 'rank_and_suppress' when 2 then 'obia_topology_cleanup' when 3 then 'quality_gate' when 4 then 'candidate_filtering' else 'unknown' end as stage, count(*) as n from qa_results group by 1, 2",
+)
+register(
+    "u3_time_windows",
+    lambda v: generators.time_windows(v("yield_obs").groupBy("field_id").agg(F.min("observed_on").alias("first_day"), F.least(F.max("observed_on"), F.date_add(F.min("observed_on"), 900)).alias("last_day")).where("field_id % 10 = 0"), "field_id", 7, (10, 15, 4, 20)).select("field_id", "slice", "first_day", "last_day"),
+    """with g as (select field_id, min(observed_on) as a, least(max(observed_on), min(observed_on) + 900) as b from yield_obs where field_id % 10 = 0 group by 1), d as (select field_id, unnest(generate_series(a, b, interval 1 day))::date as day from g),
+       s as (select * from d where month(day) * 100 + day(day) >= 1015 or month(day) * 100 + day(day) <= 420), i as (select *, row_number() over (partition by field_id order by day) - 1 as i, count(*) over (partition by field_id) as n from s),
+       k as (select field_id, day, (select max(x) from range(7) as r(x) where x < least(7, n) and (x * n) // least(7, n) <= i)::int as slice from i),
+       p as (select *, day - row_number() over (partition by field_id, slice order by day)::int as island from k) select field_id, slice, min(day) as first_day, max(day) as last_day from p group by field_id, slice, island""",
+)
+register(
+    "u7_origin_tiles",
+    lambda v: generators.origin_tiles(v("fields").withColumn("maxx", c("maxx") + c("field_id") % 7), "field_id"),
+    """select field_id, lat, lon, 'N' || lpad(lat::varchar, 2, '0') || 'E' || lpad(lon::varchar, 3, '0') as tile from (select *, unnest(range(floor(minx / 3)::bigint * 3, ceil((maxx + field_id % 7) / 3)::bigint * 3, 3)) as lon from (select *, unnest(range(floor(miny / 3)::bigint * 3, ceil(maxy / 3)::bigint * 3, 3)) as lat from fields) f) g""",
+)
+register(
+    "p13_component_rescue",
+    lambda v: iterative.min_labels(_mask(v), iterative.pixel_edges(_mask(v))).join(_flat(v).select((c("tile_id") * 64 + c("r") * 8 + c("c")).alias("id"), "x"), "id").groupBy("component").agg(F.count("*").alias("size"), F.max("x").alias("top")).where("size between 3 and 30 and top > 0.6"),
+    f"with recursive {_COMPONENTS} select component, count(*) as size, max(x) as top from comp join (select tile_id * 64 + r * 8 + c as id, x from {_FLAT} f) y using (id) group by 1 having count(*) between 3 and 30 and max(x) > 0.6",
+    "top",
+)
