@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SPACES = "[\\x20\\x09-\\x0D]"
 #: A key with more than a thousandth of all rows is hot, so there are under a thousand hot keys.
 HOT_KEYS = 1000
+#: Edges that one task contracts on its own; the number of tasks grows with the edges.
+TASK_EDGES = 250_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -113,13 +115,14 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     ``edges(u, v)`` of longs, in any order, repeats allowed.  Returns
     ``(node, component)``, the smallest reachable id, for every node of an
-    edge.  Each task first contracts its own edges with a union-find.  Edges
-    and minima are checkpointed, so both sides of each join have an exchange
+    edge.  Each task first contracts up to TASK_EDGES edges with a union-find,
+    which is all there is to do for few edges.  Edges and minima are checkpointed, so both sides of each join have an exchange
     of their own and adaptive execution can split hub nodes.
     """
     edges = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
     nodes = "u long, v long"
-    now = checkpointed(edges.distinct().mapInArrow(_contract, nodes))
+    edges = checkpointed(edges.distinct())
+    now = checkpointed(edges.coalesce(edges.count() // TASK_EDGES + 1).mapInArrow(_contract, nodes))
     for _ in range(rounds):
         if _is_star(now):
             break

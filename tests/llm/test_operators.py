@@ -304,3 +304,25 @@ def test_shards_differ_by_one_row(docs, rows):
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {d: (len(t.encode()) + 1, zlib.crc32(t.encode())) for d, t, *_ in rows}
+
+
+def test_components_over_many_tasks(spark, monkeypatch):
+    from fieldspark.llm import _spark
+
+    monkeypatch.setattr(_spark, "TASK_EDGES", 100)
+    rng = random.Random(7)
+    edges = [(rng.randrange(900), rng.randrange(900)) for _ in range(500)] + [(i, i + 1) for i in range(2000, 2200)] + [(3000, x) for x in range(3001, 3100)]
+    parent: dict = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        if u != v:
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in _spark.components(spark.createDataFrame(edges, "u long, v long").repartition(8)).collect()}
+    assert got == {x: root(x) for x in parent}
