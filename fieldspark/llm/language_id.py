@@ -25,7 +25,7 @@ WORDS, GRAMS = 20_000, 8_000
 LONGEST = 4
 UNKNOWN = "und"
 #: Documents below this mean word posterior are rejected by :func:`known_language`.
-LEAST_SCORE = 0.3
+LEAST_SCORE = 0.15
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
