@@ -1,6 +1,6 @@
 """Fuzzy line dedup by MinHash over character shingles.
 
-A line, lower-cased and with white space collapsed, is the set of its distinct
+A line, in ASCII lower case and with white space collapsed, is the set of its distinct
 shingles of ``WIDTH`` bytes.  Equal lines are joined first.  Bands of MinHash
 values bring similar lines together, exact Jaccard on the full sets confirms
 them, and connected components are found by a distributed union-find.  Of each
@@ -10,7 +10,6 @@ component one line stays: its first in order of document and line number.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pandas as pd
@@ -29,14 +28,9 @@ LEAST_WORDS = 3
 
 _SEEDS = np.random.default_rng(1234567891).integers(1, 2**31, (2, BANDS * DEPTH)).astype(np.uint32)
 _MUL, _ADD = _SEEDS[0] * np.uint32(2) + np.uint32(1), _SEEDS[1]
-_SPACE = re.compile("[\x20\x09-\x0d]+")
 _PIECE = 1 << 18
 
 
-def normal(line: str) -> str:
-    return _SPACE.sub(" ", line).strip(" ").lower()
-
-
 def _hashes(data: bytes) -> np.ndarray:
     """A hash for each shingle of a line; a shorter line is one shingle."""
     raw = np.frombuffer(data, np.uint8).astype(U)
@@ -47,20 +41,39 @@ def _hashes(data: bytes) -> np.ndarray:
     return mix(acc)
 
 
+def _shingled(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all lines' shingles, one line after another, and how many each has.
+
+    One pass over the joined lines; windows that cross an end are left out.
+    """
+    sizes = np.array([len(x) for x in lines])
+    stops = np.cumsum(sizes)
+    raw = np.frombuffer(b"".join(lines) + bytes(WIDTH), np.uint8).astype(U)
+    acc = np.full(stops[-1], U(WIDTH), U)
+    for i in range(WIDTH):
+        acc = acc * U(257) + raw[i : i + len(acc)]
+    inside = np.ones(len(acc), bool)
+    inside[(stops[:, None] - np.arange(1, WIDTH)[None]).ravel()] = False
+    return (mix(acc[inside]) >> U(32)).astype(np.uint32), sizes - WIDTH + 1
+
+
 def _band_keys(lines: list[bytes]) -> np.ndarray:
     """One key per band for each line."""
     low = np.full((len(lines), BANDS * DEPTH), np.iinfo(np.uint32).max, np.uint32)
 
     def fold(parts, owners):
-        joined = np.concatenate(parts)
-        starts = np.cumsum([0, *map(len, parts[:-1])])
+        joined, sizes = _shingled(parts)
+        starts = np.cumsum(sizes) - sizes
         for j in range(BANDS * DEPTH):
             np.minimum.at(low[:, j], owners, np.minimum.reduceat(joined * _MUL[j] + _ADD[j], starts))
 
     parts, owners, size = [], [], 0
     for i, line in enumerate(lines):
-        for at in range(0, max(1, len(line) - WIDTH + 1), _PIECE):
-            parts.append((_hashes(line[at : at + _PIECE + WIDTH - 1]) >> U(32)).astype(np.uint32))
+        if len(line) < WIDTH:
+            low[i] = (_hashes(line) >> U(32)).astype(np.uint32) * _MUL + _ADD
+            continue
+        for at in range(0, len(line) - WIDTH + 1, _PIECE):
+            parts.append(line[at : at + _PIECE + WIDTH - 1])
             owners.append(i)
             size += len(parts[-1])
             if size >= _PIECE:
@@ -76,11 +89,11 @@ def _band_keys(lines: list[bytes]) -> np.ndarray:
 
 
 def _eligible(text: str):
-    """(number, normal form) of the lines that take part."""
-    for number, line in enumerate(text.split("\n")):
-        plain = normal(line)
-        if plain.count(" ") + 1 >= LEAST_WORDS and plain:
-            yield number, plain.encode()
+    """(number, normal form) of the lines that take part: ASCII lower case, white space collapsed."""
+    for number, line in enumerate(text.encode().split(b"\n")):
+        words = line.split()  # of bytes: at just the six white-space characters
+        if len(words) >= LEAST_WORDS:
+            yield number, b" ".join(words).lower()
 
 
 def _digest(data: bytes) -> tuple[int, int]:
