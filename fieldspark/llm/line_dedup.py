@@ -23,8 +23,6 @@ from fieldspark.llm.near_dedup import BLOCK, admitted, bitmap
 
 WIDTH = 8
 BANDS, DEPTH = 10, 4
-#: Lines of fewer words are left alone: headings, brackets, list marks.
-LEAST_WORDS = 3
 
 _SEEDS = np.random.default_rng(1234567891).integers(1, 2**31, (2, BANDS * DEPTH)).astype(np.uint32)
 _MUL, _ADD = _SEEDS[0] * np.uint32(2) + np.uint32(1), _SEEDS[1]
@@ -89,10 +87,10 @@ def _band_keys(lines: list[bytes]) -> np.ndarray:
 
 
 def _eligible(text: str):
-    """(number, normal form) of the lines that take part: ASCII lower case, white space collapsed."""
+    """(number, normal form) of the lines with a word: ASCII lower case, white space collapsed."""
     for number, line in enumerate(text.encode().split(b"\n")):
         words = line.split()  # of bytes: at just the six white-space characters
-        if len(words) >= LEAST_WORDS:
+        if words:
             yield number, b" ".join(words).lower()
 
 
@@ -175,10 +173,9 @@ def _linked(percent: int, across: bool):
 def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``doc_id, line``: the lines of ``doc_id, text`` that another line stands for.
 
-    ``line`` counts from 0 over the ``\\n``-separated lines.  Lines of fewer
-    than LEAST_WORDS words, blank lines among them, are never listed.  Rows
-    with a null id or text take no part; rows of the same id count as one
-    document, so their like-numbered lines share their fate.
+    ``line`` counts from 0 over the ``\\n``-separated lines.  Blank lines are
+    never listed.  Rows with a null id or text take no part; rows of the same
+    id count as one document, so their like-numbered lines share their fate.
     """
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = rows.mapInArrow(_lines("keys"), f"{_SHAPE}, keys binary")

@@ -254,6 +254,20 @@ def test_line_dedup_equals_brute_force(docs, rows):
     assert {(r[0], r[1]) for r in line_dedup.duplicate_lines(docs).collect()} == want
 
 
+def test_line_dedup_takes_short_lines(spark):
+    texts = ["}\n\nErheed. Titionly.\nhttps://example.org/a/very/long/path/1\n-", "erheed.  TITIONLY.\n}\n \nhttps://example.org/a/very/long/path/2\nend", "\n\n}", "-a\nabcdefgh\nabcdefghi"]
+    first: dict = {}
+    sets, places = {}, {}
+    for doc, text in enumerate(texts):
+        for number, line in enumerate(text.split("\n")):
+            if plain := " ".join(line.lower().split()):
+                place = places[doc, number] = first.setdefault(plain, (doc, number))
+                sets[place] = {plain[i : i + 8] for i in range(max(1, len(plain) - 7))}
+    parts = _components(sets, 80)  # a root is the least of its places
+    got = line_dedup.duplicate_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {tuple(r) for r in got} == {p for p, place in places.items() if parts[place] != p} == {(1, 0), (1, 1), (1, 3), (2, 2)}
+
+
 def test_packing_holds_its_constraints(docs, rows):
     got = packing.pack(docs, capacity=256, unit=60).collect()
     bins: dict = {}
