@@ -14,6 +14,7 @@ from bisect import bisect_left, insort
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fieldspark.llm._spark import SPACES
 
@@ -110,8 +111,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     pieces = pieces.select("doc_id", "source", "cluster", "unit", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("length"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, source string, cluster string, piece long, start long, length long, bin_id long, bin_offset long"
-    # a whole bin needs no search
-    whole = pieces.where(F.col("length") == capacity).select("doc_id", "source", "cluster", "piece", "start", "length", (F.shiftleft(F.col("unit") + units, 24) + F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(1 << 24))).alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"))
+    # a whole bin needs no search; its number is its place in the unit, beside the packer's
+    order = F.row_number().over(Window.partitionBy("unit").orderBy("doc_id", "piece", "cluster"))
+    whole = pieces.where(F.col("length") == capacity).select("doc_id", "source", "cluster", "piece", "start", "length", (F.shiftleft(F.col("unit") + units, 24) + order).alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"))
     parts = pieces.where((F.col("length") > 0) & (F.col("length") < capacity)).groupBy("unit").applyInPandas(_pack(capacity, per_source), shape)
     empty = pieces.where("length = 0").select("doc_id", "source", "cluster", "piece", "start", "length", F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("long").alias("bin_offset"))
     return parts.unionByName(whole).unionByName(empty)

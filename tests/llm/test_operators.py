@@ -286,6 +286,16 @@ def test_packing_holds_its_constraints(docs, rows):
     assert total == {doc: len(re.findall("[^\x20\x09-\x0d]+", text)) for doc, text, *_ in rows}
 
 
+def test_full_pieces_have_bins_of_their_own(spark):
+    long = "word " * 2048 * 2 + "end"
+    made = spark.createDataFrame([(1, long, "a"), (1, long, "a"), (None, long, "a"), (None, long, "b"), (2, "w " * 2048, None)], "doc_id long, text string, source string")
+    got = packing.pack(made).collect()
+    full = [r["bin_id"] for r in got if r["length"] == packing.CAPACITY]
+    assert len(full) == len(set(full)) == 9
+    assert not set(full) & {r["bin_id"] for r in got if r["length"] < packing.CAPACITY}
+    assert sum(r["length"] for r in got) == 4 * 4097 + 2048
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     # bins with 4 and 3 left; the item of 3 fits the second, unless its cluster is there
     assert [b for b, _ in packing.best_fit([(7, 0, 0), (6, 1, 1), (3, 2, 2)], 10, 1)] == [0, 1, 0]
