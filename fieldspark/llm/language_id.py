@@ -79,8 +79,8 @@ class Model:
     def __init__(self, langs: list[str], index: list[dict[str, int]], tables: list[np.ndarray]):
         self.langs, self.index, self.tables = langs, index, tables
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """Log posteriors of the languages for each word."""
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log posteriors of the languages for each word, and whether no sequence of it is known."""
         out = np.zeros((len(words), len(self.langs)))
         at = np.fromiter((self.index[0].get(w, 0) for w in words), np.int64, len(words))
         out[at > 0] = self.tables[0][at[at > 0]]
@@ -97,21 +97,23 @@ class Model:
             for i in range(len(self.langs)):
                 out[left, i] = np.bincount(owner, self.tables[n][at, i], minlength=len(left))
             left = left[~known]
+        unknown = np.zeros(len(words), bool)
+        unknown[left] = True
         out -= out.max(axis=1, keepdims=True)
-        return out - np.log(np.exp(out).sum(axis=1, keepdims=True))
+        return out - np.log(np.exp(out).sum(axis=1, keepdims=True)), unknown
 
     def tokens(self, tokens: list[str]) -> np.ndarray:
-        """Sums over each token's words: log posteriors, posteriors, and their number."""
+        """Sums over each token's words: log posteriors, posteriors, their number and that of the unknown ones."""
         n = len(self.langs)
         words, owner = [], []
         for i, token in enumerate(tokens):
             for word in (token,) if token.isalpha() else words_of(token):
                 words.append(word)
                 owner.append(i)
-        out = np.zeros((len(tokens), 2 * n + 1))
+        out = np.zeros((len(tokens), 2 * n + 2))
         if words:
-            scores = self.words(words)
-            np.add.at(out, owner, np.concatenate([scores, np.exp(scores), np.ones((len(words), 1))], axis=1))
+            scores, unknown = self.words(words)
+            np.add.at(out, owner, np.concatenate([scores, np.exp(scores), np.ones((len(words), 1)), unknown[:, None]], axis=1))
         return out
 
 
@@ -151,14 +153,16 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     return Model(langs, index, tables)
 
 
-def _predict(shared):
+def _predict(shared, evidence: bool = False):
+    """Rows of (doc_id, held_out, lang_pred, score), with evidence also the share of unknown words."""
+
     def run(batches):
         model = shared.value
         n = len(model.langs)
         place: dict[str, int] = {}
-        table = np.empty((1024, 2 * n + 1))
+        table = np.empty((1024, 2 * n + 2))
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, unknown = [], [], []
             for text in batch.column(1).to_pylist():
                 found = Counter((text or "").lower().split())
                 if len(place) + len(found) > _CACHE:
@@ -170,15 +174,20 @@ def _predict(shared):
                     for token in fresh:
                         place[token] = len(place)
                 times = np.fromiter(found.values(), np.float64, len(found))
-                total = times @ table[[place[w] for w in found]] if found else np.zeros(2 * n + 1)
+                total = times @ table[[place[w] for w in found]] if found else np.zeros(2 * n + 2)
                 if total[2 * n]:
                     best = int(np.argmax(total[:n]))
                     langs.append(model.langs[best])
                     scores.append(min(1.0, float(total[n + best] / total[2 * n])))
+                    unknown.append(float(total[2 * n + 1] / total[2 * n]))
                 else:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                    unknown.append(1.0)
+            columns = {"doc_id": batch.column(0), "held_out": batch.column(2), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
+            if evidence:
+                columns["unknown"] = pa.array(unknown, pa.float64())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
@@ -210,21 +219,23 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def known_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs, all columns, whose language is known well enough.
 
-    Rejected are texts without letters, and those whose score is under
-    ``least``.  The prediction works on the row itself, so no join is needed.
+    Rejected are texts without letters, those whose score is under ``least``,
+    and those where words without a known sequence at any length dominate: over
+    half of all, as in a script that the model never saw.  The prediction works
+    on the row itself, so no join is needed.
     """
     model = train(docs.where(~held_out()))
     if model is None:
         return docs.limit(0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    predict = _predict(shared)
+    predict = _predict(shared, evidence=True)
 
     def run(batches):
         for batch in batches:
             none = pa.nulls(batch.num_rows)
             view = pa.RecordBatch.from_arrays([none, batch.column("text").cast(pa.string()), none], ["doc_id", "text", "held_out"])
             for made in predict([view]):
-                keep = [lang != UNKNOWN and score >= least for lang, score in zip(made.column(2).to_pylist(), made.column(3).to_pylist(), strict=True)]
+                keep = [lang != UNKNOWN and score >= least and unknown <= 0.5 for lang, score, unknown in zip(*(made.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -129,6 +129,17 @@ def test_language_without_letters(odd):
     assert got[7]["lang_pred"] == got[1]["lang_pred"] == "und"
 
 
+def test_unlearned_scripts_are_rejected(spark, docs):
+    # scripts of no character in the tables; the second and last have some words of theirs in known text
+    text = docs.where("lang = 'en'").first()["text"]
+    foreign = "ბევრი სიტყვა უცხო დამწერლობით " * 20
+    planted = [(-1, foreign), (-2, foreign + " the"), (-3, "እንደምን አደርክ ወዳጄ"), (-4, text), (-5, text + " " + "ბევრი " * (len(text.split()) // 3))]
+    mixed = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(*x, None) for x in planted], "doc_id long, text string, lang string"))
+    got = {r["doc_id"] for r in language_id.known_language(mixed).where("doc_id < 0").collect()}
+    assert got == {-4, -5}
+    assert language_id.known_language(docs).count() == docs.count()
+
+
 def test_bpe_equals_library(docs, rows, odd):
     with open(BPE[0], "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
