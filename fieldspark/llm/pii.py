@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone", "url_login", "iban", "account")
 BASE = KINDS[:4]
 # Cue words after which an identifier may stand.
-CUES = ("iban", "ssn", "passport", "account number", "account no", "acct", "social security")
+CUES = ("iban", "ssn", "passport", "account number", "account no", "account no.", "acct", "social security")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -33,6 +33,7 @@ _ACCOUNT = re.compile(r"(?=[A-Z0-9-]*[0-9]{4})[A-Z0-9](?:-?[A-Z0-9]){5,17}(?![A-
 
 
 def automaton():
+    """Over texts in ASCII lower case, as :func:`spans` hands them in."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
@@ -43,8 +44,7 @@ def automaton():
     for scheme in SCHEMES:
         found.add_word(scheme, ("scheme", len(scheme)))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.title()}:
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, ("cue", len(cue)))
     found.make_automaton()
     return found
 
@@ -82,7 +82,8 @@ def spans(text: str, cues) -> list[tuple[int, int, str]]:
     """
     out: list[tuple[int, int, str]] = []
     done = dict.fromkeys(KINDS, 0)  # where the last match of a kind ended, valid or not
-    for last, (what, width) in cues.iter(text):
+    lowered = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # only ASCII letters change, so places hold
+    for last, (what, width) in cues.iter(lowered):
         at = last - width + 1
         if what == "digit":
             # a run of digits starts a match at its first free digit only

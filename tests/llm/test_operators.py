@@ -116,6 +116,15 @@ def test_pii_added_spans_and_redaction():
     assert pii.redacted("My account number is secret", cues) == "My account number is secret"
 
 
+def test_pii_cues_and_schemes_in_any_case():
+    cues = pii.automaton()
+    for cue in pii.CUES:
+        for form in (cue, cue.upper(), cue.title(), cue.capitalize(), cue.swapcase(), cue[:-1] + cue[-1].upper()):
+            assert pii.redacted(f"İst ok. {form}: 12345678, {form} DE89 3704 0044 0532 0130 00", cues) == f"İst ok. {form}: [account], {form} [iban]"
+    assert pii.redacted("Social security 123-45-6789", cues) == "Social security [account]"
+    assert pii.redacted("Https://bob:pw@host.org/x HTTP://bob:pw@host.org/x", cues) == "Https://[url_login]/x HTTP://[url_login]/x"
+
+
 def test_language_held_out_accuracy(docs):
     got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]
