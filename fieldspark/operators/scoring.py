@@ -125,14 +125,32 @@ def residual_buckets(rows: DataFrame, least: int = 5) -> DataFrame:
 
 
 def zones(cells: DataFrame, scores: dict[str, float], least: int = 6) -> DataFrame:
-    """Zones by tertiles of a weighted z-score over a field's cells, from six cells on."""
-    from fieldspark.operators.series import robust_z
-
-    out = cells
-    for name in scores:
-        out = robust_z(out, ["field_id"], name, f"_z_{name}")
-    total = sum((F.coalesce(F.col(f"_z_{n}"), F.lit(0.0)) * w for n, w in scores.items()), F.lit(0.0))
-    out = out.withColumn("score", total).drop(*(f"_z_{n}" for n in scores))
-    cuts = out.groupBy("field_id").agg(F.count("*").alias("_n"), F.percentile("score", F.lit(1 / 3)).alias("_a"), F.percentile("score", F.lit(2 / 3)).alias("_b")).where(F.col("_n") >= least)
+    """Zones by tertiles of a weighted z-score over a field's cells, from six cells on.
+
+    Scores have nine decimals, so that cells alike fall in one zone.
+    """
+    x = {n: F.col(n) for n in scores}
+    # all metrics in one pass, as a join back for each would double the plan every time
+    one = cells.groupBy("field_id").agg(F.count("*").alias("_n"), *(f(v).alias(f"_{k}_{n}") for n, v in x.items() for k, f in (("med", lambda v: F.percentile(v, F.lit(0.5))), ("avg", F.avg), ("std", F.stddev_pop)))).where(F.col("_n") >= least)
+    near = cells.join(one, "field_id")
+    mad = near.groupBy("field_id").agg(*(F.percentile(F.abs(v - F.col(f"_med_{n}")), F.lit(0.5)).alias(f"_mad_{n}") for n, v in x.items()))
+    z = {n: F.when(F.col(f"_mad_{n}") > 1e-9, 0.6745 * (v - F.col(f"_med_{n}")) / F.col(f"_mad_{n}")).when(F.col(f"_std_{n}") > 1e-9, (v - F.col(f"_avg_{n}")) / F.col(f"_std_{n}")) for n, v in x.items()}
+    total = sum((F.coalesce(z[n], F.lit(0.0)) * w for n, w in scores.items()), F.lit(0.0))
+    out = near.join(mad, "field_id").select(*cells.columns, F.round(total, 9).alias("score"))
+    cuts = out.groupBy("field_id").agg(F.percentile("score", F.lit(0.33333)).alias("_a"), F.percentile("score", F.lit(0.66666)).alias("_b"))
     zone = F.when(F.col("score") <= F.col("_a"), "low").when(F.col("score") <= F.col("_b"), "medium").otherwise("high")
-    return out.join(cuts, "field_id").withColumn("zone", zone).drop("_n", "_a", "_b")
+    return out.join(cuts, "field_id").withColumn("zone", zone).drop("_a", "_b")
+
+
+def zone_shares(zoned: DataFrame, coverage: str, area: str) -> DataFrame:
+    """Each cell's share of its field's area, and its multiplier, clipped and then scaled to an area-weighted mean of 1."""
+    raw = clip(1 + 0.12 * F.col("score"), 0.75, 1.25)
+    rows = zoned.withColumn("weight", F.greatest(F.coalesce(F.col(coverage), F.lit(0.0)), F.lit(0.01))).withColumn("_raw", raw)
+    totals = rows.groupBy("field_id").agg(F.sum("weight").alias("_total"), (F.sum(F.col("_raw") * F.col("weight")) / F.sum("weight")).alias("_mean"))
+    out = rows.join(totals, "field_id").withColumn("share", F.col("weight") / F.col("_total"))
+    return out.withColumn("multiplier", F.col("_raw") / F.greatest("_mean", F.lit(1e-6))).withColumn("cell_area_m2", F.col(area) * F.col("share")).drop("weight", "_raw", "_total", "_mean")
+
+
+def zone_summary(shared: DataFrame) -> DataFrame:
+    """Cells, area and mean score of each zone of a field."""
+    return shared.groupBy("field_id", "zone").agg(F.count("*").alias("cells"), F.sum("cell_area_m2").alias("area_m2"), (F.sum("share") * 100).alias("area_share_pct"), F.avg("score").alias("mean_score"), F.avg("multiplier").alias("multiplier"))

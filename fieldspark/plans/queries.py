@@ -1131,3 +1131,27 @@ register(
     f"with recursive {_COMPONENTS} select component, count(*) as size, max(x) as top from comp join (select tile_id * 64 + r * 8 + c as id, x from {_FLAT} f) y using (id) group by 1 having count(*) between 3 and 30 and max(x) > 0.6",
     "top",
 )
+
+# --- whole tables: what w14_zones, l6_label_queue, u3_time_windows, j21_interval_fallback and s18_replace_slice do on a part ---
+
+_ZONE_WEIGHTS = {"ndvi_mean": 0.45, "ndmi_mean": 0.18, "bsi_mean": -0.17, "soil_moist": 0.12}
+
+
+def _zone_cells(v):
+    cells = relational.box_join(v("grid_cells"), v("fields").select("field_id", "minx", "miny", "maxx", "maxy", "area_m2")).select(c("r_field_id").alias("field_id"), "cell_id", *_ZONE_WEIGHTS, "field_coverage", c("r_area_m2").alias("area_m2"))
+    return scoring.zone_shares(scoring.zones(cells, _ZONE_WEIGHTS), "field_coverage", "area_m2")
+
+
+_ZONES = f"""j as (select field_id, cell_id, {", ".join(_ZONE_WEIGHTS)}, area_m2, greatest(field_coverage, 0.01e0) as w from grid_cells g join fields f on g.minx < f.maxx and g.maxx > f.minx and g.miny < f.maxy and g.maxy > f.miny),
+       x as (select field_id, cell_id, unnest({[*_ZONE_WEIGHTS]}) as k, unnest([{", ".join(f"{x}e0" for x in _ZONE_WEIGHTS.values())}]) as p, unnest([{", ".join(_ZONE_WEIGHTS)}]) as x from j),
+       m as (select field_id, k, median(x) as mx, avg(x) as ax, stddev_pop(x) as sx from x group by 1, 2), d as (select field_id, k, median(abs(x - mx)) as dx from x join m using (field_id, k) group by 1, 2),
+       z as (select field_id, cell_id, round(sum(p * case when dx > 1e-9 then 0.6745e0 * (x - mx) / dx when sx > 1e-9 then (x - ax) / sx else 0 end), 9) as score from x join m using (field_id, k) join d using (field_id, k) group by 1, 2),
+       t as (select field_id, quantile_cont(score, 0.33333) as a, quantile_cont(score, 0.66666) as b from z group by 1 having count(*) >= 6), r as (select field_id, cell_id, score, case when score <= a then 'low' when score <= b then 'medium' else 'high' end as zone, greatest(0.75e0, least(1.25e0, 1 + 0.12e0 * score)) as raw from z join t using (field_id)),
+       s as (select field_id, sum(w) as total, sum(raw * w) / sum(w) as mean from r join j using (field_id, cell_id) group by 1), o as (select field_id, cell_id, score, zone, raw / greatest(mean, 1e-6) as multiplier, w / total as share, area_m2 * w / total as cell_area_m2 from r join j using (field_id, cell_id) join s using (field_id))"""
+register("w14_zone_cells", lambda v: _zone_cells(v).select("field_id", "cell_id", "score", "zone", "multiplier", "cell_area_m2"), f"with {_ZONES} select field_id, cell_id, score, zone, multiplier, cell_area_m2 from o", "score multiplier cell_area_m2")
+register(
+    "w14_zone_summary",
+    lambda v: scoring.zone_summary(_zone_cells(v)),
+    f"with {_ZONES} select field_id, zone, count(*) as cells, sum(cell_area_m2) as area_m2, sum(share) * 100 as area_share_pct, avg(score) as mean_score, avg(multiplier) as multiplier from o group by 1, 2",
+    "area_m2 area_share_pct mean_score multiplier",
+)

@@ -154,3 +154,16 @@ def test_water_balance_folds_weeks_in_order(spark):
         assert r["drainage"] == pytest.approx(max(0, storage - 155))
         storage = max(0.0, min(155.0, storage))
         assert r["storage"] == pytest.approx(storage)
+
+
+def test_zones_shares_and_summary(spark):
+    # of six cells in even steps two fall in each zone; a field of five cells has none
+    rows = [(1, i, float(i), 0.5, 600.0) for i in range(6)] + [(2, i, float(i), 0.5, 600.0) for i in range(5)]
+    cells = spark.createDataFrame(rows, "field_id int, cell_id int, x double, cover double, area double")
+    shared = scoring.zone_shares(scoring.zones(cells, {"x": 1.0}), "cover", "area")
+    got = {r["cell_id"]: r for r in shared.collect()}
+    assert [got[i]["zone"] for i in range(6)] == ["low", "low", "medium", "medium", "high", "high"]
+    raw = [min(1.25, max(0.75, 1 + 0.12 * 0.6745 * (i - 2.5) / 1.5)) for i in range(6)]
+    assert [got[i]["multiplier"] for i in range(6)] == pytest.approx([x / (sum(raw) / 6) for x in raw])
+    assert all(r["cell_area_m2"] == pytest.approx(100) for r in got.values())
+    assert {(r["zone"], r["cells"], round(r["area_m2"]), round(r["area_share_pct"], 3)) for r in scoring.zone_summary(shared).collect()} == {(z, 2, 200, 33.333) for z in ("low", "medium", "high")}
