@@ -169,3 +169,21 @@ def preview_import(checked: DataFrame) -> DataFrame:
     """Counts and the seasons of valid rows."""
     ok = F.col("error_message").isNull()
     return checked.agg(F.count("*").alias("rows_total"), F.count_if(ok).alias("rows_valid"), F.count_if(~ok).alias("rows_invalid"), F.count_distinct(F.when(ok, F.col("field_external_id"))).alias("fields"), F.array_join(F.sort_array(F.collect_set(F.when(ok, F.col("season_year")))), ",").alias("seasons"))
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """All rows with their place, from 1, in an order over the whole table.
+
+    Rows are dealt by ranges of the order; a count per partition makes the
+    places global, so no task has all rows.  Rows alike in the order are
+    interchangeable.
+    """
+    from fieldspark.operators.iterative import cut_lineage
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the checkpoint fixes partitions and their order
+    fixed = cut_lineage(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)).withColumn("_id", F.monotonically_increasing_id())
+    fixed = fixed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = fixed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per partition
+    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    return fixed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at") + 1).drop("_id", "_part", "_at", "_start")

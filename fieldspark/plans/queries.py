@@ -1155,3 +1155,8 @@ register(
     f"with {_ZONES} select field_id, zone, count(*) as cells, sum(cell_area_m2) as area_m2, sum(share) * 100 as area_share_pct, avg(score) as mean_score, avg(multiplier) as multiplier from o group by 1, 2",
     "area_m2 area_share_pct mean_score multiplier",
 )
+register(
+    "l6_label_queue_all",
+    lambda v: relational.ranked(v("label_versions").select("label_task_id", "version_no", "size"), [F.desc_nulls_last("size"), F.desc_nulls_last("version_no"), F.asc_nulls_last("label_task_id")]),
+    "select label_task_id, version_no, size, row_number() over (order by size desc nulls last, version_no desc nulls last, label_task_id nulls last) as rank from label_versions",
+)

@@ -167,3 +167,9 @@ def test_zones_shares_and_summary(spark):
     assert [got[i]["multiplier"] for i in range(6)] == pytest.approx([x / (sum(raw) / 6) for x in raw])
     assert all(r["cell_area_m2"] == pytest.approx(100) for r in got.values())
     assert {(r["zone"], r["cells"], round(r["area_m2"]), round(r["area_share_pct"], 3)) for r in scoring.zone_summary(shared).collect()} == {(z, 2, 200, 33.333) for z in ("low", "medium", "high")}
+
+
+def test_ranks_over_the_whole_table(spark):
+    rows = [(i * 37 % 500 // 3, i) for i in range(500)]
+    got = relational.ranked(spark.createDataFrame(rows, "size int, id int").repartition(7), [F.desc("size"), F.asc("id")]).collect()
+    assert {r["id"]: r["rank"] for r in got} == {i: n for n, (_, i) in enumerate(sorted(rows, key=lambda x: (-x[0], x[1])), 1)}
