@@ -1160,3 +1160,26 @@ register(
     lambda v: relational.ranked(v("label_versions").select("label_task_id", "version_no", "size"), [F.desc_nulls_last("size"), F.desc_nulls_last("version_no"), F.asc_nulls_last("label_task_id")]),
     "select label_task_id, version_no, size, row_number() over (order by size desc nulls last, version_no desc nulls last, label_task_id nulls last) as rank from label_versions",
 )
+register(
+    "u3_time_windows_all",
+    lambda v: generators.time_windows(v("yield_obs").groupBy("field_id").agg(F.min("observed_on").alias("first_day"), F.max("observed_on").alias("last_day")), "field_id", 7, (10, 15, 4, 20)).select("field_id", "slice", "first_day", "last_day"),
+    """with g as (select field_id, min(observed_on) as a, max(observed_on) as b from yield_obs group by 1), d as (select field_id, unnest(generate_series(a, b, interval 1 day))::date as day from g),
+       s as (select * from d where month(day) * 100 + day(day) >= 1015 or month(day) * 100 + day(day) <= 420), i as (select *, row_number() over (partition by field_id order by day) - 1 as i, count(*) over (partition by field_id) as n from s),
+       k as (select field_id, day, max(x)::int as slice from i join range(7) as r(x) on x < least(7, n) and (x * n) // least(7, n) <= i group by 1, 2),
+       p as (select *, day - row_number() over (partition by field_id, slice order by day)::int as island from k) select field_id, slice, min(day) as first_day, max(day) as last_day from p group by field_id, slice, island""",
+)
+register(
+    "j21_interval_fallback_all",
+    lambda v: scoring.with_interval(v("yield_obs").join(v("field_seasons").select(c("season_id").alias("obs_id"), "crop_code"), "obs_id").select("obs_id", "crop_code", F.when(c("obs_id") % 2 == 0, "lat_48_55").otherwise("none").alias("region"), c("yield_kg_ha").alias("estimate")), scoring.interval_buckets(scoring.residual_buckets(_residuals(v)), ["crop_code", "region"]), "estimate").select("obs_id", "width", "method", "lower", "upper"),
+    f"""with {_M6}, x as (select obs_id, crop_code, case when obs_id % 2 = 0 then 'lat_48_55' else 'none' end as region, yield_kg_ha as e from yield_obs join field_seasons on obs_id = season_id),
+       y as (select obs_id, e, coalesce(a.width, b.width * 1.15e0, greatest(e * 0.2e0 * 1.645e0, 250)) as width, case when a.width is not null then 'conformal' when b.width is not null then 'conformal_global_fallback' else 'heuristic' end as method from x left join ee a on x.crop_code = a.crop_code and x.region = a.region and a.n >= 5 left join ee b on x.crop_code = b.crop_code and b.region = 'global' and b.n >= 5)
+       select obs_id, width, method, greatest(e - width, 0) as lower, e + width as upper from y""",
+    "width lower upper",
+    digits=4,
+)
+register(
+    "s18_replace_slice_all",
+    lambda v: relational.replace_slice(v("weather_daily").select("field_id", "observed_on", "precip"), v("weather_fallback").select("field_id", "observed_on", "precip"), ["field_id"], "observed_on", "1997-01-01", "1997-12-31"),
+    "with n as (select field_id, observed_on, precip from weather_fallback) select field_id, observed_on, precip from weather_daily where not (field_id in (select field_id from n) and observed_on between date '1997-01-01' and date '1997-12-31') union all select * from n",
+    "precip",
+)

@@ -46,3 +46,13 @@ def test_query(spark, duck, name):
     assert len(rows) == len(want)
     wrong = [(a, b) for a, b in zip(rows, want, strict=True) if a != b]
     assert len(wrong) <= len(rows) // 200, wrong[:3]  # a rounding tie may fall either way
+
+
+def test_whole_tables_are_covered(spark, duck):
+    from fieldspark.sources.views import with_views
+
+    def ids(name, column):
+        return {r[0] for r in plans.QUERIES[name](spark, FOLDER).select(column).distinct().collect()}
+
+    assert ids("j21_interval_fallback_all", "obs_id") == {r[0] for r in duck.execute(with_views("select obs_id from yield_obs")).fetchall()}
+    assert ids("u3_time_windows_all", "field_id") == {r[0] for r in duck.execute(with_views("select field_id from yield_obs")).fetchall()}
