@@ -1,14 +1,17 @@
 """Byte-level BPE in DuckDB: recursive queries over token-position rows.
 
-Each task splits its texts into pieces and keeps the pieces that it has seen.
-New ones go to DuckDB as rows (word, position, token).  A recursive query joins
-neighbouring tokens to the merge table and contracts each word's leftmost pair
-of minimum rank, until no pair is left.  Decoding joins ids to the vocabulary
-and aggregates the bytes in order.
-
-In words over SHORT bytes all occurrences of the minimum pair are contracted at
-once, where no merge that starts from or ends in the new token has a lower rank:
-the next merges would be those occurrences, from left to right.
+Each task splits its texts into pieces and remembers the pieces that it has
+seen.  New ones go to DuckDB as rows (word, position, next position, token,
+next token).  A recursive query joins them to the merge table and contracts
+each word's leftmost pair of minimum rank, until no pair is left.  Decoding
+joins ids to the vocabulary and aggregates the bytes in order.
+
+Words over WINDOW bytes are contracted in windows that overlap by half.  Where
+two neighbouring windows have a token in common, the sequence may change from
+one window to the next: tokens are the encoding of their bytes exactly if each
+two neighbours encode to themselves, and both windows' tokens do.  If two
+windows share none, the word is done again with windows twice as long, at last
+as one.  So a word takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -17,50 +20,37 @@ import base64
 import hashlib
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that a task remembers.
-CACHE = 300_000
-#: Token rows that one query starts with (a longer piece goes alone).
-ROWS = 100_000
-#: Bytes up to which a word is contracted one pair a step.
-SHORT = 64
-#: Steps of one recursive query; what isn't finished goes on from its last step.
-STEPS = 12
+#: Bytes of pieces that a task remembers in each of two generations.
+MEMORY = 80 << 20
+#: Rows over all steps of one recursive query (a longer window goes alone).
+ROWS = 2_000_000
+#: Token rows that one decoding query starts with.
+DECODE_ROWS = 100_000
+#: Bytes up to which a word is contracted in one piece.
+WINDOW = 64
 #: Characters of a text that are split at a time.
 SEGMENT = 1 << 20
 
-_FIRST = f"""
-with recursive step(w, p, t, s) as (
-  select w, p, t, 0 from work
+# k is (rank, position) of a row's pair; a contracted pair's right row takes the left row's place
+_CONTRACT = """
+with recursive step(w, p, q, t, n, k, s) as (
+  select w, p, p + 1, t, n, (rank::bigint << 32) | p, 0 from work left join merges on t = l and n = r
   union all
-  (with pairs as (select w, p, t, s, lead(t) over o as n, lead(p) over o as np from step where s < {STEPS} window o as (partition by w order by p)),
-   ranked as (select w, p, t, s, np, m.rank, (m.rank::bigint << 32) | p as k from pairs left join merges m on pairs.t = m.l and pairs.n = m.r),
-   least as (select w, min(k) as k, arg_min(np, k) as np, arg_min(rank, k) as rank from ranked where k is not null group by w)
-   select r.w, r.p, case when r.k = x.k then x.rank else r.t end, r.s + 1 from ranked r join least x on r.w = x.w where r.p <> x.np))
-select w, p, t, s from step qualify s = max(s) over (partition by w)
+  (with least as (select w, (min(k) & 4294967295)::int as p, arg_min(q, k) as q, (min(k) >> 32)::int as rank from step where k is not null group by w),
+   moved as (select x.w, if(x.p = y.q, y.p, x.p) as p, x.q, if(x.p = y.q, y.rank, x.t) as t, if(x.q = y.p, y.rank, x.n) as n, s + 1 as s
+             from step x join least y using (w) where x.p <> y.p)
+   select w, p, q, t, n, (rank::bigint << 32) | p, s from moved left join merges on t = l and n = r)),
+last as (select w, max(s) as s from step group by w)
+select w, p, q, t from step join last using (w, s)
 """
 
-_ALL = f"""
-with recursive step(w, p, t, s) as (
-  select w, p, t, 0 from work
-  union all
-  (with pairs as (select w, p, t, s, lead(t) over (partition by w order by p) as n from step where s < {STEPS}),
-   ranked as (select pairs.*, m.rank, m.alone, min(m.rank) over (partition by w) as least
-              from pairs left join merges m on pairs.t = m.l and pairs.n = m.r),
-   marked as (select *, rank = least as hit, row_number() over (partition by w order by p)
-                - row_number() over (partition by w, coalesce(rank = least, false) order by p) as run
-              from ranked where least is not null),
-   placed as (select *, row_number() over (partition by w, coalesce(hit, false), run order by p) as k,
-                row_number() over (partition by w, coalesce(hit, false) order by p) as nth from marked),
-   taken as (select *, coalesce(hit and k % 2 = 1 and (nth = 1 or not alone), false) as take from placed),
-   kept as (select *, lag(take, 1, false) over (partition by w order by p) as gone from taken)
-   select w, p, case when take then least else t end, s + 1 from kept where not gone))
-select w, p, t, s from step qualify s = max(s) over (partition by w)
-"""
+# the first token that windows k and k + 1 of a word have in common
+_SEAMS = "select x.word, x.k, min(x.a) as a from placed x join placed y on x.word = y.word and x.k + 1 = y.k and x.a = y.a and x.b = y.b and x.t = y.t group by x.word, x.k"
 
 _DECODE = "select w, unhex(string_agg(h, '' order by p)) as b from {rows} join vocabulary using (t) group by w"
 
@@ -76,56 +66,93 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.pieces = regex.compile(pattern)
         self.ranks = ranks
-        self.byte = [ranks[bytes([i])] for i in range(256)]
-        self.known: dict[str, tuple[int, str, bytes | None]] = {}  # bytes unless the piece's own
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.young: dict[str, str] = {}  # pieces to ids, joined by commas
+        self.old: dict[str, str] = {}
+        self.size = 0
+        self.changed: dict[str, bytes] = {}  # pieces that decode to other bytes than their own
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         m = pa.table([pa.array([x[i] for x in merges], pa.int32()) for i in range(3)], ["l", "r", "rank"])
         v = pa.table([pa.array(list(ranks.values()), pa.int32()), pa.array([t.hex() for t in ranks])], ["t", "h"])
         self.db.register("_m", m)
         self.db.register("_v", v)
         self.db.execute("create table vocabulary as from _v")
-        self.db.execute("""create table merges as select _m.*, coalesce(low < rank, false) as alone from _m left join
-            (select t, min(rank) as low from (select l as t, rank from _m union all select r, rank from _m) group by t) x on x.t = _m.rank""")
+        self.db.execute("create table merges as from _m")
+
+    def query(self, sql: str, **tables: pa.Table) -> pa.Table:
+        for name, table in tables.items():
+            self.db.register(name, table)
+        out = self.db.sql(sql).to_arrow_table()
+        for name in tables:
+            self.db.unregister(name)
+        return out
+
+    def contract(self, words: list[bytes]) -> pa.Table:
+        """Rows (w, p, q, t): token t of word w from byte p to q."""
+        sizes = np.array([len(x) for x in words])
+        ends = np.cumsum(sizes)
+        tokens = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        after = np.append(tokens[1:], -1).astype(np.int32)
+        after[ends - 1] = -1
+        work = pa.table([np.repeat(np.arange(len(words), dtype=np.int32), sizes), (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int32), tokens, after], ["w", "p", "t", "n"])
+        return self.query(_CONTRACT, work=work)
+
+    def batches(self, words: list[bytes]) -> list[pa.Table]:
+        """:meth:`contract` in queries of a bounded number of rows; ``w`` counts through."""
+        out, at = [], 0
+        while at < len(words):
+            end, rows = at, 0
+            while end < len(words) and (end == at or rows + len(words[end]) ** 2 // 2 <= ROWS):
+                rows += len(words[end]) ** 2 // 2 + 1
+                end += 1
+            found = self.contract(words[at:end])
+            out.append(found.set_column(0, "w", pa.array(np.asarray(found["w"]) + np.int32(at))))
+            at = end
+        return out
+
+    def long(self, word: bytes) -> pa.Table:
+        """Rows (p, t) of a word over WINDOW bytes, from windows that share a token with the next."""
+        width = WINDOW
+        while True:
+            starts = range(0, max(1, len(word) - width // 2), width // 2)
+            found = pa.concat_tables(self.batches([word[i : i + width] for i in starts]))
+            start = np.asarray(found["w"], np.int64) * (width // 2)
+            placed = pa.table([np.zeros(len(start), np.int32), found["w"], start + np.asarray(found["p"]), start + np.asarray(found["q"]), found["t"]], ["word", "k", "a", "b", "t"])
+            seams = self.query(_SEAMS, placed=placed)
+            if len(seams) == len(starts) - 1:
+                break
+            width *= 2
+        seam = np.full(len(starts) + 1, len(word))
+        seam[0] = 0
+        seam[np.asarray(seams["k"]) + 1] = np.asarray(seams["a"])
+        k, a = np.asarray(placed["k"]), np.asarray(placed["a"])
+        kept = placed.filter(pa.array((a >= seam[k]) & (a < seam[k + 1])))
+        return pa.table([kept["a"], kept["t"]], ["p", "t"])
 
     def tokens(self, words: list[bytes]) -> pa.Table:
         """(w, p, t) rows of the encoded words."""
-        done = []
-        for query, chosen in ((_FIRST, [i for i, x in enumerate(words) if len(x) <= SHORT]), (_ALL, [i for i, x in enumerate(words) if len(x) > SHORT])):
-            w, p, t = [], [], []
-            for i in chosen:
-                # a word of the vocabulary is its own token
-                own = [self.ranks[words[i]]] if words[i] in self.ranks else [self.byte[b] for b in words[i]]
-                w += [i] * len(own)
-                p += range(len(own))
-                t += own
-            work = pa.table([pa.array(x, pa.int32()) for x in (w, p, t)], ["w", "p", "t"])
-            while work.num_rows:
-                self.db.register("work", work)
-                out = self.db.sql(query).to_arrow_table()
-                self.db.unregister("work")
-                more = pc.equal(out["s"], STEPS)
-                done.append(out.filter(pc.invert(more)).select(["w", "p", "t"]))
-                work = out.filter(more).select(["w", "p", "t"])
-        return pa.concat_tables(done) if done else work.select(["w", "p", "t"])
+        # a word of the vocabulary is its own token
+        own = [i for i, x in enumerate(words) if x in self.ranks]
+        rest = [i for i, x in enumerate(words) if 0 < len(x) <= WINDOW and x not in self.ranks]
+        done = [pa.table([pa.array(own, pa.int64()), pa.array([0] * len(own), pa.int64()), pa.array([self.ranks[words[i]] for i in own], pa.int32())], ["w", "p", "t"])]
+        for found in self.batches([words[i] for i in rest]):
+            done.append(pa.table([pa.array(np.array(rest)[np.asarray(found["w"])]), found["p"].cast(pa.int64()), found["t"]], ["w", "p", "t"]))
+        for i, word in enumerate(words):
+            if len(word) > WINDOW and word not in self.ranks:
+                found = self.long(word)
+                done.append(pa.table([pa.array(np.full(len(found), i)), found["p"], found["t"]], ["w", "p", "t"]))
+        return pa.concat_tables(done)
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode and decode pieces, in queries of a bounded number of rows."""
-        at = 0
-        while at < len(pieces):
-            end, size, words = at, 0, []
-            while end < len(pieces) and (not words or size < ROWS):
-                words.append(pieces[end].encode())
-                size += len(words[-1])
-                end += 1
-            rows = self.tokens(words)
-            self.db.register("rows", rows)
-            ids = self.db.execute("select w, count(*), string_agg(t::varchar, ',' order by p) from rows group by w").fetchall()
-            decoded = dict(self.db.execute(_DECODE.format(rows="rows")).fetchall())
-            self.db.unregister("rows")
-            for w, n, text in ids:
-                self.known[pieces[at + w]] = (n, text, None if decoded[w] == words[w] else bytes(decoded[w]))
-            at = end
+        """Encode and decode pieces, and remember them."""
+        words = [x.encode() for x in pieces]
+        found = self.query("select w, string_agg(t::varchar, ',' order by p) as ids, string_agg(h, '' order by p) as h from rows join vocabulary using (t) group by w", rows=self.tokens(words))
+        for w, ids, h in zip(*(found[c].to_pylist() for c in ("w", "ids", "h")), strict=True):
+            self.young[pieces[w]] = ids
+            self.size += 250 + len(ids) + len(words[w])
+            if (plain := bytes.fromhex(h)) != words[w]:
+                self.changed[pieces[w]] = plain
 
     def segments(self, text: str):
         """Parts of a text whose pieces are those of the whole: cut before a blank that follows no white space."""
@@ -137,18 +164,36 @@ class Codec:
             yield text[at:end]
             at = end
 
-    def encode(self, text: str):
-        """Parts of (number of ids, ids joined by commas, decoded bytes) of a text."""
-        for part in self.segments(text):
-            pieces = self.pieces.findall(part)
-            new = [x for x in dict.fromkeys(pieces) if x not in self.known]
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = list(dict.fromkeys(pieces))
-            if new:
-                self.learn(new)
-            found = [self.known[x] for x in pieces]
-            yield sum(x[0] for x in found), ",".join([x[1] for x in found]), b"".join([x.encode() if y[2] is None else y[2] for x, y in zip(pieces, found, strict=True)])
+    def encode(self, texts: list[str]):
+        """(row, ids joined by commas, decoded bytes) of each text's segments, in order."""
+        group, size = [], 0
+        for i, text in enumerate(texts):
+            for part in self.segments(text):
+                group.append((i, self.pieces.findall(part)))
+                size += len(part)
+                if size >= SEGMENT:
+                    yield from self._looked_up(group)
+                    group, size = [], 0
+        yield from self._looked_up(group)
+
+    def _looked_up(self, group: list[tuple[int, list[str]]]):
+        if self.size > MEMORY:  # what isn't used while the next generation grows is forgotten
+            self.old, self.young, self.size = self.young, {}, 0
+            self.changed = {x: y for x, y in self.changed.items() if x in self.old}
+        new = []
+        for x in set().union(*(pieces for _, pieces in group)):
+            if x not in self.young:
+                if (ids := self.old.get(x)) is None:
+                    new.append(x)
+                else:
+                    self.young[x] = ids
+                    self.size += 250 + len(ids) + len(x)
+        if new:
+            self.learn(new)
+        get = self.young.__getitem__
+        for i, pieces in group:
+            plain = b"".join([self.changed.get(x) or x.encode() for x in pieces]) if self.changed else "".join(pieces).encode()
+            yield i, ",".join(map(get, pieces)), plain
 
 
 @lru_cache(maxsize=2)
@@ -157,44 +202,28 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _warm(coder: Codec, texts: list[str]) -> None:
-    """Learn a batch's new pieces in few queries, instead of a few for each text."""
-    new: dict[str, None] = {}
-    for text in texts:
-        if len(text) <= SEGMENT:
-            new.update((x, None) for x in coder.pieces.findall(text) if x not in coder.known)
-        if len(new) > CACHE // 4:
-            break
-    if new and len(coder.known) + len(new) <= CACHE:
-        coder.learn(list(new))
-
-
 def _run(path: str, pattern: str, digest: bool):
     def run(batches):
         coder = codec(path, pattern)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                _warm(coder, texts)
-                out = []
-                for text in texts:
-                    n, first, ids, plain, all_ids = 0, True, hashlib.sha256(), hashlib.sha256(), []
-                    for count, joined, data in coder.encode(text):
-                        n += count
-                        ids.update(("" if first else ",").encode() + joined.encode())
-                        plain.update(data)
-                        first = False
-                        if not digest:
-                            all_ids += map(int, joined.split(","))
-                    out.append((n, ids.hexdigest(), plain.hexdigest()) if digest else (n, all_ids))
+                n = [0] * batch.num_rows
+                ids, plain, all_ids = ([make() for _ in n] for make in (hashlib.sha256, hashlib.sha256, list))
+                for i, joined, data in coder.encode([t or "" for t in batch.column(1).to_pylist()]):
+                    if digest:
+                        ids[i].update(("," if n[i] else "").encode() + joined.encode())
+                        plain[i].update(data)
+                    else:
+                        all_ids[i] += map(int, joined.split(","))
+                    n[i] += joined.count(",") + 1
                 if digest:
-                    columns = [pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[i] for x in out], pa.string()) for i in (1, 2))]
+                    columns = [pa.array([x.hexdigest() for x in made], pa.string()) for made in (ids, plain)]
                     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 else:
-                    columns = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int32()))]
+                    columns = [pa.array(all_ids, pa.list_(pa.int32()))]
                     names = ["doc_id", "n_tokens", "ids"]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *columns], names)
 
     return run
 
@@ -219,7 +248,7 @@ def _decode(path: str, pattern: str):
             at = 0
             while at < len(ids):
                 end, w, t, p = at, [], [], []
-                while end < len(ids) and (end == at or len(t) < ROWS):
+                while end < len(ids) and (end == at or len(t) < DECODE_ROWS):
                     own = ids[end] or []
                     w += [end] * len(own)
                     p += range(len(own))

@@ -171,9 +171,30 @@ def test_bpe_odd_words():
     coder, rng = bpe.Codec(*BPE), random.Random(1)
     for size in [rng.randint(0, 60) for _ in range(60)] + [400]:
         text = "".join(rng.choice(["aaaa", "th", "the ", " e", "\n", "  ", "é", "日本", "😀", "1", "!!", "'s", "\t", "ab", "abab"]) for _ in range(size))
-        assert ",".join(p[1] for p in coder.encode(text)) == ",".join(map(str, library.encode_ordinary(text)))
-    long = "".join(rng.choice("abcdefgh") for _ in range(900))
-    assert list(coder.encode(long))[0][1] == ",".join(map(str, library.encode_ordinary(long)))
+        assert ",".join(p[1] for p in coder.encode([text])) == ",".join(map(str, library.encode_ordinary(text)))
+    for long in ("".join(rng.choice("abcdefgh") for _ in range(100_000)), "".join(rng.choice(["the", "tion", "ing", "é", "日本", "w"]) for _ in range(20_000)), "w" * 50_000, "ab" * 5_000, "é" * 7_001, "=" * 3_333, " " * 5_000):
+        assert list(coder.encode([long]))[0][1] == ",".join(map(str, library.encode_ordinary(long)))
+    for size in range(1, 300):
+        long = "".join(rng.choice("aehint") for _ in range(size))
+        assert list(coder.encode([long]))[0][1] == ",".join(map(str, library.encode_ordinary(long)))
+
+
+def test_bpe_forgets_in_generations(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY", 5_000)
+    monkeypatch.setattr(bpe, "SEGMENT", 200)
+    with open(BPE[0], "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    library = tiktoken.Encoding("own", pat_str=BPE[1], mergeable_ranks=ranks, special_tokens={})
+    coder, rng = bpe.Codec(*BPE), random.Random(9)
+    texts = [" ".join("".join(rng.choice("aeinst") for _ in range(rng.randint(1, 9))) for _ in range(60)) for _ in range(40)] + [""]
+    got: dict = {}
+    for i, ids, data in coder.encode(texts):
+        got.setdefault(i, []).append((ids, data))
+    assert coder.old
+    for i, text in enumerate(texts[:-1]):
+        assert ",".join(x for x, _ in got[i]) == ",".join(map(str, library.encode_ordinary(text)))
+        assert b"".join(x for _, x in got[i]) == text.encode()
+    assert len(texts) - 1 not in got
 
 
 def test_fingerprints_compose():
