@@ -57,23 +57,36 @@ def skew_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) ->
     return flagged.where("_hot").select(*columns).unionByName(cold.select(*columns))
 
 
-def maybe(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """rows with a boolean ``_maybe``: false where the key surely isn't in ids.
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like the given ones that no column has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def maybe(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """rows with a boolean column, and its name: false where the key surely isn't in ids.
 
     ids is a checkpointed table.  A bitmap of its hashes is broadcast: at most
     2**24 bits in 2**18 rows, however many ids there are; when it is full it
     only stops helping.
     """
+    place, slot, word, flag = unused(rows.columns, "place", "slot", "word", "maybe")
     bits = 1 << max(10, min(24, (64 * ids.count()).bit_length()))
     at = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(bits))
-    words = ids.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))")).alias("_word"))
-    marked = rows.withColumn("_at", at).withColumn("_slot", F.shiftright("_at", 6)).join(F.broadcast(words), "_slot", "left")
-    return marked.withColumn("_maybe", F.expr("(shiftright(coalesce(_word, 0L), cast(_at & 63 as int)) & 1) = 1")).select(*rows.columns, "_maybe")
+    words = ids.select(at.alias(place)).groupBy(F.shiftright(place, 6).alias(slot)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({place} & 63 as int))")).alias(word))
+    marked = rows.withColumn(place, at).withColumn(slot, F.shiftright(place, 6)).join(F.broadcast(words), slot, "left")
+    return marked.select(*rows.columns, F.expr(f"(shiftright(coalesce({word}, 0L), cast({place} & 63 as int)) & 1) = 1").alias(flag)), flag
 
 
 def likely(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key may be in ids: all that are, and few others.  Nothing is shuffled."""
-    return maybe(rows, ids, key).where("_maybe").select(*rows.columns)
+    marked, flag = maybe(rows, ids, key)
+    return marked.where(F.col(flag)).select(*rows.columns)
 
 
 def _contract(batches):

@@ -1,10 +1,16 @@
 """Fuzzy line dedup by MinHash over character shingles.
 
 A line, in ASCII lower case and with white space collapsed, is the set of its distinct
-shingles of ``WIDTH`` bytes.  Equal lines are joined first.  Bands of MinHash
+shingles of ``WIDTH`` characters.  Equal lines are joined first.  Bands of MinHash
 values bring similar lines together, exact Jaccard on the full sets confirms
 them, and connected components are found by a distributed union-find.  Of each
 component one line stays: its first in order of document and line number.
+
+Lines that share a band are dealt in blocks.  A block's lines are compared with
+leads, one after another, until each line is a lead or similar to one; links to
+leads are exact and cost linear work where the lines are alike.  What pairs may
+then still link two components is told by the triangle inequality of the
+Jaccard distance, and compared exactly.
 """
 
 from __future__ import annotations
@@ -12,237 +18,399 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm._shingles import U, mix
-from fieldspark.llm._spark import binary, checkpointed, components, likely, maybe, skew_join
-from fieldspark.llm.near_dedup import BLOCK, admitted, bitmap
+from fieldspark.llm._shingles import U, distinct, mix, texts_of
+from fieldspark.llm._spark import binary, checkpointed, components, likely, maybe, skew_join, unused
 
 WIDTH = 8
-BANDS, DEPTH = 10, 4
+BANDS, DEPTH = 12, 3
+#: Lines of one band that are compared in one task's step.
+BLOCK = 1024
 
 _SEEDS = np.random.default_rng(1234567891).integers(1, 2**31, (2, BANDS * DEPTH)).astype(np.uint32)
 _MUL, _ADD = _SEEDS[0] * np.uint32(2) + np.uint32(1), _SEEDS[1]
+#: Characters that are hashed at a time.
 _PIECE = 1 << 18
-
-
-def _hashes(data: bytes) -> np.ndarray:
-    """A hash for each shingle of a line; a shorter line is one shingle."""
-    raw = np.frombuffer(data, np.uint8).astype(U)
-    n = max(1, len(raw) - WIDTH + 1)
-    acc = np.full(n, U(len(raw) if len(raw) < WIDTH else WIDTH), U)
-    for i in range(min(WIDTH, len(raw))):
-        acc = acc * U(257) + raw[i : i + n]
-    return mix(acc)
+#: Bits of a shingle's hash beside the number of its line.
+_BITS = 50
 
 
 def _shingled(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of all lines' shingles, one line after another, and how many each has.
+    """64-bit hashes of all lines' shingles, one line after another, and how many each has.
 
-    One pass over the joined lines; windows that cross an end are left out.
+    Lines are UTF-8; a shingle is WIDTH code points, and a shorter line is one
+    shingle.  One pass over the joined lines; windows that cross an end are left out.
     """
-    sizes = np.array([len(x) for x in lines])
+    points = [x.decode() for x in lines]
+    sizes = np.array([len(x) for x in points])
     stops = np.cumsum(sizes)
-    raw = np.frombuffer(b"".join(lines) + bytes(WIDTH), np.uint8).astype(U)
+    raw = np.frombuffer(("".join(points) + "\0" * WIDTH).encode("utf-32-le"), "<u4")
     acc = np.full(stops[-1], U(WIDTH), U)
     for i in range(WIDTH):
-        acc = acc * U(257) + raw[i : i + len(acc)]
+        acc = (acc + raw[i : i + len(acc)]) * U(0x9E3779B97F4A7C15)
     inside = np.ones(len(acc), bool)
-    inside[(stops[:, None] - np.arange(1, WIDTH)[None]).ravel()] = False
-    return (mix(acc[inside]) >> U(32)).astype(np.uint32), sizes - WIDTH + 1
+    for back in range(1, WIDTH):
+        inside[stops[sizes >= back] - back] = False
+    short = np.flatnonzero(sizes < WIDTH)
+    for i in short:  # its first place stands for the whole line
+        at = stops[i] - sizes[i]
+        code = U(sizes[i])
+        with np.errstate(over="ignore"):
+            for x in raw[at : stops[i]]:
+                code = (code + U(x)) * U(0x9E3779B97F4A7C15)
+        acc[at] = code
+        inside[at] = True
+    return mix(acc[inside]), np.maximum(1, sizes - WIDTH + 1)
 
 
 def _band_keys(lines: list[bytes]) -> np.ndarray:
     """One key per band for each line."""
-    low = np.full((len(lines), BANDS * DEPTH), np.iinfo(np.uint32).max, np.uint32)
+    low = np.full((BANDS * DEPTH, len(lines)), np.iinfo(np.uint32).max, np.uint32)
 
     def fold(parts, owners):
-        joined, sizes = _shingled(parts)
+        found, sizes = _shingled(parts)
+        joined = (found >> U(32)).astype(np.uint32)
         starts = np.cumsum(sizes) - sizes
+        room = np.empty_like(joined)
         for j in range(BANDS * DEPTH):
-            np.minimum.at(low[:, j], owners, np.minimum.reduceat(joined * _MUL[j] + _ADD[j], starts))
+            np.multiply(joined, _MUL[j], out=room)
+            np.add(room, _ADD[j], out=room)
+            np.minimum.at(low[j], owners, np.minimum.reduceat(room, starts))
 
     parts, owners, size = [], [], 0
     for i, line in enumerate(lines):
-        if len(line) < WIDTH:
-            low[i] = (_hashes(line) >> U(32)).astype(np.uint32) * _MUL + _ADD
-            continue
-        for at in range(0, len(line) - WIDTH + 1, _PIECE):
-            parts.append(line[at : at + _PIECE + WIDTH - 1])
+        whole = [line] if len(line) <= _PIECE else _cut_up(line)
+        for part in whole:
+            parts.append(part)
             owners.append(i)
-            size += len(parts[-1])
+            size += len(part)
             if size >= _PIECE:
                 fold(parts, owners)
                 parts, owners, size = [], [], 0
     if parts:
         fold(parts, owners)
-    wide = low.astype(U).reshape(len(lines), BANDS, DEPTH)
+    wide = low.T.astype(U).reshape(len(lines), BANDS, DEPTH)
     keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U), (len(lines), BANDS))
     for j in range(DEPTH):
         keys = mix(keys * U(0x9E3779B97F4A7C15) ^ wide[:, :, j])
     return keys
 
 
-def _eligible(text: str):
-    """(number, normal form) of the lines with a word: ASCII lower case, white space collapsed."""
-    for number, line in enumerate(text.encode().split(b"\n")):
-        words = line.split()  # of bytes: at just the six white-space characters
-        if words:
-            yield number, b" ".join(words).lower()
+def _cut_up(line: bytes):
+    """A long line in parts that have its shingles between them."""
+    text = line.decode()
+    for at in range(0, max(1, len(text) - WIDTH + 1), _PIECE):
+        yield text[at : at + _PIECE + WIDTH - 1].encode()
 
 
-def _digest(data: bytes) -> tuple[int, int]:
-    found = hashlib.blake2b(data, digest_size=16).digest()
-    return int.from_bytes(found[:8], "little", signed=True), int.from_bytes(found[8:], "little", signed=True)
+def _normal_lines(text: np.ndarray):
+    """(number, normal form) of the lines with a word: ASCII lower case, white space collapsed."""
+    for number, line in enumerate(text.tobytes().lower().split(b"\n")):  # of bytes: lower() and split() know just ASCII
+        words = line.split()
+        if words:
+            yield number, b" ".join(words)
 
 
 def _lines(kind: str):
     """Rows of (a, b, doc, line) and the line's band keys or its normal form."""
 
-    def made(rows):
-        a, b = zip(*(_digest(x[2]) for x in rows), strict=True) if rows else ((), ())
-        columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int32())]
+    def made(docs, counts, numbers, plain):
+        digest = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in plain]), np.int64).reshape(-1, 2)
+        columns = [pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.repeat(np.array(docs, np.int64), counts)), pa.array(numbers, pa.int32())]
         names = ["a", "b", "doc", "line"]
         if kind == "keys":
-            columns.append(binary([x.tobytes() for x in _band_keys([x[2] for x in rows])]))
-            names.append("keys")
+            keys = _band_keys(plain).view(np.int64)
+            columns += [pa.array(np.ascontiguousarray(keys[:, i])) for i in range(BANDS)]
+            names += _KEYS
         if kind == "text":
-            columns.append(binary([x[2] for x in rows]))
+            columns.append(binary(plain))
             names.append("data")
         return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches):
-        rows, size = [], 0
+        docs, counts, numbers, plain, size = [], [], [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for number, plain in _eligible(text or ""):
-                    rows.append((doc, number, plain))
-                    size += len(plain) + 200
-                    if size > 1 << 22:
-                        yield made(rows)
-                        rows, size = [], 0
-        yield made(rows)
+            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                before = len(plain)
+                for number, line in _normal_lines(text):
+                    numbers.append(number)
+                    plain.append(line)
+                    size += len(line) + 200
+                docs.append(doc)
+                counts.append(len(plain) - before)
+                if size > 1 << 22:
+                    yield made(docs, counts, numbers, plain)
+                    docs, counts, numbers, plain, size = [], [], [], [], 0
+        yield made(docs, counts, numbers, plain)
 
     return run
 
 
+_KEYS = [f"k{i}" for i in range(BANDS)]
 _SHAPE = "a long, b long, doc long, line int"
 
 
-def _exploded(batches):
-    for batch in batches:
-        if batch.num_rows:
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.asarray(batch.column(0)), BANDS))], ["key", "id"])
-
-
-def _linked(percent: int, across: bool):
-    """Spanning links inside a block, or between the components in two blocks, each confirmed."""
-
-    def run(key, pdf):
-        pdf = pdf.drop_duplicates("id").reset_index(drop=True)
-        sets = [np.unique(_hashes(x)) for x in pdf["data"]]
-        ids = pdf["id"].tolist()
-        group = pdf["component"].to_numpy() if across else np.arange(len(pdf))
-        left = (pdf["block"] == key[1]).to_numpy() if across and key[1] != key[2] else None
-        parent = {g: g for g in group.tolist()}
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        edges = []
-        sizes = np.array([len(x) for x in sets])
-        for i, j, _ in sorted(admitted(sizes, [bitmap(x) for x in sets], group, percent, left), key=lambda x: -x[2]):
-            x, y = root(int(group[i])), root(int(group[j]))
-            if x != y:
-                same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * same >= percent * (sizes[i] + sizes[j] - same):
-                    parent[x] = y
-                    edges.append((ids[i], ids[j]))
-        return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
+class _Rows:
+    """Lines of whole groups, whose sets are compared with one line's set at a time."""
+
+    def __init__(self, group: np.ndarray, lines: list[bytes]):
+        hashes, sizes = _shingled(lines)
+        row = np.repeat(np.arange(len(lines), dtype=U), sizes)
+        own = distinct(row << U(_BITS) | hashes >> U(64 - _BITS))
+        row = (own >> U(_BITS)).astype(np.int64)
+        # a code for each shingle of a group
+        self.code = np.unique(group[row].astype(U) << U(_BITS) | own & U((1 << _BITS) - 1), return_inverse=True)[1]
+        self.mark = np.zeros(self.code.max() + 1, bool)
+        self.size = np.bincount(row, minlength=len(lines))
+        self.start = np.cumsum(self.size) - self.size
+
+    def distances(self, rows: np.ndarray, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shared shingles and Jaccard distance of each of rows to its group's lead (``leads``: of each row)."""
+        at = [self.code[self.start[i] : self.start[i] + self.size[i]] for i in np.unique(leads)]
+        at = np.concatenate(at)
+        self.mark[at] = True
+        size = self.size[rows]
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1]) + np.repeat(self.start[rows] - (ends - size), size)
+        same = np.add.reduceat(self.mark[self.code[place]].astype(np.int64), ends - size)
+        self.mark[at] = False
+        return same, 1 - same / (size + self.size[leads] - same)
+
+
+def _links(group: np.ndarray, component: np.ndarray, lines: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links that join all components of each group which similar lines connect.
+
+    ``group`` numbers the rows' groups from 0, in order; rows that share a
+    component are linked already.
+    """
+    rows = _Rows(group, lines)
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    parent: dict[int, int] = {}
+    least = 1 - percent / 100
+    edges: list[tuple[int, int]] = []
+
+    def root(x):
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    def join(u, v):
+        x, y = root(int(component[u])), root(int(component[v]))
+        if x != y:
+            parent[x] = y
+            edges.append((int(u), int(v)))
+
+    lead = np.full(len(group), -1)
+    seen: dict[int, list] = {}  # of groups with more than one lead: (lead, distances) by round
+    open_ = np.arange(first.size)
+    last = np.append(first[1:], len(group))
+    rounds = 0
+    while open_.size:
+        # the next lead of each group is its first line that has none
+        free = np.array([f + int(np.argmax(lead[f:e] < 0)) for f, e in zip(first[open_], last[open_], strict=True)])
+        sizes = last[open_] - first[open_]
+        all_rows = np.arange(sizes.sum()) + np.repeat(first[open_] - (np.cumsum(sizes) - sizes), sizes)
+        leads = np.repeat(free, sizes)
+        same, distance = rows.distances(all_rows, leads)
+        near = 100 * same >= percent * (rows.size[all_rows] + rows.size[leads] - same)
+        for u, v in zip(all_rows[near], leads[near], strict=True):
+            join(u, v)
+        new = all_rows[near & (lead[all_rows] < 0)]
+        lead[new] = leads[near & (lead[all_rows] < 0)]
+        lead[free] = free
+        ends = np.cumsum(sizes)
+        rest = np.array([bool((lead[f:e] < 0).any()) for f, e in zip(first[open_], last[open_], strict=True)])
+        for i, g in enumerate(open_):
+            if rounds or rest[i]:
+                seen.setdefault(int(g), []).append((free[i], distance[ends[i] - sizes[i] : ends[i]]))
+        open_ = open_[rest]
+        rounds += 1
+
+    # each pair of lines that aren't leads: x is within `least` of its lead, so y is within d(x) + least of it
+    for g, found in seen.items():
+        own = np.arange(first[g], last[g])
+        label = np.array([root(int(component[i])) for i in own])
+        if (label == label[0]).all():
+            continue
+        table = np.stack([x for _, x in found])
+        follower = np.array([lead[i] != i for i in own])
+        for at, (head, distance) in enumerate(found):
+            mine = np.flatnonzero((lead[own] == head) & follower)
+            others = np.flatnonzero(follower & (label != root(int(component[head]))) & (distance <= 2 * least + 1e-9))
+            if not len(mine) or not len(others):
+                continue
+            for x in mine:
+                some = others[distance[others] <= distance[x] + least + 1e-9]
+                some = some[(np.abs(table[:, some] - table[:, [x]]) <= least + 1e-9).all(axis=0)]
+                some = some[[root(int(component[own[y]])) != root(int(component[own[x]])) for y in some]] if len(some) else some
+                if len(some):
+                    same, _ = rows.distances(own[some], np.full(len(some), own[x]))
+                    for y in some[100 * same >= percent * (rows.size[own[some]] + rows.size[own[x]] - same)]:
+                        join(own[x], own[y])
+    return edges
+
+
+def _linked(percent: int):
+    """(u, v) links of the groups of rows (x, y, z, id, component, data), sorted by x, y, z."""
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        key = np.stack([np.asarray(table.column(i)) for i in range(3)])
+        # lines that are dealt twice to a group count once
+        order = np.lexsort((np.asarray(table.column(3)), *key[::-1]))
+        ids = np.asarray(table.column(3))[order]
+        key = key[:, order]
+        change = np.ones(len(ids), bool)
+        change[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+        once = change.copy()
+        once[1:] |= ids[1:] != ids[:-1]
+        group = (np.cumsum(change) - 1)[once]
+        order, ids = order[once], ids[once]
+        lines = table.column(5).take(pa.array(order)).to_pylist()
+        found = _links(group, np.asarray(table.column(4))[order], lines, percent)
+        return pa.RecordBatch.from_arrays([pa.array([ids[u] for u, _ in found], pa.int64()), pa.array([ids[v] for _, v in found], pa.int64())], ["u", "v"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y, z = (np.asarray(batch.column(i)) for i in range(3))
+            starts = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])))
+            if held:
+                old = held[-1].slice(held[-1].num_rows - 1, 1)
+                if all(old.column(i)[0].as_py() == batch.column(i)[0].as_py() for i in range(3)):
+                    starts = starts[1:]
+            at = 0
+            for start in starts:
+                part = batch.slice(at, start - at)
+                if part.num_rows:
+                    held.append(part)
+                    size += part.get_total_buffer_size() * part.num_rows // batch.num_rows
+                if size > 1 << 20 and held:
+                    yield done(pa.Table.from_batches(held))
+                    held, size = [], 0
+                at = start
+            held.append(batch.slice(at))
+            size += batch.get_total_buffer_size() * (batch.num_rows - at) // batch.num_rows
+        if held:
+            yield done(pa.Table.from_batches(held))
 
     return run
 
 
+def _verified(dealt: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links inside the groups (x, y, z) of ``dealt(x, y, z, id, component)``."""
+    rows = dealt.join(texts, "id").select("x", "y", "z", "id", "component", "data")
+    return rows.repartition("x", "y", "z").sortWithinPartitions("x", "y", "z").mapInArrow(_linked(percent), "u long, v long")
+
+
 def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``doc_id, line``: the lines of ``doc_id, text`` that another line stands for.
 
     ``line`` counts from 0 over the ``\\n``-separated lines.  Blank lines are
-    never listed.  Rows with a null id or text take no part; rows of the same
-    id count as one document, so their like-numbered lines share their fate.
+    never listed; all others take part, however short or long.  Rows with a
+    null id or text take no part; rows of the same id count as one document, so
+    their like-numbered lines share their fate.  ``doc_id`` must be an integer
+    or its text (other texts raise an error).  An empty table gives an empty
+    result.
+
+    Two lines of similarity 0.8 share a band with probability 0.9998, and more
+    above that; equal lines are always found.
     """
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(_lines("keys"), f"{_SHAPE}, keys binary")
-    lines = found.groupBy("a", "b").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"), F.max("keys").alias("keys"))
-    lines = checkpointed(lines).withColumn("id", F.monotonically_increasing_id())
-
-    keys = lines.select("id", "keys").mapInArrow(_exploded, "key long, id long")
-    counts = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    counts = checkpointed(counts)
-    some = likely(keys, counts, "key")
-    shared = some.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.min("id").alias("lead")).where("size > 1")
-    shared = checkpointed(shared.groupBy("size", "x", "y", "lead").agg(F.min("key").alias("key")).select("key", "size", "lead"))
-    members = skew_join(likely(keys, shared, "key"), shared, ["key"], "size")
+    found = rows.mapInArrow(_lines("keys"), f"{_SHAPE}, {', '.join(f'{k} long' for k in _KEYS)}")
+    # a line's place as one number, which a hash aggregate can take the least of
+    place = F.col("doc").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
+    lines = found.withColumn("place", place.cast("decimal(38,0)")).groupBy("a", "b").agg(F.min("place").alias("place"), F.count("*").alias("n"), *(F.max(k).alias(k) for k in _KEYS))
+    line = F.pmod("place", F.lit(1 << 31).cast("decimal(10,0)"))
+    doc = ((F.col("place") - line) / F.lit(1 << 31).cast("decimal(10,0)")).cast("long")
+    lines = checkpointed(lines.select("a", "b", "n", doc.alias("doc"), line.cast("int").alias("line"), F.array(*_KEYS).alias("keys"))).withColumn("id", F.monotonically_increasing_id())
+
+    keys = lines.select("id", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lead")).where("size > 1")
+    # keys with the same members do the same work: one of them stays
+    shared = checkpointed(shared.groupBy("size", "x", "lead").agg(F.min("key").alias("key")).select("key", "size", "lead"))
+    members = skew_join(likely(keys, shared, "key"), shared.drop("lead"), ["key"], "size")
     members = checkpointed(members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")))
 
-    wanted = lines.join(members.select("id").distinct(), "id").select("id", F.col("first.doc").alias("doc_id"), F.col("first.line").alias("line"))
-    wanted = checkpointed(wanted)
-    texts = likely(rows, wanted, "doc_id").mapInArrow(_lines("text"), f"{_SHAPE}, data binary").select(F.col("doc").alias("doc_id"), "line", "data")
-    texts = checkpointed(texts.join(wanted, ["doc_id", "line"]).select("id", "data"))
+    wanted = checkpointed(lines.join(members.select("id").distinct(), "id").select("id", F.col("doc").alias("doc"), "line", F.xxhash64("doc", "line").alias("at")))
+    texts = likely(rows, wanted.select(F.col("doc").alias("doc_id")), "doc_id").mapInArrow(_lines("text"), f"{_SHAPE}, data binary").select("doc", "line", "data", F.xxhash64("doc", "line").alias("at"))
+    texts = likely(texts, wanted, "at").join(wanted.drop("at"), ["doc", "line"])
+    texts = checkpointed(texts.dropDuplicates(["id"]).select("id", "data"))  # rows of one id may repeat a line
 
+    # inside blocks; a large key's lead is in each of its blocks
     leads = shared.where(f"size > {BLOCK}").select("key", F.col("lead").alias("id"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("block"))
-    dealt = members.select("key", "id", "block").unionByName(leads)
-    first = checkpointed(dealt.join(texts, "id").groupBy("key", "block").applyInPandas(_linked(percent, False), "u long, v long").distinct())
-    merged = checkpointed(components(first))
-    placed = members.join(merged.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    # inside one block every link was looked for
-    mixed = placed.where("blocks > 1").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n_members")).where("lo < hi").select("key", "n_members")
-    open_ = skew_join(placed.drop("size"), checkpointed(mixed), ["key"], "n_members").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.where("block <> other").select("key", "id", "component", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    second = open_.join(texts, "id").groupBy("key", "p", "q").applyInPandas(_linked(percent, True), "u long, v long").distinct()
-    linked = components(first.unionByName(second))
+    dealt = members.select("key", "id", "block").unionByName(leads).select(F.col("key").alias("x"), F.col("block").alias("y"), F.lit(0).alias("z"), "id", F.col("id").alias("component"))
+    linked = checkpointed(_verified(dealt, texts, percent).distinct())
+    merged = components(linked)
+
+    # of large keys that aren't one component yet, whatever isn't in the largest one meets all blocks
+    large = members.where("blocks > 1")
+    if not large.isEmpty():
+        merged = checkpointed(merged)
+        placed = checkpointed(large.join(merged.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+        parts = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
+        most = parts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("parts"), F.sum("m").alias("all")).where("parts > 1")
+        most = checkpointed(most.select("key", "all", F.col("most.component").alias("main"), F.ceil((F.col("all") - F.col("most.m")) / BLOCK).cast("int").alias("sides")))
+        mixed = checkpointed(skew_join(placed, most, ["key"], "all"))
+        side = F.pmod(F.xxhash64("id", F.lit(11)), F.col("sides")).cast("int")
+        base = mixed.select("key", "block", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), "id", "component")
+        others = mixed.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), side.alias("side"), "id", "component")
+        across = base.unionByName(others).select(F.col("key").alias("x"), F.col("block").alias("y"), F.col("side").alias("z"), "id", "component")
+        second = checkpointed(_verified(across, texts, percent).distinct())
+        if not second.isEmpty():
+            merged = components(linked.unionByName(second))
+    merged = checkpointed(merged)
 
     # each line's component and that component's first place
-    named = lines.select("a", "b", "n", "id", "first").join(linked.withColumnRenamed("node", "id"), "id", "left")
-    alone = named.where("component is null and n > 1").select("a", "b", "n", F.col("first.doc").alias("keep_doc"), F.col("first.line").alias("keep_line"))
-    grouped = checkpointed(named.where("component is not null").select("a", "b", "n", "component", "first"))
-    best = checkpointed(grouped.groupBy("component").agg(F.min("first").alias("keep"), F.count("*").alias("m")))
+    named = lines.select("a", "b", "n", "id", "doc", "line").join(merged.withColumnRenamed("node", "id"), "id", "left")
+    alone = named.where("component is null and n > 1").select("a", "b", "n", F.col("doc").alias("keep_doc"), F.col("line").alias("keep_line"))
+    grouped = checkpointed(named.where("component is not null").select("a", "b", "n", "component", "doc", "line"))
+    best = checkpointed(grouped.groupBy("component").agg(F.min(F.struct("doc", "line")).alias("keep"), F.count("*").alias("m")))
     grouped = skew_join(grouped, best, ["component"], "m").select("a", "b", "n", F.col("keep.doc").alias("keep_doc"), F.col("keep.line").alias("keep_line"))
     fate = checkpointed(alone.unionByName(grouped))
-    places = likely(rows.mapInArrow(_lines(""), _SHAPE).withColumn("ab", F.xxhash64("a", "b")), fate.select(F.xxhash64("a", "b").alias("ab")), "ab").drop("ab")
+    places = likely(rows.mapInArrow(_lines(""), _SHAPE), fate, "a")
     out = skew_join(places, fate, ["a", "b"], "n").where("doc <> keep_doc or line <> keep_line")
-    return out.select(F.col("doc").alias("doc_id"), "line").distinct()
+    return out.select(F.col("doc").alias("doc_id"), "line")
 
 
 def _cut(batches):
+    """Rows less the lines that the last column numbers."""
     for batch in batches:
+        last = batch.num_columns - 1
         at = batch.schema.get_field_index("text")
-        gone = batch.column(batch.schema.get_field_index("_gone")).to_pylist()
         texts = []
-        for text, numbers in zip(batch.column(at).cast(pa.string()).to_pylist(), gone, strict=True):
+        for text, numbers in zip(batch.column(at).cast(pa.string()).to_pylist(), batch.column(last).to_pylist(), strict=True):
             drop = set(numbers or ())
             texts.append(text if not drop else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop))
-        kept = batch.drop_columns(["_gone"])
-        yield kept.set_column(at, kept.schema.field(at), pa.array(texts, kept.schema.field(at).type))
+        columns = [pa.array(texts, x.type) if i == at else x for i, x in enumerate(batch.columns)]
+        yield pa.RecordBatch.from_arrays(columns[:last], batch.schema.names[:last])
 
 
-def without_duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+def without_duplicate_lines(docs: DataFrame, percent: int = 80, drop_emptied: bool = False) -> DataFrame:
     """docs, all columns and rows, with the duplicate lines cut from ``text``.
 
-    A document that loses every line stays with an empty text.  ``n_chars``,
-    where there is one, is counted anew.  Rows with a null id or text, and
-    documents without duplicate lines, are passed on unchanged and unshuffled.
+    A document that loses every line with a word stays with what blank lines it
+    has, or goes with ``drop_emptied``: other documents have all that it said.
+    ``n_chars``, where there is one, is counted anew for cut rows.  Rows with a
+    null id or text, and documents without duplicate lines, are passed on
+    unchanged and unshuffled.  No column name is reserved.
     """
-    gone = checkpointed(duplicate_lines(docs, percent).groupBy("doc_id").agg(F.collect_list("line").alias("_gone")).withColumnRenamed("doc_id", "_id"))
-    marked = maybe(docs.withColumn("_id", F.col("doc_id").cast("long")), gone, "_id")
-    touched = marked.where("_maybe and text is not null").drop("_maybe").join(gone, "_id", "left").drop("_id")
-    cut = touched.mapInArrow(_cut, docs.schema)
+    key, many = unused(docs.columns, "id", "gone")
+    gone = duplicate_lines(docs, percent).groupBy("doc_id").agg(F.collect_set("line").alias(many)).withColumnRenamed("doc_id", key)
+    gone = checkpointed(gone)
+    marked, flag = maybe(docs.withColumn(key, F.col("doc_id").cast("long")), gone, key)
+    touched = marked.where(F.col(flag) & F.col("text").isNotNull()).join(gone, key, "left")
+    cut = touched.select(*docs.columns, many).mapInArrow(_cut, docs.schema)
+    if drop_emptied:
+        kept = touched.where(F.col(many).isNull()).select(*docs.columns)
+        cut = touched.where(F.col(many).isNotNull()).select(*docs.columns, many).mapInArrow(_cut, docs.schema).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.unionByName(marked.where("not _maybe or text is null").drop("_maybe", "_id"))
+    if drop_emptied:
+        cut = cut.unionByName(kept)
+    return cut.unionByName(marked.where(~F.col(flag) | F.col("text").isNull()).select(*docs.columns))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm._shingles import SLICE, texts_of, word_batches
+from fieldspark.llm._shingles import SLICE, distinct, texts_of, word_batches
 
 #: Labelled rows that are learned, at most; chosen by a hash of the id.
 SAMPLE_ROWS = 4_000
@@ -43,7 +43,7 @@ def terms(column) -> np.ndarray:
                 out[i, :TERMS] += np.bincount((code >> np.uint32(13)) % np.uint32(TERMS), minlength=TERMS)
         if len(words) > 1:
             out[i, TERMS] = np.count_nonzero(words[1:] == words[:-1])
-            out[i, TERMS + 1] = len(words) - len(np.unique(words))
+            out[i, TERMS + 1] = len(words) - len(distinct(words))
     return out
 
 

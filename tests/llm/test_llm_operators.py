@@ -278,35 +278,118 @@ def test_shingles_match_text():
     assert len(shingles(word_hashes(np.frombuffer(text.encode(), np.uint8)), 4)) == 6  # two of eight windows recur
 
 
-def test_line_dedup_equals_brute_force(docs, rows):
+def _plain_lines(texts):
+    """{(doc, line): normal form}, written apart from the operator."""
+    out = {}
+    for doc, text in texts:
+        for number, line in enumerate((text or "").split("\n")):
+            plain = re.sub("[\x20\x09-\x0d]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), line)).strip(" ")
+            if plain:
+                out[doc, number] = plain
+    return out
+
+
+def _duplicate_places(texts):
+    places = _plain_lines(texts)
     first: dict = {}
-    places = {}
-    for doc, text, *_ in sorted(rows):
-        for number, plain in line_dedup._eligible(text):
-            first.setdefault(plain, (doc, number))
-            places[doc, number] = plain
-    names = {p: i for i, p in enumerate(first)}
-    parts = _components({i: set(line_dedup._hashes(p).tolist()) for p, i in names.items()}, 80)
-    keep: dict = {}
-    for plain, place in first.items():
-        root = parts[names[plain]]
-        keep[root] = min(keep.get(root, place), place)
-    want = {place for place, plain in places.items() if keep[parts[names[plain]]] != place}
-    assert {(r[0], r[1]) for r in line_dedup.duplicate_lines(docs).collect()} == want
+    for place in sorted(places):
+        first.setdefault(places[place], place)
+    sets = {place: {plain[i : i + 8] for i in range(max(1, len(plain) - 7))} for plain, place in first.items()}
+    parts = _components(sets, 80)  # a root is the least of its places
+    return {p for p, plain in places.items() if parts[first[plain]] != p}
+
+
+def test_line_dedup_equals_brute_force(docs, rows):
+    assert {tuple(r) for r in line_dedup.duplicate_lines(docs).collect()} == _duplicate_places([(r[0], r[1]) for r in rows])
 
 
 def test_line_dedup_takes_short_lines(spark):
     texts = ["}\n\nErheed. Titionly.\nhttps://example.org/a/very/long/path/1\n-", "erheed.  TITIONLY.\n}\n \nhttps://example.org/a/very/long/path/2\nend", "\n\n}", "-a\nabcdefgh\nabcdefghi"]
-    first: dict = {}
-    sets, places = {}, {}
-    for doc, text in enumerate(texts):
-        for number, line in enumerate(text.split("\n")):
-            if plain := " ".join(line.lower().split()):
-                place = places[doc, number] = first.setdefault(plain, (doc, number))
-                sets[place] = {plain[i : i + 8] for i in range(max(1, len(plain) - 7))}
-    parts = _components(sets, 80)  # a root is the least of its places
-    got = line_dedup.duplicate_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {tuple(r) for r in got} == {p for p, place in places.items() if parts[place] != p} == {(1, 0), (1, 1), (1, 3), (2, 2)}
+    got = {tuple(r) for r in line_dedup.duplicate_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == _duplicate_places(enumerate(texts)) == {(1, 0), (1, 1), (1, 3), (2, 2)}
+
+
+def test_line_dedup_of_characters_blocks_and_chains(spark, monkeypatch):
+    """Non-ASCII lines, lines just over and under the threshold, chains, and keys of several blocks."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzéàüßñçøåžйдл日本語"
+    texts = []
+    for doc in range(12):
+        base = [rng.choice(letters) for _ in range(rng.choice([6, 40, 200]))]
+        lines = []
+        for _ in range(40):
+            if rng.random() < 0.7:  # drifts on, so that far ends of a chain differ
+                base[rng.randrange(len(base))] = rng.choice(letters)
+            lines.append("".join(base) + ("  " if rng.random() < 0.2 else "") + rng.choice(["", " X", "\t"]))
+        texts.append((doc - 3, "\n".join(lines)))
+    want = _duplicate_places(texts)
+    got = {tuple(r) for r in line_dedup.duplicate_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got <= want  # banding may miss a link of the chain, and nothing else
+    assert len(got) >= 0.97 * len(want)
+
+
+def test_line_links_are_all_found():
+    """Whatever shares a block is compared exactly, through leads and the triangle inequality."""
+    rng = random.Random(8)
+    for percent in (50, 80):
+        for _ in range(40):
+            base = [rng.choice("abcdef ") for _ in range(60)]
+            lines = []
+            for _ in range(30):
+                if rng.random() < 0.15:
+                    base = [rng.choice("abcdef ") for _ in range(60)]
+                base[rng.randrange(60)] = rng.choice("ghijk")
+                if rng.random() < 0.5:
+                    base[rng.randrange(60)] = rng.choice("ghijk")
+                lines.append("".join(base))
+            sets = {i: {x[j : j + 8] for j in range(len(x) - 7)} for i, x in enumerate(lines)}
+            component = np.arange(30)
+            edges = line_dedup._links(np.zeros(30, np.int64), component, [x.encode() for x in lines], percent)
+            assert _joined_by(edges, 30) == list(_components(sets, percent).values())
+            # part of the links given: what is found joins the rest
+            given = np.array([_components(sets, percent)[i] if i % 2 else i for i in range(30)])
+            edges = line_dedup._links(np.zeros(30, np.int64), given, [x.encode() for x in lines], percent)
+            edges += [(i, j) for i in range(30) for j in range(i) if given[i] == given[j]]
+            assert _joined_by(edges, 30) == list(_components(sets, percent).values())
+
+
+def _joined_by(edges, n):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        a, b = root(u), root(v)
+        parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+def test_line_dedup_recall_at_the_threshold():
+    """Pairs of a similarity from 0.8 to 0.85 share a band, nearly all of them."""
+    rng = random.Random(11)
+    pairs = []
+    while len(pairs) < 2000:
+        a = "".join(rng.choice("abcdefghijklmnop ") for _ in range(160))
+        cut = rng.randint(8, 14)
+        b = a[:-cut] + "".join(rng.choice("qrstuv") for _ in range(cut))
+        x, y = ({t[i : i + 8] for i in range(len(t) - 7)} for t in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) < 0.85:
+            pairs += [a.encode(), b.encode()]
+    keys = line_dedup._band_keys(pairs)
+    assert (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.999
+
+
+def test_line_dedup_reserves_no_column(spark):
+    clashing = ["_id", "id", "gone", "_gone", "maybe", "place", "slot", "word", "line", "key", "a", "b", "n"]
+    made = spark.createDataFrame([(1, "same line here\nown words one", *range(13)), (2, "same line here\nother end", *range(13)), (3, "Same  line here", *range(13)), (None, "same line here", *range(13)), (4, None, *range(13))], "doc_id long, text string, " + ", ".join(f"{c} int" for c in clashing))
+    got = line_dedup.without_duplicate_lines(made)
+    assert got.columns == made.columns
+    assert {(r["doc_id"], r["text"], r["word"]) for r in got.collect()} == {(1, "same line here\nown words one", 7), (2, "other end", 7), (3, "", 7), (None, "same line here", 7), (4, None, 7)}
+    assert {r["doc_id"] for r in line_dedup.without_duplicate_lines(made, drop_emptied=True).collect()} == {1, 2, None, 4}
 
 
 def test_packing_holds_its_constraints(docs, rows):
