@@ -19,6 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,32 +39,36 @@ _PIECE = 1 << 18
 _BITS = 50
 
 
-def _shingled(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all lines' shingles, one line after another, and how many each has.
+def _shingled(lines: list[bytes], wide: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (of 64 or 32 bits) of all lines' shingles, one line after another, and how many each has.
 
     Lines are UTF-8; a shingle is WIDTH code points, and a shorter line is one
     shingle.  One pass over the joined lines; windows that cross an end are left out.
     """
+    kind, factor = (U, U(0x9E3779B97F4A7C15)) if wide else (np.uint32, np.uint32(0x9E3779B1))
     points = [x.decode() for x in lines]
     sizes = np.array([len(x) for x in points])
     stops = np.cumsum(sizes)
-    raw = np.frombuffer(("".join(points) + "\0" * WIDTH).encode("utf-32-le"), "<u4")
-    acc = np.full(stops[-1], U(WIDTH), U)
+    raw = np.frombuffer(("".join(points) + "\0" * WIDTH).encode("utf-32-le"), "<u4").astype(kind, copy=False)
+    acc = np.full(stops[-1], kind(WIDTH))
     for i in range(WIDTH):
-        acc = (acc + raw[i : i + len(acc)]) * U(0x9E3779B97F4A7C15)
+        np.add(acc, raw[i : i + len(acc)], out=acc)
+        np.multiply(acc, factor, out=acc)
     inside = np.ones(len(acc), bool)
     for back in range(1, WIDTH):
         inside[stops[sizes >= back] - back] = False
-    short = np.flatnonzero(sizes < WIDTH)
-    for i in short:  # its first place stands for the whole line
-        at = stops[i] - sizes[i]
-        code = U(sizes[i])
-        with np.errstate(over="ignore"):
-            for x in raw[at : stops[i]]:
-                code = (code + U(x)) * U(0x9E3779B97F4A7C15)
-        acc[at] = code
+    for i in np.flatnonzero(sizes < WIDTH):  # its first place stands for the whole line
+        at, code = stops[i] - sizes[i], int(sizes[i])
+        for x in raw[at : stops[i]].tolist():
+            code = (code + x) * int(factor)
+        acc[at] = code & int(np.iinfo(kind).max)
         inside[at] = True
-    return mix(acc[inside]), np.maximum(1, sizes - WIDTH + 1)
+    acc = acc[inside]
+    if wide:
+        return mix(acc), np.maximum(1, sizes - WIDTH + 1)
+    acc = (acc ^ (acc >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    acc = (acc ^ (acc >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return acc ^ (acc >> np.uint32(16)), np.maximum(1, sizes - WIDTH + 1)
 
 
 def _band_keys(lines: list[bytes]) -> np.ndarray:
@@ -71,25 +76,24 @@ def _band_keys(lines: list[bytes]) -> np.ndarray:
     low = np.full((BANDS * DEPTH, len(lines)), np.iinfo(np.uint32).max, np.uint32)
 
     def fold(parts, owners):
-        found, sizes = _shingled(parts)
-        joined = (found >> U(32)).astype(np.uint32)
+        joined, sizes = _shingled(parts, wide=False)
         starts = np.cumsum(sizes) - sizes
         room = np.empty_like(joined)
+        owners = np.array(owners)
         for j in range(BANDS * DEPTH):
             np.multiply(joined, _MUL[j], out=room)
             np.add(room, _ADD[j], out=room)
-            np.minimum.at(low[j], owners, np.minimum.reduceat(room, starts))
+            low[j, owners] = np.minimum(low[j, owners], np.minimum.reduceat(room, starts))
 
     parts, owners, size = [], [], 0
     for i, line in enumerate(lines):
-        whole = [line] if len(line) <= _PIECE else _cut_up(line)
-        for part in whole:
+        for part in [line] if len(line) <= _PIECE else _cut_up(line):
+            if size + len(part) > _PIECE and parts:  # so no line has two parts in one pass
+                fold(parts, owners)
+                parts, owners, size = [], [], 0
             parts.append(part)
             owners.append(i)
             size += len(part)
-            if size >= _PIECE:
-                fold(parts, owners)
-                parts, owners, size = [], [], 0
     if parts:
         fold(parts, owners)
     wide = low.T.astype(U).reshape(len(lines), BANDS, DEPTH)
@@ -102,7 +106,7 @@ def _band_keys(lines: list[bytes]) -> np.ndarray:
 def _cut_up(line: bytes):
     """A long line in parts that have its shingles between them."""
     text = line.decode()
-    for at in range(0, max(1, len(text) - WIDTH + 1), _PIECE):
+    for at in range(0, len(text) - WIDTH + 1, _PIECE):  # over _PIECE bytes with the next, so that two don't fit in a pass
         yield text[at : at + _PIECE + WIDTH - 1].encode()
 
 
@@ -273,29 +277,22 @@ def _linked(percent: int):
         return pa.RecordBatch.from_arrays([pa.array([ids[u] for u, _ in found], pa.int64()), pa.array([ids[v] for _, v in found], pa.int64())], ["u", "v"])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # from the last group's start on
         size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y, z = (np.asarray(batch.column(i)) for i in range(3))
-            starts = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])))
-            if held:
-                old = held[-1].slice(held[-1].num_rows - 1, 1)
-                if all(old.column(i)[0].as_py() == batch.column(i)[0].as_py() for i in range(3)):
-                    starts = starts[1:]
+            key = np.stack([np.asarray(batch.column(i)) for i in range(3)])
+            before = np.array([[c[-1].as_py()] for c in held[-1].columns[:3]]) if held else key[:, :1] ^ 1
+            starts = np.flatnonzero((key != np.concatenate([before, key[:, :-1]], axis=1)).any(axis=0))
+            bytes_ = np.append(0, np.cumsum(np.asarray(pc.binary_length(batch.column(5)), np.int64)))
             at = 0
-            for start in starts:
-                part = batch.slice(at, start - at)
-                if part.num_rows:
-                    held.append(part)
-                    size += part.get_total_buffer_size() * part.num_rows // batch.num_rows
-                if size > 1 << 20 and held:
-                    yield done(pa.Table.from_batches(held))
-                    held, size = [], 0
-                at = start
+            for start in starts.tolist():
+                if size + bytes_[start] - bytes_[at] > _PIECE and (held or start > at):
+                    yield done(pa.Table.from_batches([*held, batch.slice(at, start - at)]))
+                    held, size, at = [], 0, start
             held.append(batch.slice(at))
-            size += batch.get_total_buffer_size() * (batch.num_rows - at) // batch.num_rows
+            size += int(bytes_[-1] - bytes_[at])
         if held:
             yield done(pa.Table.from_batches(held))
 
@@ -373,7 +370,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     best = checkpointed(grouped.groupBy("component").agg(F.min(F.struct("doc", "line")).alias("keep"), F.count("*").alias("m")))
     grouped = skew_join(grouped, best, ["component"], "m").select("a", "b", "n", F.col("keep.doc").alias("keep_doc"), F.col("keep.line").alias("keep_line"))
     fate = checkpointed(alone.unionByName(grouped))
-    places = likely(rows.mapInArrow(_lines(""), _SHAPE), fate, "a")
+    places = checkpointed(likely(rows.mapInArrow(_lines(""), _SHAPE), fate, "a"))  # the join reads them twice
     out = skew_join(places, fate, ["a", "b"], "n").where("doc <> keep_doc or line <> keep_line")
     return out.select(F.col("doc").alias("doc_id"), "line")
 
