@@ -27,7 +27,8 @@ from fieldspark.llm._shingles import U, distinct, mix, texts_of
 from fieldspark.llm._spark import binary, checkpointed, components, likely, maybe, skew_join, unused
 
 WIDTH = 8
-BANDS, DEPTH = 12, 3
+#: Of lines alike by chance, a share of similarity**DEPTH meets in a band: three values were too few for many lines.
+BANDS, DEPTH = 12, 4
 #: Lines of one band that are compared in one task's step.
 BLOCK = 1024
 
@@ -119,12 +120,15 @@ def _normal_lines(text: np.ndarray):
 
 
 def _lines(kind: str):
-    """Rows of (a, b, doc, line) and the line's band keys or its normal form."""
+    """Rows of (doc, line) and the line's digest (a, b), that and its band keys, or its normal form."""
 
     def made(docs, counts, numbers, plain):
-        digest = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in plain]), np.int64).reshape(-1, 2)
-        columns = [pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.repeat(np.array(docs, np.int64), counts)), pa.array(numbers, pa.int32())]
-        names = ["a", "b", "doc", "line"]
+        columns = [pa.array(np.repeat(np.array(docs, np.int64), counts)), pa.array(numbers, pa.int32())]
+        names = ["doc", "line"]
+        if kind != "text":
+            digest = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in plain]), np.int64).reshape(-1, 2)
+            columns += [pa.array(digest[:, 0]), pa.array(digest[:, 1])]
+            names += ["a", "b"]
         if kind == "keys":
             keys = _band_keys(plain).view(np.int64)
             columns += [pa.array(np.ascontiguousarray(keys[:, i])) for i in range(BANDS)]
@@ -154,7 +158,8 @@ def _lines(kind: str):
 
 
 _KEYS = [f"k{i}" for i in range(BANDS)]
-_SHAPE = "a long, b long, doc long, line int"
+_PLACE = "doc long, line int"
+_SHAPE = f"{_PLACE}, a long, b long"
 
 
 class _Rows:
@@ -198,7 +203,7 @@ def _links(group: np.ndarray, component: np.ndarray, lines: list[bytes], percent
 
     def root(x):
         while (up := parent.get(x, x)) != x:
-            x = up
+            parent[x] = x = parent.get(up, up)
         return x
 
     def join(u, v):
@@ -315,7 +320,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     or its text (other texts raise an error).  An empty table gives an empty
     result.
 
-    Two lines of similarity 0.8 share a band with probability 0.9998, and more
+    Two lines of similarity 0.8 share a band with probability 0.998, and more
     above that; equal lines are always found.
     """
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -331,11 +336,11 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lead")).where("size > 1")
     # keys with the same members do the same work: one of them stays
     shared = checkpointed(shared.groupBy("size", "x", "lead").agg(F.min("key").alias("key")).select("key", "size", "lead"))
-    members = skew_join(likely(keys, shared, "key"), shared.drop("lead"), ["key"], "size")
+    members = skew_join(checkpointed(likely(keys, shared, "key")), shared.drop("lead"), ["key"], "size")
     members = checkpointed(members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")))
 
     wanted = checkpointed(lines.join(members.select("id").distinct(), "id").select("id", F.col("doc").alias("doc"), "line", F.xxhash64("doc", "line").alias("at")))
-    texts = likely(rows, wanted.select(F.col("doc").alias("doc_id")), "doc_id").mapInArrow(_lines("text"), f"{_SHAPE}, data binary").select("doc", "line", "data", F.xxhash64("doc", "line").alias("at"))
+    texts = likely(rows, wanted.select(F.col("doc").alias("doc_id")), "doc_id").mapInArrow(_lines("text"), f"{_PLACE}, data binary").select("doc", "line", "data", F.xxhash64("doc", "line").alias("at"))
     texts = likely(texts, wanted, "at").join(wanted.drop("at"), ["doc", "line"])
     texts = checkpointed(texts.dropDuplicates(["id"]).select("id", "data"))  # rows of one id may repeat a line
 
