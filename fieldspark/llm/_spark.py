@@ -89,6 +89,27 @@ def likely(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return marked.where(F.col(flag)).select(*rows.columns)
 
 
+def ranked(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """rows with their place ``rank`` in the order of keys, from 0, and the number of rows.
+
+    Rows are sorted in ranges of the keys; one count per range makes places
+    global.  Rows alike in all keys are interchangeable.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the checkpoint fixes partitions and their order
+    ordered = checkpointed(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys))
+    part, at, start = unused(rows.columns, "part", "at", "start")
+    numbered = ordered.withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = {r[0]: r[1] for r in numbered.groupBy(part).agg(F.count("*")).collect()}  # one row per partition
+    starts, total = [], 0
+    for number in sorted(sizes):
+        starts.append((number, total))
+        total += sizes[number]
+    offsets = spark.createDataFrame(starts or [(0, 0)], f"{part} long, {start} long")
+    return numbered.join(F.broadcast(offsets), part).select(*rows.columns, (F.col(start) + F.col(at)).alias("rank")), total
+
+
 def _contract(batches):
     """Union-find over one task's edges; yields a star for each local component."""
     parent: dict = {}

@@ -14,14 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fieldspark.llm._spark import checkpointed
 
 #: Labelled rows that the model is fitted on, at most; chosen by a hash of the id.
 SAMPLE_ROWS = 8_000
-#: Words and n-grams kept per language.
-WORDS, GRAMS = 20_000, 8_000
 LONGEST = 4
 UNKNOWN = "und"
 #: Documents below this mean word posterior are rejected by :func:`known_language`.
@@ -121,8 +118,8 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     """Fit on ``doc_id, text, lang``; rows without a text or lang don't count.
 
     At most ``rows`` documents are used, those with the smallest hash of their
-    id; everything that the driver collects is bounded by WORDS and GRAMS per
-    language.  None if there is nothing to learn from.
+    id (the only bound); all their words and sequences count.  None if there is
+    nothing to learn from.
     """
     docs = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"))
     last = docs.select("h").orderBy("h").limit(rows).agg(F.max("h").alias("h")).first()["h"]
@@ -132,18 +129,15 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     words = docs.where(F.col("h") <= last).select("lang", "text", F.lit(1)).mapInArrow(_counted(_words), shape).groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     words = checkpointed(words)
     grams = words.select("lang", F.col("gram").alias("text"), "c").mapInArrow(_counted(_grams), shape).groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    by = Window.partitionBy("lang", "n")
-    ranked = words.unionByName(grams).withColumn("r", F.row_number().over(by.orderBy(F.desc("c"), "gram"))).withColumn("total", F.sum("c").over(by)).withColumn("kinds", F.count("*").over(by))
-    top = F.when(F.col("n") == 0, F.col("r") <= WORDS).otherwise(F.col("r") <= GRAMS)
-    # what is frequent in one language is counted in all of them
-    best = ranked.withColumn("top", F.max(top).over(Window.partitionBy("n", "gram"))).where("top").select("lang", "n", "gram", "c", "total", "kinds").toPandas()
+    counted = checkpointed(words.unionByName(grams))
+    sums = {(r["lang"], r["n"]): r["total"] + 0.5 * r["kinds"] for r in counted.groupBy("lang", "n").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).collect()}
+    best = counted.toPandas().sort_values(["n", "gram", "lang"])  # of the sample only
     langs = sorted(best["lang"].unique())
     index: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
     tables = [np.zeros((1, len(langs))) for _ in range(LONGEST + 1)]
     column = {x: i for i, x in enumerate(langs)}
     for n, part in best.groupby("n"):
-        totals = part.groupby("lang")[["total", "kinds"]].first()
-        spread = np.array([totals.loc[x, "total"] + 0.5 * totals.loc[x, "kinds"] if x in totals.index else 1e6 for x in langs], float)
+        spread = np.array([sums.get((x, n), 1e6) for x in langs], float)
         for gram in part["gram"].unique():
             index[n][gram] = len(index[n]) + 1
         counts = np.zeros((len(index[n]) + 1, len(langs)))
@@ -221,12 +215,13 @@ def known_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
 
     Rejected are texts without letters, those whose score is under ``least``,
     and those where words without a known sequence at any length dominate: over
-    half of all, as in a script that the model never saw.  The prediction works
-    on the row itself, so no join is needed.
+    half of all, as in a script that the model never saw.  With nothing to
+    learn from, all texts with a letter stay.  The prediction works on the row
+    itself, so no join is needed.
     """
     model = train(docs.where(~held_out()))
     if model is None:
-        return docs.limit(0)
+        return docs.where(F.col("text").cast("string").rlike("\\p{L}"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     predict = _predict(shared, evidence=True)
 

@@ -1,6 +1,6 @@
 """Conflict-constrained best-fit packing of documents into fixed-length bins.
 
-Documents are dealt evenly to packing units of bounded size.  In a unit, items
+Pieces of documents are dealt evenly to packing units of bounded size.  In a unit, items
 go in order of falling length.  Open bins are kept in order of residual room;
 from the tightest that fits, successors are tried until one is compatible.  A
 bin carries a bitmap of source lanes (so many items of one source at most) and
@@ -14,9 +14,8 @@ from bisect import bisect_left, insort
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from fieldspark.llm._spark import SPACES
+from fieldspark.llm._spark import SPACES, ranked
 
 #: Words in a bin; a longer document is cut into pieces of this length.
 CAPACITY = 2048
@@ -70,7 +69,7 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int = CAPACITY, per_so
 
 def _pack(capacity: int, per_source: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "cluster"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "doc_id", "piece", "cluster", "source"], ascending=[False, True, True, True, True], kind="stable")
         sources = pd.factorize(pdf["source"], use_na_sentinel=False)[0].tolist()
         clusters = pd.factorize(pdf["cluster"], use_na_sentinel=False)[0].tolist()
         placed = best_fit(list(zip(pdf["length"].tolist(), sources, clusters, strict=True)), capacity, per_source)
@@ -90,30 +89,30 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     (texts that are equal in lower case, white space aside; the pieces of one
     document among them) or more than ``per_source`` of one source; a null
     source is a source of its own.  A document without words has one row of
-    length 0 with a null bin.  Units and so bins depend on how rows lie in
-    files, as repeated rows are dealt apart too.  Other columns are ignored.
-
-    Only lengths, sources and digests are shuffled.  Dealing by row number
-    keeps units even, whatever source or cluster is hot.
+    length 0 with a null bin.  Null ids and repeated rows are packed like
+    others.  Other columns are ignored.  An empty table gives an empty result.
+
+    Texts are read once; lengths, sources and digests are ranked by cluster,
+    id, source and length, and piece i of rank r goes to unit (r + i) modulo
+    their number.  So copies and the pieces of a long document are dealt
+    apart, units are even whatever source or cluster is hot, and bins don't
+    depend on how rows lie in files.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    units = max(1, -(-docs.count() // unit))
     rows = docs.select(
         "doc_id",
         source.alias("source"),
         F.md5(F.lower(F.regexp_replace(text, SPACES + "+", "")).cast("binary")).alias("cluster"),
         F.size(F.array_remove(F.split(text, SPACES + "+"), "")).cast("long").alias("n"),
-        F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(units)).alias("unit"),
     )
+    rows, _ = ranked(rows, ["cluster", "doc_id", "source", "n"])
     last = F.expr(f"greatest(n - 1, 0) div {capacity}")
+    units = max(1, -(-(rows.agg(F.sum(last + 1)).first()[0] or 0) // unit))
     pieces = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
-    pieces = pieces.select("doc_id", "source", "cluster", "unit", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("length"))
+    pieces = pieces.select("doc_id", "source", "cluster", F.pmod(F.col("rank") + F.col("piece"), F.lit(units)).alias("unit"), "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("length"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, source string, cluster string, piece long, start long, length long, bin_id long, bin_offset long"
-    # a whole bin needs no search; its number is its place in the unit, beside the packer's
-    order = F.row_number().over(Window.partitionBy("unit").orderBy("doc_id", "piece", "cluster"))
-    whole = pieces.where(F.col("length") == capacity).select("doc_id", "source", "cluster", "piece", "start", "length", (F.shiftleft(F.col("unit") + units, 24) + order).alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"))
-    parts = pieces.where((F.col("length") > 0) & (F.col("length") < capacity)).groupBy("unit").applyInPandas(_pack(capacity, per_source), shape)
-    empty = pieces.where("length = 0").select("doc_id", "source", "cluster", "piece", "start", "length", F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("long").alias("bin_offset"))
-    return parts.unionByName(whole).unionByName(empty)
+    placed = pieces.where("length > 0").groupBy("unit").applyInPandas(_pack(capacity, per_source), shape)
+    none = F.lit(None).cast("long")
+    return placed.unionByName(pieces.where("length = 0").select("doc_id", "source", "cluster", "piece", "start", "length", none.alias("bin_id"), none.alias("bin_offset")))

@@ -75,15 +75,15 @@ class Model:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the nearest neighbours."""
+        """Similarity-weighted share of label 1 among the nearest neighbours, and all that tie with the last."""
         near = self._unit(_weighed(counts, self.rarity) @ self.axes) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, top, axis=1), 0).astype(np.float64)
+        last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+        weight = np.where(near >= last, np.maximum(near, 0), 0).astype(np.float64)
         total = weight.sum(axis=1)
         out = np.full(len(counts), self.prior)
         some = total > 0
-        out[some] = (weight * self.labels[top]).sum(axis=1)[some] / total[some]
+        out[some] = (weight @ self.labels)[some] / total[some]
         return np.clip(out, 0.0, 1.0)
 
 
@@ -98,12 +98,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model
     """Learn ``labels(doc_id, quality)`` of docs; None without a labelled document.
 
     At most ``rows`` documents are used, those with the smallest hash of their
-    id, so what reaches the driver has a fixed bound.
+    id, so what reaches the driver has a fixed bound.  Of rows that repeat an
+    id the first text in order counts, and of labels the highest.
     """
     marks = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("label")).where(~held_out())
     chosen = marks.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text"))
-    got = picked.mapInArrow(_vectors, "label int, counts binary").limit(2 * rows).toPandas()
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    picked = texts.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text")).select("label", "text")
+    got = picked.mapInArrow(_vectors, "label int, counts binary").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["label", "counts"])  # the same model whatever order rows come in
@@ -126,7 +128,8 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Dat
     """``doc_id, held_out, score, predicted`` for each row of ``doc_id, text``.
 
     The score is from 0 to 1, higher where label 1 is likelier; ``predicted``
-    is 1 from GOOD on.  A text without a term (null, empty, under three bytes)
+    is 1 from GOOD on.  The NEIGHBOURS nearest labelled vectors vote, and with
+    them all that are as near as the last one.  A text without a term (null, empty, under three bytes)
     gets the sample's share of label 1, and every row gets 0.5 if there is
     nothing to learn from.  Other columns are ignored; null ids and repeated
     rows pass through.  Rows aren't shuffled.
