@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -420,6 +421,38 @@ def test_full_pieces_have_bins_of_their_own(spark):
     assert sum(r["length"] for r in got) == 4 * 4097 + 2048
 
 
+def _naive_best_fit(items, capacity, per_source):
+    """All open bins are looked at for each item; of equal rooms the one that was touched first."""
+    bins, out = [], []
+    for now, (length, source, cluster) in enumerate(items):
+        fits = [b for b in bins if b["room"] >= length and cluster not in b["clusters"] and b["sources"].count(source) < per_source]
+        if fits:
+            best = min(fits, key=lambda b: (b["room"], b["at"]))
+        else:
+            best = {"room": capacity, "clusters": set(), "sources": [], "number": len(bins)}
+            bins.append(best)
+        out.append((best["number"], capacity - best["room"]))
+        best["room"] -= length
+        best["clusters"].add(cluster)
+        best["sources"].append(source)
+        best["at"] = now
+    return out
+
+
+def test_best_fit_equals_brute_force():
+    rng = random.Random(12)
+    for _ in range(60):
+        capacity = rng.choice([10, 64, 300])
+        items = sorted(((rng.randint(1, capacity), rng.choice([0, 0, 0, 1, 2, 3]), rng.randrange(rng.choice([5, 80]))) for _ in range(80)), reverse=True)
+        assert packing.best_fit(items, capacity, 3) == _naive_best_fit(items, capacity, 3)
+
+
+def test_packing_is_free_of_file_layout(docs):
+    one = packing.pack(docs, capacity=256, unit=60).collect()
+    two = packing.pack(docs.repartition(7), capacity=256, unit=60).collect()
+    assert sorted(map(str, one)) == sorted(map(str, two))
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     # bins with 4 and 3 left; the item of 3 fits the second, unless its cluster is there
     assert [b for b, _ in packing.best_fit([(7, 0, 0), (6, 1, 1), (3, 2, 2)], 10, 1)] == [0, 1, 0]
@@ -434,6 +467,112 @@ def test_quality_votes_on_held_out_rows(spark, docs):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_quality_votes_equal_brute_force(spark, docs):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = quality_knn.train(docs, labels, rows=60)
+    got = {r["doc_id"]: r["score"] for r in quality_knn.score(docs, labels, model).collect()}
+    for doc, text in docs.select("doc_id", "text").limit(80).collect():
+        counts = quality_knn.terms(pa.array([text], pa.string()))[0].astype(float)
+        share = np.log1p(1000 * counts / max(counts[: quality_knn.TERMS].sum(), 1)) * model.rarity
+        vector = (share / np.linalg.norm(share)) @ model.axes
+        vector /= np.linalg.norm(vector)
+        near = sorted(((float(v @ vector), float(y)) for v, y in zip(model.vectors, model.labels, strict=True)), reverse=True)
+        votes = [x for x in near if x[0] >= near[quality_knn.NEIGHBOURS - 1][0] - 1e-6]
+        assert got[doc] == pytest.approx(sum(max(a, 0) * y for a, y in votes) / sum(max(a, 0) for a, _ in votes), abs=1e-3)
+
+
+def test_quality_ties_all_vote():
+    counts = np.zeros((40, quality_knn.TERMS + 2), np.float32)
+    counts[:, 3] = 5
+    counts[:5, 9] = 2
+    model = quality_knn.Model(counts, np.array([1.0] * 5 + [0.0, 1.0, 1.0, 1.0, 1.0] * 7))
+    assert model.score(counts[10:11])[0] == pytest.approx(0.8)  # all 35 equal rows, not some 15 of them
+    assert model.score(np.zeros((1, quality_knn.TERMS + 2), np.float32))[0] == pytest.approx(model.prior)
+
+
+def test_language_equals_brute_force(spark, docs):
+    """Words by log frequency, then sequences from long to short, counted apart from the operator."""
+    from collections import Counter
+    from math import exp, log
+
+    learned = [r for r in docs.select("doc_id", "text", "lang").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["lang"] is not None and r["text"]]
+    langs = sorted({r["lang"] for r in learned})
+    counts = {(lang, n): Counter() for lang in langs for n in range(5)}
+    for r in learned:
+        for w in re.findall(r"[^\W\d_]+", r["text"].lower()):
+            counts[r["lang"], 0][w] += 1
+            for n in range(1, 5):
+                edged = f" {w} "
+                counts[r["lang"], n].update(g for i in range(len(edged) - n + 1) if (g := edged[i : i + n]) != " ")
+    spread = {k: sum(c.values()) + 0.5 * len(c) for k, c in counts.items()}
+
+    def posterior(word):
+        for n in range(5):
+            edged = f" {word} "
+            keys = [word] if n == 0 else [g for i in range(len(edged) - n + 1) if (g := edged[i : i + n]) != " "] if n <= len(edged) else []
+            keys = [[word], *[[edged[i : i + m] for i in range(len(edged) - m + 1) if edged[i : i + m] != " "] for m in (4, 3, 2, 1)]][n]
+            m = (0, 4, 3, 2, 1)[n]
+            keys = [g for g in keys if any(counts[lang, m][g] for lang in langs)]
+            if keys:
+                raw = [sum(log((counts[lang, m][g] + 0.5) / spread[lang, m]) for g in keys) for lang in langs]
+                top = max(raw)
+                return [x - top - log(sum(exp(y - top) for y in raw)) for x in raw]
+        return [-log(len(langs))] * len(langs)
+
+    got = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    for r in docs.select("doc_id", "text").limit(60).collect():
+        words = re.findall(r"[^\W\d_]+", (r["text"] or "").lower())
+        if not words:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        scores = [posterior(w) for w in words]
+        sums = [sum(x[i] for x in scores) for i in range(len(langs))]
+        best = max(range(len(langs)), key=lambda i: sums[i])
+        assert got[r["doc_id"]]["lang_pred"] == langs[best]
+        assert got[r["doc_id"]]["score"] == pytest.approx(sum(exp(x[best]) for x in scores) / len(scores), abs=1e-9)
+
+
+def test_language_with_nothing_to_learn_keeps_texts(spark):
+    made = spark.createDataFrame([(1, "some words", None), (2, "123 !", None), (3, None, None), (4, "", None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in language_id.known_language(made).collect()] == [1]
+    assert {(r["lang_pred"], r["score"]) for r in language_id.identify(made).collect()} == {("und", 0.0)}
+
+
+def test_rules_in_greedy_order(spark, docs):
+    from pyspark.sql import functions as F
+
+    # the first rejects most per cost; what the last rejects, the first does too
+    rules = {
+        "never": lambda: F.length("_text") < 0,
+        "implied": lambda: F.length("_text") > 3000,
+        "half": lambda: F.length("_text") > 1000,
+    }
+    order = quality_rules.learn_order(docs, rules, rows=200)
+    assert sorted(order) == sorted(rules) and order[0] == "half"
+
+
+def test_values_on_odd_rows(spark, odd):
+    """Defined results for null, empty, tied and repeated rows."""
+    twelve = "one two three four five six seven eight nine ten eleven"
+    kept = {(r["doc_id"], r["n_words"], r["base_failed"], r["kept"]) for r in quality_rules.quality_rules(odd).collect()}
+    assert {(1, 0, True, False), (2, 0, True, False), (3, 0, True, False), (4, 11, False, True), (5, 11, False, True), (None, 11, False, True), (6, 1, True, False), (8, 3000, True, False)} <= kept
+    none = {r["doc_id"]: (r["n_card"], r["spans"]) for r in pii.find(odd).collect()}
+    assert none[1] == none[2] == none[4] == (0, "")
+    packed = packing.pack(odd).collect()
+    assert sorted(r["length"] for r in packed) == sorted([0, 0, 0, 11, 11, 11, 11, 1, 3, 2048, 952])
+    assert all((r["bin_id"] is None) == (r["length"] == 0) for r in packed)
+    copies = [r["bin_id"] for r in packed if r["length"] == 11]
+    assert len(set(copies)) == 4  # of one cluster, so each in another bin
+    placed = sharding.shards(odd).collect()
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in placed) == sorted((d or 0, len((t or "").encode()) + 1) for d, t, *_ in ODD)
+    assert {r["text_crc32"] for r in placed if r["doc_id"] in (4, 5, None)} == {zlib.crc32(twelve.encode())}
+    labels = spark.createDataFrame([(4, 1), (8, 0), (None, 1)], "doc_id long, quality int")
+    scores = {r["doc_id"]: r["score"] for r in quality_knn.score(odd, labels).collect()}
+    assert scores[1] == scores[2] and scores[4] == scores[5] == scores[None]
+    cut = {(r["doc_id"], r["text"]) for r in line_dedup.without_duplicate_lines(odd).collect()}
+    assert cut == {(d, t if d in (1, 2, 3, 4, None, 6, 7, 8) else "") for d, t, *_ in ODD}
+
+
 def test_hilbert_curve_steps_by_one():
     import itertools
 
@@ -454,6 +593,36 @@ def test_shards_differ_by_one_row(docs, rows):
     assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {d: (len(t.encode()) + 1, zlib.crc32(t.encode())) for d, t, *_ in rows}
 
 
+def test_shards_equal_brute_force(docs, rows):
+    axes = []
+    for column in (3, 2):
+        values = sorted({r[column] or "" for r in rows}, key=lambda x: x.encode())
+        axes.append({v: i * 32 // max(len(values), 32) for i, v in enumerate(values)})
+    sizes = [len(t.encode()) + 1 for _, t, *_ in rows]
+    points = np.array([(axes[0][r[3] or ""], axes[1][r[2] or ""], min(31, int(np.log2(size) * 1.5))) for r, size in zip(rows, sizes, strict=True)])
+    order = sorted(zip(sharding.hilbert_index(points, 5).tolist(), (zlib.crc32(r[1].encode()) for r in rows), sizes, (r[0] for r in rows), strict=True))
+    base, extra = divmod(len(rows), 16)
+    want, at = {}, 0
+    for shard in range(16):
+        for slot in range(base + (shard < extra)):
+            want[order[at][3]] = (shard, slot, order[at][0])
+            at += 1
+    assert {r["doc_id"]: (r["shard"], r["slot"], r["curve"]) for r in sharding.shards(docs).collect()} == want
+
+
+def test_shards_prune_by_bounds(spark, tmp_path):
+    rng = random.Random(5)
+    made = [(i, "x" * rng.choice([1, 30, 900, 20000]), f"lang{rng.randrange(8)}", f"source{rng.randrange(40):02}") for i in range(1600)]
+    placed = sharding.shards(spark.createDataFrame(made, "doc_id long, text string, lang string, source string"), columns=("source", "lang"))
+    sharding.write_shards(placed, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards")).toPandas()
+    assert len(back) == 1600
+    bounds = back.groupby("shard").agg(a=("source", "min"), b=("source", "max"), c=("lang", "min"), d=("lang", "max"), e=("size", "min"), f=("size", "max"))
+    hit = [((bounds.a <= f"source{i:02}") & (bounds.b >= f"source{i:02}")).sum() for i in range(40)]
+    both = [((bounds.a <= f"source{i:02}") & (bounds.b >= f"source{i:02}") & (bounds.e <= 31) & (bounds.f >= 31)).sum() for i in range(40)]
+    assert np.mean(hit) < 9 and np.mean(both) < 6  # of 16
+
+
 def test_components_over_many_tasks(spark, monkeypatch):
     from fieldspark.llm import _spark
 
