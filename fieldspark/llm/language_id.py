@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,19 +132,16 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     grams = words.select("lang", F.col("gram").alias("text"), "c").mapInArrow(_counted(_grams), shape).groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     counted = checkpointed(words.unionByName(grams))
     sums = {(r["lang"], r["n"]): r["total"] + 0.5 * r["kinds"] for r in counted.groupBy("lang", "n").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).collect()}
-    best = counted.toPandas().sort_values(["n", "gram", "lang"])  # of the sample only
-    langs = sorted(best["lang"].unique())
-    index: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-    tables = [np.zeros((1, len(langs))) for _ in range(LONGEST + 1)]
-    column = {x: i for i, x in enumerate(langs)}
-    for n, part in best.groupby("n"):
+    langs = sorted({lang for lang, _ in sums})
+    wide = counted.groupBy("n", "gram").agg(*(F.sum(F.when(F.col("lang") == x, F.col("c")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)))
+    got = wide.toArrow()  # of the sample only
+    index, tables = [], []
+    for n in range(LONGEST + 1):
+        part = got.filter(pc.equal(got["n"], n)).sort_by("gram")
+        index.append({gram: i for i, gram in enumerate(part["gram"].to_pylist(), 1)})
+        counts = np.stack([part[f"c{i}"].to_numpy() for i in range(len(langs))], axis=1)
         spread = np.array([sums.get((x, n), 1e6) for x in langs], float)
-        for gram in part["gram"].unique():
-            index[n][gram] = len(index[n]) + 1
-        counts = np.zeros((len(index[n]) + 1, len(langs)))
-        np.add.at(counts, (part["gram"].map(index[n]), part["lang"].map(column)), part["c"])
-        tables[n] = np.log((counts + 0.5) / spread)
-        tables[n][0] = 0
+        tables.append(np.concatenate([np.zeros((1, len(langs))), np.log((counts + 0.5) / spread)]))
     return Model(langs, index, tables)
 
 

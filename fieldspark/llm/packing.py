@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm._spark import SPACES, ranked
+from fieldspark.llm._spark import SPACES, checkpointed, ranked
 
 #: Words in a bin; a longer document is cut into pieces of this length.
 CAPACITY = 2048
@@ -106,7 +106,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
         F.md5(F.lower(F.regexp_replace(text, SPACES + "+", "")).cast("binary")).alias("cluster"),
         F.size(F.array_remove(F.split(text, SPACES + "+"), "")).cast("long").alias("n"),
     )
-    rows, _ = ranked(rows, ["cluster", "doc_id", "source", "n"])
+    rows, _ = ranked(checkpointed(rows), ["cluster", "doc_id", "source", "n"])
     last = F.expr(f"greatest(n - 1, 0) div {capacity}")
     units = max(1, -(-(rows.agg(F.sum(last + 1)).first()[0] or 0) // unit))
     pieces = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
