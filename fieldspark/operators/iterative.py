@@ -51,11 +51,13 @@ def pixel_edges(mask: DataFrame) -> DataFrame:
     return right.unionByName(down).where("v is not null")
 
 
-def suppress(items: DataFrame, conflicts: DataFrame, least: float = 0.25, rounds: int = 60) -> DataFrame:
+def suppress(items: DataFrame, conflicts: DataFrame, least: float = 0.25) -> DataFrame:
     """Q3: by falling score, keep what conflicts with nothing kept; equal to the greedy order.
 
     ``items(id, score)``, ``conflicts(u, v)``.  A round keeps every undecided
     item without a better undecided neighbour and drops that item's neighbours.
+    The best undecided item is always kept, so rounds end; a chain of falling
+    scores takes one for each two links.
     """
     rank = F.struct(F.col("score"), -F.col("id"))
     live = items.where(F.col("score") >= least).select("id", "score")
@@ -63,7 +65,7 @@ def suppress(items: DataFrame, conflicts: DataFrame, least: float = 0.25, rounds
     better = both.join(live.select(F.col("id").alias("u"), rank.alias("ru")), "u").join(live.select(F.col("id").alias("v"), rank.alias("rv")), "v").where("rv > ru").select("u", "v")
     better = cut_lineage(better)  # u yields to v
     state = cut_lineage(live.select("id", F.lit("open").alias("state")))
-    for _ in range(rounds):
+    while True:
         opened = state.where("state = 'open'")
         held = better.join(opened.select(F.col("id").alias("v")), "v", "left_semi").select(F.col("u").alias("id")).distinct()
         kept = opened.join(held, "id", "left_anti").select("id", F.lit(True).alias("keep"))
@@ -73,7 +75,6 @@ def suppress(items: DataFrame, conflicts: DataFrame, least: float = 0.25, rounds
         state = cut_lineage(after.select("id", new.alias("state")))
         if state.where("state = 'open'").isEmpty():
             return items.join(state, "id", "left").withColumn("state", F.coalesce("state", F.lit("low_score")))
-    raise RuntimeError("suppression did not settle")
 
 
 def group_split(tiles: DataFrame, group: str, train: float = 0.7, val: float = 0.15) -> DataFrame:

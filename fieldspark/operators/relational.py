@@ -43,6 +43,13 @@ def box_join(left: DataFrame, right: DataFrame, size: float = 0.02) -> DataFrame
     return pairs.where(hit & home).drop("_gx", "_gy")
 
 
+def cells_of(cells: DataFrame, fields: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Cells whose box meets that of the one field that ``chosen(field_id)``, a single row, names."""
+    box = fields.join(F.broadcast(chosen), "field_id").select("field_id", *(F.col(x).alias(f"r_{x}") for x in ("minx", "maxx", "miny", "maxy"))).limit(1)
+    hit = (F.col("minx") < F.col("r_maxx")) & (F.col("maxx") > F.col("r_minx")) & (F.col("miny") < F.col("r_maxy")) & (F.col("maxy") > F.col("r_miny"))
+    return cells.join(F.broadcast(box), hit).drop("r_minx", "r_maxx", "r_miny", "r_maxy")
+
+
 def overlap_area() -> Column:
     """Overlap of the two boxes of a :func:`box_join` row, in square degrees."""
     return (F.least("maxx", "r_maxx") - F.greatest("minx", "r_minx")) * (F.least("maxy", "r_maxy") - F.greatest("miny", "r_miny"))

@@ -138,3 +138,18 @@ def lower_quantiles(df: DataFrame, keys: list[str], value: str, levels: dict[str
     ranked = df.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
     picks = [F.max(F.when(F.col("i") == F.floor(F.lit(q) * (F.col("n") - 1)), F.col(value))).alias(name) for name, q in levels.items()]
     return ranked.groupBy(*keys).agg(*picks)
+
+
+def nearest(pixels: DataFrame, marked: DataFrame, pixel_m: float, radius_m: float) -> DataFrame:
+    """Metres from each pixel to the nearest marked one of its tile, radius_m if there is none so near.
+
+    Marked pixels go to the blocks, as wide as the radius, around their own, so
+    a pixel meets only those of its block and no pair is made twice.
+    """
+    block = max(1, int(radius_m // pixel_m))
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    spread = marked.select("tile_id", F.col("r").alias("mr"), F.col("c").alias("mc"), around.alias("o"))
+    spread = spread.select("tile_id", "mr", "mc", (F.floor(F.col("mr") / block) + F.col("o.i")).alias("br"), (F.floor(F.col("mc") / block) + F.col("o.j")).alias("bc"))
+    placed = pixels.withColumn("br", F.floor(F.col("r") / block)).withColumn("bc", F.floor(F.col("c") / block))
+    metres = F.hypot(F.col("r") - F.col("mr"), F.col("c") - F.col("mc")) * pixel_m
+    return placed.join(spread, ["tile_id", "br", "bc"], "left").groupBy("tile_id", "r", "c").agg(F.least(F.coalesce(F.min(metres), F.lit(radius_m)), F.lit(radius_m)).alias("distance"))

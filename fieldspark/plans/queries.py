@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from fieldspark.functions import agronomy as ag
 from fieldspark.functions import geo
 from fieldspark.functions import spectral as sp
+from fieldspark.functions import suitability as su
 from fieldspark.functions import weather as we
 from fieldspark.operators import focal, generators, iterative, models, relational, scoring, series, zonal
 from fieldspark.sources import readers
@@ -524,7 +525,7 @@ register(
     lambda v: relational.box_join(v("grid_cells").select("cell_id", "minx", "miny", "maxx", "maxy"), v("fields").select("field_id", "minx", "miny", "maxx", "maxy")).select("cell_id").distinct(),
     "select cell_id from grid_cells g where exists (select 1 from fields f where g.minx < f.maxx and g.maxx > f.minx and g.miny < f.maxy and g.maxy > f.miny)",
 )
-_P4 = "case when area < 4 then 'area' when ndvi_delta < 0.05 then 'delta' when ndwi_mean > 0.2 then 'water' when shape_index > 1.2 then 'shape' end"
+_P4 = "list_filter([case when area < 4 then 'area' end, case when ndvi_delta < 0.05 then 'delta' end, case when ndwi_mean > 0.2 then 'water' end, case when shape_index > 1.2 then 'shape' end], lambda x: x is not null)[1]"
 
 
 def _segments(v):
@@ -534,16 +535,16 @@ def _segments(v):
 
 register(
     "p4_segment_filter",
-    lambda v: _segments(v).select("tile_id", "label", "area", F.expr(_P4).alias("reason")),
+    lambda v: _segments(v).select("tile_id", "label", "area", su.segment_reject(c("area"), c("ndvi_delta"), c("ndwi_mean"), c("shape_index")).alias("reason")),
     f"""with n as (select a.tile_id, a.r, a.c, a.label, count(b.label) as alike from pixel_labels a left join pixel_labels b on a.tile_id = b.tile_id and abs(a.r - b.r) + abs(a.c - b.c) = 1 and a.label = b.label group by 1, 2, 3, 4),
        s as (select tile_id, label, count(*) as area, count_if(alike < 4) / (4 * sqrt(count(*))) as shape_index, avg(ndwi) as ndwi_mean from n left join {_PIX} p using (tile_id, r, c) where label > 0 group by 1, 2),
        d as (select i.tile_id, label, max(ndvi) - min(ndvi) as ndvi_delta from indexed i join pixel_labels l on i.tile_id = l.tile_id and i.r = l.r and i.c = l.c group by 1, 2)
        select tile_id, label, area, {_P4} as reason from s join d using (tile_id, label)""",
 )
-_P6 = "case when n < 2 then 0 when ndwi_max > 0.1 then 1 when ndvi_max < 0.2 then 2 when ndvi_min > 0.5 then 3 when ndvi_max - ndvi_min > 0.3 then 4 else 5 end"
+_P6 = "case when n >= 4 then least(if(ndwi_max > 0.1, 1, 9), if(ndvi_max < 0.2, 2, 9), if(ndvi_min > 0.5, 3, 9), if(ndvi_max - ndvi_min > 0.3, 4, 9), 5) else 0 end"
 register(
     "p5_p6_phenology_class",
-    lambda v: v("indexed").where("valid").groupBy("tile_id", "r", "c").agg(F.count("ndvi").alias("n"), F.max("ndvi").alias("ndvi_max"), F.min("ndvi").alias("ndvi_min"), F.max("ndwi").alias("ndwi_max")).select("tile_id", "r", "c", F.expr(_P6).alias("class")),
+    lambda v: v("indexed").where("valid").groupBy("tile_id", "r", "c").agg(F.count("ndvi").alias("n"), F.max("ndvi").alias("ndvi_max"), F.min("ndvi").alias("ndvi_min"), F.max("ndwi").alias("ndwi_max")).select("tile_id", "r", "c", su.land_cover_class(c("n"), c("ndvi_min"), c("ndvi_max"), c("ndwi_max")).alias("class")),
     f"select tile_id, r, c, {_P6} as class from (select tile_id, r, c, count(ndvi) as n, max(ndvi) as ndvi_max, min(ndvi) as ndvi_min, max(ndwi) as ndwi_max from indexed where valid group by 1, 2, 3) as s",
 )
 register(
@@ -724,12 +725,6 @@ register(
     lambda v: v("runs").agg(F.count_if(F.date_add("created_at", 365) < F.lit("1999-01-01").cast("date")).alias("removed"), F.count_if(F.date_add("created_at", 365) >= F.lit("1999-01-01").cast("date")).alias("kept")),
     "select count_if(created_at + 365 < date '1999-01-01') as removed, count_if(created_at + 365 >= date '1999-01-01') as kept from runs",
 )
-register(
-    "s18_replace_slice",
-    lambda v: relational.replace_slice(v("weather_daily").select("field_id", "observed_on", "precip"), v("weather_fallback").where("row_id % 10 = 0").select("field_id", "observed_on", "precip"), ["field_id"], "observed_on", "1997-01-01", "1997-12-31"),
-    "with n as (select field_id, observed_on, precip from weather_fallback where row_id % 10 = 0) select field_id, observed_on, precip from weather_daily where not (field_id in (select field_id from n) and observed_on between date '1997-01-01' and date '1997-12-31') union all select * from n",
-    "precip",
-)
 register(
     "s22_manifest_splits",
     lambda v: v("runs").groupBy("org").agg(F.count_distinct("status").alias("splits"), F.array_join(F.sort_array(F.collect_set("status")), ",").alias("names")).where("splits > 1"),
@@ -897,17 +892,6 @@ _M6 = f"""{_RESIDUALS}, ii as (select crop_code, region, abs(residual) as a, row
        pp as (select *, least(0.9e0 * (1 + 1 / n), 1) * (n - 1) as pos from ii), ww as (select crop_code, region, max(n) as n, max(a) filter (where i = floor(pos)) + (max(a) filter (where i = least(floor(pos) + 1, n - 1)) - max(a) filter (where i = floor(pos))) * max(pos - floor(pos)) as width from pp group by 1, 2),
        ee as (select crop_code, region, ww.n, width, avg(case when a <= width then 1 else 0 end) as empirical from ii join ww using (crop_code, region) group by 1, 2, 3, 4)"""
 register("m6_intervals", lambda v: scoring.interval_buckets(scoring.residual_buckets(_residuals(v)), ["crop_code", "region"]), f"with {_M6} select *, greatest(0.2e0, least(0.95e0, (1 - abs(empirical - 0.9e0) / 0.9e0) * least(n / 15, 1))) as confidence from ee", "width empirical confidence", digits=4)
-register(
-    "j21_interval_fallback",
-    lambda v: scoring.with_interval(v("yield_obs").where("obs_id % 7 = 0").join(v("field_seasons").select(c("season_id").alias("obs_id"), "crop_code"), "obs_id").select("obs_id", "crop_code", F.when(c("obs_id") % 2 == 0, "lat_48_55").otherwise("none").alias("region"), c("yield_kg_ha").alias("estimate")), scoring.interval_buckets(scoring.residual_buckets(_residuals(v)), ["crop_code", "region"]), "estimate").select("obs_id", "width", "method", "lower", "upper"),
-    f"""with {_M6}, x as (select obs_id, crop_code, case when obs_id % 2 = 0 then 'lat_48_55' else 'none' end as region, yield_kg_ha as e from yield_obs join field_seasons on obs_id = season_id where obs_id % 7 = 0),
-       y as (select obs_id, e, coalesce(a.width, b.width * 1.15e0, greatest(e * 0.2e0 * 1.645e0, 250)) as width, case when a.width is not null then 'conformal' when b.width is not null then 'conformal_global_fallback' else 'heuristic' end as method from x left join ee a on x.crop_code = a.crop_code and x.region = a.region and a.n >= 5 left join ee b on x.crop_code = b.crop_code and b.region = 'global' and b.n >= 5)
-       select obs_id, width, method, greatest(e - width, 0) as lower, e + width as upper from y""",
-    "width lower upper",
-    digits=4,
-)
-
-
 def _season_features(v):
     w = v("weather_daily").withColumn("season_year", F.year("observed_on")).groupBy("field_id", "season_year").agg(F.sum("gdd").alias("gdd"), F.sum("precip").alias("precip"), F.avg("vpd").alias("vpd"))
     y = v("yield_obs").groupBy("field_id", "season_year").agg(F.avg("yield_kg_ha").alias("yield"))
@@ -970,10 +954,10 @@ register(
     lambda v: v("indexed").where("valid").groupBy("tile_id", "r", "c").agg(F.avg((c("ndwi") > -0.4).cast("int")).alias("share"), F.count("*").alias("n")).select("tile_id", "r", "c", (c("share") >= 0.8).alias("open_water"), ((c("share") > 0.2) & (c("share") < 0.8)).alias("seasonal_wet")),
     "select tile_id, r, c, share >= 0.8 as open_water, share > 0.2 and share < 0.8 as seasonal_wet from (select tile_id, r, c, avg(case when ndwi > -0.4 then 1 else 0 end) as share from indexed where valid group by 1, 2, 3) s",
 )
-_P12 = "case when area < 6 then 'area' when water > 0.3 then 'water' when ndvi_mean < 0.4 then 'ndvi' when ndvi_std > 0.2 then 'std' end"
+_P12 = "list_filter([case when area < 6 then 'area' end, case when water > 0.3 then 'water' end, case when ndvi_mean < 0.4 then 'ndvi' end, case when ndvi_std > 0.2 then 'std' end], lambda x: x is not null)[1]"
 register(
     "p12_zonal_rejection",
-    lambda v: v("pixel_labels").where("label > 0").join(_flat(v), ["tile_id", "r", "c"]).groupBy("tile_id", "label").agg(F.count("*").alias("area"), F.avg((c("k") == 6).cast("int")).alias("water"), F.round(F.avg("x"), 9).alias("ndvi_mean"), F.round(F.stddev_pop("x"), 9).alias("ndvi_std")).select(F.expr(_P12).alias("reason")).groupBy("reason").agg(F.count("*").alias("n")),
+    lambda v: v("pixel_labels").where("label > 0").join(_flat(v), ["tile_id", "r", "c"]).groupBy("tile_id", "label").agg(F.count("*").alias("area"), F.avg((c("k") == 6).cast("int")).alias("water"), F.round(F.avg("x"), 9).alias("ndvi_mean"), F.round(F.stddev_pop("x"), 9).alias("ndvi_std")).select(su.proposal_reject(c("area"), c("water"), c("ndvi_mean"), c("ndvi_std")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n")),
     f"select {_P12} as reason, count(*) as n from (select tile_id, label, count(*) as area, avg(case when k = 6 then 1 else 0 end) as water, round(avg(x), 9) as ndvi_mean, round(stddev_pop(x), 9) as ndvi_std from pixel_labels join {_FLAT} f using (tile_id, r, c) where label > 0 group by 1, 2) s group by 1",
 )
 register(
@@ -1057,12 +1041,11 @@ register(
 )
 register(
     "j22_nearest_masked",
-    lambda v: _flat(v).select("tile_id", "r", "c").join(_flat(v).where("k = 2").select("tile_id", c("r").alias("mr"), c("c").alias("mc")), "tile_id", "left").groupBy("tile_id", "r", "c").agg(F.coalesce(F.min(F.hypot(c("r") - c("mr"), c("c") - c("mc")) * 10), F.lit(1000.0)).alias("distance")),
+    lambda v: zonal.nearest(_flat(v).select("tile_id", "r", "c"), _flat(v).where("k = 2").select("tile_id", "r", "c"), pixel_m=10.0, radius_m=1000.0),
     f"select a.tile_id, a.r, a.c, coalesce(min(sqrt((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) * 10), 1000) as distance from {_FLAT} a left join {_FLAT} b on a.tile_id = b.tile_id and b.k = 2 group by 1, 2, 3",
     "distance",
 )
 register("l3_paging", lambda v: relational.page(v("runs"), [F.desc("created_at"), F.asc("run_id")], 40, 20).select("run_id"), "select run_id from runs order by created_at desc, run_id limit 20 offset 40")
-register("l6_label_queue", lambda v: v("label_versions").orderBy(F.desc("size"), F.desc("version_no"), "label_task_id").limit(50).select("label_task_id", "version_no", "size"), "select label_task_id, version_no, size from label_versions order by size desc, version_no desc, label_task_id limit 50")
 register(
     "l8_drivers",
     lambda v: v("weather_daily").select("row_id", F.inline(F.array(*(F.struct(F.lit(n).alias("driver"), F.when(F.abs(e) <= 1.5, e * 100).otherwise(e).alias("effect")) for n, e in (("vpd", c("vpd") - 2), ("precip", c("precip") - 5), ("soil", c("soil") - 0.2))))).alias("driver", "effect")).withColumn("rank", F.expr("row_number() over (partition by row_id order by round(abs(effect), 9) desc, driver)")),
@@ -1112,14 +1095,6 @@ register(
     lambda v: v("qa_results").select("region", ag.loss_stage(F.expr(_REASON)).alias("stage")).groupBy("region", "stage").agg(F.count("*").alias("n")),
     "select region, case event_id % 7 when 0 then 'rank_and_suppress' when 1 then 'rank_and_suppress' when 2 then 'obia_topology_cleanup' when 3 then 'quality_gate' when 4 then 'candidate_filtering' else 'unknown' end as stage, count(*) as n from qa_results group by 1, 2",
 )
-register(
-    "u3_time_windows",
-    lambda v: generators.time_windows(v("yield_obs").groupBy("field_id").agg(F.min("observed_on").alias("first_day"), F.least(F.max("observed_on"), F.date_add(F.min("observed_on"), 900)).alias("last_day")).where("field_id % 10 = 0"), "field_id", 7, (10, 15, 4, 20)).select("field_id", "slice", "first_day", "last_day"),
-    """with g as (select field_id, min(observed_on) as a, least(max(observed_on), min(observed_on) + 900) as b from yield_obs where field_id % 10 = 0 group by 1), d as (select field_id, unnest(generate_series(a, b, interval 1 day))::date as day from g),
-       s as (select * from d where month(day) * 100 + day(day) >= 1015 or month(day) * 100 + day(day) <= 420), i as (select *, row_number() over (partition by field_id order by day) - 1 as i, count(*) over (partition by field_id) as n from s),
-       k as (select field_id, day, (select max(x) from range(7) as r(x) where x < least(7, n) and (x * n) // least(7, n) <= i)::int as slice from i),
-       p as (select *, day - row_number() over (partition by field_id, slice order by day)::int as island from k) select field_id, slice, min(day) as first_day, max(day) as last_day from p group by field_id, slice, island""",
-)
 register(
     "u7_origin_tiles",
     lambda v: generators.origin_tiles(v("fields").withColumn("maxx", c("maxx") + c("field_id") % 7), "field_id"),
@@ -1132,7 +1107,7 @@ register(
     "top",
 )
 
-# --- whole tables: what w14_zones, l6_label_queue, u3_time_windows, j21_interval_fallback and s18_replace_slice do on a part ---
+# --- zones over all metrics, and queries that are registered under two names ---
 
 _ZONE_WEIGHTS = {"ndvi_mean": 0.45, "ndmi_mean": 0.18, "bsi_mean": -0.17, "soil_moist": 0.12}
 
@@ -1183,3 +1158,83 @@ register(
     "with n as (select field_id, observed_on, precip from weather_fallback) select field_id, observed_on, precip from weather_daily where not (field_id in (select field_id from n) and observed_on between date '1997-01-01' and date '1997-12-31') union all select * from n",
     "precip",
 )
+for _name in ("l6_label_queue", "u3_time_windows", "j21_interval_fallback", "s18_replace_slice"):
+    QUERIES[_name], ORACLE_SQL[_name] = QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"]
+
+# --- one field's cells, yield factors, suitability, candidate scores ------------------------------
+
+register(
+    "j6_cells_of_one_field",
+    lambda v: relational.cells_of(v("grid_cells"), v("fields"), v("fields").agg(F.max_by("field_id", F.struct("area_m2", "field_id")).alias("field_id"))).select("field_id", "cell_id", "zoom_level", "ndvi_mean"),
+    """with f as (select * from fields order by area_m2 desc, field_id desc limit 1)
+       select f.field_id, cell_id, zoom_level, ndvi_mean from grid_cells g cross join f where g.minx < f.maxx and g.maxx > f.minx and g.miny < f.maxy and g.maxy > f.miny""",
+    "ndvi_mean",
+)
+register(
+    "a17_soil_factor",
+    lambda v: v("soil_profiles").select("profile_id", su.soil_factor(F.when(c("profile_id") % 5 > 0, c("profile_id") % 90 / 10.0), F.when(c("profile_id") % 3 > 0, c("ph")), F.when(c("profile_id") % 7 > 0, ag.texture_code(c("texture"))), F.when(c("profile_id") % 2 == 0, ag.nutrient_response(c("n_ppm").cast("double"), 5, 25, 45, 55, 0.5, 1.1, 0.8, 0.4))).alias("factor")),
+    """with x as (select profile_id, case when profile_id % 5 > 0 then profile_id % 90 / 10e0 end as o, case when profile_id % 3 > 0 then ph end as ph, case when profile_id % 7 > 0 then texture end as texture, case when profile_id % 2 = 0 then n_ppm end as n from soil_profiles),
+       t as (select profile_id, unnest([case when o is null then null when o <= 0.3 then 0.55e0 when o <= 2.5 then 0.55e0 + (1 - exp(-3 * (o - 0.3e0) / 2.2e0)) * 0.53e0 when o <= 5.5 then 1.08e0 when o <= 8 then 1.08e0 - (o - 5.5e0) / 2.5e0 * 0.06e0 else greatest(0.95e0, 1.02e0 - least((o - 8) / 8e0, 1) * 0.07e0) end,
+           case when ph is null then null when ph < 5 then greatest(0.35e0, least(0.8e0, 0.35e0 + (ph - 4) * 0.45e0)) when ph < 6 then 0.8e0 + (ph - 5) * 0.25e0 when ph <= 7.2 then 1.05e0 when ph <= 8 then 1.05e0 - (ph - 7.2e0) * 0.19e0 else greatest(0.4e0, least(0.9e0, 0.9e0 - (ph - 8) * 0.35e0)) end,
+           case when texture = 'sand' then 0.82e0 when texture = 'loam' then 1.05e0 when texture = 'clay' then 0.85e0 end,
+           case when n is null then null when n <= 5 then 0.5e0 when n <= 25 then 0.5e0 + (1 - exp(-3 * (n - 5) / 20e0)) * 0.6e0 when n <= 45 then 1.1e0 when n <= 55 then 1.1e0 - (n - 45) / 10e0 * 0.3e0 else greatest(0.4e0, 0.8e0 - least((n - 55) / 55e0, 1) * 0.4e0) end]) as f from x where true)
+       select profile_id, case when min(f) is null then 1 else greatest(0.35e0, least(1.1e0, min(f))) end as factor from t group by 1""",
+    "factor",
+    digits=9,
+)
+register(
+    "a17_growth_factors",
+    lambda v: v("grid_cells").select(
+        "cell_id", su.radiation_factor(c("cell_id") % 300 / 10.0).alias("radiation"), su.wind_factor(F.when(c("cell_id") % 9 > 0, c("cell_id") % 400 / 10.0)).alias("wind"), su.nitrogen_status(c("bsi_mean") + 0.4).alias("nitrogen"),
+        su.area_shape_factor(F.when(c("cell_id") % 8 > 0, c("cell_id") % 700 / 10.0), F.when(c("cell_id") % 6 > 0, c("field_coverage"))).alias("shape"),
+        su.vegetation_factor(F.when(c("cell_id") % 3 > 0, c("ndvi_mean")), F.when(c("cell_id") % 4 > 0, c("ndmi_mean")), F.when(c("cell_id") % 5 > 0, c("bsi_mean") + 0.4), F.when(c("cell_id") % 2 > 0, c("cell_id") % 400 / 10.0), F.when(c("cell_id") % 7 > 0, c("field_coverage")), F.when(c("cell_id") % 11 > 5, c("soil_moist")), F.lit(0.72)).alias("vegetation"),
+    ),
+    """with x as (select *, cell_id % 300 / 10e0 as s, case when cell_id % 9 > 0 then cell_id % 400 / 10e0 end as w, bsi_mean + 0.4e0 as e, case when cell_id % 3 > 0 then ndvi_mean end as v, case when cell_id % 4 > 0 then ndmi_mean end as m,
+           case when cell_id % 2 > 0 and cell_id % 400 > 0 then cell_id % 400 / 10e0 end as a, case when cell_id % 7 > 0 then field_coverage end as p, cell_id % 5 > 0 as has_e, coalesce(cell_id % 11 > 5 and soil_moist > 0, false) as has_n from grid_cells),
+       y as (select *, case when e < 0.1 then 0.55e0 when e < 0.2 then 0.55e0 + (e - 0.1e0) * 2.3e0 when e < 0.35 then 0.78e0 + (e - 0.2e0) / 0.15e0 * 0.19e0 when e <= 0.5 then 0.97e0 + (e - 0.35e0) / 0.15e0 * 0.08e0 else greatest(0.9e0, 1.05e0 - (e - 0.5e0) * 0.25e0) end as nitrogen,
+           case when v < 0.15 then 0.3e0 when v < 0.35 then 0.3e0 + (v - 0.15e0) / 0.2e0 * 0.4e0 when v <= 0.72 then 0.7e0 + (v - 0.35e0) / 0.37e0 * 0.38e0 when v <= 0.87 then 1.08e0 when v > 0.87 then greatest(0.85e0, 1.08e0 - (v - 0.87e0)) end as fv,
+           case when m < -0.3 then 0.5e0 when m < 0 then 0.5e0 + (m + 0.3e0) / 0.3e0 * 0.4e0 when m <= 0.4 then 0.9e0 + m / 0.4e0 * 0.15e0 when m <= 0.55 then 1.05e0 when m > 0.55 then greatest(0.55e0, 1.05e0 - (m - 0.55e0) * 1.5e0) end as fm,
+           case when a < 4 then 0.4e0 when a < 8 then 0.4e0 + (a - 4) / 4 * 0.35e0 when a < 14 then 0.75e0 + (a - 8) / 6 * 0.33e0 when a <= 20 then 1.08e0 when a > 20 then greatest(0.9e0, 1.08e0 - (a - 20) / 10 * 0.1e0) end as fa,
+           case when p < 0.4 then 0.5e0 when p < 0.72 then 0.5e0 + (p - 0.4e0) / 0.32e0 * 0.55e0 when p >= 0.72 then 1.05e0 end as fp from x),
+       z as (select *, case when fa is not null and fv is not null and fm is not null then fa * 0.4e0 + fv * 0.35e0 + fm * 0.2e0 + coalesce(fp, fa) * 0.05e0 when fa is not null and coalesce(fv, fm) is not null then fa * 0.45e0 + coalesce(fv, fm) * 0.45e0 + coalesce(fp, fa) * 0.1e0
+           when fa is not null then fa * 0.85e0 + coalesce(fp, fa) * 0.15e0 when fv is not null and fm is not null then fv * 0.7e0 + fm * 0.3e0 else coalesce(fv, fm, 1) end as g, case when not has_e then 0 when has_n then 0.09e0 else 0.17e0 end as k from y)
+       select cell_id, case when s <= 0 then 0.8e0 when s < 5 then 0.5e0 + s / 5 * 0.3e0 when s < 10 then 0.8e0 + (s - 5) / 5 * 0.15e0 when s < 16 then 0.95e0 + (s - 10) / 6 * 0.07e0 when s <= 22 then 1.02e0 else greatest(0.9e0, 1.02e0 - (s - 22) * 0.02e0) end as radiation,
+         case when w is null or w <= 5 then 1 when w <= 10 then 1 - (w - 5) / 5 * 0.08e0 when w <= 15 then 0.92e0 - (w - 10) / 5 * 0.18e0 else greatest(0.35e0, 0.74e0 - (w - 15) / 10 * 0.24e0) end as wind, nitrogen,
+         greatest(0.76e0, least(1, (0.85e0 + least(case when cell_id % 8 > 0 then cell_id % 700 / 10e0 else 1 end, 50) / 50 * 0.15e0) * least(1, 0.88e0 + case when cell_id % 6 > 0 then field_coverage else 0.65e0 end * 0.12e0))) as shape,
+         greatest(0.25e0, least(1.15e0, g * (1 - k) + nitrogen * k)) as vegetation from z""",
+    "radiation wind nitrogen shape vegetation",
+    digits=12,
+)
+
+
+def _suitability(v):
+    season = v("weather_daily").withColumn("season_year", F.year("observed_on")).groupBy("field_id", "season_year").agg((F.sum("gdd") * 30).alias("heat"), (F.sum("precip") * 20).alias("rain"), F.avg("tmean").alias("temperature"), F.count("*").alias("days"))
+    crops = series.latest(v("field_seasons"), ["field_id", "season_year"], [F.desc("assigned_at"), F.desc("season_id")]).select("field_id", "season_year", "crop_code")
+    both = crops.join(season, ["field_id", "season_year"]).join(v("fields").select("field_id", "miny"), "field_id")
+    found = both.select("field_id", "season_year", "crop_code", su.crop_suitability(c("crop_code"), c("miny") + c("field_id") % 20 + 1 / 7, F.when(c("field_id") % 6 > 0, c("heat")), c("rain"), c("temperature"), c("days") >= 2).alias("s"))
+    return found.select("field_id", "season_year", "crop_code", "s.score", "s.status", "s.yield_factor", F.array_join("s.reasons", ",").alias("reasons"))
+
+
+register(
+    "a18_crop_suitability",
+    _suitability,
+    """with w as (select field_id, year(observed_on) as season_year, sum(gdd) * 30 as heat, sum(precip) * 20 as r, avg(tmean) as t, count(*) >= 2 as ok from weather_daily group by 1, 2),
+       k as (select * from field_seasons qualify row_number() over (partition by field_id, season_year order by assigned_at desc, season_id desc) = 1),
+       p(crop, warm, ls, lh, g1, g2, p1, p2, p3) as (values ('corn', true, 55e0, 60e0, 1500e0, 2200e0, 220e0, 420e0, 780e0), ('soy', true, 54e0, 58e0, 1650e0, 2300e0, 240e0, 430e0, 760e0), ('barley', false, 65e0, 69e0, 850e0, 1350e0, 160e0, 320e0, 700e0), ('wheat', false, 61e0, 67e0, 950e0, 1600e0, 170e0, 340e0, 720e0), ('sunflower', false, 61e0, 67e0, 950e0, 1600e0, 170e0, 340e0, 720e0)),
+       x as (select k.field_id, k.season_year::int as season_year, crop_code, abs(miny + k.field_id % 20 + 1 / 7e0) as lat, case when k.field_id % 6 > 0 then heat end as g, r, t, ok, p.* from k join w using (field_id, season_year) join fields f on f.field_id = k.field_id join p on crop = crop_code),
+       y as (select *, case when lat > lh then 0.18e0 when lat > ls then greatest(0.4e0, 0.85e0 - (lat - ls) / (lh - ls) * 0.45e0) else 1 end as a,
+           case when not ok then 1 when g > 0 and g < g1 then greatest(0.2e0, least(0.8e0, 0.25e0 + g / g1 * 0.55e0)) when g > 0 and g < g2 then 0.88e0 + (g - g1) / (g2 - g1) * 0.12e0 when g > g2 * 1.35e0 then 0.92e0 when g > 0 or not warm then 1 else 0.8e0 end as b,
+           case when not ok or coalesce(r, 0) <= 0 then 1 when r < p1 then greatest(0.45e0, 0.92e0 - (p1 - r) / p1 * 0.4e0) when r > p3 then greatest(0.5e0, 0.95e0 - (r - p3) / p3 * 0.3e0) when r < p2 then 0.92e0 + (r - p1) / (p2 - p1) * 0.08e0 else 1 end as d, case when ok and warm and t < 11 then 0.75e0 else 1 end as e from x)
+       select field_id, season_year, crop_code, round(a * b * d * e, 4) as score, case when a * b * d * e >= 0.82 then 'high' when a * b * d * e >= 0.62 then 'moderate' when a * b * d * e >= 0.35 then 'low' else 'unsuitable' end as status, round(greatest(0.2e0, least(1.05e0, 0.35e0 + a * b * d * e * 0.7e0)), 4) as yield_factor,
+         concat_ws(',', case when lat > lh then 'latitude_out_of_range' when lat > ls then 'latitude_penalty' end, case when not ok then null when g > 0 and g < g1 then 'gdd_deficit' when g > g2 * 1.35e0 then 'gdd_excess' when coalesce(g, 0) <= 0 and warm then 'gdd_missing' end,
+           case when not ok or coalesce(r, 0) <= 0 then null when r < p1 then 'precipitation_deficit' when r > p3 then 'precipitation_excess' end, case when ok and warm and t < 11 then 'temperature_deficit' end, case when not ok and coalesce(g, r, t) is not null then 'seasonal_window_incomplete' end) as reasons from y""",
+    "score yield_factor",
+    digits=4,
+)
+register(
+    "m9_candidate_score",
+    lambda v: v("grid_cells").select("cell_id", su.candidate_score({"area_px": c("cell_id") % 13, "boundary_closure_ratio": c("field_coverage"), "edge_p90": c("soil_moist"), "ndvi_delta_mean": c("ndmi_mean"), "worldcover_cropland_frac": F.when(c("cell_id") % 4 > 0, c("ndvi_mean")), "compactness": c("ndvi_mean") * 1.3, "agreement_branch_count": c("zoom_level"), "road_overlap_ratio": c("soil_moist"), "hole_ratio": F.abs("bsi_mean")}).alias("score")),
+    """select cell_id, case when cell_id % 13 = 0 then 0 else greatest(0, least(1, (25 * field_coverage + least(100 * soil_moist, 20) + greatest(0, 50 * ndmi_mean + 5) + 15 * case when cell_id % 4 > 0 then ndvi_mean else 0.5e0 end + least(13 * ndvi_mean, 10) + least(5 * zoom_level, 10)
+         - 15 * soil_moist - 8 * abs(bsi_mean)) / 100e0)) end as score from grid_cells""",
+    "score",
+)

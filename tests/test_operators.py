@@ -173,3 +173,43 @@ def test_ranks_over_the_whole_table(spark):
     rows = [(i * 37 % 500 // 3, i) for i in range(500)]
     got = relational.ranked(spark.createDataFrame(rows, "size int, id int").repartition(7), [F.desc("size"), F.asc("id")]).collect()
     assert {r["id"]: r["rank"] for r in got} == {i: n for n, (_, i) in enumerate(sorted(rows, key=lambda x: (-x[0], x[1])), 1)}
+
+
+def test_suppression_of_a_long_chain(spark):
+    """Each item overlaps the next, with falling scores: every other one stays."""
+    from fieldspark.operators import iterative
+
+    n = 40
+    items = spark.createDataFrame([(i, 1 - i / 100) for i in range(n)], "id long, score double")
+    links = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "u long, v long")
+    got = {r["id"]: r["state"] for r in iterative.suppress(items, links).collect()}
+    assert got == {i: "kept" if i % 2 == 0 else "dropped" for i in range(n)}
+
+
+def test_nearest_marked_across_blocks(spark):
+    from fieldspark.operators import zonal
+
+    cells = [(1, r, c) for r in range(-4, 9) for c in range(0, 12)] + [(2, 0, 0)]
+    marked = [(1, -2, 3), (1, 7, 11)]
+    shape = "tile_id long, r long, c long"
+    got = zonal.nearest(spark.createDataFrame(cells, shape), spark.createDataFrame(marked, shape), pixel_m=10.0, radius_m=35.0)
+    for x in got.collect():
+        near = min((10 * ((x["r"] - r) ** 2 + (x["c"] - c) ** 2) ** 0.5 for t, r, c in marked if t == x["tile_id"]), default=35.0)
+        assert abs(x["distance"] - min(near, 35.0)) < 1e-9
+
+
+def test_suitability_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    from fieldspark.functions import suitability as su
+
+    rows = [("corn", 50.0, 2300.0, 500.0, 15.0, True), ("corn", 61.0, None, 100.0, 9.0, True), (None, 64.0, 1000.0, 800.0, 12.0, False), ("soy", None, None, None, None, True)]
+    made = spark.createDataFrame(rows, "crop string, lat double, heat double, rain double, temp double, ok boolean")
+    got = [r["s"] for r in made.select(su.crop_suitability(*(F.col(c) for c in made.columns)).alias("s")).collect()]
+    assert (got[0]["score"], got[0]["status"], got[0]["reasons"]) == (1.0, "high", [])
+    assert got[1]["reasons"] == ["latitude_out_of_range", "gdd_missing", "precipitation_deficit", "temperature_deficit"]
+    assert abs(got[1]["score"] - round(0.18 * 0.8 * (0.92 - 120 / 220 * 0.4) * 0.75, 4)) < 1e-9
+    assert got[2]["reasons"] == ["latitude_penalty", "seasonal_window_incomplete"] and got[2]["score"] == 0.625
+    assert got[3]["reasons"] == ["gdd_missing"] and got[3]["status"] == "moderate"
+    nothing = spark.range(1).select(su.vegetation_factor(*[F.lit(None).cast("double")] * 7).alias("v"), su.soil_factor(*[F.lit(None).cast("double")] * 3).alias("s"), su.wind_factor(F.lit(None).cast("double")).alias("w")).first()
+    assert tuple(nothing) == (1.0, 1.0, 1.0)
