@@ -1211,7 +1211,7 @@ def _suitability(v):
     season = v("weather_daily").withColumn("season_year", F.year("observed_on")).groupBy("field_id", "season_year").agg((F.sum("gdd") * 30).alias("heat"), (F.sum("precip") * 20).alias("rain"), F.avg("tmean").alias("temperature"), F.count("*").alias("days"))
     crops = series.latest(v("field_seasons"), ["field_id", "season_year"], [F.desc("assigned_at"), F.desc("season_id")]).select("field_id", "season_year", "crop_code")
     both = crops.join(season, ["field_id", "season_year"]).join(v("fields").select("field_id", "miny"), "field_id")
-    found = both.select("field_id", "season_year", "crop_code", su.crop_suitability(c("crop_code"), c("miny") + c("field_id") % 20 + 1 / 7, F.when(c("field_id") % 6 > 0, c("heat")), c("rain"), c("temperature"), c("days") >= 2).alias("s"))
+    found = both.select("field_id", "season_year", "crop_code", su.crop_suitability(c("crop_code"), c("miny") + c("field_id") % 20 + 1 / 13, F.when(c("field_id") % 6 > 0, c("heat")), c("rain"), c("temperature"), c("days") >= 2).alias("s"))
     return found.select("field_id", "season_year", "crop_code", "s.score", "s.status", "s.yield_factor", F.array_join("s.reasons", ",").alias("reasons"))
 
 
@@ -1221,7 +1221,7 @@ register(
     """with w as (select field_id, year(observed_on) as season_year, sum(gdd) * 30 as heat, sum(precip) * 20 as r, avg(tmean) as t, count(*) >= 2 as ok from weather_daily group by 1, 2),
        k as (select * from field_seasons qualify row_number() over (partition by field_id, season_year order by assigned_at desc, season_id desc) = 1),
        p(crop, warm, ls, lh, g1, g2, p1, p2, p3) as (values ('corn', true, 55e0, 60e0, 1500e0, 2200e0, 220e0, 420e0, 780e0), ('soy', true, 54e0, 58e0, 1650e0, 2300e0, 240e0, 430e0, 760e0), ('barley', false, 65e0, 69e0, 850e0, 1350e0, 160e0, 320e0, 700e0), ('wheat', false, 61e0, 67e0, 950e0, 1600e0, 170e0, 340e0, 720e0), ('sunflower', false, 61e0, 67e0, 950e0, 1600e0, 170e0, 340e0, 720e0)),
-       x as (select k.field_id, k.season_year::int as season_year, crop_code, abs(miny + k.field_id % 20 + 1 / 7e0) as lat, case when k.field_id % 6 > 0 then heat end as g, r, t, ok, p.* from k join w using (field_id, season_year) join fields f on f.field_id = k.field_id join p on crop = crop_code),
+       x as (select k.field_id, k.season_year::int as season_year, crop_code, abs(miny + k.field_id % 20 + 1 / 13e0) as lat, case when k.field_id % 6 > 0 then heat end as g, r, t, ok, p.* from k join w using (field_id, season_year) join fields f on f.field_id = k.field_id join p on crop = crop_code),
        y as (select *, case when lat > lh then 0.18e0 when lat > ls then greatest(0.4e0, 0.85e0 - (lat - ls) / (lh - ls) * 0.45e0) else 1 end as a,
            case when not ok then 1 when g > 0 and g < g1 then greatest(0.2e0, least(0.8e0, 0.25e0 + g / g1 * 0.55e0)) when g > 0 and g < g2 then 0.88e0 + (g - g1) / (g2 - g1) * 0.12e0 when g > g2 * 1.35e0 then 0.92e0 when g > 0 or not warm then 1 else 0.8e0 end as b,
            case when not ok or coalesce(r, 0) <= 0 then 1 when r < p1 then greatest(0.45e0, 0.92e0 - (p1 - r) / p1 * 0.4e0) when r > p3 then greatest(0.5e0, 0.95e0 - (r - p3) / p3 * 0.3e0) when r < p2 then 0.92e0 + (r - p1) / (p2 - p1) * 0.08e0 else 1 end as d, case when ok and warm and t < 11 then 0.75e0 else 1 end as e from x)
