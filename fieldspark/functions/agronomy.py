@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldspark.functions.weather import clip
 
@@ -124,6 +125,36 @@ def quality_band(score: Column, source: Column) -> Column:
     return F.when(source == "manual", "manual").when(score.isNull(), "unknown").when(score >= 0.82, "high").when(score >= 0.62, "medium").otherwise("low")
 
 
+def operational_tier(band: Column, source: Column) -> Column:
+    """struct(tier, review, reason_code) of a field by its quality band and source."""
+    kind, level = F.lower(F.trim(F.coalesce(source, F.lit("autodetect")))), F.lower(F.trim(F.coalesce(band, F.lit("unknown"))))
+    return (
+        F.when(kind == "autodetect_preview", _tier("experimental_rest", "preview_contour_requires_confirmation"))
+        .when(kind == "manual", _tier("validated_manual"))
+        .when(level == "high", _tier("validated_core"))
+        .when(level == "medium", _tier("review_needed", "field_medium_confidence_review"))
+        .when(level == "low", _tier("review_needed", "field_low_confidence_review"))
+        .otherwise(_tier("experimental_rest", "field_confidence_unconfirmed"))
+    )
+
+
+def prediction_tier(supported: Column, confidence: Column, suitability: Column) -> Column:
+    """struct(tier, review, reason_code) of a prediction by support, confidence tier and crop suitability."""
+    level, status = F.lower(F.trim(F.coalesce(confidence, F.lit("unsupported")))), F.lower(F.trim(F.coalesce(suitability, F.lit("unknown"))))
+    return (
+        F.when(status == "unsuitable", _tier("unsupported", "crop_unsuitable_for_region"))
+        .when(~F.coalesce(supported, F.lit(False)) | (level == "unsupported"), _tier("unsupported", "unsupported"))
+        .when((level == "tenant_calibrated") & status.isin("high", "moderate"), _tier("validated_core"))
+        .when(status == "low", _tier("review_needed", "crop_borderline_suitability"))
+        .when(level == "global_baseline", _tier("experimental_rest", "global_baseline_requires_review"))
+        .otherwise(_tier("review_needed", "review_before_use"))
+    )
+
+
+def _tier(name: str, code: str | None = None) -> Column:
+    return F.struct(F.lit(name).alias("tier"), F.lit(code is not None).alias("review"), F.lit(code).cast("string").alias("reason_code"))
+
+
 def freshness(fetched: Column, as_of: Column, ttl_seconds: int) -> Column:
     age = F.unix_timestamp(as_of) - F.unix_timestamp(fetched)
     return F.when(age.isNull(), "unknown").when(age <= ttl_seconds, "fresh").otherwise("stale")
@@ -183,6 +214,19 @@ def json_number(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
+def sanitized(x: Column, kind: T.DataType) -> Column:
+    """A27 for a value of any type: numbers inside structs, arrays and map values too."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return json_number(x)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda e: sanitized(e, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(x, lambda _, e: sanitized(e, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(x.isNotNull(), F.struct(*(sanitized(x[f.name], f.dataType).alias(f.name) for f in kind)))
+    return x
+
+
 # Reject reasons by the stage that gives them.
 RANKING_REASONS = ("below_min_score", "suppressed_overlap")
 TERMINAL_REASONS = ("dropped_by_object_classifier", "dropped_after_topology_cleanup", "dropped_after_merge")

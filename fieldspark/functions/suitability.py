@@ -184,3 +184,60 @@ def land_cover_class(n: Column, ndvi_min: Column, ndvi_max: Column, ndwi_max: Co
 def proposal_reject(area: Column, water: Column, ndvi_mean: Column, ndvi_std: Column) -> Column:
     """Why a proposal goes, or null."""
     return first_reason((area < 6, "area"), (water > 0.3, "water"), (ndvi_mean < 0.4, "ndvi"), (ndvi_std > 0.2, "std"))
+
+
+# Corners of water and weather stress.
+SOIL_WATER = ((0.05, 0.2), (0.1, 0.55), (0.18, 0.95), (0.35, 1.05), (0.48, 0.6), (0.705, 0.15))
+VPD_STRESS = ((0.3, 0.85), (0.5, 1.0), (2.0, 1.0), (3.5, 0.82), (6.1, 0.3))
+RAIN_STRESS = ((2.0, 0.65), (5.0, 0.9), (25.0, 1.02), (50.0, 0.8), (100.0, 0.5), (240.0, 0.15))
+# Zero, best, toxic, lethal amount; factors at none, best, toxic, lethal.
+IRRIGATION = (0.0, 8.0, 20.0, 35.0, 0.80, 1.08, 0.85, 0.60)
+FERTILIZER = (0.0, 10.0, 25.0, 40.0, 0.75, 1.12, 0.78, 0.50)
+PESTICIDE = (0.0, 5.0, 15.0, 25.0, 0.85, 1.05, 0.82, 0.60)
+ALL_EVENTS = (0.0, 10.0, 30.0, 50.0, 0.70, 1.10, 0.80, 0.55)
+
+
+def hydro_factor(soil_water: Column, vpd: Column, rain: Column) -> Column:
+    """The worst of the water terms that are known."""
+    terms = F.array(broken_line(soil_water, SOIL_WATER), broken_line(vpd, VPD_STRESS), broken_line(rain, RAIN_STRESS))
+    return F.coalesce(clip(F.array_min(terms), 0.15, 1.08), F.lit(1.0))
+
+
+def management_factor(total: Column, irrigation: Column, fertilizer: Column, pesticide: Column) -> Column:
+    """Geometric mean of the responses to the amounts by type; without any of those, the response to the total over 20."""
+    typed = [F.when(x.isNotNull(), nutrient_response(x, *k)) for x, k in ((irrigation, IRRIGATION), (fertilizer, FERTILIZER), (pesticide, PESTICIDE))]
+    known = sum((t.isNotNull().cast("int") for t in typed), F.lit(0))
+    logs = sum((F.coalesce(F.ln(t), F.lit(0.0)) for t in typed), F.lit(0.0))
+    return F.when(known > 0, clip(F.exp(logs / known), 0.45, 1.12)).when(total.isNotNull(), nutrient_response(total / 20, *ALL_EVENTS)).otherwise(1.0)
+
+
+def interaction_penalty(soil_water: Column, vpd: Column, soil_n: Column, fertilizer_pct: Column, irrigation_pct: Column) -> Column:
+    """Stresses that make each other worse: salt on dry soil, nitrogen washed out of wet soil, dry air over dry soil, water on wet soil."""
+    more = F.greatest(fertilizer_pct, F.lit(0.0))
+    salt = clip(1 - F.least((35 - F.least(soil_water, F.lit(0.12)) * 100) / 35, F.lit(1.0)) * (more / 50) * 0.3, 0.55, 1.0)
+    surplus = more / 100 + F.coalesce(F.greatest(soil_n - 30, F.lit(0.0)) / 30, F.lit(0.0))
+    washed = clip(1 - (soil_water - 0.4) / 0.2 * surplus * 0.25, 0.6, 1.0)
+    air = clip(1 - (vpd - 2) / 2 * ((0.18 - soil_water) / 0.15) * 0.2, 0.55, 1.0)
+    flooded = clip(1 - (irrigation_pct - 20) / 80 * 0.18, 0.75, 1.0)
+    rules = [
+        ((soil_water < 0.12) & ((fertilizer_pct > 15) | F.coalesce(soil_n > 35, F.lit(False))), salt),
+        (soil_water > 0.4, washed),
+        ((vpd > 2) & (soil_water < 0.18), air),
+        ((soil_water > 0.35) & (irrigation_pct > 20), flooded),
+    ]
+    out = F.lit(1.0)
+    for holds, factor in rules:
+        out = out * F.when(holds, factor).otherwise(1.0)
+    return clip(out, 0.4, 1.0)
+
+
+def baseline_estimate(baseline: Column, combined: Column, history: Column, seasons: Column, years_ago: Column) -> Column:
+    """M2: the crop's baseline times the combined factor (A19), drawn to the field's own mean yield.
+
+    The pull is at most a quarter, less with few seasons and old ones; unknown
+    counts are one season and three years.  Null without a baseline.
+    """
+    plain = baseline * combined
+    known = F.when(seasons > 0, seasons).otherwise(1)
+    pull = 0.25 * F.exp(-0.3 * F.greatest(F.coalesce(years_ago, F.lit(3)), F.lit(0))) * F.least(known / 3, F.lit(1.0))
+    return F.round(F.greatest(F.lit(0.0), F.when(history.isNull(), plain).otherwise(plain * (1 - pull) + history * pull)), 2)

@@ -79,9 +79,10 @@ def suppress(items: DataFrame, conflicts: DataFrame, least: float = 0.25) -> Dat
 
 def group_split(tiles: DataFrame, group: str, train: float = 0.7, val: float = 0.15) -> DataFrame:
     """Q7: train, val or test for whole groups, in hash order up to each share of the tiles."""
+    from fieldspark.operators.ranks import cumulated
+
     sizes = tiles.groupBy(group).agg(F.count("*").alias("n")).withColumn("h", F.md5(F.col(group).cast("string")))
-    w = Window.orderBy("h", group)  # one row per group
-    placed = sizes.withColumn("before", F.sum("n").over(w) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    placed = cumulated(sizes, [], ["h", group], "n", "before").crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("total"))))  # one row
     part = F.when(F.col("before") < train * F.col("total"), "train").when(F.col("before") < (train + val) * F.col("total"), "val").otherwise("test")
     return placed.select(group, "n", part.alias("part"))
 

@@ -11,6 +11,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.operators import ranks
+
 
 def yield_regressor(rows: DataFrame, features: list[str], target: str) -> DataFrame:
     """M7: impute medians, boost trees on seasons whose hash isn't held out; one row of errors on the held-out ones."""
@@ -18,7 +20,7 @@ def yield_regressor(rows: DataFrame, features: list[str], target: str) -> DataFr
     stages = [Imputer(strategy="median", inputCols=features, outputCols=[f"_{f}" for f in features]), VectorAssembler(inputCols=[f"_{f}" for f in features], outputCol="x"), GBTRegressor(featuresCol="x", labelCol="y", maxIter=10, maxDepth=4, seed=1)]
     made = Pipeline(stages=stages).fit(flat.where("not held")).transform(flat.where("held"))
     scores = {m: RegressionEvaluator(labelCol="y", metricName=m).evaluate(made) for m in ("mae", "rmse", "r2")}
-    width = made.agg(F.percentile(F.abs(F.col("y") - F.col("prediction")), F.lit(0.9)).alias("p90_width"))
+    width = ranks.quantiles(made.select(F.abs(F.col("y") - F.col("prediction")).alias("e")), [], "e", {"p90_width": ranks.linear(0.9)})
     return width.select(*(F.lit(v).alias(k) for k, v in scores.items()), "p90_width")
 
 

@@ -150,11 +150,11 @@ def redirect(facts: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
 
 # Columns that each kind of import requires, and their types.
 IMPORTS = {
-    "yield_history": {"field_external_id": "string", "season_year": "int", "yield_kg_ha": "double"},
+    "yield_history": {"field_external_id": "string", "season_year": "int", "crop_code": "string", "yield_kg_ha": "double"},
     "crop_plan": {"field_external_id": "string", "season_year": "int", "crop_code": "string"},
-    "soil_samples": {"field_external_id": "string", "sampled_at": "date", "ph": "double"},
-    "management_events": {"field_external_id": "string", "event_date": "date", "event_type": "string"},
-    "weather_daily": {"field_external_id": "string", "observed_on": "date"},
+    "soil_samples": {"field_external_id": "string", "sampled_at": "date"},
+    "management_events": {"field_external_id": "string", "season_year": "int", "event_date": "date", "event_type": "string"},
+    "weather_daily": {"field_external_id": "string", "season_year": "int", "observed_on": "date"},
 }
 
 

@@ -7,21 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldspark.functions.weather import clip
+from fieldspark.operators import ranks
 
 
 def interval_buckets(residuals: DataFrame, keys: list[str], coverage: float = 0.9) -> DataFrame:
     """M6: half-width of each bucket's conformal interval and its confidence.
 
-    The level, min(c (1 + 1/n), 1), varies with n, so the linear quantile is
-    read from ranks: one window per bucket, no collected list.
+    The level, min(c (1 + 1/n), 1), varies with n; ranks come from range
+    partitions, as the bucket of all regions holds every row of a crop.
     """
     a = residuals.where(F.col("residual").isNotNull()).withColumn("a", F.abs("residual"))
-    w = Window.partitionBy(*keys)
-    ranked = a.withColumn("i", F.row_number().over(w.orderBy("a")) - 1).withColumn("n", F.count("*").over(w))
-    at = F.least(coverage * (1 + 1 / F.col("n")), F.lit(1.0)) * (F.col("n") - 1)
-    ranked = ranked.withColumn("lo", F.floor(at)).withColumn("frac", at - F.floor(at))
-    low, high = F.max(F.when(F.col("i") == F.col("lo"), F.col("a"))), F.max(F.when(F.col("i") == F.least(F.col("lo") + 1, F.col("n") - 1), F.col("a")))
-    width = ranked.groupBy(*keys).agg(F.max("n").alias("n"), (low + (high - low) * F.max("frac")).alias("width"))
+    width = ranks.quantiles(a, keys, "a", {"width": lambda n: F.least(coverage * (1 + 1 / n), F.lit(1.0)) * (n - 1)})
     inside = a.join(width, keys).groupBy(*keys, "n", "width").agg(F.avg((F.col("a") <= F.col("width")).cast("int")).alias("empirical"))
     close = 1 - F.abs(F.col("empirical") - coverage) / coverage
     return inside.withColumn("confidence", clip(close * F.least(F.col("n") / 15, F.lit(1.0)), 0.2, 0.95))

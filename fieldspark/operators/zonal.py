@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldspark.operators import ranks
+
 
 def summary(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Count, mean, extremes, median and quartiles (linear) of the non-null values."""
@@ -133,11 +135,15 @@ def confusion(pred: DataFrame, truth: DataFrame, keys: list[str], by: list[str])
 
 
 def lower_quantiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, float]) -> DataFrame:
-    """The value at index int(q * (n - 1)) of the sorted values, by rank rather than by a collected list."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    picks = [F.max(F.when(F.col("i") == F.floor(F.lit(q) * (F.col("n") - 1)), F.col(value))).alias(name) for name, q in levels.items()]
-    return ranked.groupBy(*keys).agg(*picks)
+    """The value at index int(q * (n - 1)) of the sorted values."""
+    return ranks.quantiles(df, keys, value, {name: ranks.lower(q) for name, q in levels.items()}).drop("n")
+
+
+def medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with the median of each column, from one long table; a column without values is null."""
+    long = df.select(F.inline(F.array(*(F.struct(F.lit(x).alias("name"), F.col(x).cast("double").alias("value")) for x in columns))))
+    found = ranks.quantiles(long, ["name"], "value", {"m": ranks.linear(0.5)})
+    return found.agg(*(F.max(F.when(F.col("name") == x, F.col("m"))).alias(x) for x in columns))
 
 
 def nearest(pixels: DataFrame, marked: DataFrame, pixel_m: float, radius_m: float) -> DataFrame:

@@ -18,7 +18,7 @@ from fieldspark.functions import geo
 from fieldspark.functions import spectral as sp
 from fieldspark.functions import suitability as su
 from fieldspark.functions import weather as we
-from fieldspark.operators import focal, generators, iterative, models, relational, scoring, series, zonal
+from fieldspark.operators import focal, generators, iterative, models, ranks, relational, scoring, series, zonal
 from fieldspark.sources import readers
 from fieldspark.sources.views import view, with_views
 
@@ -370,7 +370,7 @@ register(
     "select " + ", ".join(f"avg({x}) as {x}_mean, stddev_pop({x}) as {x}_std" for x in ("b2", "b3", "b4", "b8", "b11")) + " from pixels",
     " ".join(f"{x}_{n}" for x in ("b2", "b3", "b4", "b8", "b11") for n in ("mean", "std")),
 )
-register("z36_medians", lambda v: v("weather_daily").agg(*(F.percentile(x, F.lit(0.5)).alias(x) for x in ("tmean", "precip", "vpd", "soil", "gdd"))), "select median(tmean) as tmean, median(precip) as precip, median(vpd) as vpd, median(soil) as soil, median(gdd) as gdd from weather_daily", "tmean precip vpd soil gdd")
+register("z36_medians", lambda v: zonal.medians(v("weather_daily"), ["tmean", "precip", "vpd", "soil", "gdd"]), "select median(tmean) as tmean, median(precip) as precip, median(vpd) as vpd, median(soil) as soil, median(gdd) as gdd from weather_daily", "tmean precip vpd soil gdd")
 register(
     "z40_run_rollup",
     lambda v: v("runs").groupBy("org").agg(F.count("*").alias("runs"), F.avg("progress").alias("progress"), F.bool_or(c("status") == "queued").alias("any_queued"), F.when(F.count_distinct("status") == 1, F.max("status")).otherwise("mixed").alias("state"), F.sha1(F.array_join(F.sort_array(F.collect_set("status")), ",")).alias("signature")),
@@ -705,7 +705,7 @@ register(
 
 def _imports(v):
     o = v("orders")
-    rows = o.select(c("o_orderkey").alias("row_number"), F.when(c("o_orderkey") % 13 == 0, "").otherwise(c("o_custkey").cast("string")).alias("field_external_id"), F.when(c("o_orderkey") % 29 == 0, "x").otherwise(F.year("o_orderdate").cast("string")).alias("season_year"), c("o_totalprice").cast("string").alias("yield_kg_ha"))
+    rows = o.select(c("o_orderkey").alias("row_number"), F.when(c("o_orderkey") % 13 == 0, "").otherwise(c("o_custkey").cast("string")).alias("field_external_id"), F.when(c("o_orderkey") % 29 == 0, "x").otherwise(F.year("o_orderdate").cast("string")).alias("season_year"), F.lit("wheat").alias("crop_code"), c("o_totalprice").cast("string").alias("yield_kg_ha"))
     return relational.validate_import(rows, "yield_history")
 
 
@@ -751,7 +751,7 @@ register(
     "minx miny maxx maxy",
 )
 register("g3_sliver_removal", lambda v: v("fields").where("area_m2 >= 500000").select("field_id", "area_m2"), "select field_id, area_m2 from fields where area_m2 >= 500000", "area_m2", digits=2)
-register("g4_area_quantiles", lambda v: v("fields").agg(*(F.percentile("area_m2", F.lit(q)).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)))), "select quantile_cont(area_m2, 0.5) as p50, quantile_cont(area_m2, 0.9) as p90, quantile_cont(area_m2, 0.99) as p99 from fields", "p50 p90 p99", digits=2)
+register("g4_area_quantiles", lambda v: ranks.quantiles(v("fields"), [], "area_m2", {n: ranks.linear(q) for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))}).drop("n"), "select quantile_cont(area_m2, 0.5) as p50, quantile_cont(area_m2, 0.9) as p90, quantile_cont(area_m2, 0.99) as p99 from fields", "p50 p90 p99", digits=2)
 register(
     "g5_point_in_ring",
     lambda v: relational.box_join(v("grid_cells").select("cell_id", "minx", "miny", "maxx", "maxy"), v("fields").select("field_id", "minx", "miny", "maxx", "maxy")).where(geo.in_ring(c("minx") + 0.0025, c("miny") + 0.0025, geo.box_ring("r_minx", "r_miny", "r_maxx", "r_maxy"))).select("cell_id", c("r_field_id").alias("field_id")),
@@ -991,7 +991,7 @@ register(
 )
 register(
     "z27_holdout_metrics",
-    lambda v: v("qa_results").agg(F.avg("queue_wall_s").alias("mean_wall"), F.percentile("queue_wall_s", F.lit(0.5)).alias("median_wall"), F.percentile("queue_wall_s", F.lit(0.9)).alias("p90_wall"), F.avg(F.when(c("region") < 4, c("queue_wall_s"))).alias("mean_south"), F.avg((c("status") == "failed").cast("int")).alias("failure_rate"), F.avg(c("empty_output").cast("int")).alias("empty_rate")),
+    lambda v: ranks.quantiles(v("qa_results"), [], "queue_wall_s", {"median_wall": ranks.linear(0.5), "p90_wall": ranks.linear(0.9)}).drop("n").crossJoin(v("qa_results").agg(F.avg("queue_wall_s").alias("mean_wall"), F.avg(F.when(c("region") < 4, c("queue_wall_s"))).alias("mean_south"), F.avg((c("status") == "failed").cast("int")).alias("failure_rate"), F.avg(c("empty_output").cast("int")).alias("empty_rate"))),
     "select avg(queue_wall_s) as mean_wall, median(queue_wall_s) as median_wall, quantile_cont(queue_wall_s, 0.9) as p90_wall, avg(queue_wall_s) filter (where region < 4) as mean_south, avg(case when status = 'failed' then 1 else 0 end) as failure_rate, avg(case when empty_output then 1 else 0 end) as empty_rate from qa_results",
     "mean_wall median_wall p90_wall mean_south failure_rate empty_rate",
 )
@@ -1238,3 +1238,6 @@ register(
          - 15 * soil_moist - 8 * abs(bsi_mean)) / 100e0)) end as score from grid_cells""",
     "score",
 )
+
+# further queries register themselves in the same tables
+from fieldspark.plans import reports  # noqa: E402, F401

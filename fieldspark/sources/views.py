@@ -41,6 +41,14 @@ VIEWS = {
         l_quantity as amount, case l_linestatus when 'O' then 'cm' else 'mm' end as unit from lineitem join orders on l_orderkey = o_orderkey""",
     "runs": "select o_orderkey as run_id, o_custkey % 25 as org, cast(o_orderdate as date) as created_at, case o_orderstatus when 'F' then 'done' when 'O' then 'running' else 'queued' end as status, o_totalprice / 1000e0 as progress from orders",
     "qa_results": "select event_id, user_id % 12 as region, value as queue_wall_s, case when event_type = 'error' then 'failed' else 'done' end as status, value < 1 as empty_output, event_id % 60 as field_count from events",
+    "holdout_rows": """select event_id, case when event_id % 2 = 0 then 'rule_based' else 'ml_primary' end as mode, event_id % 61 / 60e0 as iou, event_id % 53 / 60e0 as iou_geo, event_id % 59 / 58e0 as f1, event_id % 47 / 50e0 as f1_geo, event_id % 43 / 42e0 as precision,
+        event_id % 41 / 40e0 as recall, event_id % 37 / 36e0 as boundary_iou, event_id % 31 / 30e0 as boundary_iou_geo, event_id % 29 / 2e0 as hausdorff_95_px, value / 7e0 as hd95_m, value / 11e0 as centroid_shift_m, 9e-1 + event_id % 23 / 100e0 as area_ratio_pred_gt,
+        94e-2 + event_id % 19 / 200e0 as area_ratio_geo_median, event_id % 7 as missed_fields_count, event_id % 5 as oversegmented_fields_count, event_id % 7 / 60e0 as missed_fields_rate, event_id % 5 / 60e0 as oversegmented_fields_rate,
+        case when event_id % 13 > 0 then value end as latency_s, case when event_id % 17 > 0 then event_id % 10 / 100e0 end as fallback_rate_tile, event_id % 6 = 0 as water_adjacent_fields_present,
+        case event_id % 4 when 0 then 'low' when 1 then 'Medium' when 2 then 'high' end as road_complexity, case user_id % 3 when 0 then 'south' when 1 then 'North' else 'central' end as region_band,
+        case event_id % 9 when 0 then 'skipped_budget' when 1 then 'fallback_non_sam' when 2 then 'disabled' when 3 then null else 'full' end as sam_runtime_mode from events""",
+    "tile_rows": """select event_id as tile_id, user_id as run, event_id % 5 as total, (event_id % 5) * (event_id % 3) as kept, case event_id % 6 when 0 then 'below_min_score' when 1 then 'dropped_after_merge' when 2 then 'area' when 3 then 'suppressed_by_8' end as reason,
+        case when event_id % 50 = 7 then 'degraded_output' when event_id % 40 = 3 then 'boundary_recovery' else 'normal' end as profile, event_type from events""",
     "label_versions": "select conv_id as label_task_id, turn as version_no, case role when 'user' then 'pending' else 'approved' end as decision, length(coalesce(text, '')) as size from conversations",
     "point_weather": "select event_id, 45e0 + (user_id % 20) * 1e-1 as lat, 30e0 + (user_id % 30) * 1e-1 as lon, ts as observed_at, event_type as provider, value from events",
     "weekly_ndvi": """select field_id, cast(date_trunc('week', observed_on) as date) as week_start, avg(value) as v, max(value) as vmax, count(*) as n from metric_obs where metric = 'ndvi' group by 1, 2""",

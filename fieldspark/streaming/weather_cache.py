@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldspark.functions.agronomy import freshness
+from fieldspark.operators.series import latest
+
 
 def read_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
@@ -16,6 +19,25 @@ def first_per_place(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
     return placed.withWatermark("observed_at", ttl).dropDuplicatesWithinWatermark(["lat", "lon"])
 
 
+def newest_per_place(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
+    """The newest snapshot of each rounded place in each span of the time to live, final once the watermark has passed."""
+    placed = events.withColumn("lat", F.round("lat", 1)).withColumn("lon", F.round("lon", 1))
+    rest = [x for x in events.columns if x not in ("lat", "lon")]
+    newest = F.max_by(F.struct(*rest), F.col("observed_at")).alias("row")
+    return placed.withWatermark("observed_at", ttl).groupBy("lat", "lon", F.window("observed_at", ttl)).agg(newest).select("lat", "lon", "row.*")
+
+
+def cached(events: DataFrame, as_of: str, ttl_seconds: int, tie: str) -> DataFrame:
+    """T1 on a table: the newest row of each rounded place up to a time, marked fresh or, as a fallback, stale.
+
+    Of rows of one time the one with the smallest ``tie`` is taken.
+    """
+    now = F.lit(as_of).cast("timestamp")
+    placed = events.where(F.col("observed_at") <= now).withColumn("lat", F.round("lat", 1)).withColumn("lon", F.round("lon", 1))
+    found = latest(placed, ["lat", "lon"], [F.desc("observed_at"), F.asc(tie)])
+    return found.withColumn("state", freshness(F.col("observed_at"), now, ttl_seconds))
+
+
 def daily_means(events: DataFrame, late: str = "2 days") -> DataFrame:
     """Mean value per field, metric and day, final once the watermark has passed."""
     w = F.window("ts", "1 day")

@@ -139,9 +139,9 @@ def test_histogram_closes_the_last_bin(spark):
 
 
 def test_validate_import_reports_the_first_rule(spark):
-    rows = spark.createDataFrame([("f1", "2020", "5.5"), (" ", "x", ""), ("f2", "x", "1"), ("f3", "2020", None)], "field_external_id string, season_year string, yield_kg_ha string")
+    rows = spark.createDataFrame([("f1", "2020", "wheat", "5.5"), (" ", "x", None, ""), ("f2", "x", "soy", "1"), ("f3", "2020", "soy", None), ("f4", "2020", " ", "2")], "field_external_id string, season_year string, crop_code string, yield_kg_ha string")
     got = [r["error_message"] for r in relational.validate_import(rows, "yield_history").collect()]
-    assert got == [None, "field_external_id is required", "season_year is not a valid int", "yield_kg_ha is required"]
+    assert got == [None, "field_external_id is required", "season_year is not a valid int", "yield_kg_ha is required", "crop_code is required"]
 
 
 def test_water_balance_folds_weeks_in_order(spark):
@@ -213,3 +213,107 @@ def test_suitability_by_hand(spark):
     assert got[3]["reasons"] == ["gdd_missing"] and got[3]["status"] == "moderate"
     nothing = spark.range(1).select(su.vegetation_factor(*[F.lit(None).cast("double")] * 7).alias("v"), su.soil_factor(*[F.lit(None).cast("double")] * 3).alias("s"), su.wind_factor(F.lit(None).cast("double")).alias("w")).first()
     assert tuple(nothing) == (1.0, 1.0, 1.0)
+
+
+def test_exact_quantiles_of_groups_and_of_a_whole_table(spark):
+    import numpy as np
+
+    from fieldspark.operators import ranks
+
+    rng = np.random.default_rng(3)
+    rows = [(int(g), float(x)) for g, x in zip(rng.integers(0, 3, 500), rng.integers(0, 40, 500), strict=True)] + [(None, 1.0), (None, 5.0), (0, None), (0, float("nan"))]
+    df = spark.createDataFrame(rows, "g int, x double")
+    places = {"p50": ranks.linear(0.5), "p90": ranks.linear(0.9), "low95": ranks.lower(0.95)}
+    groups = {g: sorted(x for h, x in rows if h == g and x is not None and x == x) for g in (0, 1, 2, None)}
+    got = {r["g"]: r for r in ranks.quantiles(df, ["g"], "x", places).collect()}
+    assert got.keys() == groups.keys()
+    for g, x in groups.items():
+        assert (got[g]["n"], got[g]["p50"], got[g]["low95"]) == (len(x), np.quantile(x, 0.5), x[int(0.95 * (len(x) - 1))])
+        assert got[g]["p90"] == pytest.approx(np.quantile(x, 0.9))
+    whole = ranks.quantiles(df, [], "x", places).collect()
+    assert [r["p50"] for r in whole] == [np.quantile(sum(groups.values(), []), 0.5)]
+    assert ranks.quantiles(df.where("false"), ["g"], "x", places).collect() == []
+
+
+def test_running_sums_over_a_table_and_groups(spark):
+    from fieldspark.operators import ranks
+
+    df = spark.range(1000).selectExpr("id", "id % 3 as g", "id % 5 as n")
+    whole, total = ranks.cumulated(df, [], ["id"], "n", "before").orderBy("id").collect(), 0
+    for r in whole:
+        assert r["before"] == total
+        total += r["n"]
+    sums = {0: 0, 1: 0, 2: 0}
+    for r in ranks.cumulated(df, ["g"], ["id"], "n", "before").orderBy("id").collect():
+        assert r["before"] == sums[r["g"]]
+        sums[r["g"]] += r["n"]
+
+
+def test_matches_in_order_equal_the_loop(spark):
+    import random
+
+    from fieldspark.operators import matching
+
+    random.seed(5)
+    pairs = [(t, p, random.choice([0.1, 0.3, 0.5, 0.5, 0.9])) for t in range(40) for p in range(30) if random.random() < 0.2]
+    want, used = set(), set()
+    for t in range(40):
+        free = sorted((-x, p) for u, p, x in pairs if u == t and p not in used and x >= 0.2)
+        if free:
+            want.add((t, free[0][1]))
+            used.add(free[0][1])
+    got = matching.match_in_order(spark.createDataFrame(pairs, "t int, p int, x double"), "t", "p", "x", 0.2)
+    assert {(r["t"], r["p"]) for r in got.collect()} == want
+    assert matching.match_in_order(got.where("false"), "t", "p", "x").count() == 0
+
+
+def test_dates_are_picked_as_by_a_loop(spark):
+    import random
+
+    from fieldspark.operators import dates
+
+    random.seed(7)
+    rows = [(tile, t, t, round(random.random(), 2), random.choice([0.1, 0.2, 0.3]), 0.5, None) for tile in range(12) for t in range(9)]
+    rows = [(a, b, p, cov, s, e, cov >= 0.5) for a, b, p, cov, s, e, _ in rows]
+    df = spark.createDataFrame(rows, "tile_id int, t int, place int, coverage double, score double, edge double, good boolean")
+    got = {(r["tile_id"], r["place"]) for r in dates.pick_dates(df, 4, 2).collect()}
+    want = set()
+    for tile in range(12):
+        mine = [r for r in rows if r[0] == tile]
+        pool = [r for r in mine if r[6]] or mine
+        taken = []
+        while len(taken) < 4 and len(taken) < len(pool):
+            best = None
+            for r in pool:
+                if r in taken:
+                    continue
+                spread = min(1.0, min(abs(r[2] - x[2]) for x in taken) / 2) if taken else r[5]
+                key = (r[4] + 0.2 * spread, r[3], -r[2])
+                if best is None or key > best[0]:
+                    best = (key, r)
+            taken.append(best[1])
+        if len(taken) < 2:
+            taken += sorted((r for r in mine if r not in taken), key=lambda r: (-r[3], r[2]))[: 4 - len(taken)]
+        want |= {(tile, r[2]) for r in taken}
+    assert got == want
+
+
+def test_boundaries(spark):
+    from fieldspark.operators import imports
+
+    box = '{"type": "Polygon", "coordinates": [[[30, 0], [30.01, 0], [30.01, 0.01], [30, 0.01], [30, 0]]]}'
+    rows = [(1, "a", box), (2, "a", box), (3, "", box), (4, "b", '{"type": "Point", "coordinates": [1, 2]}'), (5, "c", None), (6, "d", '{"type": "Polygon", "coordinates": []}')]
+    read = imports.read_boundaries(spark.createDataFrame(rows, "row_number int, field_external_id string, geometry string"), "geometry")
+    got = {r["row_number"]: r for r in read.collect()}
+    assert [got[i]["error_message"] for i in range(1, 7)] == [None, None, "field_external_id is required", "Unsupported geometry type Point", "geometry is empty", "geometry is empty"]
+    assert got[1]["area_m2"] == pytest.approx(1113.1949**2, rel=1e-5) and got[1]["perimeter_m"] == pytest.approx(4 * 1113.1949, rel=1e-5)
+    old = spark.createDataFrame([("a", 1.0), ("z", 2.0)], "field_external_id string, area_m2 double")
+    assert {r["field_external_id"] for r in imports.commit_boundaries(old, read).collect()} == {"a", "z"}
+
+
+def test_object_payloads_lose_what_is_not_finite(spark):
+    from fieldspark.functions import agronomy as ag
+
+    df = spark.sql("select named_struct('a', double('NaN'), 'b', array(double('Infinity'), 1d), 'm', map('k', named_struct('x', double('-Infinity')))) as p")
+    r = df.select(ag.sanitized(F.col("p"), df.schema["p"].dataType).alias("p")).first()["p"]
+    assert (r["a"], list(r["b"]), r["m"]["k"]["x"]) == (None, [None, 1.0], None)

@@ -66,3 +66,8 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("places").count() == 2
+    stream = weather_cache.read_stream(spark, str(tmp_path / "p"), "lat double, lon double, observed_at timestamp")
+    query = weather_cache.newest_per_place(stream, "30 minutes").writeStream.outputMode("complete").format("memory").queryName("newest").option("checkpointLocation", str(tmp_path / "c3")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted((r["lat"], r["observed_at"].minute) for r in spark.table("newest").collect()) == [(50.0, 10), (51.0, 20)]
