@@ -107,7 +107,7 @@ def _preds(v):
 register(
     "j17_match_in_order",
     lambda v: matching.match_in_order(_iou_pairs(v), "cell_id", "field_id", "iou", 0.1).select("cell_id", "field_id", "iou"),
-    f"""with recursive {_BOXES}, p as (select cell_id, list(struct_pack(f := field_id, x := iou) order by iou desc, field_id) as choices, row_number() over (order by cell_id) as k from i where iou >= 0.1 group by 1),
+    f"""with recursive {_BOXES}, p as materialized (select cell_id, list(struct_pack(f := field_id, x := iou) order by iou desc, field_id) as choices, row_number() over (order by cell_id) as k from i where iou >= 0.1 group by 1),
        s as (select 0::bigint as k, []::bigint[] as used, null::bigint as cell_id, null::bigint as field_id, null::double as iou union all
          select k, case when z is null then used else list_append(used, z.f::bigint) end, cell_id, z.f::bigint, z.x from (select p.k, s.used, p.cell_id::bigint as cell_id, list_filter(p.choices, lambda y: not list_contains(s.used, y.f::bigint))[1] as z from s join p on p.k = s.k + 1) t)
        select cell_id, field_id, iou from s where field_id is not null""",
@@ -156,8 +156,8 @@ register(
 ORACLE_SQL["q3_suppression"] = with_views(
     """with recursive f as (select field_id as id, round(quality_score, 9) as score from fields),
        cf as (select a.field_id as u, b.field_id as v, (least(a.maxx, b.maxx) - greatest(a.minx, b.minx)) * (least(a.maxy, b.maxy) - greatest(a.miny, b.miny)) as i, (a.maxx - a.minx) * (a.maxy - a.miny) as x, (b.maxx - b.minx) * (b.maxy - b.miny) as y from fields a join fields b on a.field_id <> b.field_id and a.minx < b.maxx and a.maxx > b.minx and a.miny < b.maxy and a.maxy > b.miny),
-       nb as (select u, list(v) as vs from cf where i / (x + y - i) > 0.02 group by 1),
-       p as (select id, coalesce(vs, []::bigint[]) as vs, row_number() over (order by score desc, id) as k from f left join nb on u = id where score >= 0.25),
+       nb as materialized (select u, list(v) as vs from cf where i / (x + y - i) > 0.02 group by 1),
+       p as materialized (select id, coalesce(vs, []::bigint[]) as vs, row_number() over (order by score desc, id) as k from f left join nb on u = id where score >= 0.25),
        s as (select 0::bigint as k, []::bigint[] as kept union all select p.k, case when list_has_any(kept, vs) then kept else list_append(kept, id::bigint) end from s join p on p.k = s.k + 1),
        last as (select kept from s order by k desc limit 1)
        select id, case when score < 0.25 then 'low_score' when list_contains(kept, id) then 'kept' else 'dropped' end as state from f cross join last"""
