@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.functions import geo
 from fieldspark.operators.relational import IMPORTS, missing_rows, upsert
+from fieldspark.operators.rings import mercator
 from fieldspark.operators.series import latest
 
 # Further columns of each kind of import, and their types.
@@ -60,38 +62,47 @@ GEOMETRY = "type string, coordinates string"
 
 
 def read_boundaries(rows: DataFrame, geometry: str) -> DataFrame:
-    """GeoJSON polygons with ``error_message``, the outer ``ring`` and measures in spherical mercator.
+    """GeoJSON polygons with ``error_message``, ``rings``, ``parts``, ``holes`` and measures in spherical mercator.
 
-    The ring of a MultiPolygon is that of its first part.  Area is in square
-    metres, perimeter in metres.  Null or malformed JSON is an empty geometry.
+    ``rings`` has each ring of each part: ``part``, ``hole`` and its points, not
+    closed.  Area is in square metres, holes taken off, perimeter in metres,
+    holes included; ``ring`` is the outer ring of the first part as it was
+    given.  Null or malformed JSON is an empty geometry, and so is one without
+    an outer ring of four points; shorter rings beside such are left out.
     """
     parsed = rows.withColumn("_g", F.from_json(geometry, GEOMETRY))
     kind = F.col("_g.type")
     single, many = F.from_json("_g.coordinates", "array<array<array<double>>>"), F.from_json("_g.coordinates", "array<array<array<array<double>>>>")
-    ring = F.when(kind == "Polygon", F.get(single, F.lit(0))).when(kind == "MultiPolygon", F.get(F.get(many, F.lit(0)), F.lit(0)))
+    parsed = parsed.withColumn("_parts", F.when(kind == "Polygon", F.array(single)).when(kind == "MultiPolygon", many))
+
+    def points(ring):
+        return F.transform(F.slice(ring, F.lit(1), F.size(ring) - 1), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+
+    nested = F.transform("_parts", lambda part, i: F.transform(part, lambda ring, j: F.when(F.size(ring) >= 4, F.struct(i.alias("part"), (j > 0).alias("hole"), points(ring).alias("points")))))
+    parsed = parsed.withColumn("rings", F.array_compact(F.flatten(nested)))
     error = (
         F.when(F.coalesce(F.trim("field_external_id"), F.lit("")) == "", "field_external_id is required")
         .when(kind.isNull(), "geometry is empty")
         .when(~kind.isin("Polygon", "MultiPolygon"), F.concat(F.lit("Unsupported geometry type "), kind))
-        .when(F.coalesce(F.size(ring), F.lit(0)) < 4, "geometry is empty")
+        .when(~F.coalesce(F.exists("rings", lambda r: ~r["hole"]), F.lit(False)), "geometry is empty")
     )
-    out = parsed.withColumn("geometry_type", kind).withColumn("ring", ring).withColumn("error_message", error).drop("_g")
-    metres = F.transform("ring", lambda p: F.struct((F.radians(p[0]) * 6378137.0).alias("x"), (F.ln(F.tan(F.lit(0.7853981633974483) + F.radians(p[1]) / 2)) * 6378137.0).alias("y")))
-    near = F.transform("_m", lambda p: F.struct((p["x"] - F.col("_m")[0]["x"]).alias("x"), (p["y"] - F.col("_m")[0]["y"]).alias("y")))  # from the first corner, which keeps digits
-    sides = F.zip_with(F.slice("_m", 1, F.size("_m") - 1), F.slice("_m", 2, F.size("_m") - 1), lambda a, b: F.struct((a["x"] * b["y"] - b["x"] * a["y"]).alias("cross"), F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("length")))
+    out = parsed.withColumn("geometry_type", kind).withColumn("ring", F.get(F.get("_parts", F.lit(0)), F.lit(0))).withColumn("error_message", error).drop("_g", "_parts")
+    ok = F.col("error_message").isNull()
+    out = out.withColumn("rings", F.when(ok, F.col("rings"))).withColumn("_m", F.transform("rings", lambda r: F.struct(r["hole"].alias("hole"), mercator(r["points"]).alias("points"))))
 
-    def summed(part: str):
-        return F.aggregate("_s", F.lit(0.0), lambda t, x: t + x[part])
+    def summed(value):
+        return F.aggregate(F.transform("_m", value), F.lit(0.0), lambda t, x: t + x)
 
-    ok = F.col("error_message").isNull()
-    out = out.withColumn("_m", F.when(ok, metres)).withColumn("_m", near).withColumn("_s", F.when(ok, sides))
-    return out.withColumn("area_m2", F.abs(summed("cross")) / 2).withColumn("perimeter_m", summed("length")).drop("_m", "_s")
+    area = summed(lambda r: F.when(r["hole"], -geo.ring_area(r["points"])).otherwise(geo.ring_area(r["points"])))
+    out = out.withColumn("area_m2", area).withColumn("perimeter_m", summed(lambda r: geo.ring_perimeter(r["points"])))
+    return out.withColumn("parts", F.size(F.array_distinct(F.transform("rings", lambda r: r["part"]))).cast("long")).withColumn("holes", F.size(F.filter("rings", lambda r: r["hole"])).cast("long")).drop("_m")
 
 
 def preview_boundaries(read: DataFrame) -> DataFrame:
     """Counts, geometry types and the box of all valid rows."""
     ok = F.col("error_message").isNull()
-    x, y = F.transform("ring", lambda p: p[0]), F.transform("ring", lambda p: p[1])
+    x = F.flatten(F.transform("rings", lambda r: F.transform(r["points"], lambda p: p["x"])))
+    y = F.flatten(F.transform("rings", lambda r: F.transform(r["points"], lambda p: p["y"])))
     box = [F.min(F.when(ok, F.array_min(x))).alias("minx"), F.min(F.when(ok, F.array_min(y))).alias("miny"), F.max(F.when(ok, F.array_max(x))).alias("maxx"), F.max(F.when(ok, F.array_max(y))).alias("maxy")]
     types = F.array_join(F.sort_array(F.collect_set(F.when(ok, F.col("geometry_type")))), ",").alias("geometry_types")  # two at most
     return read.agg(F.count("*").alias("rows_total"), F.count_if(ok).alias("valid_rows"), F.count_if(~ok).alias("invalid_rows"), F.count_distinct(F.when(ok, F.col("field_external_id"))).alias("fields"), types, *box)

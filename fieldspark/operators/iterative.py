@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Edges that one task contracts on its own; the number of tasks grows with the edges.
+TASK_EDGES, TASK_NODES = 250_000, 1_000_000
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder that ``spark.checkpoint.dir`` names; only local sessions may lack it."""
     sc = df.sparkSession.sparkContext
@@ -22,25 +26,60 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def min_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Q2: ``(id, component)``, the smallest id reachable, by minimum over neighbours and pointer jumping.
+def _united(batches):
+    """Union-find over one task's edges; yields each node but the roots with its root."""
+    import pandas as pd
+
+    parent: dict = {}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def flush():
+        links = [(x, root(x)) for x in parent]
+        parent.clear()
+        return pd.DataFrame([(x, r) for x, r in links if x != r], columns=["u", "v"])
 
-    Each round halves distances to a root; it stops when no label changes and
-    raises if that takes more rounds than allowed.
+    for batch in batches:
+        for u, v in zip(batch["u"].tolist(), batch["v"].tolist(), strict=True):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            u, v = root(u), root(v)
+            parent[max(u, v)] = min(u, v)
+        if len(parent) > TASK_NODES:  # what is left is joined in rounds
+            yield flush()
+    yield flush()
+
+
+def min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Q2: ``(id, component)``, the smallest id reachable; ids are whole numbers.
+
+    Tasks first contract up to TASK_EDGES edges each with a union-find, which
+    settles chains and all small graphs.  What is left takes rounds of minima
+    over neighbours and pointer jumping; labels only fall, so rounds end.
     """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
-    both = cut_lineage(both)
-    labels = cut_lineage(nodes.select(F.col("id"), F.col("id").alias("component")).distinct())
-    for _ in range(rounds):
+    whole = edges.where("u <> v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).distinct()
+    whole = cut_lineage(whole)
+    parts = int(whole.count() // TASK_EDGES) + 1
+    star = cut_lineage(whole.coalesce(parts).mapInPandas(_united, "u long, v long"))
+    kind = nodes.schema["id"].dataType
+    labels = nodes.select(F.col("id").cast("long").alias("id")).distinct()
+    if parts == 1:  # one task has seen all edges
+        return labels.join(star.select(F.col("u").alias("id"), "v"), "id", "left").select(F.col("id").cast(kind).alias("id"), F.coalesce("v", "id").cast(kind).alias("component"))
+    both = cut_lineage(star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = cut_lineage(labels.select("id", F.col("id").alias("component")))
+    while True:
         near = both.join(labels.select(F.col("id").alias("v"), "component"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
         hooked = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = hooked.select(F.col("id").alias("component"), F.col("component").alias("far"))
         made = cut_lineage(hooked.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("far", "component")).alias("component")))
-        changed = made.where("was <> component").isEmpty()
+        settled = made.where("was <> component").isEmpty()
         labels = made.select("id", "component")
-        if changed:
-            return labels
-    raise RuntimeError("labels did not settle")
+        if settled:
+            return labels.select(*(F.col(x).cast(kind).alias(x) for x in ("id", "component")))
 
 
 def pixel_edges(mask: DataFrame) -> DataFrame:

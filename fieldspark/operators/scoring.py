@@ -123,7 +123,8 @@ def residual_buckets(rows: DataFrame, least: int = 5) -> DataFrame:
 def zones(cells: DataFrame, scores: dict[str, float], least: int = 6) -> DataFrame:
     """Zones by tertiles of a weighted z-score over a field's cells, from six cells on.
 
-    Scores have nine decimals, so that cells alike fall in one zone.
+    Scores have nine decimals, so that cells alike fall in one zone; the 1e-12
+    before rounding lets sums that should tie fall the same way.
     """
     x = {n: F.col(n) for n in scores}
     # all metrics in one pass, as a join back for each would double the plan every time
@@ -132,21 +133,32 @@ def zones(cells: DataFrame, scores: dict[str, float], least: int = 6) -> DataFra
     mad = near.groupBy("field_id").agg(*(F.percentile(F.abs(v - F.col(f"_med_{n}")), F.lit(0.5)).alias(f"_mad_{n}") for n, v in x.items()))
     z = {n: F.when(F.col(f"_mad_{n}") > 1e-9, 0.6745 * (v - F.col(f"_med_{n}")) / F.col(f"_mad_{n}")).when(F.col(f"_std_{n}") > 1e-9, (v - F.col(f"_avg_{n}")) / F.col(f"_std_{n}")) for n, v in x.items()}
     total = sum((F.coalesce(z[n], F.lit(0.0)) * w for n, w in scores.items()), F.lit(0.0))
-    out = near.join(mad, "field_id").select(*cells.columns, F.round(total, 9).alias("score"))
+    out = near.join(mad, "field_id").select(*cells.columns, F.round(total + 1e-12, 9).alias("score"))
     cuts = out.groupBy("field_id").agg(F.percentile("score", F.lit(0.33333)).alias("_a"), F.percentile("score", F.lit(0.66666)).alias("_b"))
     zone = F.when(F.col("score") <= F.col("_a"), "low").when(F.col("score") <= F.col("_b"), "medium").otherwise("high")
     return out.join(cuts, "field_id").withColumn("zone", zone).drop("_a", "_b")
 
 
-def zone_shares(zoned: DataFrame, coverage: str, area: str) -> DataFrame:
-    """Each cell's share of its field's area, and its multiplier, clipped and then scaled to an area-weighted mean of 1."""
+def zone_shares(zoned: DataFrame, coverage: str, area: str, baseline: str | None = None, confidence: str | None = None) -> DataFrame:
+    """Each cell's share and part of its field's area, multiplier, predicted yield and confidence.
+
+    Where a field has a positive ``baseline`` (a column), multipliers, clipped,
+    are scaled to an area-weighted mean of 1 and the baseline times them is
+    predicted; elsewhere they stay as clipped, nothing is predicted, and
+    confidence is 0.58.
+    """
     raw = clip(1 + 0.12 * F.col("score"), 0.75, 1.25)
+    known = F.coalesce(F.col(baseline) > 0, F.lit(False)) if baseline else F.lit(True)
     rows = zoned.withColumn("weight", F.greatest(F.coalesce(F.col(coverage), F.lit(0.0)), F.lit(0.01))).withColumn("_raw", raw)
     totals = rows.groupBy("field_id").agg(F.sum("weight").alias("_total"), (F.sum(F.col("_raw") * F.col("weight")) / F.sum("weight")).alias("_mean"))
-    out = rows.join(totals, "field_id").withColumn("share", F.col("weight") / F.col("_total"))
-    return out.withColumn("multiplier", F.col("_raw") / F.greatest("_mean", F.lit(1e-6))).withColumn("cell_area_m2", F.col(area) * F.col("share")).drop("weight", "_raw", "_total", "_mean")
+    out = rows.join(totals, "field_id").withColumn("share", F.col("weight") / F.greatest("_total", F.lit(1e-6)))
+    out = out.withColumn("multiplier", F.when(known, F.col("_raw") / F.greatest("_mean", F.lit(1e-6))).otherwise(F.col("_raw"))).withColumn("cell_area_m2", F.round(F.col(area) * F.col("share") + 1e-7, 4))
+    predicted = F.when(known, F.round(F.col(baseline) * F.col("multiplier") + 1e-7, 4)) if baseline else F.lit(None).cast("double")
+    sure = clip(F.when(known, F.col(confidence)).otherwise(F.lit(0.58)), 0.42, 0.92) if confidence else F.lit(0.58)
+    return out.withColumn("predicted", predicted).withColumn("confidence", sure).drop("weight", "_raw", "_total", "_mean")
 
 
 def zone_summary(shared: DataFrame) -> DataFrame:
-    """Cells, area and mean score of each zone of a field."""
-    return shared.groupBy("field_id", "zone").agg(F.count("*").alias("cells"), F.sum("cell_area_m2").alias("area_m2"), (F.sum("share") * 100).alias("area_share_pct"), F.avg("score").alias("mean_score"), F.avg("multiplier").alias("multiplier"))
+    """Cells, area, mean score, mean predicted yield and confidence of each zone of a field."""
+    means = [F.round(F.avg(x) + 1e-10, 7).alias(y) for x, y in (("score", "mean_score"), ("multiplier", "multiplier"), ("predicted", "predicted"))]
+    return shared.groupBy("field_id", "zone").agg(F.count("*").alias("cells"), F.round(F.sum("cell_area_m2") + 1e-6, 3).alias("area_m2"), F.round(F.sum("share") * 100 + 1e-10, 7).alias("area_share_pct"), *means, F.max("confidence").alias("confidence"))

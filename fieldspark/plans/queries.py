@@ -18,7 +18,7 @@ from fieldspark.functions import geo
 from fieldspark.functions import spectral as sp
 from fieldspark.functions import suitability as su
 from fieldspark.functions import weather as we
-from fieldspark.operators import focal, generators, iterative, models, ranks, relational, scoring, series, zonal
+from fieldspark.operators import focal, generators, iterative, models, mosaic, ranks, relational, scoring, series, zonal
 from fieldspark.sources import readers
 from fieldspark.sources.views import view, with_views
 
@@ -836,8 +836,9 @@ register(
     """with j as (select field_id, cell_id, ndvi_mean as a, ndmi_mean as b from grid_cells g join fields f on g.minx < f.maxx and g.maxx > f.minx and g.miny < f.maxy and g.maxy > f.miny),
        m as (select field_id, median(a) as ma, avg(a) as aa, stddev_pop(a) as sa, median(b) as mb, avg(b) as ab, stddev_pop(b) as sb, count(*) as n from j group by 1), d as (select field_id, median(abs(a - ma)) as da, median(abs(b - mb)) as db from j join m using (field_id) group by 1),
        z as (select field_id, 0.7e0 * (case when da > 1e-9 then 0.6745e0 * (a - ma) / da when sa > 1e-9 then (a - aa) / sa else 0 end) + 0.3e0 * (case when db > 1e-9 then 0.6745e0 * (b - mb) / db when sb > 1e-9 then (b - ab) / sb else 0 end) as s, n from j join m using (field_id) join d using (field_id))
-       select field_id, count(*) as cells, max(s) as top, min(s) as low from z where n >= 6 group by 1""",
+       select field_id, count(*) as cells, round(max(s) + 1e-12, 9) as top, round(min(s) + 1e-12, 9) as low from z where n >= 6 group by 1""",
     "top low",
+    digits=9,  # as zones() rounds: a second rounding would make ties
 )
 
 # --- Q: iterative -----------------------------------------------------------------------------------------------------
@@ -849,10 +850,10 @@ def _mask(v):
 
 _COMPONENTS = f"""m as (select tile_id, r, c, tile_id * 64 + r * 8 + c as id from {_FLAT} f where x > 0.5), e as (select a.id as u, b.id as v from m a join m b on a.tile_id = b.tile_id and abs(a.r - b.r) + abs(a.c - b.c) = 1),
        reach as (select id, id as root from m union select e.v as id, reach.root from reach join e on reach.id = e.u), comp as (select id, min(root) as component from reach group by 1)"""
-register("q2_pixel_components", lambda v: iterative.min_labels(_mask(v), iterative.pixel_edges(_mask(v))), f"with recursive {_COMPONENTS} select id, component from comp")
+register("q2_pixel_components", lambda v: mosaic.tile_components(_mask(v)).select("id", "component"), f"with recursive {_COMPONENTS} select id, component from comp")
 register(
     "l9_largest_components",
-    lambda v: relational.top_per_group(iterative.min_labels(_mask(v), iterative.pixel_edges(_mask(v))).groupBy("component").agg(F.count("*").alias("size")).withColumn("tile_id", F.floor(c("component") / 64)), ["tile_id"], [F.desc("size"), F.asc("component")], 2).select("component", "size"),
+    lambda v: relational.top_per_group(mosaic.tile_components(_mask(v)).groupBy("component").agg(F.count("*").alias("size")).withColumn("tile_id", F.floor(c("component") / 64)), ["tile_id"], [F.desc("size"), F.asc("component")], 2).select("component", "size"),
     f"with recursive {_COMPONENTS} select component, count(*) as size from comp group by 1 qualify row_number() over (partition by floor(component / 64) order by count(*) desc, component) <= 2",
 )
 
@@ -1102,33 +1103,43 @@ register(
 )
 register(
     "p13_component_rescue",
-    lambda v: iterative.min_labels(_mask(v), iterative.pixel_edges(_mask(v))).join(_flat(v).select((c("tile_id") * 64 + c("r") * 8 + c("c")).alias("id"), "x"), "id").groupBy("component").agg(F.count("*").alias("size"), F.max("x").alias("top")).where("size between 3 and 30 and top > 0.6"),
+    lambda v: mosaic.tile_components(_mask(v)).select("id", "component").join(_flat(v).select((c("tile_id") * 64 + c("r") * 8 + c("c")).alias("id"), "x"), "id").groupBy("component").agg(F.count("*").alias("size"), F.max("x").alias("top")).where("size between 3 and 30 and top > 0.6"),
     f"with recursive {_COMPONENTS} select component, count(*) as size, max(x) as top from comp join (select tile_id * 64 + r * 8 + c as id, x from {_FLAT} f) y using (id) group by 1 having count(*) between 3 and 30 and max(x) > 0.6",
     "top",
 )
 
 # --- zones over all metrics, and queries that are registered under two names ---
 
-_ZONE_WEIGHTS = {"ndvi_mean": 0.45, "ndmi_mean": 0.18, "bsi_mean": -0.17, "soil_moist": 0.12}
+_ZONE_WEIGHTS = {"ndvi_mean": 0.45, "ndmi_mean": 0.18, "bsi_mean": -0.17, "soil_moist": 0.12, "vpd_mean": -0.05, "wind_speed_m_s": -0.03}
 
 
 def _zone_cells(v):
     cells = relational.box_join(v("grid_cells"), v("fields").select("field_id", "minx", "miny", "maxx", "maxy", "area_m2")).select(c("r_field_id").alias("field_id"), "cell_id", *_ZONE_WEIGHTS, "field_coverage", c("r_area_m2").alias("area_m2"))
-    return scoring.zone_shares(scoring.zones(cells, _ZONE_WEIGHTS), "field_coverage", "area_m2")
+    known = v("yield_obs").groupBy("field_id").agg(F.round(F.avg("yield_kg_ha"), 3).alias("baseline"), (F.count("*") / 20.0).alias("confidence_0"))
+    return scoring.zone_shares(scoring.zones(cells, _ZONE_WEIGHTS).join(known, "field_id", "left"), "field_coverage", "area_m2", "baseline", "confidence_0")
 
 
 _ZONES = f"""j as (select field_id, cell_id, {", ".join(_ZONE_WEIGHTS)}, area_m2, greatest(field_coverage, 0.01e0) as w from grid_cells g join fields f on g.minx < f.maxx and g.maxx > f.minx and g.miny < f.maxy and g.maxy > f.miny),
        x as (select field_id, cell_id, unnest({[*_ZONE_WEIGHTS]}) as k, unnest([{", ".join(f"{x}e0" for x in _ZONE_WEIGHTS.values())}]) as p, unnest([{", ".join(_ZONE_WEIGHTS)}]) as x from j),
        m as (select field_id, k, median(x) as mx, avg(x) as ax, stddev_pop(x) as sx from x group by 1, 2), d as (select field_id, k, median(abs(x - mx)) as dx from x join m using (field_id, k) group by 1, 2),
-       z as (select field_id, cell_id, round(sum(p * case when dx > 1e-9 then 0.6745e0 * (x - mx) / dx when sx > 1e-9 then (x - ax) / sx else 0 end), 9) as score from x join m using (field_id, k) join d using (field_id, k) group by 1, 2),
+       z as (select field_id, cell_id, round(sum(p * case when dx > 1e-9 then 0.6745e0 * (x - mx) / dx when sx > 1e-9 then (x - ax) / sx else 0 end) + 1e-12, 9) as score from x join m using (field_id, k) join d using (field_id, k) group by 1, 2),
        t as (select field_id, quantile_cont(score, 0.33333) as a, quantile_cont(score, 0.66666) as b from z group by 1 having count(*) >= 6), r as (select field_id, cell_id, score, case when score <= a then 'low' when score <= b then 'medium' else 'high' end as zone, greatest(0.75e0, least(1.25e0, 1 + 0.12e0 * score)) as raw from z join t using (field_id)),
-       s as (select field_id, sum(w) as total, sum(raw * w) / sum(w) as mean from r join j using (field_id, cell_id) group by 1), o as (select field_id, cell_id, score, zone, raw / greatest(mean, 1e-6) as multiplier, w / total as share, area_m2 * w / total as cell_area_m2 from r join j using (field_id, cell_id) join s using (field_id))"""
-register("w14_zone_cells", lambda v: _zone_cells(v).select("field_id", "cell_id", "score", "zone", "multiplier", "cell_area_m2"), f"with {_ZONES} select field_id, cell_id, score, zone, multiplier, cell_area_m2 from o", "score multiplier cell_area_m2")
+       y as (select field_id, round(avg(yield_kg_ha), 3) as baseline, count(*) / 20e0 as sure from yield_obs group by 1), s as (select field_id, sum(w) as total, sum(raw * w) / sum(w) as mean from r join j using (field_id, cell_id) group by 1),
+       o as (select field_id, cell_id, score, zone, raw / case when baseline > 0 then greatest(mean, 1e-6) else 1 end as multiplier, w / total as share, round(area_m2 * (w / total) + 1e-7, 4) as cell_area_m2, case when baseline > 0 then round(baseline * (raw / greatest(mean, 1e-6)) + 1e-7, 4) end as predicted,
+         greatest(0.42e0, least(0.92e0, case when baseline > 0 then sure else 0.58e0 end)) as confidence from r join j using (field_id, cell_id) join s using (field_id) left join y using (field_id))"""
+register(
+    "w14_zone_cells",
+    lambda v: _zone_cells(v).select("field_id", "cell_id", "score", "zone", "multiplier", "cell_area_m2", "predicted", "confidence"),
+    f"with {_ZONES} select field_id, cell_id, score, zone, multiplier, cell_area_m2, predicted, confidence from o",
+    "score multiplier cell_area_m2 predicted confidence",
+    digits=9,
+)
 register(
     "w14_zone_summary",
     lambda v: scoring.zone_summary(_zone_cells(v)),
-    f"with {_ZONES} select field_id, zone, count(*) as cells, sum(cell_area_m2) as area_m2, sum(share) * 100 as area_share_pct, avg(score) as mean_score, avg(multiplier) as multiplier from o group by 1, 2",
-    "area_m2 area_share_pct mean_score multiplier",
+    f"with {_ZONES} select field_id, zone, count(*) as cells, round(sum(cell_area_m2) + 1e-6, 3) as area_m2, round(sum(share) * 100 + 1e-10, 7) as area_share_pct, round(avg(score) + 1e-10, 7) as mean_score, round(avg(multiplier) + 1e-10, 7) as multiplier, round(avg(predicted) + 1e-10, 7) as predicted, max(confidence) as confidence from o group by 1, 2",
+    "area_m2 area_share_pct mean_score multiplier predicted confidence",
+    digits=9,
 )
 register(
     "l6_label_queue_all",
@@ -1240,4 +1251,4 @@ register(
 )
 
 # further queries register themselves in the same tables
-from fieldspark.plans import reports  # noqa: E402, F401
+from fieldspark.plans import reports, shapes  # noqa: E402, F401

@@ -15,10 +15,19 @@ VIEWS = {
           30e0 + (c_custkey % 40) * 1e-2 + 6e-3 + (c_custkey % 5) * 2e-3 as maxx, 45e0 + floor(c_custkey / 40e0) * 1e-2 + 6e-3 + (c_custkey % 5) * 2e-3 as maxy,
           c_nationkey as org, (c_acctbal + 1000e0) / 11000e0 as quality_score,
           case c_mktsegment when 'HOUSEHOLD' then 'manual' when 'FURNITURE' then 'merged_hidden' else 'autodetect' end as source from customer) as f""",
+    "parcel_rects": """select field_id, round(x1, 9) as x1, round(y1, 9) as y1, round(x2, 9) as x2, round(y2, 9) as y2 from (
+        select field_id, minx as x1, miny as y1, maxx as x2, (miny + maxy) / 2e0 as y2 from fields where field_id % 3 = 0 union all
+        select field_id, minx, (miny + maxy) / 2e0, (minx + maxx) / 2e0, maxy from fields where field_id % 3 = 0 union all
+        select field_id, minx, miny, maxx, miny + (maxy - miny) / 3e0 from fields where field_id % 3 = 1 union all
+        select field_id, minx, maxy - (maxy - miny) / 3e0, maxx, maxy from fields where field_id % 3 = 1 union all
+        select field_id, minx, miny + (maxy - miny) / 3e0, minx + (maxx - minx) / 3e0, maxy - (maxy - miny) / 3e0 from fields where field_id % 3 = 1 union all
+        select field_id, maxx - (maxx - minx) / 3e0, miny + (maxy - miny) / 3e0, maxx, maxy - (maxy - miny) / 3e0 from fields where field_id % 3 = 1 union all
+        select field_id, minx, miny, minx + (maxx - minx) * 4e-1, maxy from fields where field_id % 3 = 2 union all
+        select field_id, maxx - (maxx - minx) * 4e-1, miny, maxx, maxy from fields where field_id % 3 = 2) as p""",
     "grid_cells": """select p_partkey as cell_id, 30e0 + (p_partkey % 80) * 5e-3 as minx, 45e0 + floor(p_partkey / 80e0) * 5e-3 as miny,
         30e0 + (p_partkey % 80) * 5e-3 + 5e-3 as maxx, 45e0 + floor(p_partkey / 80e0) * 5e-3 + 5e-3 as maxy, p_partkey % 3 as zoom_level,
         p_size / 50e0 as ndvi_mean, (p_partkey % 21 - 10) / 20e0 as ndmi_mean, (p_partkey % 17 - 8) / 20e0 as bsi_mean,
-        (p_partkey % 11) / 30e0 as soil_moist, (p_partkey % 10) / 10e0 as field_coverage, p_partkey % 7 as run_id from part""",
+        (p_partkey % 11) / 30e0 as soil_moist, (p_partkey % 10) / 10e0 as field_coverage, (p_partkey % 13) / 6e0 as vpd_mean, (p_partkey % 9) / 2e0 as wind_speed_m_s, p_partkey % 7 as run_id from part""",
     "pixels": """select l_suppkey as tile_id, l_linenumber as t, l_orderkey % 8 as r, l_partkey % 8 as c, 2e-2 + avg(l_discount) as b2, 3e-2 + avg(l_tax) as b3,
         3e-2 + avg(l_quantity) / 400e0 as b4, 1e-1 + avg(l_extendedprice) / 200000e0 as b8, 5e-2 + avg(l_quantity) / 250e0 as b11,
         (sum(l_partkey) + max(l_linenumber)) % 12 as scl from lineitem group by 1, 2, 3, 4""",
