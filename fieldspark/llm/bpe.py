@@ -7,11 +7,12 @@ each word's leftmost pair of minimum rank, until no pair is left.  Decoding
 joins ids to the vocabulary and aggregates the bytes in order.
 
 Words over WINDOW bytes are contracted in windows that overlap by half.  Where
-two neighbouring windows have a token in common, the sequence may change from
-one window to the next: tokens are the encoding of their bytes exactly if each
-two neighbours encode to themselves, and both windows' tokens do.  If two
-windows share none, the word is done again with windows twice as long, at last
-as one.  So a word takes time in proportion to its length.
+two windows have a token in common, the sequence may change from one window to
+the other: tokens are the encoding of their bytes exactly if each two
+neighbours encode to themselves, and both windows' tokens do.  Where they have
+none, as in runs of one character, the next window starts at a token of the
+last one.  So a word takes time in proportion to its length; windows grow only
+where that fails too.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ MEMORY = 80 << 20
 ROWS = 2_000_000
 #: Token rows that one decoding query starts with.
 DECODE_ROWS = 100_000
-#: Bytes up to which a word is contracted in one piece.
+#: Bytes up to which a word is contracted in one piece, and of the windows of longer ones.
 WINDOW = 64
 #: Characters of a text that are split at a time.
 SEGMENT = 1 << 20
@@ -49,9 +50,6 @@ last as (select w, max(s) as s from step group by w)
 select w, p, q, t from step join last using (w, s)
 """
 
-# the first token that windows k and k + 1 of a word have in common
-_SEAMS = "select x.word, x.k, min(x.a) as a from placed x join placed y on x.word = y.word and x.k + 1 = y.k and x.a = y.a and x.b = y.b and x.t = y.t group by x.word, x.k"
-
 _DECODE = "select w, unhex(string_agg(h, '' order by p)) as b from {rows} join vocabulary using (t) group by w"
 
 
@@ -67,10 +65,9 @@ class Codec:
         self.pieces = regex.compile(pattern)
         self.ranks = ranks
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.young: dict[str, str] = {}  # pieces to ids, joined by commas
-        self.old: dict[str, str] = {}
+        self.young: dict[str, tuple[str, bytes]] = {}  # pieces to ids, joined by commas, and the bytes that these decode to
+        self.old: dict[str, tuple[str, bytes]] = {}
         self.size = 0
-        self.changed: dict[str, bytes] = {}  # pieces that decode to other bytes than their own
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         m = pa.table([pa.array([x[i] for x in merges], pa.int32()) for i in range(3)], ["l", "r", "rank"])
@@ -112,23 +109,56 @@ class Codec:
         return out
 
     def long(self, word: bytes) -> pa.Table:
-        """Rows (p, t) of a word over WINDOW bytes, from windows that share a token with the next."""
-        width = WINDOW
+        """Rows (p, t) of a word over WINDOW bytes.
+
+        Windows at fixed places are contracted together, equal ones once.  From
+        one to a later one the sequence changes at a token that both have.  In
+        a run of equal characters they may never have one, as they cut it at
+        different places; the next window then starts at one of the last
+        window's tokens.  In a run such windows are alike, so few are new.
+        """
+        known: dict[bytes, list[tuple[int, int, int]]] = {}
+
+        def contracted(parts) -> None:
+            new = [x for x in dict.fromkeys(parts) if x not in known]
+            for table in self.batches(new):
+                for w, p, q, t in sorted(zip(*(table[c].to_pylist() for c in ("w", "p", "q", "t")), strict=True)):
+                    known.setdefault(new[w], []).append((p, q, t))
+
+        half = WINDOW // 2
+        fixed = range(0, max(1, len(word) - half), half)
+        contracted(word[i : i + WINDOW] for i in fixed)
+        out: list[tuple[int, int]] = []
+        least = width = WINDOW
+        start = at = 0  # of the window in use, and the place from which its tokens aren't taken yet
         while True:
-            starts = range(0, max(1, len(word) - width // 2), width // 2)
-            found = pa.concat_tables(self.batches([word[i : i + width] for i in starts]))
-            start = np.asarray(found["w"], np.int64) * (width // 2)
-            placed = pa.table([np.zeros(len(start), np.int32), found["w"], start + np.asarray(found["p"]), start + np.asarray(found["q"]), found["t"]], ["word", "k", "a", "b", "t"])
-            seams = self.query(_SEAMS, placed=placed)
-            if len(seams) == len(starts) - 1:
-                break
-            width *= 2
-        seam = np.full(len(starts) + 1, len(word))
-        seam[0] = 0
-        seam[np.asarray(seams["k"]) + 1] = np.asarray(seams["a"])
-        k, a = np.asarray(placed["k"]), np.asarray(placed["a"])
-        kept = placed.filter(pa.array((a >= seam[k]) & (a < seam[k + 1])))
-        return pa.table([kept["a"], kept["t"]], ["p", "t"])
+            contracted([word[start : start + width]])
+            now = [(start + p, start + q, t) for p, q, t in known[word[start : start + width]] if start + p >= at]
+            if start + width >= len(word):
+                return pa.table([pa.array([p for p, _ in out] + [p for p, _, _ in now], pa.int64()), pa.array([t for _, t in out] + [t for _, _, t in now], pa.int32())], ["p", "t"])
+            following = set(now)
+            to = seam = None
+            for i in range(start // half + 1, len(fixed)):
+                if fixed[i] >= start + width:
+                    break
+                shared = [p + fixed[i] for p, q, t in known[word[fixed[i] : fixed[i] + WINDOW]] if (p + fixed[i], q + fixed[i], t) in following]
+                if shared:
+                    to, seam = fixed[i], shared[0]
+                    break
+            if to is None:
+                for p, q, t in sorted((x for x in now if x[0] > start), key=lambda x: abs(x[0] - start - width // 2)):
+                    contracted([word[p : p + least]])
+                    if known[word[p : p + least]][0] == (0, q - p, t):
+                        to = seam = p
+                        break
+            if to is None:
+                width *= 2  # from the same place; what was taken ends before a token that a wider window has too, or it starts anew
+                contracted([word[start : start + width]])
+                if at not in {start + p for p, _, _ in known[word[start : start + width]]}:
+                    out, start, at, least = [], 0, 0, width
+                continue
+            out += [(p, t) for p, _, t in now if p < seam]
+            start, width, at = to, least, seam
 
     def tokens(self, words: list[bytes]) -> pa.Table:
         """(w, p, t) rows of the encoded words."""
@@ -149,10 +179,8 @@ class Codec:
         words = [x.encode() for x in pieces]
         found = self.query("select w, string_agg(t::varchar, ',' order by p) as ids, string_agg(h, '' order by p) as h from rows join vocabulary using (t) group by w", rows=self.tokens(words))
         for w, ids, h in zip(*(found[c].to_pylist() for c in ("w", "ids", "h")), strict=True):
-            self.young[pieces[w]] = ids
-            self.size += 250 + len(ids) + len(words[w])
-            if (plain := bytes.fromhex(h)) != words[w]:
-                self.changed[pieces[w]] = plain
+            self.young[pieces[w]] = ids, bytes.fromhex(h)
+            self.size += 350 + len(ids) + 2 * len(words[w])
 
     def segments(self, text: str):
         """Parts of a text whose pieces are those of the whole: cut before a blank that follows no white space."""
@@ -179,21 +207,20 @@ class Codec:
     def _looked_up(self, group: list[tuple[int, list[str]]]):
         if self.size > MEMORY:  # what isn't used while the next generation grows is forgotten
             self.old, self.young, self.size = self.young, {}, 0
-            self.changed = {x: y for x, y in self.changed.items() if x in self.old}
         new = []
         for x in set().union(*(pieces for _, pieces in group)):
             if x not in self.young:
-                if (ids := self.old.get(x)) is None:
+                if (found := self.old.get(x)) is None:
                     new.append(x)
                 else:
-                    self.young[x] = ids
-                    self.size += 250 + len(ids) + len(x)
+                    self.young[x] = found
+                    self.size += 350 + len(found[0]) + 2 * len(found[1])
         if new:
             self.learn(new)
         get = self.young.__getitem__
         for i, pieces in group:
-            plain = b"".join([self.changed.get(x) or x.encode() for x in pieces]) if self.changed else "".join(pieces).encode()
-            yield i, ",".join(map(get, pieces)), plain
+            found = [get(x) for x in pieces]
+            yield i, ",".join([x for x, _ in found]), b"".join([x for _, x in found])
 
 
 @lru_cache(maxsize=2)

@@ -120,15 +120,14 @@ def _normal_lines(text: np.ndarray):
 
 
 def _lines(kind: str):
-    """Rows of (doc, line) and the line's digest (a, b), that and its band keys, or its normal form."""
+    """Rows of (doc, line) and the line's digest (a, b), with its band keys or its normal form."""
 
     def made(docs, counts, numbers, plain):
         columns = [pa.array(np.repeat(np.array(docs, np.int64), counts)), pa.array(numbers, pa.int32())]
         names = ["doc", "line"]
-        if kind != "text":
-            digest = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in plain]), np.int64).reshape(-1, 2)
-            columns += [pa.array(digest[:, 0]), pa.array(digest[:, 1])]
-            names += ["a", "b"]
+        digest = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in plain]), np.int64).reshape(-1, 2)
+        columns += [pa.array(digest[:, 0]), pa.array(digest[:, 1])]
+        names += ["a", "b"]
         if kind == "keys":
             keys = _band_keys(plain).view(np.int64)
             columns += [pa.array(np.ascontiguousarray(keys[:, i])) for i in range(BANDS)]
@@ -315,14 +314,19 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     ``line`` counts from 0 over the ``\\n``-separated lines.  Blank lines are
     never listed; all others take part, however short or long.  Rows with a
-    null id or text take no part; rows of the same id count as one document, so
-    their like-numbered lines share their fate.  ``doc_id`` must be an integer
-    or its text (other texts raise an error).  An empty table gives an empty
-    result.
+    null id or text take no part.  Of rows that repeat an id each has its own
+    lines; equal lines of the same number under one id are one place, and stay
+    or go together.  ``doc_id`` must be an integer or its text (other texts
+    raise an error).  An empty table gives an empty result.
 
     Two lines of similarity 0.8 share a band with probability 0.998, and more
     above that; equal lines are always found.
     """
+    return _duplicates(docs, percent).select("doc_id", "line")
+
+
+def _duplicates(docs: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, line, a``; ``a`` is half of the line's digest and tells rows of one id apart."""
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = rows.mapInArrow(_lines("keys"), f"{_SHAPE}, {', '.join(f'{k} long' for k in _KEYS)}")
     # a line's place as one number, which a hash aggregate can take the least of
@@ -339,9 +343,9 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     members = skew_join(checkpointed(likely(keys, shared, "key")), shared.drop("lead"), ["key"], "size")
     members = checkpointed(members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")))
 
-    wanted = checkpointed(lines.join(members.select("id").distinct(), "id").select("id", F.col("doc").alias("doc"), "line", F.xxhash64("doc", "line").alias("at")))
-    texts = likely(rows, wanted.select(F.col("doc").alias("doc_id")), "doc_id").mapInArrow(_lines("text"), f"{_PLACE}, data binary").select("doc", "line", "data", F.xxhash64("doc", "line").alias("at"))
-    texts = likely(texts, wanted, "at").join(wanted.drop("at"), ["doc", "line"])
+    wanted = checkpointed(lines.join(members.select("id").distinct(), "id").select("id", F.col("doc").alias("doc"), "line", "a", "b", F.xxhash64("doc", "line", "a").alias("at")))
+    texts = likely(rows, wanted.select(F.col("doc").alias("doc_id")), "doc_id").mapInArrow(_lines("text"), f"{_SHAPE}, data binary").withColumn("at", F.xxhash64("doc", "line", "a"))
+    texts = likely(texts, wanted, "at").join(wanted.drop("at"), ["doc", "line", "a", "b"])
     texts = checkpointed(texts.dropDuplicates(["id"]).select("id", "data"))  # rows of one id may repeat a line
 
     # inside blocks; a large key's lead is in each of its blocks
@@ -377,7 +381,13 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     fate = checkpointed(alone.unionByName(grouped))
     places = checkpointed(likely(rows.mapInArrow(_lines(""), _SHAPE), fate, "a"))  # the join reads them twice
     out = skew_join(places, fate, ["a", "b"], "n").where("doc <> keep_doc or line <> keep_line")
-    return out.select(F.col("doc").alias("doc_id"), "line")
+    return out.select(F.col("doc").alias("doc_id"), "line", "a")
+
+
+def _digest(line: str) -> int:
+    """The first half of a line's digest: other rows of the id have other lines of that number."""
+    plain = b" ".join(line.encode().lower().split())
+    return int.from_bytes(hashlib.blake2b(plain, digest_size=16).digest()[:8], "little", signed=True)
 
 
 def _cut(batches):
@@ -387,8 +397,9 @@ def _cut(batches):
         at = batch.schema.get_field_index("text")
         texts = []
         for text, numbers in zip(batch.column(at).cast(pa.string()).to_pylist(), batch.column(last).to_pylist(), strict=True):
-            drop = set(numbers or ())
-            texts.append(text if not drop else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop))
+            drop = {(x["line"], x["a"]) for x in numbers or ()}
+            places = {i for i, _ in drop}
+            texts.append(text if not drop else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in places or (i, _digest(x)) not in drop))
         columns = [pa.array(texts, x.type) if i == at else x for i, x in enumerate(batch.columns)]
         yield pa.RecordBatch.from_arrays(columns[:last], batch.schema.names[:last])
 
@@ -403,7 +414,7 @@ def without_duplicate_lines(docs: DataFrame, percent: int = 80, drop_emptied: bo
     unchanged and unshuffled.  No column name is reserved.
     """
     key, many = unused(docs.columns, "id", "gone")
-    gone = duplicate_lines(docs, percent).groupBy("doc_id").agg(F.collect_set("line").alias(many)).withColumnRenamed("doc_id", key)
+    gone = _duplicates(docs, percent).groupBy("doc_id").agg(F.collect_set(F.struct("line", "a")).alias(many)).withColumnRenamed("doc_id", key)
     gone = checkpointed(gone)
     marked, flag = maybe(docs.withColumn(key, F.col("doc_id").cast("long")), gone, key)
     touched = marked.where(F.col(flag) & F.col("text").isNotNull()).join(gone, key, "left")

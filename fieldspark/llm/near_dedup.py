@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm._shingles import U, mix, shingles, word_batches
-from fieldspark.llm._spark import as_numpy, binary, checkpointed, components, likely, skew_join
+from fieldspark.llm._spark import as_numpy, binary, checkpointed, components, likely, maybe, skew_join, unused
 
 CHUNKS, WIDTH = 10, 4
 BLOCK = 1024
@@ -59,13 +59,14 @@ def halved(maps: np.ndarray) -> np.ndarray:
 def _sets(k: int):
     def run(batches):
         for batch in batches:
-            sizes, keys, marks, maps = [], [], [], []
+            sizes, keys, marks, nodes = [], [], [], []
             for words in word_batches(batch.column(1)):
                 found = shingles(words, k)
                 sizes.append(len(found))
-                keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                keys.append(_set_key(found) if len(found) else None)
+                nodes.append(_node(keys[-1]) if len(found) else None)
                 marks.append(signature(found).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), binary(keys), binary(marks)], ["doc_id", "n_shingles", "set_key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), binary(keys), binary(marks), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "set_key", "sig", "node"])
 
     return run
 
@@ -86,13 +87,22 @@ def _keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1).view(np.int64)), pa.array(doc)], ["key", "doc"])
 
 
+def _node(key: bytes) -> int:
+    """A set's number: an id may stand for several texts, and so for several sets."""
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
+def _set_key(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
 def _shingled(k: int, kind: str):
-    """(doc_id, its set as bytes, or the bitmap of its set)."""
+    """(number of a text's set, its size, the set as bytes or its bitmap), for texts with shingles."""
 
     def run(batches):
         for batch in batches:
-            found = [shingles(words, k) for words in word_batches(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), binary([(bitmap(x) if kind == "bitmap" else x).tobytes() if len(x) else None for x in found])], ["doc", "n", "data"])
+            found = [x for words in word_batches(batch.column(1)) if len(x := shingles(words, k))]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(_set_key(x)) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), binary([(bitmap(x) if kind == "bitmap" else x).tobytes() for x in found])], ["doc", "n", "data"])
 
     return run
 
@@ -185,14 +195,15 @@ def _confirm(percent: int):
 
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough.
 
     Both joins have plain exchanges on either side, so a document in very many
     pairs is split by adaptive execution.
     """
-    ids = checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    sets = checkpointed(likely(docs, ids, "doc_id").mapInArrow(_shingled(k, "set"), "doc long, n long, data binary").where("data is not null"))
+    wanted = checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes.select("node", F.col("rep").alias("doc_id")), "node"))
+    sets = likely(docs, wanted, "doc_id").mapInArrow(_shingled(k, "set"), "doc long, n long, data binary")
+    sets = checkpointed(likely(sets, wanted.select(F.col("node").alias("doc")), "doc").dropDuplicates(["doc"]))
     one = sets.select(F.col("doc").alias("u"), F.col("data").alias("a"))
     two = sets.select(F.col("doc").alias("v"), F.col("data").alias("b"))
     full = pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b")
@@ -207,29 +218,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     ``component_id`` is the smallest linked doc_id, itself included; ``kept``
     says that it is the row's own.  Null or wordless texts have no shingles
     and link with nothing; a row with a null id links with nothing, has a null
-    component and is kept.  Rows of the same id count as one document.  An
-    empty table gives an empty result.
+    component and is kept.  Rows of the same id are linked, whatever their
+    texts, and links of any of them count.  ``doc_id`` must be an integer or its
+    text (other texts raise an error).  An empty table gives an empty result.
 
     Shuffled: set keys, index keys of class representatives, and bitmaps of
     those that share a key with another.  Texts move only for confirmation.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = checkpointed(docs.mapInArrow(_sets(k), "doc_id long, n_shingles long, set_key binary, sig binary"))
-    classes = checkpointed(seen.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("sig").alias("sig")))
+    seen = checkpointed(docs.mapInArrow(_sets(k), "doc_id long, n_shingles long, set_key binary, sig binary, node long"))
+    classes = checkpointed(seen.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("node").alias("node"), F.count("*").alias("copies"), F.max("sig").alias("sig")))
 
-    keys = classes.select("rep", "sig").mapInArrow(_keys, "key long, doc long")
+    keys = classes.select("node", "sig").mapInArrow(_keys, "key long, doc long")
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"), F.min("doc").alias("lead")).where("size > 1")
     # keys with the same members do the same work: one of them stays
     shared = checkpointed(shared.groupBy("size", "x", "y", "lead").agg(F.min("key").alias("key")).select("key", "size", "lead"))
     members = checkpointed(skew_join(likely(keys, shared, "key"), shared, ["key"], "size").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("blocks")).cast("int")))
 
-    ids = checkpointed(members.select(F.col("doc").alias("doc_id")).distinct())
-    maps = checkpointed(likely(docs, ids, "doc_id").mapInArrow(_shingled(k, "bitmap"), "doc long, n long, data binary").where("data is not null").dropDuplicates(["doc"]))
+    ids = checkpointed(members.select(F.col("doc").alias("node")).distinct().join(classes.select("node", F.col("rep").alias("doc_id")), "node"))
+    maps = checkpointed(likely(docs, ids, "doc_id").mapInArrow(_shingled(k, "bitmap"), "doc long, n long, data binary").dropDuplicates(["doc"]))
 
     leads = shared.where(f"size > {BLOCK}").select("key", F.col("lead").alias("doc"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("block"))
     dealt = members.select("key", "doc", "block").unionByName(leads)
     forest = dealt.join(maps, "doc").groupBy("key", "block").applyInPandas(_forest(percent), "u long, v long").distinct()
-    first = checkpointed(_verified(checkpointed(forest), docs, k, percent))
+    first = checkpointed(_verified(checkpointed(forest), docs, classes, k, percent))
     merged = checkpointed(components(first))
 
     placed = members.join(merged.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -239,11 +251,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     spread = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("key", "doc", "component", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
     rest = spread.join(maps, "doc").groupBy("key", "p", "q").applyInPandas(_across(percent), "u long, v long").distinct()
-    second = _verified(checkpointed(rest), docs, k, percent)
-    linked = checkpointed(components(first.unionByName(second)))
-
-    found = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "copies", F.coalesce("component", "rep").alias("component_id"))
-    found = checkpointed(found)
+    second = _verified(checkpointed(rest), docs, classes, k, percent)
+    # texts of one id are linked, whatever they say
+    span = seen.where("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w").select("doc_id", "v")
+    span = checkpointed(span)
+    twin = likely(seen.select("doc_id", F.col("node").alias("u")), span, "doc_id").join(span, "doc_id").select("u", "v")
+    linked = components(first.unionByName(second).unionByName(twin))
+
+    found = checkpointed(classes.join(linked, "node", "left").select("set_key", "copies", "rep", F.coalesce("component", "node").alias("component")))
+    least = checkpointed(found.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("m")))
+    found = checkpointed(skew_join(found, least, ["component"], "m").select("set_key", "copies", "component_id"))
     grouped = seen.where("set_key is not null and doc_id is not null").select("doc_id", "n_shingles", "set_key")
     grouped = skew_join(grouped, found, ["set_key"], "copies").select("doc_id", "n_shingles", "component_id")
     alone = seen.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -253,10 +270,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs, all columns, less the near copies: the smallest doc_id of a component stays.
 
-    Of rows that repeat an id, one stays if their component's smallest id is
-    theirs; rows with a null id all stay.
+    Of rows that repeat an id, the one whose text has the least hash stays, if
+    the id does; rows with a null id all stay.
     """
     found = near_duplicates(docs, k, percent)
-    drop = checkpointed(found.where("not kept").select("doc_id").distinct())
-    rest = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
-    return rest
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    ids = checkpointed(ids.where("not kept or rows > 1").select(F.col("doc_id").alias("_id"), "kept"))
+    number, keep = unused(docs.columns, "number", "stays")
+    marked, flag = maybe(docs.withColumn(number, F.col("doc_id").cast("long")), ids.select(F.col("_id").alias(number)), number)
+    told = marked.where(flag).join(ids.select(F.col("_id").alias(number), F.col("kept").alias(keep)), number, "left")
+    plain = told.where(F.col(keep).isNull()).select(*docs.columns)
+    # one row of each repeated id, taken by map-side minima
+    whole = F.struct(*docs.columns)
+    one = told.where(keep).groupBy(number).agg(F.min_by(whole, F.struct(F.xxhash64("text"), "text")).alias("_row")).select("_row.*")
+    return marked.where(~F.col(flag)).select(*docs.columns).unionByName(plain).unionByName(one)

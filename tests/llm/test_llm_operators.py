@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -175,6 +176,13 @@ def test_bpe_odd_words():
         assert ",".join(p[1] for p in coder.encode([text])) == ",".join(map(str, library.encode_ordinary(text)))
     for long in ("".join(rng.choice("abcdefgh") for _ in range(100_000)), "".join(rng.choice(["the", "tion", "ing", "é", "日本", "w"]) for _ in range(20_000)), "w" * 50_000, "ab" * 5_000, "é" * 7_001, "=" * 3_333, " " * 5_000):
         assert list(coder.encode([long]))[0][1] == ",".join(map(str, library.encode_ordinary(long)))
+    runs = [x * (100_000 // len(x.encode())) for x in ("…", "哈", "😀", "é", "w", "é哈", "哈ab", "…😀", "abcdefg", "哈…")] + ["ab" * 300 + "…" * 900 + "thequick" * 100 + "哈" * 700 + "".join(rng.choice("abcdefgh") for _ in range(3000)), "…" * 3_001 + "x" + "…" * 3_002]
+    began = time.time()
+    for long in runs:
+        found = list(coder.encode([long]))
+        assert ",".join(x for _, x, _ in found) == ",".join(map(str, library.encode_ordinary(long)))
+        assert b"".join(x for _, _, x in found) == long.encode()
+    assert time.time() - began < 90  # linear: a quadratic way takes hours
     for size in range(1, 300):
         long = "".join(rng.choice("aehint") for _ in range(size))
         assert list(coder.encode([long]))[0][1] == ",".join(map(str, library.encode_ordinary(long)))
@@ -384,6 +392,26 @@ def test_line_dedup_recall_at_the_threshold():
     assert (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.995
 
 
+def test_repeated_ids_keep_their_own_lines_and_links(spark):
+    rng = random.Random(11)
+
+    def text(n):
+        return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+
+    shared, own, late = text(12), text(12), text(12)
+    made = spark.createDataFrame([(1, shared), (2, shared), (2, own), (3, late + "\n" + shared), (3, own + "\n" + late)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in line_dedup.without_duplicate_lines(made).collect()) == sorted([(1, shared), (2, ""), (2, own), (3, late), (3, "")])
+    for _ in range(2):
+        a, b, c = text(60), text(60), text(60)
+        near = b.replace(b.split()[5], "changed")
+        rows = [(1, a), (1, b), (2, near), (3, c), (3, c), (None, c)]
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(docs).where("doc_id is not null").collect()) == [(1, 1), (1, 1), (2, 1), (3, 3), (3, 3)]
+        stay = sorted(((r["doc_id"] or 0), r["text"]) for r in near_dedup.without_near_duplicates(docs).collect())
+        assert [d for d, _ in stay] == [0, 1, 3] and stay[1][1] in (a, b)
+
+
 def test_line_dedup_reserves_no_column(spark):
     clashing = ["_id", "id", "gone", "_gone", "maybe", "place", "slot", "word", "line", "key", "a", "b", "n"]
     made = spark.createDataFrame([(1, "same line here\nown words one", *range(13)), (2, "same line here\nother end", *range(13)), (3, "Same  line here", *range(13)), (None, "same line here", *range(13)), (4, None, *range(13))], "doc_id long, text string, " + ", ".join(f"{c} int" for c in clashing))
