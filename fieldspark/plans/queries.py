@@ -1251,4 +1251,4 @@ register(
 )
 
 # further queries register themselves in the same tables
-from fieldspark.plans import reports, shapes  # noqa: E402, F401
+from fieldspark.plans import mosaics, reports, rollups, shapes  # noqa: E402, F401
