@@ -63,7 +63,7 @@ def yield_pipeline(rows: DataFrame, numeric: list[str], categories: list[str], t
     Medians and modes are imputed, categories are one-hot, trees are boosted.
     """
     ready = imputed(rows.where(F.col(target).isNotNull()), numeric, categories, held).withColumn("y", F.col(target).cast("double"))
-    stages = [*one_hot(categories), VectorAssembler(inputCols=[*numeric, *(f"{x}_hot" for x in categories)], outputCol="x"), GBTRegressor(featuresCol="x", labelCol="y", maxIter=rounds, maxDepth=4, stepSize=0.2, seed=42)]
+    stages = [*one_hot(categories), VectorAssembler(inputCols=[*numeric, *(f"{x}_hot" for x in categories)], outputCol="_features"), GBTRegressor(featuresCol="_features", labelCol="y", maxIter=rounds, maxDepth=4, stepSize=0.2, seed=42)]
     model = Pipeline(stages=stages).fit(ready.where(~F.col(held)))
     mean = ready.where(~F.col(held)).agg(F.avg("y").alias("mean"))  # one row
     made = model.transform(ready.where(held)).crossJoin(F.broadcast(mean)).withColumn("e", F.abs(F.col("y") - F.col("prediction")))

@@ -26,7 +26,8 @@ def condition(**wanted: Any) -> Column:
         if isinstance(value, dict) and "null" in value:
             part = x.isNull() if value["null"] else x.isNotNull()
         elif isinstance(value, dict):
-            bounds = [x >= value["from"]] * (value.get("from") is not None) + [x <= value["to"]] * (value.get("to") is not None)
+            ends = (("from", x.__ge__), ("to", x.__le__))
+            bounds = [compare(value[end]) for end, compare in ends if value.get(end) is not None]
             part = reduce(lambda a, b: a & b, bounds, x.isNotNull())
         elif isinstance(value, (list, tuple, set, range)):
             part = x.isin(*value) if len(value) else F.lit(False) & x.isNotNull()

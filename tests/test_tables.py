@@ -105,6 +105,7 @@ def test_stream_of_newest_rows_agrees_with_the_batch(spark, tmp_path):
     shape = "event_id long, lat double, lon double, observed_at timestamp"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     folder = tmp_path / "in"
+    folder.mkdir()
     stream = weather_cache.newest_at_once(weather_cache.read_stream(spark, str(folder), shape), 2 * 3600, "3 hours")
     seen: list = []
     for rows in batches:
@@ -146,7 +147,7 @@ def test_imputed_matrix_and_errors(spark):
     rows = []
     for i in range(400):
         x, held = float(rng.normal()), i % 4 == 0
-        crop = "flax" if held and i % 8 == 0 else ["wheat", "barley", "wheat"][i % 3]
+        crop = "flax" if i % 40 == 0 else ["wheat", "barley", "wheat"][i % 3]
         y = 10 * (crop == "wheat") + 5 * x + float(rng.normal()) * 0.1
         rows.append((i, held, None if i % 9 == 0 else float("nan") if i % 10 == 0 else x, None if i % 7 == 0 else crop, y))
     given = spark.createDataFrame(rows, "id int, held boolean, x double, crop string, y double")
