@@ -90,19 +90,87 @@ def pixel_edges(mask: DataFrame) -> DataFrame:
     return right.unionByName(down).where("v is not null")
 
 
+def by_component(rows: DataFrame, decide, schema: str) -> DataFrame:
+    """Run ``decide`` over whole components: it gets many at a time, as one pandas frame.
+
+    Rows are dealt and sorted by ``component``; a task holds one batch of rows
+    and the component that reaches over its end.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        held: list = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch["component"].iloc[-1]
+            done = batch[batch["component"] != last]
+            if len(done):
+                yield decide(pd.concat([*held, done]))
+                held = []
+            elif held and held[-1]["component"].iloc[-1] != last:
+                yield decide(pd.concat(held))
+                held = []
+            held.append(batch[batch["component"] == last])
+        if held:
+            yield decide(pd.concat(held))
+
+    return rows.repartition("component").sortWithinPartitions("component").mapInPandas(run, schema)
+
+
+def split_by_size(rows: DataFrame, labels: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """rows with their ``component``, those of components of up to ``most`` rows and the others."""
+    placed = cut_lineage(rows.join(labels.withColumnRenamed("id", key), key))
+    large = cut_lineage(placed.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("component"))
+    if large.isEmpty():
+        return placed, placed.where("false")
+    return placed.join(large, "component", "left_anti"), placed.join(large, "component", "left_semi")
+
+
+def _greedy(rows):
+    """States of the items of some components: best first, an item is kept unless a better neighbour is."""
+    import pandas as pd
+
+    links = rows[rows["v"].notna()]
+    yields: dict = {}
+    for u, v in zip(links["id"].tolist(), links["v"].tolist(), strict=True):
+        yields.setdefault(u, []).append(v)
+    items = rows[rows["v"].isna()].sort_values(["score", "id"], ascending=[False, True])
+    kept: set = set()
+    for i in items["id"].tolist():
+        if not any(v in kept for v in yields.get(i, ())):
+            kept.add(i)
+    return pd.DataFrame({"id": items["id"], "state": ["kept" if i in kept else "dropped" for i in items["id"]]})
+
+
 def suppress(items: DataFrame, conflicts: DataFrame, least: float = 0.25) -> DataFrame:
     """Q3: by falling score, keep what conflicts with nothing kept; equal to the greedy order.
 
-    ``items(id, score)``, ``conflicts(u, v)``.  A round keeps every undecided
-    item without a better undecided neighbour and drops that item's neighbours.
-    The best undecided item is always kept, so rounds end; a chain of falling
-    scores takes one for each two links.
+    ``items(id, score)``, ``conflicts(u, v)``.  Components of up to TASK_EDGES
+    rows are decided in one pass each, however long their chains.  In larger
+    ones a round keeps every undecided item without a better undecided
+    neighbour and drops that item's neighbours; the best undecided item is
+    always kept, so rounds end.
     """
     rank = F.struct(F.col("score"), -F.col("id"))
     live = items.where(F.col("score") >= least).select("id", "score")
     both = conflicts.select("u", "v").unionByName(conflicts.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
     better = both.join(live.select(F.col("id").alias("u"), rank.alias("ru")), "u").join(live.select(F.col("id").alias("v"), rank.alias("rv")), "v").where("rv > ru").select("u", "v")
     better = cut_lineage(better)  # u yields to v
+    labels = min_labels(live.select("id"), better)
+    kind = live.schema["id"].dataType.simpleString()
+    rows = live.select("id", F.col("score").cast("double").alias("score"), F.lit(None).cast(kind).alias("v")).unionByName(better.select(F.col("u").alias("id"), F.lit(None).cast("double").alias("score"), "v"))
+    small, large = split_by_size(rows, labels, "id", TASK_EDGES)
+    state = cut_lineage(by_component(small, _greedy, f"id {kind}, state string"))
+    if not large.isEmpty():
+        large = cut_lineage(large)
+        state = state.unionByName(_in_rounds(large.where("v is null").select("id"), large.where("v is not null").select(F.col("id").alias("u"), "v")))
+    return items.join(state, "id", "left").withColumn("state", F.coalesce("state", F.lit("low_score")))
+
+
+def _in_rounds(live: DataFrame, better: DataFrame) -> DataFrame:
+    """``id, state`` by rounds over all at once."""
     state = cut_lineage(live.select("id", F.lit("open").alias("state")))
     while True:
         opened = state.where("state = 'open'")
@@ -113,7 +181,7 @@ def suppress(items: DataFrame, conflicts: DataFrame, least: float = 0.25) -> Dat
         new = F.when(F.col("state") != "open", F.col("state")).when(F.col("keep"), "kept").when(F.col("drop"), "dropped").otherwise("open")
         state = cut_lineage(after.select("id", new.alias("state")))
         if state.where("state = 'open'").isEmpty():
-            return items.join(state, "id", "left").withColumn("state", F.coalesce("state", F.lit("low_score")))
+            return state
 
 
 def group_split(tiles: DataFrame, group: str, train: float = 0.7, val: float = 0.15) -> DataFrame:

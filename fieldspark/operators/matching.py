@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.operators.iterative import cut_lineage, min_labels
+from fieldspark.operators.iterative import TASK_EDGES, by_component, cut_lineage, min_labels, split_by_size
 from fieldspark.operators.relational import box_iou, box_join, overlap_area
 
 BOX = ("minx", "miny", "maxx", "maxy")
@@ -14,12 +14,37 @@ BOX = ("minx", "miny", "maxx", "maxy")
 def match_in_order(pairs: DataFrame, truth: str, pred: str, score: str, least: float = 0.2) -> DataFrame:
     """One-to-one matches as truths choose in order of their id, each the best prediction still free.
 
-    Of equal scores the smaller prediction id is chosen.  All truths propose at
-    once and a prediction holds the earliest of them; refused pairs go and the
-    refused propose again.  As all predictions rank the truths alike, the
-    result is that of choosing one after the other.
+    Of equal scores the smaller prediction id is chosen; ids are whole numbers.
+    Truths and predictions that hang together by pairs are decided in one pass,
+    however long a chain of refusals is, where they have up to TASK_EDGES
+    pairs.  In larger components all truths propose at once and a prediction
+    holds the earliest of them; refused pairs go and the refused propose again.
+    As all predictions rank the truths alike, that gives the same matches.
     """
+    import pandas as pd
+
     left = cut_lineage(pairs.where(F.col(score) >= least).select(truth, pred, score))
+    side = left.select((F.col(truth) * 2).alias("u"), (F.col(pred) * 2 + 1).alias("v"))
+    labels = min_labels(side.select(F.col("u").alias("id")), side)
+    kinds = {x: left.schema[x].dataType.simpleString() for x in (truth, pred, score)}
+
+    def decide(rows):
+        used: set = set()
+        out, done = [], object()
+        for t, p, x in rows.sort_values([truth, score, pred], ascending=[True, False, True])[[truth, pred, score]].itertuples(index=False):
+            if t != done and p not in used:
+                used.add(p)
+                out.append((t, p, x))
+                done = t
+        return pd.DataFrame(out, columns=[truth, pred, score])
+
+    small, large = split_by_size(left.withColumn("_id", F.col(truth) * 2), labels, "_id", TASK_EDGES)
+    made = by_component(small.drop("_id"), decide, ", ".join(f"{x} {kind}" for x, kind in kinds.items()))
+    return made if large.isEmpty() else made.unionByName(_by_proposals(large.select(truth, pred, score), truth, pred, score))
+
+
+def _by_proposals(left: DataFrame, truth: str, pred: str, score: str) -> DataFrame:
+    left = cut_lineage(left)
     while True:
         best = left.groupBy(truth).agg(F.min_by(F.struct(pred, score), F.struct(-F.col(score), F.col(pred))).alias("_b")).select(truth, F.col(f"_b.{pred}").alias(pred), F.col(f"_b.{score}").alias(score))
         best = cut_lineage(best)

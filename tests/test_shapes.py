@@ -177,3 +177,34 @@ def test_chains_settle(spark, monkeypatch):
         monkeypatch.setattr(iterative, "TASK_EDGES", most)
         got = {r["id"]: r["component"] for r in iterative.min_labels(nodes, chain).collect()}
         assert got == dict.fromkeys(range(2000), 0) | {2000: 2000}
+
+
+def test_chains_of_refusals_and_suppression(spark, monkeypatch):
+    from fieldspark.operators import matching
+
+    rng = random.Random(6)
+    pairs = [(t, p, 1 - 0.001 * p) for t in range(120) for p in range(t + 1)] + [(200 + rng.randint(0, 30), 300 + rng.randint(0, 30), round(rng.random(), 2)) for _ in range(200)]
+    pairs = list({(t, p): (t, p, x) for t, p, x in pairs}.values())  # every truth wants what the earlier ones took
+    want, used = {}, set()
+    for t in sorted({t for t, *_ in pairs}):
+        free = sorted((-x, p) for u, p, x in pairs if u == t and x >= 0.2 and p not in used)
+        if free:
+            want[t] = free[0][1]
+            used.add(free[0][1])
+    items = [(i, round(rng.random(), 3)) for i in range(150)]
+    links = [(i, i + 1) for i in range(149)] + [(rng.randint(0, 149), rng.randint(0, 149)) for _ in range(40)]
+    near: dict = {}
+    for u, v in links:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    kept: set = set()
+    for i, x in sorted(items, key=lambda r: (-r[1], r[0])):
+        if x >= 0.25 and not (near.get(i, set()) - {i}) & kept:
+            kept.add(i)
+    for most in (250_000, 20):  # in one pass, and by rounds
+        monkeypatch.setattr(iterative, "TASK_EDGES", most)
+        monkeypatch.setattr(matching, "TASK_EDGES", 250_000 if most > 20 else 5_000)
+        got = {r["t"]: r["p"] for r in matching.match_in_order(spark.createDataFrame(pairs, "t long, p long, x double"), "t", "p", "x").collect()}
+        assert got == want
+        states = iterative.suppress(spark.createDataFrame(items, "id long, score double"), spark.createDataFrame(links, "u long, v long"))
+        assert {r["id"] for r in states.where("state = 'kept'").collect()} == kept
