@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of pieces that a task remembers in each of two generations.
-MEMORY = 80 << 20
+MEMORY = 160 << 20
 #: Rows over all steps of one recursive query (a longer window goes alone).
 ROWS = 2_000_000
 #: Token rows that one decoding query starts with.
@@ -219,8 +219,8 @@ class Codec:
             self.learn(new)
         get = self.young.__getitem__
         for i, pieces in group:
-            found = [get(x) for x in pieces]
-            yield i, ",".join([x for x, _ in found]), b"".join([x for _, x in found])
+            ids, plain = zip(*map(get, pieces), strict=True) if pieces else ((), ())
+            yield i, ",".join(ids), b"".join(plain)
 
 
 @lru_cache(maxsize=2)

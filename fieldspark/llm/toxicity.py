@@ -38,6 +38,8 @@ SHARED, SEGMENTS = 65_536, 2_048
 #: Pull of the logistic weights towards 0.
 RIDGE = 1.0
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
+#: Level and shortest match of the compressors: short ones find short words, long ones fewer chance matches.
+SETTINGS = ((3, 5), (5, 4))
 #: Bytes that are windowed at a time, a multiple of WINDOW; longer texts go in such slices.
 SLICE = WINDOW << 16
 
@@ -73,9 +75,9 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return data, start, stop - start, text
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+def _compressor(content: bytes, level: int, least: int) -> zstandard.ZstdCompressor:
     bare = {"write_content_size": False, "write_checksum": False, "write_dict_id": False, "format": zstandard.FORMAT_ZSTD1_MAGICLESS}
-    parameters = zstandard.ZstdCompressionParameters.from_level(3, window_log=18, hash_log=18, chain_log=18, **bare)
+    parameters = zstandard.ZstdCompressionParameters.from_level(level, min_match=least, window_log=18, hash_log=18, chain_log=18, **bare)
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     dictionary.precompute_compress(compression_params=parameters)
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters)
@@ -198,17 +200,20 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "_made": None}  # compressors stay in their process
 
-    def gains(self, data, start, size) -> np.ndarray:
+    def gains(self, data, start, size) -> list[np.ndarray]:
+        """Each window's gain, by each of SETTINGS."""
         if self._made is None:
-            self._made = [_compressor(x) for x in (self.ordinary, self.toxic)]
-        without, with_ = (_lengths(c, data, start, size) for c in self._made)
-        return without - with_
+            self._made = [tuple(_compressor(x, *setting) for x in (self.ordinary, self.toxic)) for setting in SETTINGS]
+        return [_lengths(ordinary, data, start, size) - _lengths(toxic, data, start, size) for ordinary, toxic in self._made]
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         if not sum(map(len, texts)):
-            return features(np.empty(0), np.empty(0, np.int64), len(texts))
-        data, start, size, text = windows(texts)
-        return features(self.gains(data, start, size), text, len(texts))
+            data = start = size = text = np.empty(0, np.int64)
+            found = [data] * len(SETTINGS)
+        else:
+            data, start, size, text = windows(texts)
+            found = self.gains(data, start, size)
+        return np.concatenate([features(gain, text, len(texts)) for gain in found], axis=1)
 
     def _design(self, x: np.ndarray) -> np.ndarray:
         return np.append((x - self.mean) / self.scale, np.ones((len(x), 1)), axis=1)

@@ -44,17 +44,19 @@ def test_segments_are_the_contrast(model):
 def test_scores_equal_window_by_window(model):
     texts = [*_texts(random.Random(3), 40, "zurkwit"), b"", b"x", b"River Zurkwit stone"]
     got = model.score(texts)
-    plain, toxic = (toxicity._compressor(x) for x in (model.ordinary, model.toxic))
+    made = [tuple(toxicity._compressor(x, *setting) for x in (model.ordinary, model.toxic)) for setting in toxicity.SETTINGS]
     for t, score in zip(texts, got, strict=True):
         if not t:
             assert score == model.prior
             continue
         data, start, size, _ = toxicity.windows([t])
         cut = [data[a : a + n].tobytes() for a, n in zip(start, size, strict=True)]
-        gain = np.array([len(plain.compress(w)) - len(toxic.compress(w)) for w in cut])
-        row = [max(-5, gain.max()), gain.mean()]
-        for least in toxicity.THRESHOLDS:
-            row += [np.log1p((gain >= least).sum()), (gain >= least).mean()]
+        row = []
+        for plain, toxic in made:
+            gain = np.array([len(plain.compress(w)) - len(toxic.compress(w)) for w in cut])
+            row += [max(-5, gain.max()), gain.mean()]
+            for least in toxicity.THRESHOLDS:
+                row += [np.log1p((gain >= least).sum()), (gain >= least).mean()]
         z = np.append((np.array(row) - model.mean) / model.scale, 1) @ model.weights
         assert score == pytest.approx(1 / (1 + np.exp(-z)))
 
