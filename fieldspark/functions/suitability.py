@@ -140,7 +140,7 @@ def crop_suitability(crop: Column, latitude: Column, heat: Column, rain: Column,
         reasons.append(reason)
     score = factors[0] * factors[1] * factors[2] * factors[3]
     status = F.when(score >= 0.82, "high").when(score >= 0.62, "moderate").when(score >= 0.35, "low").otherwise("unsuitable")
-    return F.struct(F.round(score, 4).alias("score"), status.alias("status"), F.round(clip(0.35 + score * 0.7, 0.2, 1.05), 4).alias("yield_factor"), F.array_compact(F.array(*reasons)).alias("reasons"))
+    return F.struct(F.round(score + 1e-9, 4).alias("score"), status.alias("status"), F.round(clip(0.35 + score * 0.7, 0.2, 1.05) + 1e-9, 4).alias("yield_factor"), F.array_compact(F.array(*reasons)).alias("reasons"))
 
 
 # Weight, cap and default of each feature of a candidate's score.

@@ -28,9 +28,14 @@ DIGITS = 6
 c = F.col
 
 
+def nudge(digits: int) -> str:
+    """Added before rounding, as text: exact ties, which differ in their last bits with row order, then all go up."""
+    return f"1e-{digits + 3}"
+
+
 def rounded(df: DataFrame, digits: int) -> DataFrame:
     """Doubles to so many decimals; + 0 turns a negative zero into zero."""
-    return df.select(*((F.round(x.name, digits) + 0.0).alias(x.name) if isinstance(x.dataType, T.DoubleType) else F.col(x.name) for x in df.schema))
+    return df.select(*((F.round(F.col(x.name) + float(nudge(digits)), digits) + 0.0).alias(x.name) if isinstance(x.dataType, T.DoubleType) else F.col(x.name) for x in df.schema))
 
 
 def register(name: str, build: Callable[[Callable[[str], DataFrame]], DataFrame], sql: str | None = None, doubles: str = "", digits: int = DIGITS) -> None:
@@ -44,7 +49,7 @@ def register(name: str, build: Callable[[Callable[[str], DataFrame]], DataFrame]
     if sql:
         inner = with_views(re.sub(r"count_if\(((?:[^()]|\([^()]*\))*)\)", r"count(*) filter (where \1)", sql))
         if doubles:
-            fixed = ", ".join(f"round({x}, {digits}) + 0 as {x}" for x in doubles.split())
+            fixed = ", ".join(f"round({x}::double + {nudge(digits)}, {digits}) + 0 as {x}" for x in doubles.split())
             ORACLE_SQL[name] = f"select * replace ({fixed}) from ({inner}) as q"
         else:
             ORACLE_SQL[name] = inner
@@ -1236,7 +1241,7 @@ register(
        y as (select *, case when lat > lh then 0.18e0 when lat > ls then greatest(0.4e0, 0.85e0 - (lat - ls) / (lh - ls) * 0.45e0) else 1 end as a,
            case when not ok then 1 when g > 0 and g < g1 then greatest(0.2e0, least(0.8e0, 0.25e0 + g / g1 * 0.55e0)) when g > 0 and g < g2 then 0.88e0 + (g - g1) / (g2 - g1) * 0.12e0 when g > g2 * 1.35e0 then 0.92e0 when g > 0 or not warm then 1 else 0.8e0 end as b,
            case when not ok or coalesce(r, 0) <= 0 then 1 when r < p1 then greatest(0.45e0, 0.92e0 - (p1 - r) / p1 * 0.4e0) when r > p3 then greatest(0.5e0, 0.95e0 - (r - p3) / p3 * 0.3e0) when r < p2 then 0.92e0 + (r - p1) / (p2 - p1) * 0.08e0 else 1 end as d, case when ok and warm and t < 11 then 0.75e0 else 1 end as e from x)
-       select field_id, season_year, crop_code, round(a * b * d * e, 4) as score, case when a * b * d * e >= 0.82 then 'high' when a * b * d * e >= 0.62 then 'moderate' when a * b * d * e >= 0.35 then 'low' else 'unsuitable' end as status, round(greatest(0.2e0, least(1.05e0, 0.35e0 + a * b * d * e * 0.7e0)), 4) as yield_factor,
+       select field_id, season_year, crop_code, round(a * b * d * e + 1e-9, 4) as score, case when a * b * d * e >= 0.82 then 'high' when a * b * d * e >= 0.62 then 'moderate' when a * b * d * e >= 0.35 then 'low' else 'unsuitable' end as status, round(greatest(0.2e0, least(1.05e0, 0.35e0 + a * b * d * e * 0.7e0)) + 1e-9, 4) as yield_factor,
          concat_ws(',', case when lat > lh then 'latitude_out_of_range' when lat > ls then 'latitude_penalty' end, case when not ok then null when g > 0 and g < g1 then 'gdd_deficit' when g > g2 * 1.35e0 then 'gdd_excess' when coalesce(g, 0) <= 0 and warm then 'gdd_missing' end,
            case when not ok or coalesce(r, 0) <= 0 then null when r < p1 then 'precipitation_deficit' when r > p3 then 'precipitation_excess' end, case when ok and warm and t < 11 then 'temperature_deficit' end, case when not ok and coalesce(g, r, t) is not null then 'seasonal_window_incomplete' end) as reasons from y""",
     "score yield_factor",

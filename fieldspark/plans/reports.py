@@ -169,7 +169,7 @@ ORACLE_SQL["q8_downsampling"] = with_views(
 ORACLE_SQL["f3_gradient"] = with_views(
     f"""with f as {_FLAT}, a as (select f.*, coalesce(e.x, f.x) - coalesce(w.x, f.x) as dx, 3 * coalesce(e.x, f.x) + 10 * f.x + 3 * coalesce(w.x, f.x) as sx from f left join f e on e.tile_id = f.tile_id and e.r = f.r and e.c = f.c + 1 left join f w on w.tile_id = f.tile_id and w.r = f.r and w.c = f.c - 1),
        b as (select a.tile_id, a.r, a.c, 3 * coalesce(s.dx, a.dx) + 10 * a.dx + 3 * coalesce(n.dx, a.dx) as gx, coalesce(s.sx, a.sx) - coalesce(n.sx, a.sx) as gy from a left join a s on s.tile_id = a.tile_id and s.c = a.c and s.r = a.r + 1 left join a n on n.tile_id = a.tile_id and n.c = a.c and n.r = a.r - 1)
-       select tile_id, r, c, round(coalesce(sqrt(gx * gx + gy * gy) / nullif(max(sqrt(gx * gx + gy * gy)) over (partition by tile_id), 0), 0), 6) + 0 as edge from b"""
+       select tile_id, r, c, round(coalesce(sqrt(gx * gx + gy * gy) / nullif(max(sqrt(gx * gx + gy * gy)) over (partition by tile_id), 0), 0) + 1e-9, 6) + 0 as edge from b"""
 )
 
 # --- imports ---------------------------------------------------------------------------------------------------
