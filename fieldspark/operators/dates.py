@@ -47,13 +47,14 @@ def date_scores(pixels: DataFrame, latitudes: DataFrame, least_valid: float = 0.
     cloudy = clip((least_valid - F.col("coverage")) / least_valid, 0.0, 1.0)
     edge = F.when(F.col("place").isin(0) | (F.col("place") == F.col("last")), 1.0).otherwise(F.least(F.lit(1.0), F.least(F.col("place"), F.col("last") - F.col("place")) / F.greatest(F.col("last") / 2, F.lit(1.0))))
     score = COVERAGE * clear + PHENOLOGY * phenology - WATER * water - CLOUD * cloudy
-    return placed.select("tile_id", "t", "place", "coverage", F.round(score, 9).alias("score"), edge.alias("edge"), (F.col("coverage") >= least_valid).alias("good"))
+    return placed.select("tile_id", "t", "place", "coverage", score.alias("score"), edge.alias("edge"), (F.col("coverage") >= least_valid).alias("good"))
 
 
 def pick_dates(scores: DataFrame, wanted: int = 7, least_good: int = 4) -> DataFrame:
     """Q4: up to ``wanted`` dates of each tile, one at a time by score and distance to those chosen.
 
-    Ties go to the higher coverage, then the earlier date.  Only good dates
+    Scores are compared at nine decimals, as their last bits vary with row
+    order.  Ties go to the higher coverage, then the earlier date.  Only good dates
     are candidates if there are any; with fewer than ``least_good`` chosen, the
     best covered others fill up.  A tile's dates are few; they are one group.
     """
@@ -82,4 +83,4 @@ def pick_dates(scores: DataFrame, wanted: int = 7, least_good: int = 4) -> DataF
         return pd.DataFrame(taken, columns=["tile_id", "t", "place", "reason"])
 
     kinds = {f.name: f.dataType.simpleString() for f in scores.schema}
-    return scores.groupBy("tile_id").applyInPandas(chosen, f"tile_id {kinds['tile_id']}, t {kinds['t']}, place {kinds['place']}, reason string")
+    return scores.withColumn("score", F.round("score", 9)).groupBy("tile_id").applyInPandas(chosen, f"tile_id {kinds['tile_id']}, t {kinds['t']}, place {kinds['place']}, reason string")

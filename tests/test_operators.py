@@ -317,3 +317,22 @@ def test_object_payloads_lose_what_is_not_finite(spark):
     df = spark.sql("select named_struct('a', double('NaN'), 'b', array(double('Infinity'), 1d), 'm', map('k', named_struct('x', double('-Infinity')))) as p")
     r = df.select(ag.sanitized(F.col("p"), df.schema["p"].dataType).alias("p")).first()["p"]
     assert (r["a"], list(r["b"]), r["m"]["k"]["x"]) == (None, [None, 1.0], None)
+
+
+def test_date_scores_are_not_rounded_before_the_query_rounds(spark):
+    from fieldspark.operators import dates
+    from fieldspark.plans import queries as plans
+
+    pixels = spark.createDataFrame([(1, 1, x, 0.5, 0.2, 0.1) for x in (True, False, False)], "tile_id int, t int, valid boolean, ndvi double, ndwi double, mndwi double")
+    scores = dates.date_scores(pixels, spark.createDataFrame([(1, 50.0)], "tile_id int, lat double"), 0.3)
+    assert scores.first()["score"] == pytest.approx(0.4 * (1 / 3 - 0.3) / 0.7 + 0.3 - 0.1, abs=1e-14)
+    # at nine decimals first, this one's score would be rounded up: it is 0.032777 in SQL
+    found = plans.QUERIES["q4_date_scores"](spark, "/root/testdata/sf0.01").where("tile_id = 87 and place = 5")
+    assert [r["score"] for r in found.collect()] == [0.032777]
+
+
+def test_dates_alike_to_nine_decimals_are_ties(spark):
+    from fieldspark.operators import dates
+
+    df = spark.createDataFrame([(1, t, t, 0.5, 0.3 + t * 1e-12, 0.5, True) for t in range(3)], "tile_id int, t int, place int, coverage double, score double, edge double, good boolean")
+    assert [r["place"] for r in dates.pick_dates(df, 1, 1).collect()] == [0]
