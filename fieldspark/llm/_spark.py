@@ -6,6 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ SPACES = "[\\x20\\x09-\\x0D]"
 HOT_KEYS = 1000
 #: Edges that one task contracts on its own; the number of tasks grows with the edges.
 TASK_EDGES = 250_000
+#: Bytes of long columns that a task works on at a time.
+PIECE = 1 << 21
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -174,6 +177,26 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def pieces(batches, *columns):
+    """The batches' rows in order, cut so that the given columns (places or names) have few bytes a piece.
+
+    Spark hands over batches of a number of rows; what a task makes of each,
+    and what it sends back at once, then depends on PIECE and the longest row
+    and not on that number.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = np.zeros(batch.num_rows, np.int64)
+        for x in columns:
+            data = batch.column(x)
+            data = data if pa.types.is_binary(data.type) or pa.types.is_large_binary(data.type) else data.cast(pa.large_string())
+            size += as_numpy(pc.fill_null(pc.binary_length(data), 0), np.int64)
+        starts = np.flatnonzero(np.diff(np.cumsum(size) // PIECE, prepend=-1))
+        for at, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            yield batch.slice(int(at), int(end - at))
+
+
 def binary(values) -> pa.Array:
     return pa.array(values, pa.binary())
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm._spark import checkpointed
+from fieldspark.llm._spark import checkpointed, pieces
 
 #: Labelled rows that the model is fitted on, at most; chosen by a hash of the id.
 SAMPLE_ROWS = 8_000
@@ -205,7 +205,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
         return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_predict(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    predict = _predict(shared)
+    return rows.mapInArrow(lambda batches: predict(pieces(batches, 1)), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def known_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -224,7 +225,7 @@ def known_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     predict = _predict(shared, evidence=True)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             none = pa.nulls(batch.num_rows)
             view = pa.RecordBatch.from_arrays([none, batch.column("text").cast(pa.string()), none], ["doc_id", "text", "held_out"])
             for made in predict([view]):

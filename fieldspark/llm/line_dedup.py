@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm._shingles import U, distinct, mix, texts_of
-from fieldspark.llm._spark import binary, checkpointed, components, likely, maybe, skew_join, unused
+from fieldspark.llm._spark import binary, checkpointed, components, likely, maybe, pieces, skew_join, unused
 
 WIDTH = 8
 #: Of lines alike by chance, a share of similarity**DEPTH meets in a band: three values were too few for many lines.
@@ -392,7 +392,7 @@ def _digest(line: str) -> int:
 
 def _cut(batches):
     """Rows less the lines that the last column numbers."""
-    for batch in batches:
+    for batch in pieces(batches, "text"):
         last = batch.num_columns - 1
         at = batch.schema.get_field_index("text")
         texts = []

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm._shingles import U, mix, shingles, word_batches
-from fieldspark.llm._spark import as_numpy, binary, checkpointed, components, likely, maybe, skew_join, unused
+from fieldspark.llm._spark import as_numpy, binary, checkpointed, components, likely, maybe, pieces, skew_join, unused
 
 CHUNKS, WIDTH = 10, 4
 BLOCK = 1024
@@ -58,7 +58,7 @@ def halved(maps: np.ndarray) -> np.ndarray:
 
 def _sets(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1):
             sizes, keys, marks, nodes = [], [], [], []
             for words in word_batches(batch.column(1)):
                 found = shingles(words, k)
@@ -100,7 +100,7 @@ def _shingled(k: int, kind: str):
     """(number of a text's set, its size, the set as bytes or its bitmap), for texts with shingles."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1):
             found = [x for words in word_batches(batch.column(1)) if len(x := shingles(words, k))]
             yield pa.RecordBatch.from_arrays([pa.array([_node(_set_key(x)) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), binary([(bitmap(x) if kind == "bitmap" else x).tobytes() for x in found])], ["doc", "n", "data"])
 
@@ -181,7 +181,7 @@ def _across(percent: int):
 
 def _confirm(percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, 2, 3):
             u, v, a, b = (batch.column(i).to_pylist() for i in range(4))
             good = []
             for i in range(len(u)):

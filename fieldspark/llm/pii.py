@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.llm._spark import pieces
+
 #: Kinds in their order at equal starts; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "url_login", "iban", "account")
 BASE = KINDS[:4]
@@ -174,7 +176,7 @@ def redacted(text: str, cues) -> str:
 
 def _redact(batches):
     cues = automaton()
-    for batch in batches:
+    for batch in pieces(batches, "text"):
         at = batch.schema.get_field_index("text")
         texts = [None if t is None else redacted(t, cues) for t in batch.column(at).cast(pa.string()).to_pylist()]
         yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))

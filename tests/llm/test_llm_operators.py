@@ -671,3 +671,28 @@ def test_components_over_many_tasks(spark, monkeypatch):
             parent[max(a, b)] = min(a, b)
     got = {r["node"]: r["component"] for r in _spark.components(spark.createDataFrame(edges, "u long, v long").repartition(8)).collect()}
     assert got == {x: root(x) for x in parent}
+
+
+def test_tasks_work_on_pieces_of_bounded_size(monkeypatch):
+    from fieldspark.llm import _spark
+
+    monkeypatch.setattr(_spark, "PIECE", 1 << 12)
+    random.seed(11)
+    texts = [None if i % 50 == 7 else "" if i % 50 == 9 else " ".join(f"w{random.randrange(500)}" for _ in range(random.choice([3, 40, 3000 if i % 100 == 3 else 5]))) for i in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    none = batch.slice(0, 0)
+
+    parts = list(_spark.pieces(iter([batch, none, batch]), "text"))
+    assert pa.Table.from_batches(parts).to_pylist() == [*batch.to_pylist(), *batch.to_pylist()]
+    assert max(sum(len(x or "") for x in p.column(1).to_pylist()) for p in parts) < (1 << 12) + max(len(x or "") for x in texts)
+    assert len(parts) > 20
+
+    for task in (near_dedup._sets(5), near_dedup._shingled(5, "set"), near_dedup._shingled(5, "bitmap"), pii._redact):
+        made = list(task(iter([batch])))
+        one_by_one = [r for i in range(900) for x in task(iter([batch.slice(i, 1)])) for r in x.to_pylist()]
+        assert [r for x in made for r in x.to_pylist()] == one_by_one
+        assert max(x.num_rows for x in made) < 900
+    sets = [r["data"] for x in near_dedup._shingled(5, "set")(iter([batch])) for r in x.to_pylist()]
+    pairs = pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int64()), pa.array(range(len(sets)), pa.int64()), pa.array(sets, pa.binary()), pa.array(sets, pa.binary())], ["u", "v", "a", "b"])
+    made = list(near_dedup._confirm(80)(iter([pairs])))
+    assert [r["u"] for x in made for r in x.to_pylist()] == list(range(len(sets))) and len(made) > 20
