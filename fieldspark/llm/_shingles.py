@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -109,7 +111,8 @@ def ranked(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     for number in sorted(sizes):
         starts.append((number, total))
         total += sizes[number]
-    offsets = spark.createDataFrame(starts or [(0, 0)], f"{part} long, {start} long")
+    # from Arrow, as rows of Python objects would be read by Python workers of their own beside the others
+    offsets = spark.createDataFrame(pa.table({part: pa.array([x for x, _ in starts], pa.int64()), start: pa.array([x for _, x in starts], pa.int64())}))
     return numbered.join(F.broadcast(offsets), part).select(*rows.columns, (F.col(start) + F.col(at)).alias("rank")), total
 
 
@@ -182,7 +185,8 @@ def pieces(batches, *columns):
 
     Spark hands over batches of a number of rows; what a task makes of each,
     and what it sends back at once, then depends on PIECE and the longest row
-    and not on that number.
+    and not on that number.  At the end, freed memory goes back to the system:
+    an idle worker stays beside its executor.
     """
     for batch in batches:
         if not batch.num_rows:
@@ -195,6 +199,10 @@ def pieces(batches, *columns):
         starts = np.flatnonzero(np.diff(np.cumsum(size) // PIECE, prepend=-1))
         for at, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             yield batch.slice(int(at), int(end - at))
+        del batch, data
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where there is glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def binary(values) -> pa.Array:

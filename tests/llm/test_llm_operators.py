@@ -696,3 +696,20 @@ def test_tasks_work_on_pieces_of_bounded_size(monkeypatch):
     pairs = pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int64()), pa.array(range(len(sets)), pa.int64()), pa.array(sets, pa.binary()), pa.array(sets, pa.binary())], ["u", "v", "a", "b"])
     made = list(near_dedup._confirm(80)(iter([pairs])))
     assert [r["u"] for x in made for r in x.to_pylist()] == list(range(len(sets))) and len(made) > 20
+
+
+def test_ranks_start_no_python_workers(spark, monkeypatch):
+    from pyspark import SparkContext
+
+    from fieldspark.llm import _spark
+
+    def refuse(*_, **__):
+        raise AssertionError("rows of Python objects are read by workers of their own")
+
+    made = spark.range(0, 500, 1, 5).selectExpr("(id * 37) % 500 as k").localCheckpoint()
+    none = made.where("k < 0")
+    monkeypatch.setattr(SparkContext, "parallelize", refuse)
+    rows, total = _spark.ranked(made, ["k"])
+    assert total == 500 and all(r["k"] == r["rank"] for r in rows.collect())
+    rows, total = _spark.ranked(none, ["k"])
+    assert total == 0 and rows.collect() == []
