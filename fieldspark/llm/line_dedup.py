@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm._shingles import U, distinct, mix, texts_of
+from fieldspark.llm._shingles import U, mix, texts_of
 from fieldspark.llm._spark import binary, checkpointed, components, likely, maybe, pieces, skew_join, unused
 
 WIDTH = 8
@@ -34,10 +34,14 @@ BLOCK = 1024
 
 _SEEDS = np.random.default_rng(1234567891).integers(1, 2**31, (2, BANDS * DEPTH)).astype(np.uint32)
 _MUL, _ADD = _SEEDS[0] * np.uint32(2) + np.uint32(1), _SEEDS[1]
-#: Characters that are hashed at a time.
-_PIECE = 1 << 18
-#: Bits of a shingle's hash beside the number of its line.
-_BITS = 50
+#: Characters whose band keys are made at a time.
+_PIECE = 1 << 19
+#: Bytes of lines that are compared at a time, about.
+_COMPARED = 1 << 17
+#: A group's lines are told by whole hashes; they are sorted by so many bits beside a place, and the rest is compared.
+_LEAST_BITS = 40
+#: White space but line ends becomes a space, A-Z lower case.
+_PLAIN = bytes(32 if x in b"\t\r\x0b\x0c" else x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 
 def _shingled(lines: list[bytes], wide: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -111,25 +115,32 @@ def _cut_up(line: bytes):
         yield text[at : at + _PIECE + WIDTH - 1].encode()
 
 
-def _normal_lines(text: np.ndarray):
-    """(number, normal form) of the lines with a word: ASCII lower case, white space collapsed."""
-    for number, line in enumerate(text.tobytes().lower().split(b"\n")):  # of bytes: lower() and split() know just ASCII
-        words = line.split()
-        if words:
-            yield number, b" ".join(words)
+def _normal_lines(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Text, number and normal form of the texts' lines with a word: ASCII lower case, white space collapsed."""
+    joined = b"\n".join(texts).translate(_PLAIN)
+    while b"  " in joined:
+        joined = joined.replace(b"  ", b" ")
+    lines = joined.replace(b" \n", b"\n").replace(b"\n ", b"\n").strip(b" ").split(b"\n") if texts else []
+    counts = np.array([int(np.count_nonzero(x == 10)) + 1 for x in texts], np.int64)
+    text = np.repeat(np.arange(len(texts)), counts)
+    number = np.arange(len(lines)) - np.repeat(np.cumsum(counts) - counts, counts)
+    words = np.fromiter(map(bool, lines), bool, len(lines))
+    return text[words], number[words], [x for x in lines if x]
 
 
 def _lines(kind: str):
     """Rows of (doc, line) and the line's digest (a, b), with its band keys or its normal form."""
 
-    def made(docs, counts, numbers, plain):
-        columns = [pa.array(np.repeat(np.array(docs, np.int64), counts)), pa.array(numbers, pa.int32())]
+    def made(docs, texts):
+        owner, number, plain = _normal_lines(texts)
+        columns = [pa.array(np.array(docs, np.int64)[owner]), pa.array(number.astype(np.int32))]
         names = ["doc", "line"]
         digest = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in plain]), np.int64).reshape(-1, 2)
         columns += [pa.array(digest[:, 0]), pa.array(digest[:, 1])]
         names += ["a", "b"]
         if kind == "keys":
-            keys = _band_keys(plain).view(np.int64)
+            once = {x: i for i, x in enumerate(dict.fromkeys(plain))}  # equal lines are hashed once
+            keys = _band_keys(list(once)).view(np.int64)[np.fromiter(map(once.__getitem__, plain), np.int64, len(plain))]
             columns += [pa.array(np.ascontiguousarray(keys[:, i])) for i in range(BANDS)]
             names += _KEYS
         if kind == "text":
@@ -138,20 +149,8 @@ def _lines(kind: str):
         return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches):
-        docs, counts, numbers, plain, size = [], [], [], [], 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                before = len(plain)
-                for number, line in _normal_lines(text):
-                    numbers.append(number)
-                    plain.append(line)
-                    size += len(line) + 200
-                docs.append(doc)
-                counts.append(len(plain) - before)
-                if size > 1 << 22:
-                    yield made(docs, counts, numbers, plain)
-                    docs, counts, numbers, plain, size = [], [], [], [], 0
-        yield made(docs, counts, numbers, plain)
+        for batch in pieces(batches, 1):
+            yield made(batch.column(0).to_pylist(), list(texts_of(batch.column(1))))
 
     return run
 
@@ -166,25 +165,40 @@ class _Rows:
 
     def __init__(self, group: np.ndarray, lines: list[bytes]):
         hashes, sizes = _shingled(lines)
-        row = np.repeat(np.arange(len(lines), dtype=U), sizes)
-        own = distinct(row << U(_BITS) | hashes >> U(64 - _BITS))
-        row = (own >> U(_BITS)).astype(np.int64)
-        # a code for each shingle of a group
-        self.code = np.unique(group[row].astype(U) << U(_BITS) | own & U((1 << _BITS) - 1), return_inverse=True)[1]
-        self.mark = np.zeros(self.code.max() + 1, bool)
-        self.size = np.bincount(row, minlength=len(lines))
+        row = np.repeat(np.arange(len(lines)), sizes)
+        # a code for each shingle of a group: one sort by part of the hash, with the place in the lower bits
+        full = hashes ^ mix(group[row].astype(U) * U(0x9E3779B97F4A7C15))
+        low = len(full).bit_length()
+        order = np.sort(full >> U(low) << U(low) | np.arange(len(full), dtype=U))
+        place = (order & U((1 << low) - 1)).astype(np.int64)
+        new = np.append(True, (order >> U(low))[1:] != (order >> U(low))[:-1])
+        at, its = hashes[place], group[row[place]]
+        other = np.append(True, (at[1:] != at[:-1]) | (its[1:] != its[:-1]))
+        if 64 - low < _LEAST_BITS or (other & ~new).any():  # parts of hashes are alike: by all bits
+            place = np.lexsort((hashes, group[row]))
+            at, its = hashes[place], group[row[place]]
+            other = np.append(True, (at[1:] != at[:-1]) | (its[1:] != its[:-1]))
+        code = np.empty(len(full), np.int64)
+        code[place] = np.cumsum(other) - 1
+        # places of a shingle are in order, so a line's repeats are neighbours
+        mine = row[place]
+        once = np.empty(len(full), bool)
+        once[place] = other | np.append(True, mine[1:] != mine[:-1])
+        self.code = code[once]
+        self.mark = np.zeros(int(other.sum()), np.int32)
+        self.size = np.bincount(row[once], minlength=len(lines))
         self.start = np.cumsum(self.size) - self.size
 
     def distances(self, rows: np.ndarray, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shared shingles and Jaccard distance of each of rows to its group's lead (``leads``: of each row)."""
         at = [self.code[self.start[i] : self.start[i] + self.size[i]] for i in np.unique(leads)]
         at = np.concatenate(at)
-        self.mark[at] = True
+        self.mark[at] = 1
         size = self.size[rows]
         ends = np.cumsum(size)
         place = np.arange(ends[-1]) + np.repeat(self.start[rows] - (ends - size), size)
-        same = np.add.reduceat(self.mark[self.code[place]].astype(np.int64), ends - size)
-        self.mark[at] = False
+        same = np.add.reduceat(self.mark[self.code[place]], ends - size, dtype=np.int64)
+        self.mark[at] = 0
         return same, 1 - same / (size + self.size[leads] - same)
 
 
@@ -292,7 +306,7 @@ def _linked(percent: int):
             bytes_ = np.append(0, np.cumsum(np.asarray(pc.binary_length(batch.column(5)), np.int64)))
             at = 0
             for start in starts.tolist():
-                if size + bytes_[start] - bytes_[at] > _PIECE and (held or start > at):
+                if size + bytes_[start] - bytes_[at] > _COMPARED and (held or start > at):
                     yield done(pa.Table.from_batches([*held, batch.slice(at, start - at)]))
                     held, size, at = [], 0, start
             held.append(batch.slice(at))
@@ -390,8 +404,8 @@ def _digest(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(plain, digest_size=16).digest()[:8], "little", signed=True)
 
 
-def _cut(batches):
-    """Rows less the lines that the last column numbers."""
+def _cut(batches, drop_emptied: bool = False):
+    """Rows less the lines that the last column numbers; with ``drop_emptied``, less the rows that it leaves without a word."""
     for batch in pieces(batches, "text"):
         last = batch.num_columns - 1
         at = batch.schema.get_field_index("text")
@@ -401,7 +415,15 @@ def _cut(batches):
             places = {i for i, _ in drop}
             texts.append(text if not drop else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in places or (i, _digest(x)) not in drop))
         columns = [pa.array(texts, x.type) if i == at else x for i, x in enumerate(batch.columns)]
-        yield pa.RecordBatch.from_arrays(columns[:last], batch.schema.names[:last])
+        if "n_chars" in batch.schema.names[:last]:
+            n = batch.schema.get_field_index("n_chars")
+            listed = batch.column(last).is_valid()
+            columns[n] = pc.if_else(listed, pa.array([None if x is None else len(x) for x in texts], batch.column(n).type), batch.column(n))
+        made = pa.RecordBatch.from_arrays(columns[:last], batch.schema.names[:last])
+        if drop_emptied:
+            listed = batch.column(last).is_valid().to_pylist()
+            made = made.filter(pa.array([not cut or text is None or bool(text.encode().strip()) for cut, text in zip(listed, texts, strict=True)], pa.bool_()))
+        yield made
 
 
 def without_duplicate_lines(docs: DataFrame, percent: int = 80, drop_emptied: bool = False) -> DataFrame:
@@ -417,13 +439,7 @@ def without_duplicate_lines(docs: DataFrame, percent: int = 80, drop_emptied: bo
     gone = _duplicates(docs, percent).groupBy("doc_id").agg(F.collect_set(F.struct("line", "a")).alias(many)).withColumnRenamed("doc_id", key)
     gone = checkpointed(gone)
     marked, flag = maybe(docs.withColumn(key, F.col("doc_id").cast("long")), gone, key)
-    touched = marked.where(F.col(flag) & F.col("text").isNotNull()).join(gone, key, "left")
-    cut = touched.select(*docs.columns, many).mapInArrow(_cut, docs.schema)
-    if drop_emptied:
-        kept = touched.where(F.col(many).isNull()).select(*docs.columns)
-        cut = touched.where(F.col(many).isNotNull()).select(*docs.columns, many).mapInArrow(_cut, docs.schema).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    if drop_emptied:
-        cut = cut.unionByName(kept)
+    # few rows are built into a table, so the texts aren't sorted
+    touched = marked.where(F.col(flag) & F.col("text").isNotNull()).join(gone.hint("shuffle_hash"), key, "left")
+    cut = touched.select(*docs.columns, many).mapInArrow(lambda batches: _cut(batches, drop_emptied), docs.schema)
     return cut.unionByName(marked.where(~F.col(flag) | F.col("text").isNull()).select(*docs.columns))

@@ -713,3 +713,55 @@ def test_ranks_start_no_python_workers(spark, monkeypatch):
     assert total == 500 and all(r["k"] == r["rank"] for r in rows.collect())
     rows, total = _spark.ranked(none, ["k"])
     assert total == 0 and rows.collect() == []
+
+
+def test_many_short_lines_are_compared_in_one_piece(monkeypatch):
+    # over 2**14 lines between them, in one piece
+    monkeypatch.setattr(line_dedup, "_COMPARED", 1 << 30)
+    rng = random.Random(3)
+    n = 20_000
+    lines = []
+    for i in range(0, n, 2):
+        text = f"{i:06d}" + "".join(rng.choices("abcdefghij", k=14))
+        lines += [text, text + "x" if i % 4 else "".join(reversed(text))]  # 13 of 14 shingles, or none
+    batch = pa.RecordBatch.from_arrays([pa.array([i // 2 for i in range(n)], pa.int64()), pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array(range(n), pa.int64()), pa.array(range(n), pa.int64()), pa.array([x.encode() for x in lines], pa.binary())], ["x", "y", "z", "id", "component", "data"])
+    got = {tuple(sorted(r.values())) for x in line_dedup._linked(80)(iter([batch])) for r in x.to_pylist()}
+    assert got == {(i, i + 1) for i in range(2, n, 4)}
+
+
+def test_lines_with_alike_parts_of_hashes_are_told_apart(monkeypatch):
+    rng = random.Random(8)
+    lines = ["".join(rng.choices("abcd ", k=rng.randrange(1, 60))).encode() for _ in range(300)]
+    group = np.sort(np.array([rng.randrange(40) for _ in lines]))
+    group = np.unique(group, return_inverse=True)[1]
+    rows = np.arange(len(lines))
+    first = np.searchsorted(group, group)
+
+    def sets(x):
+        t = x.decode()
+        return {t} if len(t) < 8 else {t[i : i + 8] for i in range(len(t) - 7)}
+
+    plain = [len(sets(lines[a]) & sets(lines[b])) for a, b in zip(rows, first, strict=True)]
+    for bits in (40, 65):  # by one sort, and by all bits
+        monkeypatch.setattr(line_dedup, "_LEAST_BITS", bits)
+        made = line_dedup._Rows(group, lines)
+        assert made.size.tolist() == [len(sets(x)) for x in lines]
+        assert made.distances(rows, first)[0].tolist() == plain
+
+
+def test_lines_of_joined_texts_equal_those_of_each():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(["a", "B", "é", " ", "  ", "\t", "\n", "\r\n", "\x0b", "\x0c", "\x85", "\xa0", "Z "], k=rng.randrange(0, 40))) for _ in range(400)]
+    plain = [(i, n, b" ".join(w)) for i, t in enumerate(texts) for n, line in enumerate(t.encode().lower().split(b"\n")) if (w := line.split())]
+    for some in (texts, texts[:1], []):
+        owner, number, lines = line_dedup._normal_lines([np.frombuffer(t.encode(), np.uint8) for t in some])
+        assert list(zip(owner.tolist(), number.tolist(), lines, strict=True)) == [x for x in plain if x[0] < len(some)]
+
+
+def test_rows_without_cut_lines_keep_their_counts():
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1, 2, 3], pa.int64()), pa.array(["a\nb", "a", "c"]), pa.array([9, 9, 9], pa.int64()), pa.array([[{"line": 0, "a": line_dedup._digest("a")}], [{"line": 0, "a": line_dedup._digest("a")}], None], pa.list_(pa.struct([("line", pa.int32()), ("a", pa.int64())])))],
+        ["doc_id", "text", "n_chars", "gone"],
+    )
+    assert [tuple(r.values()) for x in line_dedup._cut(iter([batch])) for r in x.to_pylist()] == [(1, "b", 1), (2, "", 0), (3, "c", 9)]
+    assert [tuple(r.values()) for x in line_dedup._cut(iter([batch]), drop_emptied=True) for r in x.to_pylist()] == [(1, "b", 1), (3, "c", 9)]
