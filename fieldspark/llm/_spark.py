@@ -49,7 +49,9 @@ def skew_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) ->
 
     Keys with over a thousandth of the rows number under a thousand; those
     groups are broadcast, so their rows stay where they are.  Every other key
-    has at most a thousandth of the rows and goes through a shuffle join.
+    has at most a thousandth of the rows and goes through a shuffle join, by a
+    hint: sizes that Spark would decide by are compressed, and the driver would
+    hold many times as much.
     ``groups`` must be cheap to read twice (a checkpoint), and its columns
     other than the keys must have a bounded size.
     """
@@ -58,7 +60,7 @@ def skew_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) ->
     columns = [*rows.columns, *(c for c in groups.columns if c not in keys)]
     hot = groups.where(F.col(size) > bound).withColumn("_hot", F.lit(True))
     flagged = rows.join(F.broadcast(hot), keys, "left")
-    cold = flagged.where(F.col("_hot").isNull()).select(*rows.columns).join(groups.where(F.col(size) <= bound), keys)
+    cold = flagged.where(F.col("_hot").isNull()).select(*rows.columns).join(groups.where(F.col(size) <= bound).hint("merge"), keys)
     return flagged.where("_hot").select(*columns).unionByName(cold.select(*columns))
 
 
@@ -168,10 +170,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = checkpointed(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(least.hint("merge"), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = checkpointed(large.distinct())
         least = checkpointed(down.groupBy("u").agg(F.min("v").alias("m")))
-        small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = down.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
         now = checkpointed(small.distinct().mapInArrow(_contract, nodes))
     else:

@@ -319,7 +319,7 @@ def _linked(percent: int):
 
 def _verified(dealt: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links inside the groups (x, y, z) of ``dealt(x, y, z, id, component)``."""
-    rows = dealt.join(texts, "id").select("x", "y", "z", "id", "component", "data")
+    rows = dealt.join(texts.hint("merge"), "id").select("x", "y", "z", "id", "component", "data")
     return rows.repartition("x", "y", "z").sortWithinPartitions("x", "y", "z").mapInArrow(_linked(percent), "u long, v long")
 
 
@@ -357,9 +357,9 @@ def _duplicates(docs: DataFrame, percent: int) -> DataFrame:
     members = skew_join(checkpointed(likely(keys, shared, "key")), shared.drop("lead"), ["key"], "size")
     members = checkpointed(members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")))
 
-    wanted = checkpointed(lines.join(members.select("id").distinct(), "id").select("id", F.col("doc").alias("doc"), "line", "a", "b", F.xxhash64("doc", "line", "a").alias("at")))
+    wanted = checkpointed(lines.join(members.select("id").distinct().hint("merge"), "id").select("id", F.col("doc").alias("doc"), "line", "a", "b", F.xxhash64("doc", "line", "a").alias("at")))
     texts = likely(rows, wanted.select(F.col("doc").alias("doc_id")), "doc_id").mapInArrow(_lines("text"), f"{_SHAPE}, data binary").withColumn("at", F.xxhash64("doc", "line", "a"))
-    texts = likely(texts, wanted, "at").join(wanted.drop("at"), ["doc", "line", "a", "b"])
+    texts = likely(texts, wanted, "at").join(wanted.drop("at").hint("merge"), ["doc", "line", "a", "b"])
     texts = checkpointed(texts.dropDuplicates(["id"]).select("id", "data"))  # rows of one id may repeat a line
 
     # inside blocks; a large key's lead is in each of its blocks
@@ -372,7 +372,7 @@ def _duplicates(docs: DataFrame, percent: int) -> DataFrame:
     large = members.where("blocks > 1")
     if not large.isEmpty():
         merged = checkpointed(merged)
-        placed = checkpointed(large.join(merged.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+        placed = checkpointed(large.join(merged.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")))
         parts = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
         most = parts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("parts"), F.sum("m").alias("all")).where("parts > 1")
         most = checkpointed(most.select("key", "all", F.col("most.component").alias("main"), F.ceil((F.col("all") - F.col("most.m")) / BLOCK).cast("int").alias("sides")))
@@ -387,7 +387,7 @@ def _duplicates(docs: DataFrame, percent: int) -> DataFrame:
     merged = checkpointed(merged)
 
     # each line's component and that component's first place
-    named = lines.select("a", "b", "n", "id", "doc", "line").join(merged.withColumnRenamed("node", "id"), "id", "left")
+    named = lines.select("a", "b", "n", "id", "doc", "line").join(merged.withColumnRenamed("node", "id").hint("merge"), "id", "left")
     alone = named.where("component is null and n > 1").select("a", "b", "n", F.col("doc").alias("keep_doc"), F.col("line").alias("keep_line"))
     grouped = checkpointed(named.where("component is not null").select("a", "b", "n", "component", "doc", "line"))
     best = checkpointed(grouped.groupBy("component").agg(F.min(F.struct("doc", "line")).alias("keep"), F.count("*").alias("m")))
