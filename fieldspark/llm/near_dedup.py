@@ -201,12 +201,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     Both joins have plain exchanges on either side, so a document in very many
     pairs is split by adaptive execution.
     """
-    wanted = checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes.select("node", F.col("rep").alias("doc_id")), "node"))
+    wanted = checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes.select("node", F.col("rep").alias("doc_id")).hint("merge"), "node"))
     sets = likely(docs, wanted, "doc_id").mapInArrow(_shingled(k, "set"), "doc long, n long, data binary")
     sets = checkpointed(likely(sets, wanted.select(F.col("node").alias("doc")), "doc").dropDuplicates(["doc"]))
     one = sets.select(F.col("doc").alias("u"), F.col("data").alias("a"))
     two = sets.select(F.col("doc").alias("v"), F.col("data").alias("b"))
-    full = pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b")
+    full = pairs.join(one.hint("merge"), "u").join(two.hint("merge"), "v").select("u", "v", "a", "b")
     return full.mapInArrow(_confirm(percent), "u long, v long")
 
 
@@ -235,30 +235,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shared = checkpointed(shared.groupBy("size", "x", "y", "lead").agg(F.min("key").alias("key")).select("key", "size", "lead"))
     members = checkpointed(skew_join(likely(keys, shared, "key"), shared, ["key"], "size").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("blocks")).cast("int")))
 
-    ids = checkpointed(members.select(F.col("doc").alias("node")).distinct().join(classes.select("node", F.col("rep").alias("doc_id")), "node"))
+    ids = checkpointed(members.select(F.col("doc").alias("node")).distinct().join(classes.select("node", F.col("rep").alias("doc_id")).hint("merge"), "node"))
     maps = checkpointed(likely(docs, ids, "doc_id").mapInArrow(_shingled(k, "bitmap"), "doc long, n long, data binary").dropDuplicates(["doc"]))
 
     leads = shared.where(f"size > {BLOCK}").select("key", F.col("lead").alias("doc"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("block"))
     dealt = members.select("key", "doc", "block").unionByName(leads)
-    forest = dealt.join(maps, "doc").groupBy("key", "block").applyInPandas(_forest(percent), "u long, v long").distinct()
+    forest = dealt.join(maps.hint("merge"), "doc").groupBy("key", "block").applyInPandas(_forest(percent), "u long, v long").distinct()
     first = checkpointed(_verified(checkpointed(forest), docs, classes, k, percent))
     merged = checkpointed(components(first))
 
-    placed = members.join(merged.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    placed = members.join(merged.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
     mixed = checkpointed(mixed.select("key", F.col("size").alias("n_members")))
     open_ = skew_join(placed.drop("size"), mixed, ["key"], "n_members")
     spread = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("key", "doc", "component", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    rest = spread.join(maps, "doc").groupBy("key", "p", "q").applyInPandas(_across(percent), "u long, v long").distinct()
+    rest = spread.join(maps.hint("merge"), "doc").groupBy("key", "p", "q").applyInPandas(_across(percent), "u long, v long").distinct()
     second = _verified(checkpointed(rest), docs, classes, k, percent)
     # texts of one id are linked, whatever they say
     span = seen.where("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w").select("doc_id", "v")
     span = checkpointed(span)
-    twin = likely(seen.select("doc_id", F.col("node").alias("u")), span, "doc_id").join(span, "doc_id").select("u", "v")
+    twin = likely(seen.select("doc_id", F.col("node").alias("u")), span, "doc_id").join(span.hint("merge"), "doc_id").select("u", "v")
     linked = components(first.unionByName(second).unionByName(twin))
 
-    found = checkpointed(classes.join(linked, "node", "left").select("set_key", "copies", "rep", F.coalesce("component", "node").alias("component")))
+    found = checkpointed(classes.join(linked.hint("merge"), "node", "left").select("set_key", "copies", "rep", F.coalesce("component", "node").alias("component")))
     least = checkpointed(found.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("m")))
     found = checkpointed(skew_join(found, least, ["component"], "m").select("set_key", "copies", "component_id"))
     grouped = seen.where("set_key is not null and doc_id is not null").select("doc_id", "n_shingles", "set_key")
@@ -278,7 +278,7 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> D
     ids = checkpointed(ids.where("not kept or rows > 1").select(F.col("doc_id").alias("_id"), "kept"))
     number, keep = unused(docs.columns, "number", "stays")
     marked, flag = maybe(docs.withColumn(number, F.col("doc_id").cast("long")), ids.select(F.col("_id").alias(number)), number)
-    told = marked.where(flag).join(ids.select(F.col("_id").alias(number), F.col("kept").alias(keep)), number, "left")
+    told = marked.where(flag).join(ids.select(F.col("_id").alias(number), F.col("kept").alias(keep)).hint("merge"), number, "left")
     plain = told.where(F.col(keep).isNull()).select(*docs.columns)
     # one row of each repeated id, taken by map-side minima
     whole = F.struct(*docs.columns)
