@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldspark.operators import focal, imports, iterative, mosaic, overlay, rings
+from fieldspark.plans import queries as plans
 
 EDGES = "grp int, shape int, ax double, ay double, bx double, by double, minus boolean"
 
@@ -208,3 +209,30 @@ def test_chains_of_refusals_and_suppression(spark, monkeypatch):
         assert got == want
         states = iterative.suppress(spark.createDataFrame(items, "id long, score double"), spark.createDataFrame(links, "u long, v long"))
         assert {r["id"] for r in states.where("state = 'kept'").collect()} == kept
+
+
+def test_overlays_write_little_beyond_their_edges(spark):
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = written()
+    assert plans.QUERIES["j19_difference"](spark, "/root/testdata/sf0.001").count()
+    assert written() - before < 2_000_000
+
+
+@pytest.mark.parametrize("rule", ["union", "intersection", "difference"])
+def test_whole_groups_and_the_grid_give_the_same_outline(spark, monkeypatch, rule):
+    rows = []
+    for grp in range(6):
+        for shape in range(3):
+            x, y, w = 0.003 * shape, 0.002 * shape * (grp % 3), 0.006 + 0.001 * (grp % 2)
+            corners = [(x, y), (x + w, y + 0.001 * grp), (x + w, y + w), (x + w / 3, y + w / 2), (x, y + w)]
+            rows += [((grp, 7), f"s{shape}", *a, *b, shape == 1) for a, b in zip(corners, [*corners[1:], corners[0]], strict=True)]
+    edges = spark.createDataFrame(rows, "grp struct<u:int,v:int>, shape string, ax double, ay double, bx double, by double, minus boolean")
+    found = []
+    for small, pairs in ((256, 1 << 20), (256, 40), (0, 1 << 20)):  # in tasks, in many blocks, on the grid
+        monkeypatch.setattr(overlay, "SMALL", small)
+        monkeypatch.setattr(overlay, "PAIRS", pairs)
+        found.append(sorted((r["grp"]["u"], *(round(r[k], 9) for k in overlay.ENDS)) for r in overlay.overlay(edges, rule, 0.004).collect()))
+    assert found[0] and found[0] == found[1] == found[2]
