@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from fieldspark.functions import agronomy
 from fieldspark.operators import series
 
 
@@ -11,3 +14,9 @@ def test_sums_do_not_depend_on_how_rows_are_dealt(spark):
     rows = spark.createDataFrame([(i, 1, x) for i, x in enumerate((8.2, 1.6, 2.2))], "row_id int, k int, x double")
     for dealt in (rows, rows.orderBy(F.desc("row_id")), rows.repartition(3, "row_id")):
         assert [tuple(r) for r in series.in_order(dealt, ["k"], "row_id", x=F.sum("x"), n=F.count("*")).collect()] == [(1, 8.2 + 1.6 + 2.2, 3)]
+
+
+def test_a_negative_area_has_no_shape_index(spark):
+    got = spark.range(1).select(*(f(F.lit(a), F.lit(8.0)) for a in (-4.0, 4.0, 0.0) for f in (agronomy.shape_index, agronomy.pixel_shape_index))).first()
+    assert math.isnan(got[0]) and math.isnan(got[1])
+    assert got[2] == 8 / (2 * math.sqrt(math.pi * 4)) and got[3] == 1 and got[4] == 999 and got[5] == 2000
