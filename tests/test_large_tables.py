@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from fieldspark.functions import agronomy
-from fieldspark.operators import series
+from fieldspark.operators import generators, series
 
 
 def test_sums_do_not_depend_on_how_rows_are_dealt(spark):
@@ -20,3 +20,8 @@ def test_a_negative_area_has_no_shape_index(spark):
     got = spark.range(1).select(*(f(F.lit(a), F.lit(8.0)) for a in (-4.0, 4.0, 0.0) for f in (agronomy.shape_index, agronomy.pixel_shape_index))).first()
     assert math.isnan(got[0]) and math.isnan(got[1])
     assert got[2] == 8 / (2 * math.sqrt(math.pi * 4)) and got[3] == 1 and got[4] == 999 and got[5] == 2000
+
+
+def test_tile_names_keep_their_length(spark):
+    boxes = spark.createDataFrame([(1, 102.5, 102.7, 30.1, 30.2), (2, -7.0, -6.5, -1.0, -0.5)], "id int, miny double, maxy double, minx double, maxx double")
+    assert {r["id"]: r["tile"] for r in generators.origin_tiles(boxes, "id").collect()} == {1: "N10E030", 2: "S09W003"}
